@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, sharding, topk
+from . import language, neardup, packing, sharding, topk
 from .shared import crc_mod
 
 
@@ -25,6 +25,10 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "stratum")
 
 
+def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
 
@@ -36,6 +40,7 @@ def op10_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op6_stratified_shards": op6_stratified_shards,
+    "op8_minhash_hamming": op8_minhash_hamming,
     "op9_exact_topk": op9_exact_topk,
     "op10_kk_packing": op10_kk_packing,
 }
