@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, packing, sharding, topk
+from . import language, neardup, packing, sharding, suffixes, topk
 from .shared import crc_mod
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "stratum")
@@ -39,6 +43,7 @@ def op10_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_sparse_suffixes": op4_sparse_suffixes,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_exact_topk": op9_exact_topk,
