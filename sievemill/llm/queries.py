@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, packing, sharding, suffixes, topk
+from . import brown, language, neardup, packing, sharding, suffixes, topk
 from .shared import crc_mod
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 10) == 0)
+    return brown.scores(docs, "held_out")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
     model = language.train(docs.where(~F.col("held_out")))
@@ -42,6 +47,7 @@ def op10_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_brown_scores": op1_brown_scores,
     "op2_language_id": op2_language_id,
     "op4_sparse_suffixes": op4_sparse_suffixes,
     "op6_stratified_shards": op6_stratified_shards,
