@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, language, neardup, packing, sharding, suffixes, topk
+from . import brown, language, lempelziv, neardup, packing, sharding, suffixes, topk
 from .shared import crc_mod
 
 
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempelziv.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_brown_scores": op1_brown_scores,
     "op2_language_id": op2_language_id,
+    "op3_lz_fingerprints": op3_lz_fingerprints,
     "op4_sparse_suffixes": op4_sparse_suffixes,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_minhash_hamming": op8_minhash_hamming,
