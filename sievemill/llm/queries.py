@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, language, lempelziv, neardup, packing, sharding, suffixes, topk
+from . import brown, html, language, lempelziv, neardup, packing, sentencepiece, sharding, suffixes, topk
 from .shared import crc_mod
 
 
@@ -33,11 +33,23 @@ def op4_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.stratified_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "stratum")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids_hash (xxhash64 of the ids), decoded_crc32, round_trip (the decoded text is the text)."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = sentencepiece.decode(sentencepiece.encode(docs, model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -55,7 +67,9 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_lz_fingerprints": op3_lz_fingerprints,
     "op4_sparse_suffixes": op4_sparse_suffixes,
+    "op5_html_text": op5_html_text,
     "op6_stratified_shards": op6_stratified_shards,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_exact_topk": op9_exact_topk,
     "op10_kk_packing": op10_kk_packing,
