@@ -417,7 +417,7 @@ def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "tex
     unseen = min(max(once / max(n, 1), 1e-9), 0.5)
     usual = (count + 10 * share) / (count.sum(axis=1, keepdims=True) + 10)
     usual[UNKNOWN] = share  # after an unknown word
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):  # cells that don't occur
         logs = np.log10(usual) + np.log10(1 - unseen) - np.append(np.log10(share[:END] * max(n, 1)), [0, 0])
     logs[:, UNKNOWN] = np.log10(unseen)
     judged = full.mapInArrow(judge(logs.ravel()), full.drop("classes").withColumn("log_steps", F.lit(0.0)).schema)

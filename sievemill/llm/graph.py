@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     between roots; this repeats until none is left. Ids never meet in the driver, and an id with very many links is
     aggregated before it is shuffled.
     """
-    ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null")
+    ordered = links.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = cut(ordered.distinct())
     roots = cut(left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")))
     left = left.where("a < b")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,8 @@ ERRORS, CHUNKS = 1, 9
 SHINGLE = 5
 #: Signatures that are compared with each other in one group, at most about.
 BLOCK = 4096
+#: Pairs of signatures that a task looks at in one step.
+PAIRS_AT_ONCE = 500_000
 
 assert CHUNKS * (ERRORS + 1) > DISTANCE
 _SALT = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -89,35 +90,66 @@ def index_keys() -> list[Column]:
 
 
 def likely(most: int):
-    """In a group of rows (id, n_shingles, sig, root), pairs of different roots within DISTANCE: for each row that is not of
-    the group's largest root, the `most` nearest of each other root. A row of nulls if some were left out."""
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id").sort_values("id", ignore_index=True)
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), SYMBOLS)
-        ids, size, root = rows["id"].to_numpy(), rows["n_shingles"].to_numpy(), rows["root"].to_numpy()
-        roots, number, members = np.unique(root, return_inverse=True, return_counts=True)
-        asked = np.flatnonzero(number != members.argmax())
-        found, more = [], False
-        for at in range(0, len(asked), 64):
-            x = asked[at : at + 64]
-            far = np.zeros((len(x), len(rows)), np.uint8)
-            for j in range(SYMBOLS):
-                far += sig[x, j, None] != sig[None, :, j]
-            near = (far <= DISTANCE) & (number[x, None] != number[None, :])
-            near &= 100 * np.minimum(size[x, None], size) >= 85 * np.maximum(size[x, None], size)
-            i, y = np.nonzero(near)
-            order = np.lexsort((y, far[i, y], number[y], i))
-            i, y = i[order], y[order]
-            new = np.ones(len(i), bool)
-            new[1:] = (i[1:] != i[:-1]) | (number[y[1:]] != number[y[:-1]])
-            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(new, np.arange(len(i)), 0)) if len(i) else i
-            more |= bool((rank >= most).any())
-            i, y = i[rank < most], y[rank < most]
-            found.append(np.stack([ids[x[i]], ids[y]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        out = pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)}).drop_duplicates().astype("Int64")
-        return pd.concat([out, pd.DataFrame({"a": [pd.NA], "b": [pd.NA]}, dtype="Int64")]) if more else out
+    """Rows (key, cell, root, id, n_shingles, sig) in the order of the first four; those that share key and cell are a group. In
+    each group, pairs of different roots within DISTANCE: for each row that is not of the group's largest root, the `most` nearest
+    of each other root. A row of nulls if some were left out."""
+
+    def pairs_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+        key, cell, root, ids, size = (rows.column(c).to_numpy() for c in ("key", "cell", "root", "id", "n_shingles"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), SYMBOLS)
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (root[1:] != root[:-1])]))
+        start, many = np.searchsorted(group, np.arange(group[-1] + 1)), np.bincount(group)
+        of_run, length = group[np.searchsorted(run, np.arange(run[-1] + 1))], np.bincount(run)
+        order = np.lexsort((-length, of_run))
+        largest = order[np.concatenate([[True], of_run[order][1:] != of_run[order][:-1]])]
+        asked = np.flatnonzero(run != largest[group])
+        ends = np.cumsum(many[group[asked]])
+        found, more, at = [], False, 0
+        while at < len(asked):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            x = asked[at:stop]
+            n = many[group[x]]
+            y = np.arange(n.sum()) + np.repeat(start[group[x]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            x = np.repeat(x, n)
+            fit = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= 85 * np.maximum(size[x], size[y]))
+            x, y = x[fit], y[fit]
+            far = (sig[x] != sig[y]).sum(axis=1)
+            x, y, far = x[far <= DISTANCE], y[far <= DISTANCE], far[far <= DISTANCE]
+            order = np.lexsort((y, far, root[y], x))
+            x, y = x[order], y[order]
+            if len(x):
+                new = np.concatenate([[True], (x[1:] != x[:-1]) | (root[y[1:]] != root[y[:-1]])])
+                rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+                more |= bool((rank >= most).any())
+                found.append(np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])])[:, rank < most], axis=1))
+            at = stop
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return both[0], both[1], more
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        more = False
+        for batch in batches:
+            key, cell = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
+            new = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+            if held and batch.num_rows and (held[-1].column("key")[-1].as_py(), held[-1].column("cell")[-1].as_py()) != (key[0], cell[0]):
+                new = np.concatenate([[0], new])
+            if len(new):
+                rows = pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))])
+                held = []
+                if rows.num_rows:
+                    a, b, cut_off = pairs_of(rows)
+                    more |= cut_off
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                batch = batch.slice(int(new[-1]))
+            held.append(batch)
+        if held and sum(b.num_rows for b in held):
+            a, b, cut_off = pairs_of(pa.Table.from_batches(held))
+            more |= cut_off
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
 
     return search
 
@@ -177,23 +209,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     concerned = cut(shared.select("id").distinct())
     texts = cut(rows.withColumnRenamed("doc_id", "id").join(concerned, "id"))
     links = cut(verified(pairs, texts, percent))
-    tried, most = pairs, 1
+    tried, most = pairs, 16
     while True:
         roots = components(links)
         open_ids = classes.join(concerned, "id").join(roots, "id", "left").select("id", "n_shingles", "sig", F.coalesce("root", "id").alias("root"))
         rooted = cut(shared.select("key", "id").join(cut(open_ids), "id"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")  # two have been tried
         blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
         crossed = cut(rooted.join(cut(mixed.select("key", blocks.alias("blocks"))), "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")))
         cells = crossed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
-        found = cut(cells.groupBy("key", "cell").applyInPandas(likely(most), "a long, b long").distinct())
+        grouped = cells.select("key", "cell", "root", "id", "n_shingles", "sig").repartition("key", "cell").sortWithinPartitions("key", "cell", "root", "id")
+        found = cut(grouped.mapInArrow(likely(most), "a long, b long").distinct())
         fresh = cut(found.where("a is not null").join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():
             links = cut(links.union(verified(fresh, texts, percent)))
             tried = cut(tried.union(fresh))
         if found.where("a is null").isEmpty():
             break
-        most *= 8
+        most *= 16
     roots = components(links) if not fresh.isEmpty() else roots
     named = cut(classes.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id")))
     out = sums.join(named, ["h1", "h2"], "left").select(

@@ -19,10 +19,15 @@ def op1_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(docs, "held_out")
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    """The labelled documents that language identification learns from."""
+    return docs.where(crc_mod("doc_id", 3) != 1)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 3) == 1)
-    model = language.train(docs.where(~F.col("held_out")))
-    return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(training_rows(docs))
+    return language.identify(docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text"), model).drop("text")
 
 
 def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

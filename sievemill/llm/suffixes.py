@@ -147,3 +147,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = repeated_spans(docs, key, text).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "words")).alias("_spans"))
     joined = docs.join(spans, docs[key] == spans["_id"], "left").select(*docs.columns, "_spans")
     return joined.mapInArrow(cut_out(docs.columns.index(text), len(docs.columns)), docs.schema)
+
+
+def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with the column `length`, where there is one, set to the code points of the text."""
+    return docs.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in docs.columns else docs
