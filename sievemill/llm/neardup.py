@@ -212,11 +212,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     tried, most = pairs, 16
     while True:
         roots = components(links)
-        open_ids = classes.join(concerned, "id").join(roots, "id", "left").select("id", "n_shingles", "sig", F.coalesce("root", "id").alias("root"))
-        rooted = cut(shared.select("key", "id").join(cut(open_ids), "id"))
+        rooted = cut(shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")  # two have been tried
         blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
-        crossed = cut(rooted.join(cut(mixed.select("key", blocks.alias("blocks"))), "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")))
+        crossed = rooted.join(cut(mixed.select("key", blocks.alias("blocks"))), "key").join(classes.select("id", "n_shingles", "sig"), "id")
+        crossed = crossed.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
         cells = crossed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
         grouped = cells.select("key", "cell", "root", "id", "n_shingles", "sig").repartition("key", "cell").sortWithinPartitions("key", "cell", "root", "id")
         found = cut(grouped.mapInArrow(likely(most), "a long, b long").distinct())
