@@ -42,26 +42,43 @@ def lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
+def sums(words: Words) -> list[np.ndarray]:
+    """Two hashes of each text's words in their order."""
+    inside = np.arange(len(words.hash)) - words.first[words.doc]
+    keyed = mix(words.hash + inside.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])[words.first]).view(np.int64) for h in (keyed, mix(keyed))]
+
+
+def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, number of words, two hashes of the whole text's words."""
+    for batch, texts in chunks(batches):
+        words = Words(texts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(words.first)), *map(pa.array, sums(words))], ["doc_id", "n_words", "h1", "h2"])
+
+
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of words, two hashes of the whole text's words, heads and places of the retained suffixes."""
+    """What outline returns, and the heads and places of the retained suffixes."""
     for batch, texts in chunks(batches):
         words = Words(texts)
         heads, _, p = minimisers(words)
         p = p[np.concatenate([[True], p[1:] != p[:-1]])] if len(p) else p
-        inside = np.arange(len(words.hash)) - words.first[words.doc]
-        keyed = mix(words.hash + inside.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])[words.first] for h in (keyed, mix(keyed))]
+        place = (p - words.first[words.doc[p]]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(words.first)), *(pa.array(np.diff(s).view(np.int64)) for s in sums), lists(heads[p].view(np.int64), words.doc[p], len(texts)), lists(inside[p], words.doc[p], len(texts))],
+            [batch.column(0), pa.array(np.diff(words.first)), *map(pa.array, sums(words)), lists(heads[p].view(np.int64), words.doc[p], len(texts)), lists(place, words.doc[p], len(texts))],
             ["doc_id", "n_words", "h1", "h2", "heads", "places"],
         )
 
 
 def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From suffixes (ascending places, how many suffixes share the head) back and forth: hash, doc_id and start of each passage
-    whose minimiser they are, with the number of suffixes."""
+    whose minimiser they are, with the number of suffixes. Of rows with one doc_id and text that follow each other, the first."""
+    last = None
     for batch in batches:
         for piece, texts in chunks([batch]):
+            this = list(zip(piece.column(0).to_pylist(), texts, strict=True))
+            new = [row != before for row, before in zip(this, [last, *this], strict=False)]
+            last = this[-1]
+            piece, texts = piece.filter(pa.array(new)), [t for t, n in zip(texts, new, strict=True) if n]
             words = Words(texts)
             heads, x, p = minimisers(words)
             seeds = piece.column(2)
@@ -74,7 +91,7 @@ def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = mix(mix(mix(heads[x]) + heads[x + (WORDS - HEAD) // 2]) + heads[x + WORDS - HEAD])
             doc = words.doc[x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), piece.column(0).take(pa.array(doc)), pa.array(x - words.first[doc]), pa.array(many[found])],
+                [pa.array(whole.view(np.int64)), piece.column(0).take(pa.array(doc)), pa.array((x - words.first[doc]).astype(np.int32)), pa.array(many[found])],
                 ["passage", "doc_id", "start", "n"],
             )
 
@@ -94,24 +111,26 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Null, empty and short texts and null ids: no spans. Rows that share a doc_id are one document. Empty table: no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kinds = "doc_id long, n_words long, h1 long, h2 long, heads array<long>, places array<long>"
-    sketches = cut(rows.where("doc_id is not null").mapInArrow(sketch, kinds).where(f"n_words >= {WORDS}"))
-    texts = cut(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("source_doc_id")))
-    named = cut(sketches.join(texts, ["h1", "h2"]))
-    copies = named.where("doc_id <> source_doc_id").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("words"), "source_doc_id").distinct()
-
-    suffixes = named.where("doc_id = source_doc_id").select("doc_id", F.explode(F.arrays_zip("heads", "places")).alias("s")).select(F.col("s.heads").alias("head"), "doc_id", F.col("s.places").alias("place")).distinct()
+    known = rows.where("doc_id is not null")
+    kinds = "doc_id long, n_words long, h1 long, h2 long"
+    texts = cut(known.mapInArrow(outline, kinds).where(f"n_words >= {WORDS}").groupBy("h1", "h2").agg(F.min("doc_id").alias("source_doc_id")))
+    sketches = known.mapInArrow(sketch, f"{kinds}, heads array<long>, places array<int>").where(f"n_words >= {WORDS}")
+    own = F.col("doc_id") == F.col("source_doc_id")
+    named = cut(sketches.join(texts, ["h1", "h2"]).select("doc_id", "n_words", "source_doc_id", F.when(own, F.col("heads")).alias("heads"), F.when(own, F.col("places")).alias("places")))
+    copies = named.where(~own).select("doc_id", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("words"), "source_doc_id").distinct()
+
+    suffixes = named.where(own).select("doc_id", F.explode(F.arrays_zip("heads", "places")).alias("s")).select(F.col("s.heads").alias("head"), "doc_id", F.col("s.places").alias("place"))
     shared = cut(suffixes.groupBy("head").agg(F.count("*").cast("int").alias("n")).where("n > 1"))
-    seeds = suffixes.join(shared, "head").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("seeds"))
-    passages = rows.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "passage long, doc_id long, start long, n int").distinct()
+    seeds = suffixes.join(shared, "head").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "n"))).alias("seeds"))
+    passages = known.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "passage long, doc_id long, start int, n int")
 
-    salted = passages.withColumn("salts", F.expr(f"n div {TOGETHER} + 1")).withColumn("salt", F.expr("pmod(xxhash64(doc_id), salts)"))
+    salts = f"n div {TOGETHER} + 1"
+    salted = passages.select("passage", "doc_id", "start", F.expr(f"cast(if(n < {TOGETHER}, -1, pmod(xxhash64(doc_id), {salts})) as int)").alias("salt"))
     first = lambda *keys: F.first(F.struct("doc_id", "start")).over(Window.partitionBy(*keys).orderBy("doc_id", "start"))
     again = f"doc_id <> first.doc_id or start >= first.start + {WORDS}"
     part = salted.withColumn("first", first("passage", "salt")).withColumn("again", F.expr(again))
-    part = cut(part.where("again or salts > 1").select("passage", "doc_id", "start", "salts", "again", F.col("first.doc_id").alias("source_doc_id")))
-    heads = part.where("not again").withColumn("first", first("passage")).where(again)
-    found = part.where("again").select("doc_id", "start", "source_doc_id").union(heads.select("doc_id", "start", F.col("first.doc_id")))
+    heads = part.where("not again and salt >= 0").withColumn("first", first("passage")).where(again)
+    found = part.where("again").select("doc_id", "start", F.col("first.doc_id").alias("source_doc_id")).union(heads.select("doc_id", "start", F.col("first.doc_id")))
 
     of = Window.partitionBy("doc_id")
     runs_ = found.withColumn("new", F.coalesce(F.col("start") > F.lag("start").over(of.orderBy("start")) + WORDS, F.lit(True)))
