@@ -1 +1,6 @@
-"""plans of the engine."""
+"""Registered queries by name, and their SQL."""
+
+from . import history
+
+QUERIES = history.QUERIES
+ORACLE = history.ORACLE
