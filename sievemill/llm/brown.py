@@ -19,7 +19,7 @@ END, UNKNOWN, RARE = CLASSES, CLASSES + 1, 255
 LEADERS, DICTIONARY = 8192, 1 << 18
 SWEEPS = 6
 #: Words or pairs of words that a task counts before it passes them on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -359,6 +359,19 @@ def judge(logs: np.ndarray):
     return apply
 
 
+def most_frequent(words: DataFrame, most: int) -> pa.Table:
+    """hash, n, ... of the most frequent words, `most` at most: all whose count is in the upper sixteenths of an octave that
+    together hold no more. The driver gets a number for each sixteenth and those words, whatever the number of partitions."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    held, least = 0, 1 << 30
+    for at, n in sorted(words.groupBy(step.alias("at")).agg(F.count("*")).collect(), reverse=True):
+        held += n
+        if held > most:
+            break
+        least = at
+    return words.where(step >= least).toArrow()
+
+
 def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """log10 probabilities of whole texts by a class bigram model learnt from the rows where the boolean column `held_out` isn't true.
 
@@ -378,9 +391,8 @@ def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     training = rows.where("not held_out").select("text")
-    best = training.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(LEADERS)
-    leaders = np.array([r["hash"] for r in best.collect()], np.int64).view(np.uint64)
-    leaders = np.sort(leaders)
+    best = cut(training.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    leaders = np.sort(most_frequent(best, LEADERS).column("hash").to_numpy().view(np.uint64))
     pairs = training.mapInArrow(leader_pairs(leaders), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     classes, square = cluster(pairs, len(leaders), tasks(spark, len(leaders), 1024))
 
@@ -389,8 +401,10 @@ def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "tex
     ends, (distinct, total, once) = training.count(), words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     n, v = total + ends, distinct + (ends > 0)
     in_class = {r["class"]: r["n"] for r in words.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    known = words.orderBy(F.desc("n"), "hash").limit(DICTIONARY).toPandas().sort_values("hash", key=lambda h: h.to_numpy().view(np.uint64))
-    dictionary = known["hash"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(float), known["class"].to_numpy(np.int64)
+    known = most_frequent(words, DICTIONARY)
+    hashes = known.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    dictionary = hashes[order], known.column("n").to_numpy()[order].astype(float), known.column("class").to_numpy()[order].astype(np.int64)
 
     texts = cut(
         rows.mapInArrow(read(dictionary), "doc_id string, held_out boolean, n_tokens long, classes binary, log_c double, log_base double, n_in long, places array<int>, hashes array<long>".replace("string", docs.schema[key].dataType.simpleString(), 1))
