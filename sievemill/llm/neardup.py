@@ -18,10 +18,8 @@ SYMBOLS, BITS, DISTANCE = 48, 6, 17
 #: By the pigeonhole principle, pairs within DISTANCE differ in at most ERRORS symbols of one of CHUNKS parts.
 ERRORS, CHUNKS = 1, 9
 SHINGLE = 5
-#: Signatures that are compared with each other in one group, at most about.
+#: Half of the documents that are compared with each other in one group, at most about.
 BLOCK = 4096
-#: Pairs of signatures that a task looks at in one step.
-PAIRS_AT_ONCE = 500_000
 
 assert CHUNKS * (ERRORS + 1) > DISTANCE
 _SALT = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -89,107 +87,125 @@ def index_keys() -> list[Column]:
     return keys
 
 
-def likely(most: int):
-    """Rows (key, cell, root, id, n_shingles, sig) in the order of the first four; those that share key and cell are a group. In
-    each group, pairs of different roots within DISTANCE: for each row that is not of the group's largest root, the `most` nearest
-    of each other root. A row of nulls if some were left out."""
-
-    def pairs_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-        key, cell, root, ids, size = (rows.column(c).to_numpy() for c in ("key", "cell", "root", "id", "n_shingles"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), SYMBOLS)
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
-        run = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]) | (root[1:] != root[:-1])]))
-        start, many = np.searchsorted(group, np.arange(group[-1] + 1)), np.bincount(group)
-        of_run, length = group[np.searchsorted(run, np.arange(run[-1] + 1))], np.bincount(run)
-        order = np.lexsort((-length, of_run))
-        largest = order[np.concatenate([[True], of_run[order][1:] != of_run[order][:-1]])]
-        asked = np.flatnonzero(run != largest[group])
-        ends = np.cumsum(many[group[asked]])
-        found, more, at = [], False, 0
-        while at < len(asked):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-            x = asked[at:stop]
-            n = many[group[x]]
-            y = np.arange(n.sum()) + np.repeat(start[group[x]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            x = np.repeat(x, n)
-            fit = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= 85 * np.maximum(size[x], size[y]))
-            x, y = x[fit], y[fit]
-            far = (sig[x] != sig[y]).sum(axis=1)
-            x, y, far = x[far <= DISTANCE], y[far <= DISTANCE], far[far <= DISTANCE]
-            order = np.lexsort((y, far, root[y], x))
-            x, y = x[order], y[order]
-            if len(x):
-                new = np.concatenate([[True], (x[1:] != x[:-1]) | (root[y[1:]] != root[y[:-1]])])
-                rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-                more |= bool((rank >= most).any())
-                found.append(np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])])[:, rank < most], axis=1))
-            at = stop
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return both[0], both[1], more
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        more = False
-        for batch in batches:
-            key, cell = batch.column("key").to_numpy(), batch.column("cell").to_numpy()
-            new = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-            if held and batch.num_rows and (held[-1].column("key")[-1].as_py(), held[-1].column("cell")[-1].as_py()) != (key[0], cell[0]):
-                new = np.concatenate([[0], new])
-            if len(new):
-                rows = pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))])
-                held = []
-                if rows.num_rows:
-                    a, b, cut_off = pairs_of(rows)
-                    more |= cut_off
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                batch = batch.slice(int(new[-1]))
-            held.append(batch)
-        if held and sum(b.num_rows for b in held):
-            a, b, cut_off = pairs_of(pa.Table.from_batches(held))
-            more |= cut_off
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
-
-    return search
+def linked(size_a: np.ndarray, size_b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (size_a + size_b - both)
 
 
 def confirm(percent: int):
-    """Of pairs with their texts, those whose shingle sets have at least `percent` of their union in common."""
+    """Pairs (a, b) with their texts: whether they are linked on their full sets, the size of b's set, which of a's sorted shingles
+    it has (a bit each), and its others."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, left in chunks([batch], "text_a"):
                 right = [t.encode() for t in piece.column(3).to_pylist()]
                 h, start = shingles([*left, *right])
-                n, linked = len(left), []
+                n, link, size, inside, outside = len(left), [], [], [], []
                 for i in range(n):
                     x, y = h[start[i] : start[i + 1]], h[start[n + i] : start[n + i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    has = y[at] == x
+                    link.append(bool(linked(len(x), len(y), int(has.sum()), percent)))
+                    size.append(len(y))
+                    inside.append(np.packbits(has).tobytes())
+                    outside.append(np.delete(y, at[has]).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(link, pa.bool_()), pa.array(size, pa.int64()), pa.array(inside, pa.binary()), pa.array(outside, pa.binary())],
+                    ["a", "b", "linked", "size", "inside", "outside"],
+                )
 
     return check
 
 
+def across(percent: int):
+    """Rows (a, cell, root, b, size, inside, outside) in the order of the first four; those that share a and cell are a group. In
+    each group, the links between rows of different roots, one for each row and root; each row that is not of the group's largest
+    root looks at all others.
+
+    The sets of two partners of a meet in the shingles of a that both have, and in those that both have besides. The first number
+    is counted by bits; where the second could make a link, it is counted as well. So links are exact, and no text is read again.
+    """
+
+    def links_of(root: np.ndarray, ids: np.ndarray, size: np.ndarray, inside: list[bytes], outside: list[bytes]) -> list[tuple[int, int]]:
+        change = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+        if len(change) < 2:
+            return []
+        many = np.diff(np.append(change, len(root)))
+        asked = np.flatnonzero(root != root[change[many.argmax()]])
+        bits = np.frombuffer(b"".join(inside), np.uint8).reshape(len(ids), -1)
+        extra = np.array([len(o) // 8 for o in outside])
+        others: dict[int, np.ndarray] = {}
+        out, step = [], max(1, 16_000_000 // bits.size)
+        for at in range(0, len(asked), step):
+            x = asked[at : at + step]
+            both = np.bitwise_count(bits[x, None] & bits[None]).sum(axis=2, dtype=np.int64)
+            most = both + np.minimum(extra[x, None], extra[None])
+            fit = linked(size[x, None], size[None], most, percent) & (root[x, None] != root[None])
+            i, y = np.nonzero(fit)
+            seen: set[tuple[int, int]] = set()
+            for k, other, sure in zip(i.tolist(), y.tolist(), both[i, y].tolist(), strict=True):
+                own = int(x[k])
+                if (own, root[other]) in seen:
+                    continue
+                for r in (own, other):
+                    if r not in others:
+                        others[r] = np.frombuffer(outside[r], np.uint64)
+                if linked(size[own], size[other], sure + len(np.intersect1d(others[own], others[other], assume_unique=True)), percent):
+                    seen.add((own, root[other]))
+                    out.append((int(ids[own]), int(ids[other])))
+        return out
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def found(upto: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(upto)
+            a, cell, root, b, size = (rows.column(c).to_numpy() for c in ("a", "cell", "root", "b", "size"))
+            inside, outside = rows.column("inside").to_pylist(), rows.column("outside").to_pylist()
+            start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (cell[1:] != cell[:-1])])).tolist()
+            out = []
+            for s, e in zip(start, [*start[1:], len(a)], strict=True):
+                out += links_of(root[s:e], b[s:e], size[s:e], inside[s:e], outside[s:e])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, cell = batch.column("a").to_numpy(), batch.column("cell").to_numpy()
+            new = np.flatnonzero((a[1:] != a[:-1]) | (cell[1:] != cell[:-1])) + 1
+            if held and (held[-1].column("a")[-1].as_py(), held[-1].column("cell")[-1].as_py()) != (a[0], cell[0]):
+                new = np.concatenate([[0], new])
+            if len(new):
+                upto = [*held, batch.slice(0, int(new[-1]))]
+                held = []
+                yield found(upto)
+                batch = batch.slice(int(new[-1]))
+            held.append(batch)
+        if held:
+            yield found(held)
+
+    return search
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b; a partner of very many others is a) that are linked on their full sets. Copies of the text of a partner
-    of many are dealt over as many salts as it has thousands of pairs."""
+    """What confirm says of the pairs (a, b). Copies of the text of an a with many pairs are dealt over as many salts as it has
+    thousands of them."""
     degree = pairs.groupBy("a").agg(F.expr("cast(count(*) div 1000 as int)").alias("_last"))
     left = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(degree, "a").withColumn("_salt", F.explode(F.expr("sequence(0, _last)"))).select("a", "_last", "_salt", "text_a")
     salted = pairs.join(degree, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), _last + 1) as int)").alias("_salt"))
     right = salted.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     both = right.join(left, ["a", "_salt"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(confirm(percent), "a long, b long")
+    return both.mapInArrow(confirm(percent), "a long, b long, linked boolean, size long, inside binary, outside binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Link documents whose sets of five-word shingles have 100 * intersection >= percent * union (percent: 85 at least).
 
     Equal sets are one class at once, by grouping; the rest compares one document of each class. Signatures are indexed by
-    keys that any two within DISTANCE share. First, each key's members are tried with its smallest id. Then, while a key holds
-    documents of several components, the nearest pairs across components are tried, more of them each time, until no pair
-    within DISTANCE is untried. Every link is confirmed on full sets. Pairs within a component are never listed.
+    keys that any two within DISTANCE share. The smallest id of a key is its hub, and all others of the key are compared with it
+    on full sets. Two that share a key share its hub; so the other pairs within DISTANCE are all between partners of one hub, and
+    of these, what links the components so far is found from how the partners differ from the hub. Every link is confirmed on
+    full sets; pairs within a component are never listed, and partners of a hub are compared in cells of bounded size.
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
     Null, empty or blank text: no shingles, linked with nothing. Rows that share a doc_id are one document. Null doc_id:
@@ -208,26 +224,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     pairs = cut(shared.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     concerned = cut(shared.select("id").distinct())
     texts = cut(rows.withColumnRenamed("doc_id", "id").join(concerned, "id"))
-    links = cut(verified(pairs, texts, percent))
-    tried, most = pairs, 16
-    while True:
-        roots = components(links)
-        rooted = cut(shared.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")  # two have been tried
-        blocks = F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)")
-        crossed = rooted.join(cut(mixed.select("key", blocks.alias("blocks"))), "key").join(classes.select("id", "n_shingles", "sig"), "id")
-        crossed = crossed.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-        cells = crossed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("cell", F.expr("least(block, other) * 1000000L + greatest(block, other)"))
-        grouped = cells.select("key", "cell", "root", "id", "n_shingles", "sig").repartition("key", "cell").sortWithinPartitions("key", "cell", "root", "id")
-        found = cut(grouped.mapInArrow(likely(most), "a long, b long").distinct())
-        fresh = cut(found.where("a is not null").join(tried, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = cut(links.union(verified(fresh, texts, percent)))
-            tried = cut(tried.union(fresh))
-        if found.where("a is null").isEmpty():
-            break
-        most *= 16
-    roots = components(links) if not fresh.isEmpty() else roots
+    compared = cut(verified(pairs, texts, percent))
+    links = compared.where("linked").select("a", "b")
+    roots = components(links)
+    rooted = compared.drop("linked").join(roots, compared["b"] == roots["id"], "left").select("a", "b", "size", "inside", "outside", F.coalesce("root", "b").alias("root"))
+    mixed = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    blocks = cut(mixed.select("a", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")))
+    cells = rooted.join(blocks, "a").withColumn("block", F.expr("cast(pmod(xxhash64(b), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = cells.withColumn("cell", F.expr("least(block, other) * 1000000L + greatest(block, other)")).select("a", "cell", "root", "b", "size", "inside", "outside")
+    more = cut(cells.repartition("a", "cell").sortWithinPartitions("a", "cell", "root", "b").mapInArrow(across(percent), "a long, b long").distinct())
+    if not more.isEmpty():
+        roots = components(links.union(more))
     named = cut(classes.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id")))
     out = sums.join(named, ["h1", "h2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
