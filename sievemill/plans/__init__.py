@@ -1,6 +1,6 @@
 """Registered queries by name, and their SQL."""
 
-from . import history
+from . import history, scanning
 
-QUERIES = history.QUERIES
-ORACLE = history.ORACLE
+QUERIES = history.QUERIES | scanning.QUERIES
+ORACLE = history.ORACLE | scanning.ORACLE
