@@ -202,9 +202,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     """Link documents whose sets of five-word shingles have 100 * intersection >= percent * union (percent: 85 at least).
 
     Equal sets are one class at once, by grouping; the rest compares one document of each class. Signatures are indexed by
-    keys that any two within DISTANCE share. The smallest id of a key is its hub, and all others of the key are compared with it
-    on full sets. Two that share a key share its hub; so the other pairs within DISTANCE are all between partners of one hub, and
-    of these, what links the components so far is found from how the partners differ from the hub. Every link is confirmed on
+    keys that any two within DISTANCE share. The smallest id of a key leads it; its hub is the smallest leader of the leader's own
+    keys, so that a group of near copies has few hubs, however large it is. All documents of a key are compared with its hub on
+    full sets. Two that share a key share its hub; so the other pairs within DISTANCE are all between partners of one hub, and of
+    these, what links the components so far is found from how the partners differ from the hub. Every link is confirmed on
     full sets; pairs within a component are never listed, and partners of a hub are compared in cells of bounded size.
 
     Returns a row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
@@ -220,8 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
     keys = classes.select("id", "n_shingles", "sig", F.explode(F.array(*index_keys())).alias("key"))
     hubs = cut(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    shared = cut(keys.select("key", "id").join(hubs.select("key", "hub"), "key"))
-    pairs = cut(shared.where("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    shared = cut(keys.select("key", "id").join(hubs.select("key", "hub"), "key").select("id", "hub").distinct())
+    first = cut(shared.groupBy(F.col("id").alias("hub")).agg(F.min("hub").alias("a")))
+    pairs = cut(shared.join(first, "hub").select("a", F.col("id").alias("b")).where("a <> b").distinct())
     concerned = cut(shared.select("id").distinct())
     texts = cut(rows.withColumnRenamed("doc_id", "id").join(concerned, "id"))
     compared = cut(verified(pairs, texts, percent))
