@@ -1,6 +1,6 @@
 """Registered queries by name, and their SQL."""
 
-from . import history, scanning
+from . import history, lookaround, scanning
 
-QUERIES = history.QUERIES | scanning.QUERIES
-ORACLE = history.ORACLE | scanning.ORACLE
+QUERIES = history.QUERIES | scanning.QUERIES | lookaround.QUERIES
+ORACLE = history.ORACLE | scanning.ORACLE | lookaround.ORACLE

@@ -47,11 +47,15 @@ def hits_sql(rules: list[Rule], source: str = "files") -> str:
 
 def violations_sql(rules: list[Rule] = RULES, name: str = "violations") -> str:
     known = ", ".join(f"('{r.id}', '{r.slug}', '{r.severity}', '{r.category}')" for r in rules)
-    return f"""{name}_rules(rule_id, rule, severity, category) AS (VALUES {known}), {name}_hits AS ({hits_sql(rules)}),
-    {name}_spans AS (SELECT file_id, {LEXER} AS spans FROM files WHERE file_id IN (SELECT file_id FROM {name}_hits)),
-    {name} AS (SELECT h.file_id, h.rule_id, rule, severity, category, (length(substr(code, 1, pos)) - length(replace(substr(code, 1, pos), chr(10), '')) + 1)::INT AS line,
-        length(string_split(substr(code, 1, pos), chr(10))[-1])::INT + 1 AS col, trim(string_split(code, chr(10))[length(substr(code, 1, pos)) - length(replace(substr(code, 1, pos), chr(10), '')) + 1], ' ') AS snippet
-        FROM {name}_hits h JOIN {name}_rules USING (rule_id) JOIN {name}_spans s USING (file_id) JOIN files USING (file_id) WHERE len(list_filter(spans, lambda s: pos > s.start AND pos < s."end")) = 0)"""
+    pieces = [f"CASE WHEN lang = 'python' THEN {{0}} WHEN lang IN ('typescript', 'javascript') THEN {{1}} ELSE {{2}} END".format(*(f"{f}(code, {re2(text.LEXERS[k])})" for k in ("hash", "template", "block"))) for f in ("regexp_extract_all", "string_split_regex")]
+    head = "substr(code, 1, pos)"
+    line = f"length({head}) - length(replace({head}, chr(10), '')) + 1"
+    return f"""{name}_rules(rule_id, rule, severity, category) AS (VALUES {known}), {name}_hits AS MATERIALIZED ({hits_sql(rules)}),
+    {name}_lexed AS (SELECT file_id, {pieces[0]} AS m, {pieces[1]} AS g FROM files WHERE file_id IN (SELECT file_id FROM {name}_hits)),
+    {name}_lexemes AS (SELECT file_id, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM {name}_lexed),
+    {name}_spans AS (SELECT file_id, sum(length(g) + length(m)) OVER (PARTITION BY file_id ORDER BY i) AS e, length(m) AS n FROM {name}_lexemes),
+    {name} AS (SELECT h.file_id, h.rule_id, rule, severity, category, ({line})::INT AS line, length(string_split({head}, chr(10))[-1])::INT + 1 AS col, trim(string_split(code, chr(10))[{line}], ' ') AS snippet
+        FROM {name}_hits h JOIN {name}_rules USING (rule_id) JOIN files USING (file_id) WHERE NOT EXISTS (FROM {name}_spans s WHERE s.file_id = h.file_id AND h.pos > s.e - s.n AND h.pos < s.e))"""
 
 
 VIOLATIONS = f"WITH {FILES_SQL}, {violations_sql()}"
