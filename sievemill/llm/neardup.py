@@ -187,14 +187,19 @@ def across(percent: int):
     return search
 
 
+def alike(side: DataFrame) -> DataFrame:
+    """side, joined by a sort-merge join at every size, so that small tables show how large ones run."""
+    return side.hint("merge")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """What confirm says of the pairs (a, b). Copies of the text of an a with many pairs are dealt over as many salts as it has
     thousands of them."""
     degree = pairs.groupBy("a").agg(F.expr("cast(count(*) div 1000 as int)").alias("_last"))
-    left = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(degree, "a").withColumn("_salt", F.explode(F.expr("sequence(0, _last)"))).select("a", "_last", "_salt", "text_a")
-    salted = pairs.join(degree, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), _last + 1) as int)").alias("_salt"))
-    right = salted.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-    both = right.join(left, ["a", "_salt"]).select("a", "b", "text_a", "text_b")
+    left = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(alike(degree), "a").withColumn("_salt", F.explode(F.expr("sequence(0, _last)"))).select("a", "_last", "_salt", "text_a")
+    salted = pairs.join(alike(degree), "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), _last + 1) as int)").alias("_salt"))
+    right = salted.join(alike(texts.withColumnsRenamed({"id": "b", "text": "text_b"})), "b")
+    both = right.join(alike(left), ["a", "_salt"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(confirm(percent), "a long, b long, linked boolean, size long, inside binary, outside binary")
 
 
@@ -221,24 +226,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
     keys = classes.select("id", "n_shingles", "sig", F.explode(F.array(*index_keys())).alias("key"))
     hubs = cut(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    shared = cut(keys.select("key", "id").join(hubs.select("key", "hub"), "key").select("id", "hub").distinct())
+    shared = cut(keys.select("key", "id").join(alike(hubs.select("key", "hub")), "key").select("id", "hub").distinct())
     first = cut(shared.groupBy(F.col("id").alias("hub")).agg(F.min("hub").alias("a")))
-    pairs = cut(shared.join(first, "hub").select("a", F.col("id").alias("b")).where("a <> b").distinct())
+    pairs = cut(shared.join(alike(first), "hub").select("a", F.col("id").alias("b")).where("a <> b").distinct())
     concerned = cut(shared.select("id").distinct())
-    texts = cut(rows.withColumnRenamed("doc_id", "id").join(concerned, "id"))
+    texts = cut(rows.withColumnRenamed("doc_id", "id").join(alike(concerned), "id"))
     compared = cut(verified(pairs, texts, percent))
     links = compared.where("linked").select("a", "b")
     roots = components(links)
-    rooted = compared.drop("linked").join(roots, compared["b"] == roots["id"], "left").select("a", "b", "size", "inside", "outside", F.coalesce("root", "b").alias("root"))
+    rooted = compared.drop("linked").join(alike(roots), compared["b"] == roots["id"], "left").select("a", "b", "size", "inside", "outside", F.coalesce("root", "b").alias("root"))
     mixed = rooted.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     blocks = cut(mixed.select("a", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")))
-    cells = rooted.join(blocks, "a").withColumn("block", F.expr("cast(pmod(xxhash64(b), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = rooted.join(alike(blocks), "a").withColumn("block", F.expr("cast(pmod(xxhash64(b), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = cells.withColumn("cell", F.expr("least(block, other) * 1000000L + greatest(block, other)")).select("a", "cell", "root", "b", "size", "inside", "outside")
     more = cut(cells.repartition("a", "cell").sortWithinPartitions("a", "cell", "root", "b").mapInArrow(across(percent), "a long, b long").distinct())
     if not more.isEmpty():
         roots = components(links.union(more))
-    named = cut(classes.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id")))
-    out = sums.join(named, ["h1", "h2"], "left").select(
+    named = cut(classes.join(alike(roots), "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id")))
+    out = sums.join(alike(named), ["h1", "h2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
     return out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
