@@ -13,8 +13,9 @@ from .graph import components
 from .shared import Words, chunks, cut, mix, runs
 
 #: A signature has SYMBOLS minima of BITS bits. Two sets of similarity 0.85 or more differ in over DISTANCE symbols with a
-#: probability of 1e-4 at most (binomial, 48 at 0.15); every pair up to that distance becomes a candidate for certain.
-SYMBOLS, BITS, DISTANCE = 48, 6, 17
+#: probability of 1e-4 at most (binomial, 48 at 0.15); every pair up to that distance becomes a candidate for certain. Keys of four
+#: symbols or more have 64 bits, so that documents which have nothing in common don't meet, however many there are.
+SYMBOLS, BITS, DISTANCE = 48, 16, 17
 #: By the pigeonhole principle, pairs within DISTANCE differ in at most ERRORS symbols of one of CHUNKS parts.
 ERRORS, CHUNKS = 1, 9
 SHINGLE = 5
@@ -49,8 +50,8 @@ def shingles(texts: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(h: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """SYMBOLS bytes for each non-empty set: BITS bits of the minimum of the set under each hash function."""
-    out = np.empty((len(start) - 1, SYMBOLS), np.uint8)
+    """SYMBOLS numbers for each non-empty set: BITS bits of the minimum of the set under each hash function."""
+    out = np.empty((len(start) - 1, SYMBOLS), np.uint16)
     for j in range(SYMBOLS):
         least = np.minimum.reduceat((h ^ _SALT[j]) * _FACTOR[j], start[:-1])
         out[:, j] = mix(least) & np.uint64((1 << BITS) - 1)
@@ -79,10 +80,10 @@ def index_keys() -> list[Column]:
     """For each chunk and each way to leave ERRORS (one) of its symbols out, a key of the others: signatures that agree in a
     chunk but for that symbol share it."""
     bounds = np.linspace(0, SYMBOLS, CHUNKS + 1).astype(int).tolist()
-    keys = []
+    keys, wide = [], BITS // 8
     for a, b in zip(bounds, bounds[1:], strict=False):
         for drop in range(a, b):
-            rest = F.concat(F.substring("sig", a + 1, drop - a), F.substring("sig", drop + 2, b - drop - 1))
+            rest = F.concat(F.substring("sig", wide * a + 1, wide * (drop - a)), F.substring("sig", wide * (drop + 1) + 1, wide * (b - drop - 1)))
             keys.append(F.xxhash64(F.lit(drop), rest))
     return keys
 
