@@ -24,7 +24,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the smallest doc_id (one row of it); documents without an id stay."""
-    kept = neardup.near_duplicates(docs, percent=85).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
     found = docs.join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
     return found.select(*docs.columns).union(docs.where("doc_id is null"))
 

@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import Words, chunks, cut, mix, runs
 
-#: A signature has SYMBOLS minima of BITS bits. Two sets of similarity 0.85 or more differ in over DISTANCE symbols with a
-#: probability of 1e-4 at most (binomial, 48 at 0.15); every pair up to that distance becomes a candidate for certain. Keys of four
-#: symbols or more have 64 bits, so that documents which have nothing in common don't meet, however many there are.
+#: A signature has SYMBOLS minima of BITS bits. Every pair up to DISTANCE becomes a candidate for certain, and so does any other that
+#: has at most ERRORS differences in some chunk. Two sets of similarity 0.85 or more differ in over DISTANCE symbols with a probability
+#: of 1.2e-4 at most (binomial, 48 at 0.15), of 0.80 or more with 3.8e-3 at most; but they have over ERRORS differences in each of the
+#: CHUNKS chunks, and are missed, with 1.4e-5 at most at 0.80 (six chunks of five symbols and three of six, at 0.2 a symbol). Keys of
+#: four symbols or more have 64 bits, so that documents which have nothing in common don't meet, however many there are.
 SYMBOLS, BITS, DISTANCE = 48, 16, 17
 #: By the pigeonhole principle, pairs within DISTANCE differ in at most ERRORS symbols of one of CHUNKS parts.
 ERRORS, CHUNKS = 1, 9
 SHINGLE = 5
+#: The least similarity that the bounds above hold for.
+LEAST_PERCENT = 80
 #: Half of the documents that are compared with each other in one group, at most about.
 BLOCK = 4096
 
@@ -204,13 +208,13 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(confirm(percent), "a long, b long, linked boolean, size long, inside binary, outside binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Link documents whose sets of five-word shingles have 100 * intersection >= percent * union (percent: 85 at least).
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Link documents whose sets of five-word shingles have 100 * intersection >= percent * union (percent: LEAST_PERCENT at least).
 
     Equal sets are one class at once, by grouping; the rest compares one document of each class. Signatures are indexed by
-    keys that any two within DISTANCE share. The smallest id of a key leads it; its hub is the smallest leader of the leader's own
+    keys that any two within DISTANCE share, and most beyond it (see there). The smallest id of a key leads it; its hub is the smallest leader of the leader's own
     keys, so that a group of near copies has few hubs, however large it is. All documents of a key are compared with its hub on
-    full sets. Two that share a key share its hub; so the other pairs within DISTANCE are all between partners of one hub, and of
+    full sets. Two that share a key share its hub; so the other candidates are all between partners of one hub, and of
     these, what links the components so far is found from how the partners differ from the hub. Every link is confirmed on
     full sets; pairs within a component are never listed, and partners of a hub are compared in cells of bounded size.
 
@@ -218,8 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     Null, empty or blank text: no shingles, linked with nothing. Rows that share a doc_id are one document. Null doc_id:
     component_id null, kept, linked with nothing. Empty table: no rows. Other columns play no part.
     """
-    if percent < 85:
-        raise ValueError("the signatures are made for 85 percent and more")
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the signatures are made for {LEAST_PERCENT} percent and more")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sums = cut(rows.mapInArrow(summarise, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
     real = sums.where("n_shingles > 0 and doc_id is not null")
