@@ -17,8 +17,11 @@ ORACLE_SQL = None
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those without a letter or a text go."""
+    """Documents whose text has a language: those without a letter or a text go. Where no training document has a language, all
+    texts with a letter stay."""
     model = language.train(training_rows(docs))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
 

@@ -29,3 +29,9 @@ def test_near_duplicates_between_80_and_85(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == at_80
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, percent=85).collect()} == at_85
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()} == set(at_80.values())
+
+
+def test_pipeline_keeps_texts_where_no_language_is_known(spark):
+    rows = [(1, "some words", None, "a", 10), (2, None, None, "a", 0), (3, "12 - 34", None, "a", 7), (4, "漢字", None, "a", 2), (5, "", None, "a", 0), (None, "é", None, "a", 1)]
+    got = corpus_pipeline.known_languages(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert {tuple(r) for r in got.collect()} == {rows[0], rows[3], rows[5]}
