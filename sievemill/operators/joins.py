@@ -49,11 +49,13 @@ def dangling(steps: DataFrame) -> DataFrame:
     return each.join(steps.select("plan_id", F.col("step").alias("need")), ["plan_id", "need"], "left_anti").select("plan_id", "step", "need")
 
 
-def cycles(steps: DataFrame, most_steps: int = 64) -> DataFrame:
-    """Steps on a cycle of dependencies: paths are doubled until no plan of `most_steps` steps can have longer ones. Each doubling
-    is an equi join within plans."""
+def cycles(steps: DataFrame, most_steps: int | None = None) -> DataFrame:
+    """Steps on a cycle of dependencies: paths are doubled until no plan of `most_steps` steps can have longer ones (where it isn't
+    given, the most that a plan of the table has). Each doubling is an equi join within plans."""
     from math import ceil, log2
 
+    if most_steps is None:
+        most_steps = steps.groupBy("plan_id").agg(F.count_distinct("step").alias("n")).agg(F.max("n")).first()[0] or 1
     paths = steps.select("plan_id", F.col("step").alias("a"), F.explode("needs").alias("b")).distinct()
     for _ in range(ceil(log2(most_steps))):
         left, right = paths.withColumnRenamed("b", "m"), paths.withColumnRenamed("a", "m")
