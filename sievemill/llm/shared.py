@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..places import cut, position  # noqa: F401
+
 #: Characters of text that one NumPy step holds at most, unless a single text is longer.
 CHUNK = 2_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievemill-"))
-    return df.checkpoint(eager=True)
-
-
 def tasks(spark: SparkSession, rows: int, each: int) -> int:
     """How many partitions hold `rows` rows at about `each`, with work for every core."""
     return int(max(spark.sparkContext.defaultParallelism, -(-rows // each)))
 
 
-def position(df: DataFrame, order: list[str], name: str, group: str | None = None, parts: int | None = None) -> DataFrame:
-    """df with `name`, the row's place from 0 in `order`, within `group` (a non-null leading column of order) or over all rows.
-
-    Rows are range-partitioned and sorted, then each partition's rows are offset by the counts of the partitions
-    before it. No task sees more than its range, however large a group is; only the counts (a row per partition
-    and group in it) meet in a window.
-    """
-    ordered = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    ordered = cut(
-        ordered.sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    keys = ["_part"] + ([group] if group else [])
-    counts = ordered.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*([group] if group else [])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return ordered.join(counts, keys).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
-
-
 def crc_mod(col: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..places import position
+
 
 def recent(snapshots: DataFrame, asof: str, days: int, project: str | None = None) -> DataFrame:
     """Snapshots of the `days` days up to `asof`, of one project or all. A filter on ts alone, so that it prunes partitions by day."""
@@ -30,10 +32,11 @@ def direction(change: Column, by: float) -> Column:
 
 
 def numbered(rows: DataFrame, newest_first: bool = False) -> DataFrame:
-    """rows with n (of the project) and i, the place in time from 0."""
-    order = [F.col("ts").desc(), F.col("event_id").desc()] if newest_first else ["ts", "event_id"]
-    by = Window.partitionBy("project")
-    return rows.withColumn("i", F.row_number().over(by.orderBy(*order)) - 1).withColumn("n", F.count("*").over(by))
+    """rows with n (of the project) and i, the place in time from 0. Tasks hold ranges of (project, time), so no project is one task."""
+    known = rows.withColumn("_group", F.coalesce(F.concat(F.lit("p"), F.col("project").cast("string")), F.lit("")))
+    placed = position(known, ["_group", "ts", "event_id"], "i", group="_group")
+    out = placed.join(placed.groupBy("_group").agg(F.count("*").alias("n")), "_group").drop("_group")
+    return out.withColumn("i", F.col("n") - 1 - F.col("i")) if newest_first else out
 
 
 def trend(snapshots: DataFrame, asof: str, days: int) -> DataFrame:
@@ -104,10 +107,16 @@ def compare_projects(snapshots: DataFrame) -> DataFrame:
 
 
 def timeline(snapshots: DataFrame) -> DataFrame:
-    """Each project's scores in order as one array, with the current one and the average."""
-    entries = F.array_sort(F.collect_list(F.struct("ts", "event_id", "score")))
-    out = snapshots.groupBy("project").agg(entries.alias("e"), F.avg("score").alias("average"))
-    return out.select("project", F.size("e").alias("points"), F.element_at("e", 1)["score"].alias("first"), F.element_at("e", -1)["score"].alias("current"), "average")
+    """Each project's scores in time as rows, with the project's trend."""
+    return snapshots.select("project", "ts", "event_id", "score").join(score_trend(snapshots).withColumnRenamed("project", "_project"), F.col("project").eqNullSafe(F.col("_project"))).select(
+        "project", "ts", "event_id", "score", "trend"
+    )
+
+
+def timeline_ends(snapshots: DataFrame) -> DataFrame:
+    """Each project's number of scores, the first and the current one and the average."""
+    at = F.struct("ts", "event_id")
+    return snapshots.groupBy("project").agg(F.count("*").cast("int").alias("points"), F.min_by("score", at).alias("first"), F.max_by("score", at).alias("current"), F.avg("score").alias("average"))
 
 
 def severity_share(snapshots: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ on_snapshots(
 )
 on_snapshots("w07_quality_drift", lambda s: history.quality_drift(s, history.baseline(s, ASOF)), BASELINE + ' SELECT event_id, project, round(baseline - score, 9) AS "drop" FROM snapshots JOIN base USING (project) WHERE baseline - score > 0.15')
 on_snapshots(
-    "w13_score_timeline", history.timeline,
+    "w13_score_timeline", history.timeline_ends,
     ' SELECT project, count(*)::INT AS points, round(min_by(score, (ts, event_id)), 9) AS first, round(max_by(score, (ts, event_id)), 9) AS "current", round(avg(score), 9) AS average FROM snapshots GROUP BY project',
 )
 on_snapshots(
