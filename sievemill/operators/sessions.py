@@ -96,10 +96,15 @@ def sessions_by_gap(validations: DataFrame, minutes: int = 1800) -> DataFrame:
 
 def claim_conflicts(claims: DataFrame) -> DataFrame:
     """Claims on a file (event_id, session_id, file_path, kind, ts, released) that meet another session's live claim: a write
-    meets a write (warning) or a read (info), a read meets a write (warning)."""
-    other = claims.select(*[F.col(c).alias(f"o_{c}") for c in claims.columns])
+    meets a write (warning) or a read (info), a read meets a write (warning).
+
+    The other claim is a row for each hour of its life, and a claim looks in the hour of its start, so that only claims near in time
+    meet, and each pair once."""
+    hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
+    other = claims.select(*[F.col(c).alias(f"o_{c}") for c in claims.columns]).where("o_released > o_ts")
+    other = other.withColumn("_o_hour", F.explode(F.sequence(hour("o_ts"), hour("o_released"))))
     live = (F.col("o_ts") <= F.col("ts")) & (F.col("o_released") > F.col("ts")) & (F.col("o_session_id") != F.col("session_id"))
-    met = claims.join(other, (F.col("file_path") == F.col("o_file_path")) & live)
+    met = claims.withColumn("_hour", hour("ts")).join(other, (F.col("file_path") == F.col("o_file_path")) & (F.col("_hour") == F.col("_o_hour")) & live)
     severity = F.when(F.col("o_kind") == "write", "warning").when(F.col("kind") == "write", "info")
     return met.select("event_id", F.col("o_event_id").alias("other_id"), severity.alias("severity")).where("severity is not null")
 
