@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, cut, tasks
+from .shared import Memo, chunks, tasks
 
 END_ID = 1
-#: Words that one worker remembers the ids of.
-REMEMBERED = 300_000
+#: The share of windows that may be added so that pieces fit whole; beyond it, what still doesn't fit is cut.
+SLACK = 0.01
+#: New words that are tokenized as one text, and the word between them.
+AT_ONCE, BORDER = 500, "\0"
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
@@ -42,142 +47,194 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
     return [m for _, m in heap[0][2]] if heap else []
 
 
-def windows(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Sets of near-equal sums of at most `capacity`, as few as differencing finds: a set more whenever one is too large."""
-    ways = -(-sum(sizes) // capacity)
-    while True:
-        sets = difference(sizes, ways)
-        if all(sum(sizes[i] for i in s) <= capacity for s in sets):
-            return sets
+def windows(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of at most `capacity`: lists of (item, start, length).
+
+    Differencing gives sets of near-equal sums; there is a set more whenever one exceeds the capacity, as long as SLACK allows.
+    After that, the excess of a set is cut off from its largest item, and the cut-off ends fill the room that other sets have.
+    """
+    total = sum(sizes)
+    ways, most = -(-total // capacity), int(total * (1 + SLACK)) // capacity
+    sets = difference(sizes, ways)
+    while ways < most and any(sum(sizes[i] for i in s) > capacity for s in sets):
         ways += 1
+        sets = difference(sizes, ways)
+    out = [[(i, 0, sizes[i]) for i in s] for s in sets]
+    out += [[] for _ in range(ways - len(sets))]
+    ends, room = [], []  # (length, item, start) of what is cut off; (room, window)
+    for n, parts in enumerate(out):
+        over = sum(p[2] for p in parts) - capacity
+        while over > 0:
+            k = max(range(len(parts)), key=lambda k: parts[k][2])
+            i, start, length = parts[k]
+            taken = min(over, length)
+            ends.append((taken, i, start + length - taken))
+            parts[k] = (i, start, length - taken)
+            over -= taken
+        out[n] = [p for p in parts if p[2]]
+        if over < 0:
+            room.append((-over, n))
+    room.sort()
+    for length, i, start in sorted(ends, reverse=True):
+        while length:
+            k = min(bisect.bisect_left(room, (length, -1)), len(room) - 1)  # the least room for all of it, or the most there is
+            free, n = room.pop(k)
+            taken = min(length, free)
+            out[n].append((i, start, taken))
+            start, length = start + taken, length - taken
+            if free > taken:
+                bisect.insort(room, (free - taken, n))
+    return [w for w in out if w]
 
 
 class Tokenizer:
-    """ids of texts: words between ASCII white space are tokenized once and remembered. For tokenizers that drop white space
-    and let no token cross it, this equals tokenizing whole texts."""
+    """ids of texts. Where the tokenizer drops white space and lets no token cross it, as its file says, words between ASCII white
+    space are tokenized once and remembered, which equals tokenizing whole texts; otherwise whole texts are tokenized."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = _Numbered()
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_words = splits_at_space(spec)
+        self.lower = self.by_words and any(n["type"] == "Lowercase" for n in steps_of(spec, "normalizer", "normalizers"))
+        self.memo = Memo(self.learn)
+        self.wide = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        border = self.library.encode(BORDER, add_special_tokens=False)
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        own = [t.removesuffix(suffix) for t in border.tokens] in ([BORDER], ["Ā"])  # itself, or as byte-level vocabularies spell it
+        self.border = border.ids[0] if own else None
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(i) for i in found])])
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words are tokenized as one text, with BORDER as a word between them, since a call for each costs more than its tokens."""
+        if self.border is None or any(BORDER.encode() in w for w in words):
+            return self.ids_of([w.decode() for w in words])
+        joined = [f" {BORDER} ".join([*(w.decode() for w in words[k : k + AT_ONCE]), ""]) for k in range(0, len(words), AT_ONCE)]
+        ids, _ = self.ids_of(joined)
+        ends = np.flatnonzero(ids == self.border)
+        return np.delete(ids, ends), np.concatenate([[0], ends - np.arange(len(ends))])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with END_ID after each text, and where each text starts (one more entry closes the last)."""
-        if len(self.known) > REMEMBERED:
-            self.clear()
-        known = self.known
-        number, counts = [], []
-        for text in texts:
-            words = text.split()
-            counts.append(len(words))
-            number.extend(map(known.__getitem__, words))
-        fresh = known.fresh()
-        if fresh:
-            ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for e in ids for i in e), np.uint32)])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(e) for e in ids])])
-        word = np.array(number, np.int64)
-        size = self.start[word + 1] - self.start[word]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        after = np.concatenate([[0], np.cumsum(counts)])
-        first = ends[after] + np.arange(len(after))
+        if self.by_words:
+            units, counts = [], [0]
+            for text in texts:
+                units += (text.lower() if self.lower else text).split()  # A-Z alone: lower case comes first in any case
+                counts.append(len(units))
+            ids, ends = self.memo.ids(units)
+            ends = ends[np.array(counts)]
+        else:
+            ids, ends = self.ids_of([t.decode() for t in texts])
+        first = ends + np.arange(len(ends))
         out = np.full(first[-1], END_ID, np.uint32)
         own = np.ones(len(out), bool)
         own[first[1:] - 1] = False
-        out[own] = self.flat[np.arange(ends[-1]) + np.repeat(self.start[word] - ends[:-1], size)]
+        out[own] = ids
         return out, first
 
 
-class _Numbered(dict):
-    """Numbers keys as they come."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer's file says that white space is dropped and parts words before anything else: its first pre-tokenizer
+    removes what no word pattern matches, and the patterns are of letters, digits and what is neither these nor white space."""
+    first = (steps_of(spec, "pre_tokenizer", "pretokenizers") or [{}])[0]
+    pattern = first.get("pattern", {}).get("Regex", "") if first.get("type") == "Split" else ""
+    apart = all(re.fullmatch(r"'\w+|\[(?:\\p\{\w+\})+\]\+?|\[\^\\s(?:\\p\{\w+\})*\]\+?", part) for part in pattern.split("|"))
+    dropped = bool(pattern) and apart and first.get("behavior") == "Removed" and first.get("invert") is True
+    # steps that work on characters, wherever they stand; white space stays white space
+    calm = {"NFC", "NFKC", "NFD", "NFKD", "Lowercase", "StripAccents"}
+    spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    return (dropped or first.get("type") in ("Whitespace", "WhitespaceSplit")) and all(n["type"] in calm or n == spaces for n in steps_of(spec, "normalizer", "normalizers"))
 
-    def __missing__(self, key: bytes) -> int:
-        self.new.append(key)
-        self[key] = n = len(self)
-        return n
 
-    def fresh(self) -> list[bytes]:
-        out, self.new = self.new, []
-        return out
+def steps_of(spec: dict, part: str, inner: str) -> list[dict]:
+    """The steps of a part of a tokenizer's file, which may be one alone or a sequence."""
+    found = spec.get(part)
+    return [] if found is None else found[inner] if found["type"] == "Sequence" else [found]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
 
 
-def cuts(n: int, capacity: int, grain: int) -> list[int]:
-    """Where pieces of a document of n ids start: whole windows first, then pieces of `grain`."""
-    full = n // capacity * capacity
-    return [*range(0, full, capacity), *range(full, n, grain)]
+def tokenizer_of(path: str) -> Tokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer(path)
+    return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, ids of the pieces that documents are cut into (without ids: see pack)."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, ids of each document's whole windows and of what is left. ids (little-endian, two
+    bytes each where the vocabulary allows it) is null for whole windows, which are never cut again."""
     kind = docs.schema[key].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tokenizers:
-            _tokenizers[tokenizer] = Tokenizer(tokenizer)
+        known = tokenizer_of(tokenizer)
         for batch, texts in chunks(batches, "text"):
-            ids, first = _tokenizers[tokenizer].encode(texts)
-            data = ids.astype("<u4").view(np.uint8).data
-            doc, start, length, crc, total = [], [], [], [], []
-            for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                at = [*cuts(b - a, capacity, grain), b - a]
-                for s, e in zip(at, at[1:], strict=False):
-                    doc.append(d), start.append(s), length.append(e - s), total.append(b - a)
-                    crc.append(zlib.crc32(data[4 * (a + s) : 4 * (a + e)]))
+            ids, first = known.encode(texts)
+            total = np.diff(first)
+            many = -(-total // capacity)
+            doc = np.repeat(np.arange(len(total)), many)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * capacity
+            length = np.minimum(capacity, total[doc] - start)
+            at = first[doc] + start
+            data, narrow = ids.astype("<u4").view(np.uint8).data, ids.astype(known.wide)
+            crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            own = [None if n == capacity else narrow[a : a + n].tobytes() for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                [batch.column(0).take(pa.array(doc)), *map(pa.array, (start, length)), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array(own, pa.binary())],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
             )
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
-
-
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 256, group_windows: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return rows.mapInArrow(encode, f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+
+
+def place(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """The pieces of a group in windows. What is cut gets the starts, lengths and checksums of its parts."""
+    rows = rows.sort_values("_row", ignore_index=True)
+    sizes = rows["length"].tolist()
+    rest = [i for i, n in enumerate(sizes) if n < capacity]
+    found = [[(i, 0, n)] for i, n in enumerate(sizes) if n == capacity]
+    found += [sorted((rest[j], s, n) for j, s, n in w) for w in windows([sizes[i] for i in rest], capacity)]
+    parts = np.array([(i, s, n, w) for w, members in enumerate(found) for i, s, n in members], np.int64).reshape(-1, 4)
+    at, start, length, window = parts.T
+    out = rows.iloc[at].reset_index(drop=True)
+    crc = out["ids_crc32"].to_numpy(np.int64, copy=True)
+    for k in np.flatnonzero(length < out["length"].to_numpy()).tolist():
+        wide = len(out["ids"][k]) // int(out["length"][k])
+        own = np.frombuffer(out["ids"][k], f"<u{wide}")[start[k] : start[k] + length[k]]
+        crc[k] = zlib.crc32(own.astype("<u4").tobytes())
+    ends = np.cumsum(length)
+    begin = (ends - length)[np.searchsorted(window, window)]  # where each one's window begins
+    out["start"] += start
+    out["length"], out["ids_crc32"] = length, crc
+    out["sequence_id"] = (rows["_group"].iloc[0].astype(np.int64) << 32) + window
+    out["offset"] = ends - length - begin
+    return out.drop(columns=["_group", "_row", "ids"])
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_bytes: int = 1 << 21, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack all documents (their ids, then END_ID) into sequences of at most `capacity` ids with little padding.
 
-    Each document is cut into whole windows and pieces of at most `grain` ids. The pieces are dealt at random into groups of
-    about `group_windows` windows; in each, differencing gives windows of near-equal fill. A group is of bounded size however
-    many rows there are, and a document's pieces may lie in several groups.
+    Each document's whole windows stand alone; what is left of it is one piece. Pieces are dealt at random into groups, one for
+    each `group_bytes` of text; in each, differencing of whole pieces gives windows of near-equal fill, and only what exceeds a
+    window is cut (see windows). A group is of bounded size however many rows there are, and a document's pieces may lie in several.
+    Ties: of equal partitions, the one made first; of equal pieces, the one of the earlier row.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (gapless from 0).
-    Null or empty text: a piece of END_ID alone. Repeated rows and null keys are packed like others. Empty table: no rows.
+    Null or empty text: a piece of END_ID alone. Repeated rows and null keys are packed like others. Very long texts are cut into
+    windows like others. Other columns play no part. Empty table: no rows.
     """
-    cut_up = cut(pieces(docs, tokenizer, capacity, grain, key, text).withColumn("_row", F.monotonically_increasing_id()))
-    tokens = cut_up.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-tokens // (capacity * group_windows)))
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_row", ignore_index=True)
-        sizes = rows["length"].tolist()
-        whole = [i for i, n in enumerate(sizes) if n == capacity]
-        rest = [i for i, n in enumerate(sizes) if n < capacity]
-        sets = [[i] for i in whole] + [[rest[j] for j in s] for s in windows([sizes[i] for i in rest], capacity)]
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for n, members in enumerate(sets):
-            at = 0
-            for i in sorted(members):
-                sequence[i], offset[i] = n, at
-                at += sizes[i]
-        rows["sequence_id"] = (int(rows["_group"].iloc[0]) << 32) + sequence
-        rows["offset"] = offset
-        return rows.drop(columns=["_group", "_row"])
-
-    kind = cut_up.schema["doc_id"].dataType.simpleString()
-    dealt = cut_up.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    dealt = pieces(docs, tokenizer, capacity, key, text).withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     parts = tasks(docs.sparkSession, groups, 8)
+    kind = docs.schema[key].dataType.simpleString()
     return dealt.repartition(parts, "_group").groupBy("_group").applyInPandas(
-        place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        lambda rows: place(rows, capacity), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

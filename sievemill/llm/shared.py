@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +103,60 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + CHUNK, "right")))
             yield batch.slice(start, stop - start), [t or b"" for t in sizes[start:stop]]
             start = stop
+
+
+# -- ids of units -----------------------------------------------------------------------------------------
+
+#: Bytes that a worker's memo holds at most, about: some 600,000 words with their ids.
+MEMO_BYTES = 160_000_000
+
+
+class Memo(dict):
+    """Ids of units (words, say), each worked out by `learn` once and then remembered.
+
+    `learn` takes a list of new units and returns all their ids, and where each unit's start (one more entry closes the last).
+    Beyond `limit` bytes, the units that were met most often stay, up to half of the limit; the others are learnt again when
+    they come back. So the memo stays warm however many units there are, and no result depends on what it holds.
+    A key's value is its number in the arrays.
+    """
+
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_BYTES):
+        super().__init__()
+        self.learn, self.limit = learn, limit
+        self.new: list = []
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.met, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, unit) -> int:
+        self.new.append(unit)
+        self[unit] = n = len(self)
+        return n
+
+    def ids(self, units: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and where each unit's start (one more entry closes the last)."""
+        if self.bytes.sum() > self.limit:
+            self.shrink()
+        number = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        if self.new:
+            ids, start = self.learn(self.new)
+            size = np.array([sys.getsizeof(u) for u in self.new])
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+            self.start = np.concatenate([self.start, self.start[-1] + start[1:]])
+            self.bytes = np.concatenate([self.bytes, size + 4 * np.diff(start) + 160])  # an entry of the dict, a number, array cells
+            self.new = []
+        self.met = np.bincount(number, minlength=len(self)) + np.concatenate([self.met, np.zeros(len(self) - len(self.met), np.int64)])
+        size = self.start[number + 1] - self.start[number]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[number] - ends[:-1], size)], ends
+
+    def shrink(self) -> None:
+        best = np.argsort(-self.met, kind="stable")
+        kept = np.sort(best[: np.searchsorted(np.cumsum(self.bytes[best]), self.limit // 2)])
+        units = list(self)
+        self.clear()
+        self.update((units[k], n) for n, k in enumerate(kept.tolist()))
+        size = np.diff(self.start)[kept]
+        start = np.concatenate([[0], np.cumsum(size)])
+        self.flat = self.flat[np.arange(start[-1]) + np.repeat(self.start[kept] - start[:-1], size)]
+        self.start, self.bytes = start, self.bytes[kept]
+        self.met = self.met[kept] // 2  # what was frequent long ago fades

@@ -3,14 +3,16 @@
 import hashlib
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import brown, language, lempelziv, neardup, packing, sentencepiece, sharding, suffixes
+from sievemill.llm import brown, language, lempelziv, neardup, packing, sentencepiece, sharding, shared, suffixes
 from sievemill.llm.graph import components
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -182,19 +184,21 @@ def test_likeness_estimates_the_share_of_phrases():
 # -- packing ----------------------------------------------------------------------------------------------
 
 
-def test_packing_places_every_id_once(odd_docs):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_places_every_id_once(odd_docs, name):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(BPE)
-    got = packing.pack(clashing(odd_docs), BPE, group_windows=4).collect()
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    got = packing.pack(clashing(odd_docs), path, group_bytes=30_000).collect()
     ids = Counter()
     for i, text in by_text(odd_docs):
         ids[i, tuple(library.encode(text or "", add_special_tokens=False).ids) + (1,)] += 1
     for (i, own), times in ids.items():
-        pieces = [r for r in got if r["doc_id"] == i and r["doc_tokens"] == len(own)]
-        assert sum(r["length"] for r in pieces) == times * len(own)
-        assert sorted({r["start"] for r in pieces}) == packing.cuts(len(own), 2048, 256)
-        for r in pieces:
+        parts = [r for r in got if r["doc_id"] == i and r["doc_tokens"] == len(own)]
+        covered = Counter(k for r in parts for k in range(r["start"], r["start"] + r["length"]))
+        assert set(covered) == set(range(len(own))) and set(covered.values()) == {times}
+        for r in parts:
             part = b"".join(t.to_bytes(4, "little") for t in own[r["start"] : r["start"] + r["length"]])
             assert zlib.crc32(part) == r["ids_crc32"]
     filled = defaultdict(list)
@@ -203,21 +207,60 @@ def test_packing_places_every_id_once(odd_docs):
     for parts in filled.values():
         at = 0
         for offset, length in sorted(parts):
-            assert offset == at
+            assert offset == at and length > 0
             at += length
         assert at <= 2048
 
 
+def test_words_of_all_kinds_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BPE), packing.Tokenizer(BPE)
+    assert own.by_words and own.border is not None and not packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json")).by_words
+    odd = ["", " \t", "It's \x00 a\x00b", "İSTANBUL ﬁne", "e\u0301 \u0301x", "a\u00a0b\u2003c\u200bd", "<|endoftext|>x", "x<|startoftext|> y", "漢字😀 12,5%", "A" * 3000, "ΑΣ ΑΣΑ"]
+    for texts in (odd, [" ".join(odd)], odd):
+        ids, first = own.encode([t.encode() for t in texts])
+        for t, a, b in zip(texts, first, first[1:], strict=False):
+            assert ids[a:b].tolist() == [*library.encode(t, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_memo_forgets_what_is_rare():
+    calls = []
+
+    def learn(units):
+        calls.extend(units)
+        return np.array([ord(c) for u in units for c in u]), np.concatenate([[0], np.cumsum([len(u) for u in units])])
+
+    memo = shared.Memo(learn, limit=4_000)
+    rng = random.Random(2)
+    for _ in range(300):
+        units = ["the", "of"] * 3 + [f"w{rng.randrange(10**6)}" for _ in range(5)]
+        ids, ends = memo.ids(units)
+        assert "".join(map(chr, ids)) == "".join(units) and ends.tolist() == [0, *itertools.accumulate(map(len, units))]
+    assert calls.count("the") == calls.count("of") == 1 and len(memo) < 40
+    assert memo.ids([])[0].tolist() == []
+
+
 def test_differencing():
-    assert sorted(sum(s) for s in [[8, 7, 6, 5, 4][i] for i in range(0)] or [[0]]) == [0]
     sets = packing.difference([8, 7, 6, 5, 4], 2)
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in s) for s in sets) == [14, 16]
-    sizes = [(i * 37) % 256 + 1 for i in range(700)]
-    found = packing.windows(sizes, 2048)
-    assert sorted(i for s in found for i in s) == list(range(700))
-    assert max(sum(sizes[i] for i in s) for s in found) <= 2048
-    assert len(found) <= math.ceil(sum(sizes) / 2048) + 1
-    assert packing.windows([2048] * 3, 2048) and packing.windows([], 2048) == []
+    assert [sorted(s) for s in packing.difference([5], 3)] == [[0]] and packing.difference([], 2) == []
+    rng = random.Random(5)
+    for sizes in ([(i * 37) % 256 + 1 for i in range(700)], [rng.randrange(1, 2048) for _ in range(600)], [1500] * 100, [2047] * 30 + [1] * 9, [3], []):
+        found = packing.windows(sizes, 2048)
+        held = defaultdict(list)
+        for window in found:
+            assert 0 < sum(n for *_, n in window) <= 2048
+            for i, start, n in window:
+                held[i].append((start, n))
+        assert len(held) == len(sizes)
+        for i, parts in held.items():
+            assert [s for s, _ in sorted(parts)] == [0, *itertools.accumulate(n for _, n in sorted(parts)[:-1])] or len(parts) == 1
+            assert sum(n for _, n in parts) == sizes[i]
+        assert len(found) <= max(math.ceil(sum(sizes) / 2048), sum(sizes) * 1.01 // 2048)
+        assert sum(map(len, found)) <= len(sizes) + 2 * len(found)  # few cuts
+    whole = packing.windows([300] * 60, 2048)  # what fits whole isn't cut
+    assert sum(map(len, whole)) <= 60 + len(whole)
 
 
 # -- language ---------------------------------------------------------------------------------------------
@@ -298,7 +341,7 @@ def test_shards(spark, odd_docs):
 # -- SentencePiece ----------------------------------------------------------------------------------------
 
 
-def test_sentencepiece_equals_the_library(odd_docs):
+def test_sentencepiece_equals_the_library(spark, odd_docs):
     import sentencepiece as library
 
     lib = library.SentencePieceProcessor(model_file=PIECES)
@@ -309,5 +352,8 @@ def test_sentencepiece_equals_the_library(odd_docs):
         assert r["decoded"] == r["text"]
     model = sentencepiece.model_of(PIECES)
     for text in ["a" * 300, "  two  spaces ", "tab\tand\nline", "▁x▁", "<unk> </s>", "abc" * 99 + " 漢"]:
-        ids, _ = model.encode([text])
-        assert ids.tolist() == lib.encode(text) and model.decode(ids.tolist()) == lib.decode(ids.tolist())
+        ids, start = model.encode([text, "", text])
+        assert ids.tolist() == lib.encode(text) * 2 and model.decode(ids, start) == [lib.decode(lib.encode(text)), "", lib.decode(lib.encode(text))]
+    none = spark.createDataFrame([(1, None), (2, []), (3, [3, 198, 300])], "a int, ids array<int>")
+    assert [r["decoded"] for r in sentencepiece.decode(none, PIECES).orderBy("a").collect()] == [None, "", lib.decode([3, 198, 300])]
+    assert sentencepiece.decode(none.where("false"), PIECES).collect() == []
