@@ -8,15 +8,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import chunks
+from .shared import Memo, chunks
 
-#: Code points of new units that are indexed at once, and units that a worker remembers.
-AT_ONCE, REMEMBERED = 500_000, 300_000
+#: Code points of new units that are indexed at once.
+AT_ONCE = 250_000
 SPACE = "▁"
 #: No code point; ends each unit in the index.
 BORDER = 0x110000
+#: Rows that are decoded at once.
+ROWS = 1000
 #: Longer units are relaxed one by one.
 LONG = 64
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -47,45 +50,33 @@ class Model:
             row[: len(name)] = list(map(ord, name))
         self.score = np.full(n + 1, -np.inf)  # the last entry is for what is no piece
         self.score[self.ids] = [library.get_score(int(i)) for i in self.ids]
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.memo = Memo(self.learn)
+        spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt_at = np.concatenate([[0], np.cumsum([len(p) for p in spelt])])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's start (one more entry closes the last)."""
-        if len(self.known) > REMEMBERED:
-            self.clear()
-        number: list[int] = []
-        counts, new, known = [0], [], self.known
+        units: list[str] = []
+        counts = [0]
         for text in texts:
-            units = _UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            for unit in units:
-                at = known.get(unit)
-                if at is None:
-                    at = known[unit] = len(known)
-                    new.append(unit)
-                number.append(at)
-            counts.append(len(number))
-        held, size = [], 0
-        for unit in new:
-            held.append(unit)
-            size += len(unit) + 1
-            if size > AT_ONCE:
-                self.learn(held)
-                held, size = [], 0
-        if held:
-            self.learn(held)
-        unit = np.array(number, np.int64)
-        length = self.start[unit + 1] - self.start[unit]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[unit] - ends[:-1], length)], ends[np.array(counts)]
-
-    def learn(self, units: list[str]) -> None:
-        ids, start = self.encode_units(units)
-        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
-        self.start = np.concatenate([self.start, self.start[-1] + start[1:]])
+            if text:
+                units += _UNIT.findall(SPACE + text.replace(" ", SPACE))
+            counts.append(len(units))
+        ids, ends = self.memo.ids(units)
+        return ids, ends[np.array(counts)]
+
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new units, about AT_ONCE code points of them at once, and where each unit's start."""
+        ends = np.cumsum([len(u) + 1 for u in units])
+        made, size, at = [], [], 0
+        while at < len(units):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            ids, start = self.encode_units(units[at:to])
+            made.append(ids)
+            size.append(np.diff(start))
+            at = to
+        return np.concatenate(made), np.concatenate([[0], np.cumsum(np.concatenate(size))])
 
     def edges(self, code: np.ndarray) -> np.ndarray:
         """For each place and each length, the piece that is there (len(pieces) if none): pieces are looked up in a suffix array."""
@@ -148,21 +139,15 @@ class Model:
         total = np.bincount(unit, width, minlength=len(units)).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(total)])
 
-    def decode(self, ids: list[int]) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if i not in self.silent:
-                out.append(self.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, start: np.ndarray) -> list[str]:
+        """The texts of lists of ids, which lie one after the other; start: where each begins (one more entry closes the last)."""
+        at = self.spelt_at[ids]
+        size = self.spelt_at[ids + 1] - at
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.spelt[np.arange(ends[-1]) + np.repeat(at - ends[:-1], size)].tobytes()
+        border = ends[start].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace").replace(SPACE, " ") for a, b in zip(border, border[1:], strict=False)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def suffix_array(code: np.ndarray, depth: int) -> np.ndarray:
@@ -276,14 +261,19 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
 
 
 def decode(docs: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """docs with decoded, the text of each row's ids. Null ids: null. A column named decoded is replaced."""
+    """docs with decoded, the text of each row's ids (array of int without nulls in it). Null ids: null. No ids: an empty text. A
+    column named decoded is replaced; all others stay, and repeated rows are rows like others. Empty table: no rows."""
     kept = docs.drop("decoded")
     place = kept.columns.index(ids)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if i is None else model_of(model).decode(i) for i in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                lists = rows.column(place)
+                start = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                texts = model_of(model).decode(lists.flatten().to_numpy(zero_copy_only=False), start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     return kept.mapInArrow(apply, f"{fields}, decoded string")
