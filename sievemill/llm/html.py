@@ -18,26 +18,47 @@ ASIDE = frozenset("aside button canvas datalist dialog footer form head header i
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-ASIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|adverts?|advertisement|banners?|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|gdpr"
-    r"|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|paywall|popup|promo|promoted"
-    r"|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widgets?)(?:$|[\s_-])"
+#: Class and id words: of asides wherever they stand, of asides that may also name a part of a text, and what such names are made of besides.
+ASIDE_WORDS = frozenset(
+    "ad ads adsense advert adverts advertisement breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus footer gdpr login masthead"
+    " menu nav navbar navigation newsletter paywall popup sidebar signup sponsor sponsored".split()
 )
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+DOUBTFUL_WORDS = frozenset(
+    "banner banners disclaimer header modal notice notices notification overlay pager pagination promo promoted recommended related replies reply respond share sharing"
+    " social subscribe toolbar widget widgets".split()
+)
+FILL_WORDS = frozenset(
+    "area articles bar block bottom box button buttons container count group icons inner item items left links list outer page panel post posts right section site small"
+    " stories top wrap wrapper".split()
+)
+#: What the smoothed ratios of lines count for: in marked asides, under doubtful names, in marked main parts.
+ASIDE_WEIGHT, DOUBTFUL_WEIGHT, MAIN_WEIGHT = 0.02, 0.1, 1.5
+CONTAINERS = MAIN | frozenset("body div section td".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+
+
+def named_weight(names: str) -> float:
+    """What the names of a class or id say: a weight for the lines in the element."""
+    weight = 1.0
+    for name in names.split():
+        parts = {p.lower() for p in _PARTS.findall(name)}
+        if parts & ASIDE_WORDS:
+            return ASIDE_WEIGHT
+        if parts & DOUBTFUL_WORDS and parts <= DOUBTFUL_WORDS | FILL_WORDS:
+            weight = DOUBTFUL_WEIGHT
+    return weight
 
 
 class Lines(HTMLParser):
     """Turns parser events into lines, one for each run of text between borders of blocks: (text, characters outside links,
-    tags, region). Regions are numbered as they open; 0 is what is no content. Events are taken as they come; only the lines
-    and the open elements are kept."""
+    tags, region). Regions are numbered as they open; 0 is what elements, roles or attributes say is no content. Events are taken
+    as they come; only the lines and the open elements are kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, bool, int]] = []  # name, content, region
-        self.main: set[int] = set()
-        self.outer: dict[int, int] = {}
-        self.regions = 1
+        self.outer, self.weight, self.main = [0, 0], [0.0, 1.0], [False, False]  # by region
         self.text: list[str] = []
         self.loose = self.tags = self.links = 0
 
@@ -46,10 +67,11 @@ class Lines(HTMLParser):
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
-        if text or self.tags:
+        if text:  # tags without text between them count for the line after them
             content, region = self.state()
             self.lines.append((text, min(self.loose, len(text)), self.tags, region if content else 0))
-        self.text, self.loose, self.tags = [], 0, 0
+            self.tags = 0
+        self.text, self.loose = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -60,27 +82,28 @@ class Lines(HTMLParser):
                 self.text.append(" ")
             return
         content, region = self.state()
-        within = region in self.main
+        within = self.main[region]
+        given = dict(attrs)
+        role = (given.get("role") or "").lower()
         if content and tag not in ("html", "body"):
-            given = dict(attrs)
-            name = _CAMEL.sub("-", f"{given.get('class') or ''} {given.get('id') or ''}").lower()
             content = not (
                 tag in ASIDE and not (tag == "header" and within)
-                or tag not in MAIN and ASIDE_WORDS.search(name)
-                or (given.get("role") or "").lower() in ASIDE_ROLES
+                or role in ASIDE_ROLES
                 or "hidden" in given or given.get("aria-hidden") == "true"
                 or "display:none" in (given.get("style") or "").replace(" ", "").lower()
             )
-            if tag == "article" and region in self.main and any(n == "article" for n, *_ in self.open):
+            if tag == "article" and any(n == "article" for n, *_ in self.open):
                 content = False  # an article in an article is a reader's comment, as HTML has it
         elif not content and tag in HEADINGS and self.open[-1][0] == "header" and within:
             content = True
-        if content and tag in MAIN | {"div", "section", "td", "body"} and not within:
-            self.regions += 1
-            self.outer[self.regions] = region
-            region = self.regions
-            if tag in MAIN or (dict(attrs).get("role") or "").lower() == "main":
-                self.main.add(region)
+        if content:
+            weight = 1.0 if tag in MAIN or tag in ("html", "body") else named_weight(f"{given.get('class') or ''} {given.get('id') or ''}")
+            main = tag in MAIN or role == "main"
+            if tag in CONTAINERS or weight < 1 or main:
+                self.outer.append(region)
+                self.weight.append(min(self.weight[region], 1.0) * weight * (MAIN_WEIGHT if (main or within) and weight == 1 else 1.0))
+                self.main.append((main or within) and weight == 1)
+                region = len(self.outer) - 1
         self.links += tag == "a"
         self.open.append((tag, content, region))
 
@@ -110,34 +133,52 @@ def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach), kernel / kernel.sum(), "valid")
 
 
+def scores(page: Lines) -> np.ndarray:
+    """A score for each line: square roots of the characters outside links for each tag, smoothed by a Gaussian, times the weight of
+    the line's region; 0 for what is no content and for lines of links alone."""
+    ratio = np.array([loose / max(1, tags) if region else 0.0 for _, loose, tags, region in page.lines])
+    weight = np.array(page.weight)[[region for *_, region in page.lines]]
+    return np.where(ratio > 0, smoothed(np.sqrt(ratio)) * weight, 0.0)
+
+
+def content_regions(page: Lines, score: np.ndarray) -> set[int]:
+    """Regions that are content: those with a line over the threshold (one standard deviation of the scores), the regions in them
+    and those between them under the same one, unless these are of less weight or consist of links."""
+    regions = np.array([region for *_, region in page.lines], np.int64)
+    inside = regions > 0
+    best = set(regions[(score > 0) & (score >= min(score[inside].std(), score[inside].max()))].tolist())
+    text, loose = np.zeros(len(page.outer)), np.zeros(len(page.outer))
+    np.add.at(text, regions, [len(t) for t, *_ in page.lines])
+    np.add.at(loose, regions, [n for _, n, *_ in page.lines])
+
+    def joins(region: int, other: int) -> bool:
+        return page.weight[region] >= min(1.0, page.weight[other]) and 2 * loose[region] >= text[region]
+
+    between: dict[int, list[int]] = {}
+    for region in sorted(best):
+        between.setdefault(page.outer[region], []).append(region)
+    for region in range(1, len(page.outer)):  # outer regions come first
+        outer = page.outer[region]
+        same = between.get(outer, [])
+        if outer in best and joins(region, outer) or same and same[0] < region < same[-1] and joins(region, same[0]):
+            best.add(region)
+    return best
+
+
 def main_text(html: str) -> str:
     """The main text of a page: blocks in page order, white space inside each made one space, joined by one space.
 
-    A line's ratio is its characters outside links for each of its tags (0 where elements, roles or names mark menus, headers,
-    adverts and the like). Ratios are smoothed by a Gaussian; lines over one standard deviation are content, and every region of
-    the page with such a line is content as a whole, with the regions in it, so that short lines between long ones stay; lines of links aren't. Where the page marks an article
-    or a main part, its regions are the ones that count. If no line is over the threshold, the line with the highest ratio is taken.
-    """
+    On every page, smoothed text-to-tag ratios and the threshold select the regions (see scores, content_regions); elements such as
+    menus, forms and scripts are no content, while names of classes and marks of articles only weight the ratios, so that a page
+    whose whole text bears such a name still has its text. Ties: lines of equal score are both content or both not."""
     page = Lines()
     page.feed(html)
     page.close()
-    regions = np.array([r for *_, r in page.lines], np.int64)
-    ratio = np.array([loose / max(1, tags) if r else 0.0 for _, loose, tags, r in page.lines])
-    if not (ratio > 0).any():
+    score = scores(page) if page.lines else np.zeros(0)
+    if not (score > 0).any():
         return ""
-    marked = np.isin(regions, list(page.main)) & (regions > 0)
-    smooth = smoothed(ratio)
-    if marked.any() and ratio[marked].any():
-        chosen = marked
-    else:
-        smooth = np.where((regions > 0) & (ratio > 0), smooth, 0)
-        best = set(regions[smooth >= min(smooth.std(), smooth.max())].tolist()) - {0}
-        for region in range(1, page.regions + 1):  # outer regions come first
-            if page.outer.get(region) in best:
-                best.add(region)
-        linked = np.array([2 * loose < len(text) for text, loose, *_ in page.lines])
-        chosen = np.isin(regions, list(best)) & ~linked
-    return " ".join(text for (text, *_), c in zip(page.lines, chosen.tolist(), strict=True) if c and text)
+    best = content_regions(page, score)
+    return " ".join(text for text, _, _, region in page.lines if region in best)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -46,6 +46,52 @@ def test_page_text():
     assert html.main_text("just text") == "just text" and html.main_text("<nav>menu</nav>") == "" and html.main_text("<p><b>a<p>b") == "a b"
 
 
+LONG = "This sentence is repeated to make a paragraph of the length that articles have. " * 4
+
+
+def test_names_and_marks_do_not_decide_alone():
+    split = f"<article><p>Teaser only.</p></article><div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.main_text(split).count("This sentence") == 8
+    paper = f'<article><h1>T</h1><p>{LONG}</p><div class="related-work"><p>{LONG}</p></div><div class="related-posts"><p>Read our other story</p></div></article>'
+    assert html.main_text(paper).count("This sentence") == 8 and "other story" not in html.main_text(paper)
+    shared = f'<nav>menu</nav><div class="post-share-count widget"><h1>Title</h1><p>{LONG}</p><p>Short.</p></div><footer>us</footer>'
+    assert html.main_text(shared) == f"Title {LONG.strip()} Short."
+    links = "".join(f'<li><a href="{i}">Entry number {i}</a></li>' for i in range(30))
+    assert html.main_text(f"<div><ul>{links}</ul></div><div><p>{LONG}</p></div>") == LONG.strip()
+
+
+SHORT_BETWEEN = f"<div><p>{LONG}</p></div><div><p>{LONG}</p></div><section><p>Ten.</p></section>" + "<div><p>x</p></div>" * 9
+
+
+def test_smoothing_and_threshold_select_the_regions(monkeypatch):
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist() if p]
+    whole = [html.main_text(p) for p in pages]
+    with_it = html.main_text(SHORT_BETWEEN)
+    assert all(whole) and "Ten." in with_it and not with_it.endswith("x")
+    with monkeypatch.context() as m:
+        m.setattr(html, "smoothed", lambda ratio: ratio)
+        assert "Ten." not in html.main_text(SHORT_BETWEEN)
+    with monkeypatch.context() as m:  # nothing comes from elsewhere
+        m.setattr(html, "smoothed", lambda ratio: 0 * ratio)
+        assert not any(html.main_text(p) for p in pages)
+    with monkeypatch.context() as m:  # the threshold, and no mark, keeps asides out
+        m.setattr(html, "scores", lambda page: np.ones(len(page.lines)))
+        assert all(len(html.main_text(p)) > len(w) for p, w in zip(pages, whole, strict=True))
+
+
+def test_article_text_of_the_tables(spark):
+    """Every page of the tables: the text of its article, told from the rest by its place in the html."""
+    import re
+    from html import unescape
+
+    for r in html.extract(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        want = " ".join(" ".join(unescape(re.sub("<[^>]+>", " ", body)).split()).split())
+        assert r["text"].split() == want.split()
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t"), (1, "u", PAGE, "t"), (3, "w", "<p>" + "long text " * 50_000, "t")], "page_id long, url string, html string, text string")
     out = html.extract(pages).collect()
