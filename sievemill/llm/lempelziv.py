@@ -15,6 +15,8 @@ from .shared import mix, powers
 
 #: A fingerprint is the SIZE smallest hashes of a document's set of phrases.
 SIZE = 64
+#: Ranges of doc_id at most. A task reads its range in order and holds two rows, so longer ranges only mean more to sort.
+RANGES = 16_384
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _back = np.ones(1, np.uint64)
 
@@ -108,15 +110,17 @@ def fingerprints(docs: DataFrame, block_rows: int = 2000, key: str = "doc_id", t
     of the next document's, by ascending doc_id, then text; after the last comes the first.
 
     Texts are dealt into ranges of doc_id of about `block_rows` rows, each of which borrows the first row of the next, so each
-    text is shuffled once and no task needs another's rows. The driver holds two numbers for each range.
+    text is shuffled once and no task needs another's rows. There are RANGES ranges at most, however many rows there are; the driver
+    holds two numbers for each. Rows of one doc_id are in one range, which its task reads in order and never holds.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hexadecimal), near_edited, near_next: the share of
     phrases in common, estimated from the fingerprints; exact for documents of few phrases. Null text: empty, with an empty
     fingerprint that is like no other but an empty one. Null doc_id: before all others. Repeated rows: one after the other.
+    Ties of doc_id and text: equal rows, in any order. Very long texts: whole. Other columns play no part, whatever their names.
     Empty table: no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    many = max(1, rows.count() // block_rows)
+    many = max(1, min(rows.count() // block_rows, RANGES))
     shares = [i / many for i in range(1, many)]
     bounds = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", shares, 20 * many)).first()[0] or [], np.int64)) if shares else np.zeros(0, np.int64)
 
