@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..places import cut, position  # noqa: F401
+from ..places import cut, free_name, position, shared_folder  # noqa: F401
 
 #: Characters of text that one NumPy step holds at most, unless a single text is longer.
 CHUNK = 2_000_000

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, cut, mix, runs
+from .shared import Words, chunks, cut, free_name, mix, powers, runs
 
 #: A passage is WORDS words. Suffixes start at minimisers: of the WORDS - HEAD + 1 runs of HEAD words in a passage, the one with
 #: the least hash (the leftmost of equals). So equal passages have a suffix at the same place, and its first HEAD words are equal.
@@ -37,6 +37,20 @@ def minimisers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return heads, x, least[x]
 
 
+_INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
+_back = np.ones(1, np.uint64)
+
+
+def second_hash(words: Words, x: np.ndarray) -> np.ndarray:
+    """Another hash of the WORDS words from each x on, made from the words apart from their heads' hashes, by differences of sums."""
+    global _back
+    n = len(words.hash)
+    if len(_back) < n:
+        _back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 4096), _INVERSE)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash ^ np.uint64(0x5851F42D4C957F2D)) * powers(n)[:n])])
+    return mix((sums[x + WORDS] - sums[x]) * _back[x])
+
+
 def lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.ListArray:
     """values as n lists; of: the ascending list number of each value."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values))
@@ -91,8 +105,8 @@ def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = mix(mix(mix(heads[x]) + heads[x + (WORDS - HEAD) // 2]) + heads[x + WORDS - HEAD])
             doc = words.doc[x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), piece.column(0).take(pa.array(doc)), pa.array((x - words.first[doc]).astype(np.int32)), pa.array(many[found])],
-                ["passage", "doc_id", "start", "n"],
+                [pa.array(whole.view(np.int64)), pa.array(second_hash(words, x).view(np.int64)), piece.column(0).take(pa.array(doc)), pa.array((x - words.first[doc]).astype(np.int32)), pa.array(many[found])],
+                ["passage", "again", "doc_id", "start", "n"],
             )
 
 
@@ -108,7 +122,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Comparing whole passages finds matches that one neighbour of a suffix would miss. Where many suffixes share a head, their
     passages are sorted in salted parts first, and only the first of each part meet.
 
-    Null, empty and short texts and null ids: no spans. Rows that share a doc_id are one document. Empty table: no rows.
+    Passages are equal if two 64-bit hashes that were made apart are: of 10**13 passages, two unlike ones meet with 1e-13.
+
+    Null, empty and short texts and null ids: no spans. Rows that share a doc_id are one document. Ties: of equal passages in one
+    document the leftmost is the first. Very long texts: whole. Other columns play no part, whatever their names. Empty table: no rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = rows.where("doc_id is not null")
@@ -122,14 +139,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     suffixes = named.where(own).select("doc_id", F.explode(F.arrays_zip("heads", "places")).alias("s")).select(F.col("s.heads").alias("head"), "doc_id", F.col("s.places").alias("place"))
     shared = cut(suffixes.groupBy("head").agg(F.count("*").cast("int").alias("n")).where("n > 1"))
     seeds = suffixes.join(shared, "head").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "n"))).alias("seeds"))
-    passages = known.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "passage long, doc_id long, start int, n int")
+    passages = known.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(extend, "passage long, again long, doc_id long, start int, n int")
 
     salts = f"n div {TOGETHER} + 1"
-    salted = passages.select("passage", "doc_id", "start", F.expr(f"cast(if(n < {TOGETHER}, -1, pmod(xxhash64(doc_id), {salts})) as int)").alias("salt"))
+    salted = passages.select("passage", F.col("again").alias("other"), "doc_id", "start", F.expr(f"cast(if(n < {TOGETHER}, -1, pmod(xxhash64(doc_id), {salts})) as int)").alias("salt"))
     first = lambda *keys: F.first(F.struct("doc_id", "start")).over(Window.partitionBy(*keys).orderBy("doc_id", "start"))
     again = f"doc_id <> first.doc_id or start >= first.start + {WORDS}"
-    part = salted.withColumn("first", first("passage", "salt")).withColumn("again", F.expr(again))
-    heads = part.where("not again and salt >= 0").withColumn("first", first("passage")).where(again)
+    part = salted.withColumn("first", first("passage", "other", "salt")).withColumn("again", F.expr(again))
+    heads = part.where("not again and salt >= 0").withColumn("first", first("passage", "other")).where(again)
     found = part.where("again").select("doc_id", "start", F.col("first.doc_id").alias("source_doc_id")).union(heads.select("doc_id", "start", F.col("first.doc_id")))
 
     of = Window.partitionBy("doc_id")
@@ -162,9 +179,10 @@ def cut_out(kept_text: int, kept_spans: int):
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all but the first of each repeated passage taken out of the text (see repeated_spans). Every row stays, also
-    where nothing is left of its text; other columns stay as they are."""
-    spans = repeated_spans(docs, key, text).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "words")).alias("_spans"))
-    joined = docs.join(spans, docs[key] == spans["_id"], "left").select(*docs.columns, "_spans")
+    where nothing is left of its text; other columns stay as they are, whatever their names. Empty table: no rows."""
+    own, found = free_name("_id", docs.columns), free_name("_spans", docs.columns)
+    spans = repeated_spans(docs, key, text).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list(F.struct("start", "words")).alias(found))
+    joined = docs.join(spans, docs[key] == spans[own], "left").select(*docs.columns, found)
     return joined.mapInArrow(cut_out(docs.columns.index(text), len(docs.columns)), docs.schema)
 
 
