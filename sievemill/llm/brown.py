@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, chunks, cut, tasks
+from .shared import Words, chunks, cut
 
 #: Classes of words; one more, CLASSES, holds the end of a text, and UNKNOWN stands for words that weren't met in training.
 CLASSES = 64
@@ -18,8 +19,12 @@ END, UNKNOWN, RARE = CLASSES, CLASSES + 1, 255
 #: The words that are clustered with each other (all others join their classes), and those that every task knows by heart.
 LEADERS, DICTIONARY = 8192, 1 << 18
 SWEEPS = 6
+#: Leaders that move together in a sweep. The number of tasks follows from it, and never from the cluster.
+TOGETHER = 1024
 #: Words or pairs of words that a task counts before it passes them on.
 HELD = 1_000_000
+#: A context class and how often it occurs, as shuffled.
+CONTEXT = np.dtype([("code", "u1"), ("n", "<u4")])
 
 
 def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,21 +78,20 @@ def with_ends(values: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarr
     return out, start
 
 
-def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's most frequent words (hash, n)."""
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the task and how often they occur (hash, n)."""
     counter = Counter()
 
-    def most() -> pa.RecordBatch:
+    def found() -> pa.RecordBatch:
         keys, n = counter.take()
-        best = np.argsort(-n, kind="stable")[: 2 * LEADERS]
-        return pa.RecordBatch.from_arrays([pa.array(keys[best].view(np.int64)), pa.array(n[best])], ["hash", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["hash", "n"])
 
     for batch in batches:
         for _, texts in chunks([batch]):
             counter.add(Words(texts).hash)
             if counter.full():
-                yield most()
-    yield most()
+                yield found()
+    yield found()
 
 
 def leader_pairs(leaders: np.ndarray):
@@ -226,10 +230,12 @@ def contexts(leaders: np.ndarray, classes: np.ndarray):
             keys, start, n = np.unique(word, return_index=True, return_counts=True)
             rank = np.repeat(np.arange(len(keys)), n)
             codes = np.concatenate([(rank * 256 + left)[left >= 0], (rank * 256 + 128 + right)[right >= 0]])
-            codes, weights = np.unique(codes, return_counts=True)
+            codes, weights = np.unique(codes, return_counts=True)  # at most HELD and a chunk, so 32 bits hold a count
             ends = np.searchsorted(codes, np.arange(len(keys) + 1) * 256).astype(np.int32)
-            lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), lists((codes % 256).astype(np.int16)), lists(weights.astype(np.int32))], ["hash", "n", "codes", "weights"])
+            packed = np.empty(len(codes), CONTEXT)
+            packed["code"], packed["n"] = codes % 256, weights
+            contexts = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends * CONTEXT.itemsize), pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), contexts], ["hash", "n", "contexts"])
 
         for batch in batches:
             for _, texts in chunks([batch]):
@@ -254,13 +260,15 @@ def classify(leaders: np.ndarray, classes: np.ndarray, square: np.ndarray):
     gains most, to first order, in the likelihood of the class bigrams."""
     smooth = square + 0.5 / (CLASSES + 1)
     gain = np.log(smooth * smooth.sum() / smooth.sum(axis=1, keepdims=True) / smooth.sum(axis=0))
-    worth = np.zeros((256, CLASSES), np.float32)
+    # whole numbers, whose sums are the same in whatever order a word's rows come
+    gain = np.rint(gain * (1 << 20)).astype(np.int64)
+    worth = np.zeros((256, CLASSES), np.int64)
     worth[: CLASSES + 1] = gain[:, :CLASSES]
     worth[128 : 128 + CLASSES + 1] = gain[:CLASSES].T
     usual = int(square[:, :CLASSES].sum(axis=0).argmax())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, CLASSES), np.float32))
+        last = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, CLASSES), np.int64))
 
         def named(keys: np.ndarray, n: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
             best = np.where(score.any(axis=1), score.argmax(axis=1), usual)
@@ -271,10 +279,12 @@ def classify(leaders: np.ndarray, classes: np.ndarray, square: np.ndarray):
             if not batch.num_rows:
                 continue
             keys, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            lists = batch.column(2)
-            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-            each = worth[np.asarray(lists.flatten())] * np.asarray(batch.column(3).flatten())[:, None]
-            score = np.zeros((len(keys), CLASSES), np.float32)
+            column = batch.column(2)
+            size = pc.binary_length(column).to_numpy(zero_copy_only=False) // CONTEXT.itemsize
+            ends = np.concatenate([[0], np.cumsum(size)])
+            packed = np.frombuffer(b"".join(column.to_pylist()), CONTEXT)
+            each = worth[packed["code"]] * packed["n"].astype(np.int64)[:, None]
+            score = np.zeros((len(keys), CLASSES), np.int64)
             some = np.flatnonzero(np.diff(ends))
             if len(some):
                 score[some] = np.add.reduceat(each, ends[some])
@@ -301,7 +311,7 @@ def read(dictionary: tuple[np.ndarray, np.ndarray, np.ndarray]):
             words = Words(texts)
             at = index(keys, words.hash)
             first = words.first
-            sums = [np.diff(np.concatenate([[0.0], np.cumsum(log[at])])[first]) for log in logs]  # -1 is the entry of log 1
+            sums = [np.bincount(words.doc, log[at], minlength=len(texts)) for log in logs]  # -1 is the entry of log 1
             rare = np.flatnonzero(at < 0)
             code = np.where(at >= 0, np.append(classes, RARE)[at], RARE).astype(np.uint8)
             number = np.searchsorted(rare, first)
@@ -360,16 +370,22 @@ def judge(logs: np.ndarray):
 
 
 def most_frequent(words: DataFrame, most: int) -> pa.Table:
-    """hash, n, ... of the most frequent words, `most` at most: all whose count is in the upper sixteenths of an octave that
-    together hold no more. The driver gets a number for each sixteenth and those words, whatever the number of partitions."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    held, least = 0, 1 << 30
-    for at, n in sorted(words.groupBy(step.alias("at")).agg(F.count("*")).collect(), reverse=True):
-        held += n
-        if held > most:
+    """hash, n, ... of the most frequent words, `most` at most; among equals, those whose hash begins with the greater bits. Found by
+    counting words by sixteenths of an octave, then by count in the one that doesn't fit, then by the first 12 bits of the hash in the count
+    that doesn't. So the driver gets those numbers and the words chosen, whatever the number of partitions."""
+    chosen, rest, left = F.lit(False), F.lit(True), most
+    for level in (F.floor(F.log2("n") * 16).cast("long"), F.col("n"), F.shiftrightunsigned("hash", 52)):
+        least = None
+        for at, n in sorted(words.where(rest).groupBy(level.alias("at")).agg(F.count("*")).collect(), reverse=True):
+            if n > left:
+                least = at
+                break
+            left -= n
+        if least is None:
+            chosen = chosen | rest
             break
-        least = at
-    return words.where(step >= least).toArrow()
+        chosen, rest = chosen | rest & (level > least), rest & (level == least)
+    return words.where(chosen).toArrow()
 
 
 def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,21 +398,21 @@ def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "tex
     of the training texts.
 
     The dictionary that tasks hold has at most DICTIONARY words; rarer ones are joined with the table of all words by a shuffle.
-    Words are told apart by 64-bit hashes.
+    Words are told apart by 64-bit hashes. Ties: leaders are ordered by hash, of equally good classes the first is taken; data and
+    parameters alone decide, not the number of cores or partitions. Columns other than the three play no part, whatever their names.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known, train_tokens, base_score (counts plus 0.1), score,
     perplexity (10 ** (-score / n_tokens)). Null text: empty, its end alone. Nothing to learn from: score equals base_score.
-    Repeated rows and null ids: rows like others. Empty table: no rows.
+    Very long texts: whole, like others. Repeated rows and null ids: rows like others. Empty table: no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     training = rows.where("not held_out").select("text")
-    best = cut(training.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    best = cut(training.mapInArrow(word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     leaders = np.sort(most_frequent(best, LEADERS).column("hash").to_numpy().view(np.uint64))
     pairs = training.mapInArrow(leader_pairs(leaders), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
-    classes, square = cluster(pairs, len(leaders), tasks(spark, len(leaders), 1024))
+    classes, square = cluster(pairs, len(leaders), -(-LEADERS // TOGETHER))
 
-    found = training.mapInArrow(contexts(leaders, classes), "hash long, n long, codes array<short>, weights array<int>")
+    found = training.mapInArrow(contexts(leaders, classes), "hash long, n long, contexts binary")
     words = cut(found.repartition("hash").sortWithinPartitions("hash").mapInArrow(classify(leaders, classes, square), "hash long, n long, class int"))
     ends, (distinct, total, once) = training.count(), words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     n, v = total + ends, distinct + (ends > 0)
@@ -411,8 +427,9 @@ def scores(docs: DataFrame, held_out: str, key: str = "doc_id", text: str = "tex
         .withColumn("row", F.monotonically_increasing_id())
     )
     rare = texts.select("row", F.explode(F.arrays_zip("places", "hashes")).alias("r")).select("row", F.col("r.places").alias("place"), F.col("r.hashes").alias("hash"))
+    exact = lambda log: F.sum(log.cast("decimal(18,15)")).cast("double")  # noqa: E731  (decimals: the same sum in any order)
     met = rare.join(words, "hash").groupBy("row").agg(
-        F.collect_list(F.struct("place", "class")).alias("found"), F.sum(F.log10("n")).alias("log_c_rare"), F.sum(F.log10(F.col("n") + 0.1)).alias("log_base_rare")
+        F.collect_list(F.struct("place", "class")).alias("found"), exact(F.log10("n")).alias("log_c_rare"), exact(F.log10(F.col("n") + 0.1)).alias("log_base_rare")
     )
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     joined = texts.join(met, "row", "left").select(

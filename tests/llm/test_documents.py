@@ -311,6 +311,77 @@ def check_scores(odd_docs, out):
         assert r["score"] < 0 and r["perplexity"] > 1
 
 
+def test_scores_do_not_depend_on_partitions(odd_docs, monkeypatch):
+    monkeypatch.setattr(brown, "DICTIONARY", 60)
+    docs, seen = odd_docs.withColumn("held", F.col("doc_id") % 5 == 0), []
+    for parts, held in ((1, 10**6), (7, 400), (64, 10**6)):
+        monkeypatch.setattr(brown, "HELD", held)
+        seen.append(sorted(map(repr, brown.scores(docs.repartition(parts), "held").collect())))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_scores_equal_the_formula_for_given_classes(odd_docs):
+    """The model's probabilities, worked out again from its classes and from counts by brute force."""
+    given = {}
+    classify = brown.classify
+
+    def keep(leaders, classes, square):
+        merge = classify(leaders, classes, square)
+
+        def tap(batches):
+            yield from merge(batches)
+
+        return tap
+
+    rows = by_text(odd_docs)
+    docs = odd_docs.withColumn("held", F.col("doc_id") % 5 == 0)
+    train = [tokens(t) for i, t in rows if i is None or i % 5]
+    words = docs.where("not coalesce(held, false)").select("text")
+    table = words.mapInArrow(brown.word_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    leaders = np.sort(brown.most_frequent(table, brown.LEADERS).column("hash").to_numpy().view(np.uint64))
+    pairs = words.mapInArrow(brown.leader_pairs(leaders), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    classes, square = brown.cluster(pairs, len(leaders), 8)
+    found = words.mapInArrow(brown.contexts(leaders, classes), "hash long, n long, contexts binary")
+    for r in found.coalesce(1).sortWithinPartitions("hash").mapInArrow(keep(leaders, classes, square), "hash long, n long, class int").collect():
+        given[r["hash"]] = r["class"]
+    hash_of = lambda w: int(shared.Words([w]).hash.view(np.int64)[0])
+    count, steps, before, in_class = Counter(), Counter(), Counter(), Counter()
+    for text in train:
+        last = brown.END
+        for w in [*text, None]:
+            count[w] += 1
+            c = brown.END if w is None else given[hash_of(w)]
+            steps[last, c] += 1
+            before[last] += 1
+            in_class[c] += 1
+            last = c
+    n = sum(count.values())
+    unseen = min(max(sum(v == 1 for w, v in count.items() if w is not None) / n, 1e-9), 0.5)
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in brown.scores(docs, "held").collect()}
+    for i, t in rows:
+        last, want = brown.END, 0.0
+        for w in [*tokens(t), None]:
+            if not count[w]:
+                want += math.log10(unseen)
+                last = None
+                continue
+            c = brown.END if w is None else given[hash_of(w)]
+            move = in_class[c] / n if last is None else (steps[last, c] + 10 * in_class[c] / n) / (before[last] + 10)
+            want += math.log10((1 - unseen) * move * count[w] / in_class[c])
+            last = c
+        assert got[i, len(tokens(t)) + 1] == pytest.approx(want, rel=1e-9)
+
+
+def test_most_frequent_words(spark):
+    rows = [(int(h), n) for h, n in zip(shared.mix(np.arange(1, 3001, dtype=np.uint64)).view(np.int64), [1] * 2000 + [2] * 700 + [50] * 200 + [51] * 100, strict=True)]
+    table = spark.createDataFrame(rows, "hash long, n long")
+    for most in (50, 100, 150, 300, 1200, 5000):
+        got = brown.most_frequent(table.repartition(3), most).to_pydict()
+        assert min(most, 3000) - 10 <= len(got["n"]) <= most
+        best = sorted((n for _, n in rows), reverse=True)
+        assert sorted(got["n"], reverse=True) == best[: len(got["n"])]
+
+
 def test_model_is_a_distribution(spark):
     rows = [(i, f"the {a} {b}") for i, (a, b) in enumerate(itertools.product(["red", "blue", "old"], ["cat", "dog", "sun"]))]
     rows += [(100, "cat"), (101, "zzz"), (102, "")] + [(103 + i, w) for i, w in enumerate(["the", "red", "blue", "old", "dog", "sun"])]

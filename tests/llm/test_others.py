@@ -118,6 +118,24 @@ def test_pipeline(spark, odd_docs, tmp_path):
     assert out.agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
 
 
+def test_pipeline_stages_on_no_rows_and_clashing_names(spark, odd_docs):
+    import corpus_pipeline
+
+    more = {"score": 42.0, "lang_pred": "x", "_text": "y", "_id": 7, "_spans": "z", "row": 1, "id": 2, "key": "k", "doc_tokens": 3, "_row": 4, "_group": 5}
+    clashing = odd_docs.withColumns({k: F.lit(v) for k, v in more.items()})
+    plain, full = odd_docs, clashing
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, full.where("false"), "")
+        assert empty.count() == 0 and empty.columns == (full.columns if name != "packing" else empty.columns)
+        plain, full = (stage(spark, d, "") for d in (plain, full))
+        if name != "packing":
+            assert full.columns == clashing.columns
+            assert all(r[k] == v for r in full.collect() for k, v in more.items())
+        shown = full.select(*plain.columns)
+        assert sorted(map(repr, shown.drop("sequence_id", "offset").collect())) == sorted(map(repr, plain.drop("sequence_id", "offset").collect()))
+        plain, full = (spark.createDataFrame(d.collect(), d.schema) for d in (plain, full))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_equal_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
