@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_package
+from ..places import cut
 
 
 def cvss_severity(score: Column) -> Column:
@@ -49,17 +50,15 @@ def dangling(steps: DataFrame) -> DataFrame:
     return each.join(steps.select("plan_id", F.col("step").alias("need")), ["plan_id", "need"], "left_anti").select("plan_id", "step", "need")
 
 
-def cycles(steps: DataFrame, most_steps: int | None = None) -> DataFrame:
-    """Steps on a cycle of dependencies: paths are doubled until no plan of `most_steps` steps can have longer ones (where it isn't
-    given, the most that a plan of the table has). Each doubling is an equi join within plans."""
-    from math import ceil, log2
-
-    if most_steps is None:
-        most_steps = steps.groupBy("plan_id").agg(F.count_distinct("step").alias("n")).agg(F.max("n")).first()[0] or 1
-    paths = steps.select("plan_id", F.col("step").alias("a"), F.explode("needs").alias("b")).distinct()
-    for _ in range(ceil(log2(most_steps))):
+def cycles(steps: DataFrame) -> DataFrame:
+    """Steps on a cycle of dependencies, of any length: paths are doubled until no path is new. Each doubling is an equi join within
+    plans and cuts the lineage; there are as many as the longest path has binary digits."""
+    paths = cut(steps.select("plan_id", F.col("step").alias("a"), F.explode("needs").alias("b")).distinct())
+    known = -1
+    while known != (n := paths.count()):
+        known = n
         left, right = paths.withColumnRenamed("b", "m"), paths.withColumnRenamed("a", "m")
-        paths = paths.union(left.join(right, ["plan_id", "m"]).select("plan_id", "a", "b")).distinct()
+        paths = cut(paths.union(left.join(right, ["plan_id", "m"]).select("plan_id", "a", "b")).distinct())
     return paths.where("a = b").select("plan_id", F.col("a").alias("step"))
 
 

@@ -1,6 +1,7 @@
 """Registered queries by name, and their SQL."""
 
-from . import history, lookaround, scanning
+from . import history, lookaround, planning, scanning
 
-QUERIES = history.QUERIES | scanning.QUERIES | lookaround.QUERIES
-ORACLE = history.ORACLE | scanning.ORACLE | lookaround.ORACLE
+_MODULES = (history, scanning, lookaround, planning)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

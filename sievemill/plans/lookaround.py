@@ -84,10 +84,10 @@ def _dependencies(spark, sf_dir):
 
 
 def _advisories(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey % 2 = 0").selectExpr("concat('pkg-', p_partkey % 40, '-core') AS package", "concat(p_partkey % 3, '.', p_partkey % 4) AS version", "concat('V', p_partkey) AS vuln_id", "if(p_size % 5 = 0, 'none', cast(p_size % 11 as string)) AS score")
+    return table(spark, sf_dir, "part").selectExpr("concat('pkg-', p_partkey % 40, '-core') AS package", "concat(p_partkey % 3, '.', p_partkey % 4) AS version", "concat('V', p_partkey) AS vuln_id", "if(p_size % 5 = 0, 'none', cast(p_size % 11 as string)) AS score")
 
 
-DEPS = "WITH deps AS (SELECT DISTINCT source AS project, 'pkg-' || (doc_id % 40) || '-core' AS package, (doc_id % 3) || '.' || (doc_id % 4) AS version FROM documents), advisories AS (SELECT 'pkg-' || (p_partkey % 40) || '-core' AS package, (p_partkey % 3) || '.' || (p_partkey % 4) AS version, 'V' || p_partkey AS vuln_id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 11 END AS score FROM part WHERE p_partkey % 2 = 0), found AS (SELECT project, package, version, vuln_id, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score IS NOT NULL THEN 'low' ELSE 'medium' END AS severity FROM deps JOIN advisories USING (package, version))"
+DEPS = "WITH deps AS (SELECT DISTINCT source AS project, 'pkg-' || (doc_id % 40) || '-core' AS package, (doc_id % 3) || '.' || (doc_id % 4) AS version FROM documents), advisories AS (SELECT 'pkg-' || (p_partkey % 40) || '-core' AS package, (p_partkey % 3) || '.' || (p_partkey % 4) AS version, 'V' || p_partkey AS vuln_id, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 11 END AS score FROM part), found AS (SELECT project, package, version, vuln_id, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score IS NOT NULL THEN 'low' ELSE 'medium' END AS severity FROM deps JOIN advisories USING (package, version))"
 add("s09_dependencies", _dependencies, DEPS + " SELECT project, package, version FROM deps")
 add("j03_scan_dependencies", lambda spark, sf_dir: joins.findings(_dependencies(spark, sf_dir), _advisories(spark, sf_dir)), DEPS + " SELECT * FROM found")
 add("p19_severity_map", lambda spark, sf_dir: _advisories(spark, sf_dir).select("vuln_id", joins.cvss_severity(F.col("score")).alias("severity")), DEPS + " SELECT vuln_id, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' WHEN score IS NOT NULL THEN 'low' ELSE 'medium' END AS severity FROM advisories")
@@ -119,13 +119,13 @@ add(
 def _steps(spark, sf_dir):
     from pyspark.sql import Window
 
-    placed = table(spark, sf_dir, "events").withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("step <= 20")
+    placed = table(spark, sf_dir, "events").withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return placed.select(F.col("user_id").alias("plan_id"), "step", F.expr("array(cast(event_id % 23 as int))").alias("needs"))
 
 
-STEPS = "WITH RECURSIVE placed AS (SELECT user_id AS plan_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_id % 23 AS need FROM events), steps AS (SELECT * FROM placed WHERE step <= 20)"
+STEPS = "WITH RECURSIVE placed AS (SELECT user_id AS plan_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_id % 23 AS need FROM events), steps AS (SELECT * FROM placed)"
 add("j19_dangling_deps", lambda spark, sf_dir: joins.dangling(_steps(spark, sf_dir)), STEPS + " SELECT plan_id, step::INT AS step, need::INT AS need FROM steps s WHERE NOT EXISTS (FROM steps t WHERE t.plan_id = s.plan_id AND t.step = s.need)")
-add("x11_plan_cycles", lambda spark, sf_dir: joins.cycles(_steps(spark, sf_dir), 20), STEPS + ", reach AS (SELECT plan_id, step AS a, need AS b FROM steps UNION SELECT r.plan_id, a, s.need FROM reach r JOIN steps s ON s.plan_id = r.plan_id AND s.step = r.b) SELECT plan_id, a::INT AS step FROM reach WHERE a = b")
+add("x11_plan_cycles", lambda spark, sf_dir: joins.cycles(_steps(spark, sf_dir)), STEPS + ", reach AS (SELECT plan_id, step AS a, need AS b FROM steps UNION SELECT r.plan_id, a, s.need FROM reach r JOIN steps s ON s.plan_id = r.plan_id AND s.step = r.b) SELECT plan_id, a::INT AS step FROM reach WHERE a = b")
 
 # -- prompts: the users' turns, with a request before them -----------------------------------------------------
 REQUESTS = ["fix the login bug in the python api", "maybe do something with the cache stuff", "add tests", "refactor the database schema and the cache index", "review security of the auth token in go"]
