@@ -1,7 +1,7 @@
 """Registered queries by name, and their SQL."""
 
-from . import history, ingest, lookaround, planning, scanning
+from . import checks, history, ingest, lookaround, planning, scanning
 
-_MODULES = (history, scanning, lookaround, planning, ingest)
+_MODULES = (history, scanning, lookaround, planning, ingest, checks)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

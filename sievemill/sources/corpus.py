@@ -52,16 +52,14 @@ SNIPPETS = [
 ]
 
 
-def snippets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(SNIPPETS)], "sid int, lang string, folder string, snippet string")
-
-
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, samples: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """file_id, project, path, lang, code: each document's whole text as comment lines below a code sample."""
-    docs = table(spark, sf_dir, "documents").withColumn("sid", (F.col("doc_id") % len(SNIPPETS)).cast("int"))
+    samples = samples or SNIPPETS
+    snippets = spark.createDataFrame([(i, *row) for i, row in enumerate(samples)], "sid int, lang string, folder string, snippet string")
+    docs = table(spark, sf_dir, "documents").withColumn("sid", (F.col("doc_id") % len(samples)).cast("int"))
     mark = F.when(F.col("lang") == "python", "# ").otherwise("// ")
     extension = F.expr("element_at(map('python', 'py', 'typescript', 'ts', 'javascript', 'js', 'rust', 'rs', 'go', 'go', 'java', 'java', 'csharp', 'cs'), lang)")
-    return docs.select("doc_id", "source", "sid", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(snippets(spark)), "sid").select(
+    return docs.select("doc_id", "source", "sid", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(snippets), "sid").select(
         F.col("doc_id").alias("file_id"), F.col("source").alias("project"), F.concat(F.lit("src/"), F.col("folder"), F.lit("/f"), F.col("doc_id"), F.lit("."), extension).alias("path"), "lang",
         F.concat("snippet", mark, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), mark))).alias("code"),
     )
@@ -71,11 +69,15 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-#: The same table for DuckDB.
-FILES_SQL = (
-    "snippets(sid, lang, folder, snippet) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(quoted, row))})" for i, row in enumerate(SNIPPETS)) + f"""),
+def files_sql(samples: list[tuple[str, str, str]]) -> str:
+    """The same table for DuckDB."""
+    values = ", ".join(f"({i}, {', '.join(map(quoted, row))})" for i, row in enumerate(samples))
+    mark = "CASE s.lang WHEN 'python' THEN '# ' ELSE '// ' END"
+    return f"""snippets(sid, lang, folder, snippet) AS (VALUES {values}),
     files AS (SELECT doc_id AS file_id, source AS project, 'src/' || folder || '/f' || doc_id || '.' ||
         CASE s.lang WHEN 'python' THEN 'py' WHEN 'typescript' THEN 'ts' WHEN 'javascript' THEN 'js' WHEN 'rust' THEN 'rs' WHEN 'csharp' THEN 'cs' ELSE s.lang END AS path, s.lang,
-        snippet || CASE s.lang WHEN 'python' THEN '# ' ELSE '// ' END || replace(coalesce(text, ''), chr(10), chr(10) || CASE s.lang WHEN 'python' THEN '# ' ELSE '// ' END) AS code
-        FROM documents d JOIN snippets s ON d.doc_id % {len(SNIPPETS)} = s.sid)"""
-)
+        snippet || {mark} || replace(coalesce(text, ''), chr(10), chr(10) || {mark}) AS code
+        FROM documents d JOIN snippets s ON d.doc_id % {len(samples)} = s.sid)"""
+
+
+FILES_SQL = files_sql(SNIPPETS)
