@@ -65,6 +65,15 @@ def column_of(text: Column, at: Column) -> Column:
     return F.length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)) + 1
 
 
+#: Letters and the like beyond ASCII.
+FOREIGN = r"[^\x00-\x7F\pP\pS\pZ\pM]"
+
+
+def plain(text: Column) -> Column:
+    """text with letters beyond ASCII made underscores, so that word borders are the same to every regex engine."""
+    return F.regexp_replace(text, FOREIGN, "_")
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

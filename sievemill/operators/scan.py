@@ -68,7 +68,7 @@ def rule_scan(files: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     spark = files.sparkSession
     known = spark.createDataFrame([(r.id, r.slug, r.severity, r.category) for r in rules], "rule_id string, rule string, severity string, category string")
     lexed = files.where(F.trim("code") != "").select("file_id", "lang", "code", text.skip_spans(F.col("code"), F.col("lang")).alias("spans"))
-    hits = lexed.select("file_id", "code", "spans", F.explode(F.array(*map(_found, rules))).alias("h")).where("h is not null")
+    hits = lexed.select("file_id", "code", "spans", F.explode(F.array_compact(F.array(*map(_found, rules)))).alias("h"))
     placed = F.zip_with(text.spans_of(F.col("h.parts"), F.col("h.found")), F.col("h.found"), lambda s, m: F.struct(s["start"].alias("start"), m.alias("match")))
     each = hits.select("file_id", "code", "spans", "h.rule_id", F.explode(placed).alias("m"))
     at, real = F.col("m.start"), F.lit(True)
