@@ -56,3 +56,16 @@ def upsert_latest(validations: DataFrame, path: str, checkpoint: str) -> Callabl
         new.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return validations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start
+
+
+def moving_baseline(snapshots: DataFrame, late: str = "1 day") -> DataFrame:
+    """Mean score of each project over seven days, sliding by a day, given out when the watermark has passed the window."""
+    out = snapshots.withWatermark("ts", late).groupBy("project", F.window("ts", "7 days", "1 day").alias("w"))
+    return out.agg(F.avg("score").alias("baseline"), F.count("*").alias("snapshots")).select("project", F.date_format("w.end", "yyyy-MM-dd").alias("until"), "baseline", "snapshots")
+
+
+def session_totals(validations: DataFrame, minutes: int = 30, late: str = "1 day") -> DataFrame:
+    """Each session without a gap of `minutes`: validations, their scores' sum, the last one's errors, its files (about as many)."""
+    out = validations.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", f"{minutes} minutes").alias("w"))
+    totals = out.agg(F.count("*").alias("validations"), F.sum("score").alias("score"), F.max_by("errors", F.struct("ts", "event_id")).alias("errors"), F.approx_count_distinct("file_path").alias("files"))
+    return totals.select("session_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "validations", "score", "errors", "files")
