@@ -298,3 +298,27 @@ def full_scan(files: DataFrame, functions: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def tidy_suggestions(table: DataFrame, functions: DataFrame, long: int = 20, deep: int = 4, large: int = 300, most: int = 3) -> DataFrame:
+    """file_id, kind, line, rank of what would make a file tidier, least effort first, `most` a file: nesting of `deep` levels of four spaces
+    (small), functions of over `long` lines (medium), files of over `large` lines that aren't blank (large)."""
+    level = F.when(~F.col("blank") & (F.trim("c") != ""), F.floor(F.col("indent") / 4))
+    nested = table.groupBy("file_id").agg(F.max(level).alias("depth"), F.min(F.when(level.isNotNull(), F.struct((-level).alias("up"), F.col("line")))).alias("first")).where(F.col("depth") >= deep).select("file_id", "first.line")
+    wide = functions.where(F.col("stop") - F.col("start") + 1 > long).select("file_id", F.lit("extract_method").alias("kind"), F.col("start").alias("line"), F.lit(2).alias("effort"))
+    big = table.groupBy("file_id").agg(F.count_if(~F.col("blank")).alias("n")).where(F.col("n") > large).select("file_id", F.lit("split_file").alias("kind"), F.lit(1).alias("line"), F.lit(3).alias("effort"))
+    every = nested.select("file_id", F.lit("simplify_conditional").alias("kind"), "line", F.lit(1).alias("effort")).unionByName(wide).unionByName(big)
+    return every.withColumn("rank", F.row_number().over(of_file("effort", "line"))).where(F.col("rank") <= most).select("file_id", "kind", "line", "rank")
+
+
+def inferred_severity(rule_id):
+    """A rule's severity by the beginning of its id; what it would be eased to is the next lower one."""
+    severe = rule_id.rlike("^(?:SEC|PY001|PY002|PY003|PY004|PY007|PY008|PY009|PY010)")
+    return F.when(severe, "error").otherwise("warning")
+
+
+def untested_names(tests: DataFrame, names: DataFrame) -> DataFrame:
+    """group of the test files (group, token) none of whose words is a public name of the implementation (group, name) paired with them."""
+    public = names.where(~F.startswith("name", F.lit("_"))).select("group", F.col("name").alias("token")).distinct()
+    met = tests.join(public, ["group", "token"], "left_semi").select("group").distinct()
+    return tests.select("group").distinct().join(public.select("group").distinct(), "group", "left_semi").join(met, "group", "left_anti")

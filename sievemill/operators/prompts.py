@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import plain
+from ..functions.text import find_all, plain
 
 #: Signs of tasks, languages and topics, with weights.
 TASKS = {
@@ -101,3 +101,24 @@ def analysis_protocol(checks: DataFrame) -> DataFrame:
     """file_id, kind, areas: how a file with concerns of security or depth should be analysed, and how many places count."""
     held = checks.where(F.col("concern").isin(*SECURE, *DEEP)).groupBy("file_id").agg(F.max(F.col("concern").isin(*SECURE)).alias("s"), F.max(F.col("concern").isin(*DEEP)).alias("d"), F.count("*").alias("areas"))
     return held.select("file_id", F.when(F.col("s") & F.col("d"), "comprehensive_analysis").when(F.col("d"), "deep_analysis").otherwise("security_flow_analysis").alias("kind"), "areas")
+
+
+#: What names a file, a call, a dotted name, in this order.
+ENTITIES = {
+    "file": r"[A-Za-z0-9_./-]*[A-Za-z0-9_]\.(?:py|tsx?|jsx?|rs|go|java|cs)", "call": r"[A-Za-z_][A-Za-z0-9_.]*\(\)", "name": r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+",
+}
+
+
+def entities(prompts: DataFrame) -> DataFrame:
+    """prompt_id, kind, start, stop, named: what prompts name, without what lies inside something longer; of equal places, the first kind. A
+    prompt's own row holds its spans, so nothing is joined."""
+
+    def found(at: int, kind: str, pattern: str) -> Column:
+        named = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("stop"), F.lit(at).alias("at"), F.lit(kind).alias("kind"))
+        return F.transform(find_all(F.col("text"), pattern), named)
+
+    each = F.flatten(F.array(*[found(at, kind, pattern) for at, (kind, pattern) in enumerate(ENTITIES.items())]))
+    longer = lambda o, s: (o["start"] <= s["start"]) & (o["stop"] >= s["stop"]) & ((o["stop"] - o["start"] > s["stop"] - s["start"]) | (o["at"] < s["at"]))
+    held = prompts.select("prompt_id", "text", each.alias("spans"))
+    kept = held.select("prompt_id", "text", F.explode(F.filter("spans", lambda s: ~F.exists("spans", lambda o: longer(o, s)))).alias("s"))
+    return kept.select("prompt_id", "s.kind", "s.start", "s.stop", F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("named"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.catalogue import RULES
 from ..operators import checks as k
 from ..operators import lines, scan
@@ -149,6 +151,30 @@ on_lines(
 on_functions("l27_no_edge_cases", k.no_edge_cases, f" SELECT file_id, count(*) AS tests FROM bodies WHERE starts_with(name, 'test_') GROUP BY 1 HAVING count(*) >= 3 AND NOT bool_or({rlike('lower(name)', '|'.join(k.EDGE_WORDS))})")
 on_functions("l29_shared_state_in_tests", lambda f: k.weak_tests(f).where("kind = 'shared state'").select("file_id", "name"), " SELECT file_id, name FROM bodies WHERE starts_with(name, 'test_') AND regexp_matches(body, '(?m)^(?:global|nonlocal)\\s')")
 
+add(
+    "r15_tidy_suggestions", lambda f: k.tidy_suggestions(k.marked(f), lines.functions(f), long=12, deep=4, large=25),
+    SQL + """, v AS (SELECT file_id, line, blank, CASE WHEN NOT blank AND trim(c, ' ') <> '' THEN indent // 4 END AS level FROM t),
+        n AS (SELECT file_id, max(level) AS depth, arg_min(line, {'a': -level, 'b': line}) FILTER (level IS NOT NULL) AS line, count(*) FILTER (NOT blank) AS n FROM v GROUP BY 1),
+        e AS (SELECT file_id, 'simplify_conditional' AS kind, line, 1 AS effort FROM n WHERE depth >= 4 UNION ALL SELECT file_id, 'extract_method', start, 2 FROM bodies WHERE stop - start + 1 > 12 UNION ALL SELECT file_id, 'split_file', 1, 3 FROM n WHERE n > 25)
+        SELECT file_id, kind, line, (row_number() OVER w)::INT AS rank FROM e WINDOW w AS (PARTITION BY file_id ORDER BY effort, line) QUALIFY row_number() OVER w <= 3""",
+)
+
+
+def _pairs(f):
+    """The tests of a group of files and what its other files define: a group is what a file's number leaves when divided by 40."""
+    g = f.where("lang = 'python'").withColumn("group", F.col("file_id") % 40)
+    tests = g.where("path like 'src/tests/%'").select("group", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("token"))
+    names = lines.functions(g.where("path not like 'src/tests/%'")).select((F.col("file_id") % 40).alias("group"), "name")
+    return k.untested_names(tests.distinct(), names)
+
+
+add(
+    "l25_untested_names", _pairs,
+    SQL + """, w AS (SELECT DISTINCT file_id % 40 AS "group", unnest(regexp_extract_all(code, '([A-Za-z_][A-Za-z0-9_]*)', 1)) AS token FROM files WHERE lang = 'python' AND path LIKE 'src/tests/%'),
+        n AS (SELECT DISTINCT b.file_id % 40 AS "group", name AS token FROM bodies b JOIN files f USING (file_id) WHERE path NOT LIKE 'src/tests/%' AND NOT starts_with(name, '_'))
+        SELECT DISTINCT "group" FROM w WHERE "group" IN (SELECT "group" FROM n) AND "group" NOT IN (SELECT w."group" FROM w JOIN n ON n."group" = w."group" AND n.token = w.token)""",
+)
+
 #: Where the parts of the full scan come from: rule, query, column with the line.
 FULL = [
     ("AI001", "l01_placeholders", "line"), ("AI003", "l02_over_engineering", "line"), ("AI005", "l04_mixed_handlers", "line"), ("AI006", "l05_heavy_imports", "line"), ("AI007", "l06_security_theatre", "line"),

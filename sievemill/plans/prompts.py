@@ -8,13 +8,14 @@ from ..functions.text import FOREIGN
 from ..operators import architecture as a
 from ..operators import prompts as p
 from ..operators import quality, scan
+from ..operators.checks import inferred_severity
 from ..operators.lines import lines
 from ..sources.corpus import FILES_SQL, files, quoted
-from ..sources.tables import table
+from ..sources.tables import VALIDATIONS_SQL, table, validations
 from .history import rounded
 from .lookaround import LINES
 from .planning import listed, rlike
-from .scanning import SCORES, VIOLATIONS
+from .scanning import SCORES, VIOLATIONS, spans_sql
 
 QUERIES, ORACLE = {}, {}
 SECURITY = r"\bauth\b|\bauthentication\b|\bauthorization\b|\blogin\b|\bpassword\b|\btoken\b|\bjwt\b|\bsession\b|\bpermission\b|\baccess control\b|\bencrypt\b|\bhash\b|\bsecure\b|\bsecurity\b|\bapi key\b|\bsecret\b"
@@ -144,3 +145,20 @@ add(
     "j13_guardrails", lambda s, d: a.guardrails(_prompts(s, d), s.createDataFrame(TRIGGERS, "domain string, ord int, trigger string, n_items int")),
     PROMPTS + f", t(domain, ord, trigger, n_items) AS (VALUES {', '.join(map(str, TRIGGERS))}), n AS (SELECT prompt_id, domain, count(*) AS hits, min(ord) AS ord, min(n_items) AS n_items FROM prompts JOIN t ON contains(lower(text), trigger) GROUP BY ALL), b AS (SELECT *, coalesce(sum(n_items) OVER (PARTITION BY prompt_id ORDER BY hits DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT prompt_id, domain, least(n_items, 3 - before)::INT AS items FROM b WHERE before < 3",
 )
+
+
+def _named(spark, sf_dir):
+    more = F.concat(F.lit(" see src/app/f"), "prompt_id", F.lit(".py and run load_all() or os.path.join with db.rows()"))
+    return _prompts(spark, sf_dir).withColumn("text", F.concat("text", more))
+
+
+_SPANS = " || ".join(f"list_transform({spans_sql('text', quoted(q))}, lambda s: {{'start': s.start, 'stop': s.\"end\", 'at': {i}, 'kind': '{n}'}})" for i, (n, q) in enumerate(p.ENTITIES.items()))
+add(
+    "x02_entities", lambda s, d: p.entities(_named(s, d)),
+    PROMPTS + f""", m AS (SELECT prompt_id, text || ' see src/app/f' || prompt_id || '.py and run load_all() or os.path.join with db.rows()' AS text FROM prompts), a AS (SELECT prompt_id, text, unnest({_SPANS}) AS s FROM m)
+        SELECT prompt_id, s.kind AS kind, s.start AS start, s.stop AS stop, substring(text, s.start + 1, s.stop - s.start) AS named FROM a WHERE NOT EXISTS (FROM a b WHERE b.prompt_id = a.prompt_id AND b.s.start <= a.s.start AND b.s.stop >= a.s.stop AND (b.s.stop - b.s.start > a.s.stop - a.s.start OR b.s.at < a.s.at))""",
+)
+add(
+    "p18_inferred_severity", lambda s, d: validations(s, d).select(F.explode("rules").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n")).withColumn("severity", inferred_severity(F.col("rule_id"))),
+    f"WITH {VALIDATIONS_SQL} SELECT rule_id, count(*) AS n, CASE WHEN regexp_matches(rule_id, '^(?:SEC|PY001|PY002|PY003|PY004|PY007|PY008|PY009|PY010)') THEN 'error' ELSE 'warning' END AS severity FROM (SELECT unnest(rules) AS rule_id FROM validations) GROUP BY 1",
+)
