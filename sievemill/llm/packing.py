@@ -8,11 +8,13 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ END_ID = 1
 #: The share of windows that may be added so that pieces fit whole; beyond it, what still doesn't fit is cut.
 SLACK = 0.01
 #: New words that are tokenized as one text, and the word between them.
-AT_ONCE, BORDER = 500, "\0"
+AT_ONCE, BORDER = 100, "\0"
+#: Letters, digits and marks that NFC leaves alone, whose classes all versions of Unicode agree on, also in lower case.
+SIMPLE = r"[!-~\u00a1-\u012f\u0131-\u024f]+"
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
@@ -106,29 +110,44 @@ class Tokenizer:
         suffix = spec["model"].get("end_of_word_suffix") or ""
         own = [t.removesuffix(suffix) for t in border.tokens] in ([BORDER], ["Ā"])  # itself, or as byte-level vocabularies spell it
         self.border = border.ids[0] if own else None
-
-    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(i) for i in found])])
+        self.special = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))  # found before anything else, in their own case
+        self.parts = parts_of(spec) if own else None
+        if self.parts:
+            self.simple = re.compile(f"(?!.*(?i:{self.special})){SIMPLE}" if self.special else SIMPLE)
+            later = steps_of(spec, "pre_tokenizer", "pretokenizers")[1:]
+            self.quick = Library.from_str(json.dumps(spec | {
+                "normalizer": {"type": "Lowercase"} if self.lower else None,
+                "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *later]},
+            }))
+
+    def ids_of(self, texts: list[str], library=None) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.int64) for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int64), *found]), np.concatenate([[0], np.cumsum([len(i) for i in found], dtype=np.int64)])
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new words. Words of simple characters are cut at the tokenizer's own pattern here, so that the library need not
+        normalise and match them; the others go to it as they are."""
+        texts = [w.decode() for w in words]
+        if not self.parts:
+            return self.jointly(texts)
+        simple = np.fromiter((self.simple.fullmatch(t) is not None for t in texts), bool, len(texts))
+        return woven(simple, lambda side: self.jointly([t for t, s in zip(texts, simple.tolist(), strict=True) if s == side], side))
+
+    def jointly(self, words: list[str], simple: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Many words are tokenized as one text, with BORDER as a word between them, since a call for each costs more than its tokens."""
-        if self.border is None or any(BORDER.encode() in w for w in words):
-            return self.ids_of([w.decode() for w in words])
-        joined = [f" {BORDER} ".join([*(w.decode() for w in words[k : k + AT_ONCE]), ""]) for k in range(0, len(words), AT_ONCE)]
-        ids, _ = self.ids_of(joined)
+        if self.border is None or not simple and any(BORDER in w for w in words):
+            return self.ids_of(words)
+        joined = [f" {BORDER} ".join([*words[k : k + AT_ONCE], ""]) for k in range(0, len(words), AT_ONCE)]
+        ids, _ = self.ids_of([" ".join(self.parts.findall(j)) for j in joined], self.quick) if simple else self.ids_of(joined)
         ends = np.flatnonzero(ids == self.border)
         return np.delete(ids, ends), np.concatenate([[0], ends - np.arange(len(ends))])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with END_ID after each text, and where each text starts (one more entry closes the last)."""
         if self.by_words:
-            units, counts = [], [0]
-            for text in texts:
-                units += (text.lower() if self.lower else text).split()  # A-Z alone: lower case comes first in any case
-                counts.append(len(units))
-            ids, ends = self.memo.ids(units)
-            ends = ends[np.array(counts)]
+            whole = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+            odd = pc.match_substring_regex(whole, self.special, ignore_case=True).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), bool)
+            ids, ends = woven(odd, lambda side: self.ids_of(whole.filter(pa.array(odd)).to_pylist()) if side else self.of_words(whole.filter(pa.array(~odd))))
         else:
             ids, ends = self.ids_of([t.decode() for t in texts])
         first = ends + np.arange(len(ends))
@@ -138,6 +157,31 @@ class Tokenizer:
         out[own] = ids
         return out, first
 
+    def of_words(self, whole: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts by their words, of which each is looked up once."""
+        words = pc.ascii_split_whitespace(pc.ascii_lower(whole) if self.lower else whole)  # A-Z alone: lower case comes first in any case
+        flat = words.flatten()
+        real = pc.binary_length(flat).to_numpy() > 0
+        counts = np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        known = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+        ids, ends = self.memo.ids(known.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), known.indices.to_numpy())
+        return ids, ends[counts]
+
+
+def woven(mask: np.ndarray, found: Callable[[bool], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of units of two kinds in the units' order, and where each unit's start: found(True) has those of the mask, found(False)
+    the others'."""
+    if not mask.any() or mask.all():
+        return found(bool(mask.any()))
+    sides, size = {side: found(side) for side in (False, True)}, np.zeros(len(mask), np.int64)
+    for side, (_, start) in sides.items():
+        size[mask == side] = np.diff(start)
+    owner = np.repeat(mask, size)
+    ids = np.zeros(len(owner), np.int64)
+    for side, (own, _) in sides.items():
+        ids[owner == side] = own
+    return ids, np.concatenate([[0], np.cumsum(size)])
+
 
 def splits_at_space(spec: dict) -> bool:
     """Whether a tokenizer's file says that white space is dropped and parts words before anything else: its first pre-tokenizer
@@ -152,6 +196,16 @@ def splits_at_space(spec: dict) -> bool:
     return (dropped or first.get("type") in ("Whitespace", "WhitespaceSplit")) and all(n["type"] in calm or n == spaces for n in steps_of(spec, "normalizer", "normalizers"))
 
 
+def parts_of(spec: dict) -> regex.Pattern | None:
+    """The pattern of the words' parts, where a tokenizer's file has one and nothing but NFC and lower case comes before it."""
+    first = (steps_of(spec, "pre_tokenizer", "pretokenizers") or [{}])[0]
+    calm = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" for n in steps_of(spec, "normalizer", "normalizers"))
+    if not splits_at_space(spec) or first["type"] != "Split" or not calm:
+        return None
+    pattern = regex.compile(first["pattern"]["Regex"])
+    return None if pattern.groups else pattern
+
+
 def steps_of(spec: dict, part: str, inner: str) -> list[dict]:
     """The steps of a part of a tokenizer's file, which may be one alone or a sequence."""
     found = spec.get(part)

@@ -132,11 +132,13 @@ class Memo(dict):
         self[unit] = n = len(self)
         return n
 
-    def ids(self, units: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units, one after the other, and where each unit's start (one more entry closes the last)."""
+    def ids(self, units: list, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and where each unit's start (one more entry closes the last); with `at`, of the
+        units at these places of the list."""
         if self.bytes.sum() > self.limit:
             self.shrink()
         number = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+        number = number if at is None else number[at]
         if self.new:
             ids, start = self.learn(self.new)
             size = np.array([sys.getsizeof(u) for u in self.new])

@@ -218,6 +218,7 @@ def test_words_of_all_kinds_have_the_tokenizers_ids():
     library, own = Tokenizer.from_file(BPE), packing.Tokenizer(BPE)
     assert own.by_words and own.border is not None and not packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json")).by_words
     odd = ["", " \t", "It's \x00 a\x00b", "İSTANBUL ﬁne", "e\u0301 \u0301x", "a\u00a0b\u2003c\u200bd", "<|endoftext|>x", "x<|startoftext|> y", "漢字😀 12,5%", "A" * 3000, "ΑΣ ΑΣΑ"]
+    odd += ["don't he'S I'M", "a <|STARTOFTEXT|> b", "x\x85y a\x1cb \x0b", "ª² ¼ ŉ ſ ȺǅǄ \u00ad", "A1b22c!!x--'s''t été"]
     for texts in (odd, [" ".join(odd)], odd):
         ids, first = own.encode([t.encode() for t in texts])
         for t, a, b in zip(texts, first, first[1:], strict=False):
