@@ -78,6 +78,20 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def words(text: Column) -> Column:
+    """How many runs of characters between ASCII white space there are."""
+    return count(text, r"[^ \t\n\f\r]+")
+
+
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def collapsed(text: Column) -> Column:
+    """text with each run of ASCII white space made one space, and none at its ends."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\f\r]+", " "))
+
+
 def glob_to_regex(glob: str) -> str:
     """The regex of a path glob in which * crosses /."""
     escaped = "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() or c in "/_-" else "\\" + c) for c in glob)

@@ -41,6 +41,11 @@ MARKERS = {
 }
 DESIGN, NEXT_SECTION, TAG = r"(?im)^##\s+Low-?Level Design\s*$", r"(?m)^##\s+\S", r"\[(NEW|EXISTING)\]"
 CITATION, SYMBOL = r"/[\w.-]+\.[A-Za-z]{1,5}\b|[\w.-]+\.[A-Za-z]{1,5}:\d+", r"`(?:def |class |async def )?([A-Za-z_][\w.]*)"
+#: Plans of epics, stories and subtasks, with what stories and subtasks must have.
+LAYER_SECTIONS = {"Research Notes": SECTIONS["Research Notes"], "Epic Layer": r"(?i)##?\s*Epic\s+Layer", "Story Layer": r"(?i)##?\s*Story\s+Layer"}
+STORY, SUBTASK = r"(?im)^###\s+Story\s+[\w.\-]+", r"(?m)^#####\s+[\w.\-]+"
+STORY_FIELDS = [r"(?i)\*\*As\*\*", r"(?i)\*\*I want\*\*", r"(?i)\*\*So that\*\*", r"(?i)\*\*Acceptance Criteria:?\*\*"]
+SUBTASK_FIELDS = [*(rf"(?i)\*\*{f}:\*\*" for f in FIELDS), r"(?i)\*\*Depends on:?\*\*"]
 #: What a finding takes from a plan's score, and from which score on a model may do the plan.
 PENALTIES = {"phantom": 0.15, "dependency": 0.10, "grounding": 0.05, "vague": 0.03, "anchors": 0.10, "uniqueness": 0.10, "unresolved": 0.07, "atomicity": 0.05}
 SOFT = ("phantom", "dependency", "grounding", "vague")
@@ -176,6 +181,24 @@ def plan_scores(plans: DataFrame, model: str = "haiku") -> DataFrame:
     return each.withColumn("overall", overall).withColumn("ready", F.col("clean") & (F.col("overall") >= READY.get(model, 0.9))).drop("clean")
 
 
+def layered_plan_scores(plans: DataFrame, model: str = "haiku") -> DataFrame:
+    """The same columns for plans of epics, stories and subtasks: vague words, missing sections, and fields that stories and subtasks lack. A
+    story reaches as far as the next story, a subtask as far as the next subtask. All is counted in the plan's own row: no shuffle."""
+    yes = lambda c: F.when(c, 1).otherwise(0)
+
+    def lacking(heading: str, fields: list[str]) -> Column:
+        parts = F.split("text", heading, -1)
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), F.lit(0), lambda n, part: n + sum((yes(~part.rlike(f)) for f in fields), F.lit(0)))
+
+    vague = sum((count(F.col("text"), p) for p in VAGUE + OPEN), F.lit(0))
+    sections = sum((yes(~F.col("text").rlike(p)) for p in LAYER_SECTIONS.values()), F.lit(0))
+    n = plans.select("plan_id", vague.alias("v"), sections.alias("s"), (lacking(STORY, STORY_FIELDS) + lacking(SUBTASK, SUBTASK_FIELDS)).alias("f"))
+    score = lambda c, penalty: F.greatest(F.lit(0.0), 1.0 - F.col(c) * penalty)
+    each = n.select("plan_id", score("v", 0.1).alias("clarity"), score("s", 0.25).alias("completeness"), score("f", 0.05).alias("grounding"), F.lit(1.0).alias("atomicity"), (F.col("v") + F.col("s") + F.col("f") == 0).alias("clean"))
+    overall = F.col("clarity") * 0.25 + F.col("completeness") * 0.25 + F.col("grounding") * 0.30 + F.col("atomicity") * 0.20
+    return each.withColumn("overall", overall).withColumn("ready", F.col("clean") & (F.col("overall") >= READY.get(model, 0.9))).drop("clean")
+
+
 def verify(plans: DataFrame, files: DataFrame) -> DataFrame:
     """plan_id, version, a count for each kind of finding, coverage (1 less the penalties, 0 at least), verified. Plans of a version
     below 2 are held to the first four kinds alone."""

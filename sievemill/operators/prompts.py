@@ -32,6 +32,42 @@ LANGUAGES = {
 RAG = r"\brag\b|\bretrieval.augmented\b|\bvector\s*(store|db|database)\b|\bembedding[s]?\b|\bknowledge\s*graph\b|\bgraphrag\b|\bchunking\b|\bsimilarity.search\b|\bsemantic.search\b|\bretriever\b|\breranking\b|\bvector.index\b"
 GRAPH = r"\bknowledge\s*graph\b|\bgraphrag\b|\bgraph\s*database\b|\bgraph\s*traversal\b|\bentity\s*relation\b|\bentity\s*extraction\b|\bontology\b|\bcypher\b|\bgremlin\b|\btriple\s*store\b|\brdf\b|\bsparql\b|\bproperty\s*graph\b"
 RAG_FRAMEWORKS, GRAPH_FRAMEWORKS = r"\b(chromadb|pinecone|faiss|neo4j|weaviate|milvus|qdrant)\b", r"\b(neo4j|weaviate)\b"
+FRAMEWORKS = {
+    "react": [r"\breact\b", r"\.jsx", r"\.tsx", r"\bcomponent\b"],
+    "next.js": [r"\bnext\.?js\b", r"\bapp router\b", r"\bpages router\b"],
+    "vue": [r"\bvue\b", r"\.vue$", r"\bnuxt\b"],
+    "fastapi": [r"\bfastapi\b", r"\bpydantic\b"],
+    "django": [r"\bdjango\b"],
+    "express": [r"\bexpress\b"],
+    "prisma": [r"\bprisma\b"],
+    "tailwind": [r"\btailwind\b", r"\btailwindcss\b"],
+    "langchain": [r"\blangchain\b", r"\bcreate_agent\b", r"\bAgentExecutor\b"],
+    "langgraph": [r"\blanggraph\b", r"\bStateGraph\b", r"\badd_conditional_edges\b"],
+    "chromadb": [r"\bchroma(?:db)?\b", r"\bchroma_client\b", r"\bPersistentClient\b"],
+    "pinecone": [r"\bpinecone\b"],
+    "faiss": [r"\bfaiss\b", r"\bIndexFlat\b"],
+    "neo4j": [r"\bneo4j\b", r"\bcypher\b", r"\bNeo4jVector\b"],
+    "weaviate": [r"\bweaviate\b", r"\bWeaviateClient\b"],
+    "milvus": [r"\bmilvus\b", r"\bMilvusClient\b", r"\bpymilvus\b"],
+    "qdrant": [r"\bqdrant\b", r"\bQdrantClient\b"],
+    "anthropic-sdk": [r"\bimport\s+anthropic\b", r"from\s+anthropic\s+import", r"\bclient\.messages\.create\b"],
+    "openai-sdk": [r"\bimport\s+openai\b", r"from\s+openai\s+import", r"\bclient\.chat\.completions\b"],
+    "vercel-ai": [r"from\s+['\"]ai['\"]", r"\bstreamText\b", r"\bgenerateText\b", r"\bgenerateObject\b"],
+    "llamaindex": [r"\bllama[_-]?index\b", r"\bVectorStoreIndex\b", r"\bQueryEngine\b"],
+    "autogen": [r"\bimport\s+autogen\b", r"\bConversableAgent\b", r"\bGroupChatManager\b"],
+    "instructor": [r"\bimport\s+instructor\b", r"\binstructor\.from_\w+\b", r"\bresponse_model\b"],
+    "pydantic-ai": [r"from\s+pydantic_ai\s+import", r"\bpydantic[_\-]ai\b", r"\bRunContext\b"],
+    "haystack": [r"\bimport\s+haystack\b", r"from\s+haystack\s+import", r"\bPipeline\b.*\bComponent\b"],
+    "openai-agents": [r"from\s+openai_agents\s+import", r"@function_tool\b", r"\bRunner\.run\b"],
+    "mcp-server": [r"from\s+fastmcp\s+import", r"@mcp\.tool", r"@mcp\.resource", r"\bmcp\.run\b"],
+    "aspnetcore": [r"\basp\.net\s*core\b", r"\bIActionResult\b", r"\bControllerBase\b", r"\bapp\.MapGet\b", r"\[ApiController\]"],
+    "sqlalchemy": [r"\bsqlalchemy\b", r"\bDeclarativeBase\b", r"\bAsyncSession\b"],
+    "axum": [r"\baxum\b", r"\bRouter::new\b", r"\bIntoResponse\b"],
+    "zustand": [r"from\s+['\"]zustand['\"]", r"\bcreateStore\b", r"\bcreate\s*\(\s*\(set\b"],
+    "tanstack-query": [r"@tanstack/react-query", r"\buseQuery\b", r"\bqueryKey\b", r"\bQueryClient\b"],
+    "graphql": [r"\bgraphql\b", r"\btype\s+Query\s*\{", r"\btype\s+Mutation\s*\{", r"\bgql\b"],
+    "opentelemetry": [r"\bopentelemetry\b", r"from\s+opentelemetry", r"\bTracerProvider\b", r"\btracer\.start"],
+}
 VAGUE, ASKED = ["something", "stuff", "thing", "it", "this", "that", "some"], ["something", "stuff", "thing", "it", "this", "that"]
 CEREMONY, TASK_SCORE = ["micro", "light", "standard", "thorough"], {"generation": 2, "refactor": 2, "planning": 4, "documentation": 0}
 
@@ -42,14 +78,19 @@ def scores(text: Column, signs: dict) -> Column:
     return F.reverse(F.array_sort(F.filter(F.array(*each), lambda s: s["score"] > 0)))
 
 
+def frameworks(low: Column) -> Column:
+    """The frameworks whose signs are in a lower-case text, in the order of the table."""
+    return F.array_compact(F.array(*[F.when(low.rlike("(?i)" + "|".join(signs)), name) for name, signs in FRAMEWORKS.items()]))
+
+
 def classify(prompts: DataFrame, security: str, ask_from: float = 0.6) -> DataFrame:
-    """prompt_id, task, others (scores of 4 and more, best first), language, three flags, ambiguity, questions, ceremony."""
+    """prompt_id, task, others (scores of 4 and more, best first), language, frameworks, three flags, ambiguity, questions, ceremony."""
     low = plain(F.lower("text"))
     rows = prompts.select("prompt_id", low.alias("low"), F.length("text").alias("n"), F.size(F.array_remove(F.split(F.trim("text"), r"\s+"), "")).alias("words"), scores(low, TASKS).alias("tasks"), F.get(scores(low, LANGUAGES), F.lit(0))["name"].alias("language"))
     rows = rows.select(
         "prompt_id", "low", "n", "words", "language", F.coalesce(F.get("tasks", F.lit(0))["name"], F.lit("unknown")).alias("task"),
         F.transform(F.filter(F.slice("tasks", 2, len(TASKS)), lambda t: t["score"] >= 4), lambda t: t["name"]).alias("others"),
-        F.col("low").rlike(security).alias("security"), F.col("low").rlike(f"{RAG}|{RAG_FRAMEWORKS}").alias("rag"), F.col("low").rlike(f"{GRAPH}|{GRAPH_FRAMEWORKS}").alias("graph"),
+        F.array_join(frameworks(F.col("low")), ",").alias("frameworks"), F.col("low").rlike(security).alias("security"), F.col("low").rlike(f"{RAG}|{RAG_FRAMEWORKS}").alias("rag"), F.col("low").rlike(f"{GRAPH}|{GRAPH_FRAMEWORKS}").alias("graph"),
     )
     short, unknown, no_language = F.col("words") < 5, F.col("task") == "unknown", F.col("language").isNull()
     part = lambda c, x: F.when(c, x).otherwise(0)
@@ -63,7 +104,7 @@ def classify(prompts: DataFrame, security: str, ask_from: float = 0.6) -> DataFr
     score = weight + part(F.size("others") > 0, 1) + part(F.col("n") >= 200, 1) + part(F.col("n") >= 500, 1)
     level = F.when(score <= 1, 0).when(score == 2, 1).when(score <= 5, 2).otherwise(3)
     level = F.greatest(level, part(F.col("security") | F.col("rag") | F.col("graph") | (F.col("ambiguity") >= ask_from), 2), part(F.col("task") == "planning", 3))
-    return rows.select("prompt_id", "task", F.array_join("others", ",").alias("others"), "language", "security", "rag", "graph", "ambiguity", F.array_join("questions", ",").alias("questions"), F.element_at(F.array(*map(F.lit, CEREMONY)), level + 1).alias("ceremony"))
+    return rows.select("prompt_id", "task", F.array_join("others", ",").alias("others"), "language", "frameworks", "security", "rag", "graph", "ambiguity", F.array_join("questions", ",").alias("questions"), F.element_at(F.array(*map(F.lit, CEREMONY)), level + 1).alias("ceremony"))
 
 
 #: Concerns of a line, and what makes a review of security or of depth.

@@ -138,10 +138,20 @@ def confidence(scores: DataFrame) -> DataFrame:
     return scores.select("file_id", level.alias("confidence"))
 
 
+#: How many standards of a topic a level of stringency asks for.
+ITEMS = {"strict": 5, "moderate": 3, "permissive": 1}
+
+
 def stringency(level: Column) -> Column:
     return F.when(level >= 0.7, "strict").when(level >= 0.3, "moderate").otherwise("permissive")
 
 
+def items(level: Column) -> Column:
+    """How many standards of a topic to give at a level between 0 and 1."""
+    name = stringency(level)
+    return F.when(name == "strict", ITEMS["strict"]).when(name == "moderate", ITEMS["moderate"]).otherwise(ITEMS["permissive"])
+
+
 def suggest_profile(scores: DataFrame) -> DataFrame:
     """A profile for each project by its average score, pass rate and number of files."""
     out = scores.groupBy("project").agg(F.round(F.avg("score"), 9).alias("avg_score"), F.round(F.avg(F.col("passed").cast("double")), 9).alias("pass_rate"), F.count("*").alias("files"))

@@ -1,7 +1,7 @@
 """Registered queries by name, and their SQL."""
 
-from . import checks, history, ingest, lookaround, planning, prompts, scanning
+from . import advice, checks, history, ingest, lookaround, planning, prompts, scanning
 
-_MODULES = (history, scanning, lookaround, planning, ingest, checks, prompts)
+_MODULES = (history, scanning, lookaround, planning, ingest, checks, prompts, advice)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

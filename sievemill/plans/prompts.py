@@ -47,6 +47,7 @@ def best_sql(signs: dict) -> str:
     return f"list_reverse_sort(list_filter([{', '.join(each)}], lambda x: x.score > 0))"
 
 
+FRAMEWORKS = listed({name: rlike(LOW, "(?i)" + "|".join(signs)) for name, signs in p.FRAMEWORKS.items()})
 SHORT, UNKNOWN, NO_LANGUAGE = "words < 5", "task = 'unknown'", "language IS NULL"
 _TENTHS = f"CASE WHEN {SHORT} THEN 3 ELSE 0 END + CASE WHEN {UNKNOWN} THEN 3 ELSE 0 END + CASE WHEN {NO_LANGUAGE} THEN 2 ELSE 0 END" + "".join(f" + CASE WHEN {rlike('low', chr(92) + 'b' + w + chr(92) + 'b')} THEN 1 ELSE 0 END" for w in p.VAGUE)
 _ASKED = listed({"task": UNKNOWN, "details": SHORT} | {w: rlike("low", rf"\b{w}\b") for w in p.ASKED} | {"language": NO_LANGUAGE})
@@ -58,7 +59,7 @@ add(
         t AS (SELECT *, coalesce(tasks[1].name, 'unknown') AS task, list_transform(list_filter(tasks[2:], lambda x: x.score >= 4), lambda x: x.name) AS others, {rlike('low', SECURITY)} AS security, {rlike('low', p.RAG + '|' + p.RAG_FRAMEWORKS)} AS rag, {rlike('low', p.GRAPH + '|' + p.GRAPH_FRAMEWORKS)} AS graph FROM c),
         u AS (SELECT *, least({_TENTHS}, 10) / 10.0::DOUBLE AS ambiguity FROM t), v AS (SELECT *, CASE WHEN ambiguity >= 0.6::DOUBLE THEN array_to_string({_ASKED}[1:4], ',') ELSE '' END AS questions,
             {_WEIGHT} + CASE WHEN len(others) > 0 THEN 1 ELSE 0 END + CASE WHEN n >= 200 THEN 1 ELSE 0 END + CASE WHEN n >= 500 THEN 1 ELSE 0 END AS weight FROM u)
-        SELECT prompt_id, task, array_to_string(others, ',') AS others, language, security, rag, graph, round(ambiguity, 9) AS ambiguity, questions,
+        SELECT prompt_id, task, array_to_string(others, ',') AS others, language, array_to_string({FRAMEWORKS}, ',') AS frameworks, security, rag, graph, round(ambiguity, 9) AS ambiguity, questions,
             ['micro', 'light', 'standard', 'thorough'][greatest(CASE WHEN weight <= 1 THEN 0 WHEN weight = 2 THEN 1 WHEN weight <= 5 THEN 2 ELSE 3 END, CASE WHEN security OR rag OR graph OR ambiguity >= 0.6::DOUBLE THEN 2 ELSE 0 END, CASE WHEN task = 'planning' THEN 3 ELSE 0 END) + 1] AS ceremony FROM v""",
 )
 

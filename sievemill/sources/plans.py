@@ -16,20 +16,27 @@ PLANS = [
     "# Plan {id}\n## Research Notes\n### Files Verified\n### Step 1: Anchors\n**File:** {path}\n**Action:** edit\n**Details:** do it\n```anchor\n\n```\n```replace\nx\n```\n" + _FULL + "### Step 2: Twice\n**File:** {path}\n**Action:** Edit\n**Details:** if x then y else z\n```anchor\nreturn\n```\n```anchor\na\n```\n```replace\nx\n```\n**Depends on:** n/a\n" + _FULL + "### Step 3: Unique\n**File:** {path}\n**Action:** Edit\n**Details:** once\n```anchor\nreturn\n```\n```replace\nx\n```\n**Depends on:** Step 2\n" + _FULL + "{notes}",
     "no plan at all\n{notes}",
 ]
+LAYERED = [
+    "# Plan {id}\n## Research Notes\nread {path}\n## Epic Layer\none goal\n## Story Layer\n### Story 1 - Load\n**As** a user\n**I want** a table\n**So that** rows stay\n**Acceptance Criteria:** rows are equal\n##### 1.1 - Write\n**File:** {path}\n**Action:** Edit\n**Details:** write it\n**Depends on:** none\n" + _FULL,
+    "# Plan {id}\n## Research notes\n{notes}\n## Epic  layer\n## Story Layer\n### story a.1 - Load\n**As** a user\n**I want** it, maybe\n##### 1.1 Write\n**File:** {path}\n**Depends on** 1\n##### 1.2 More\n**Action:** Edit\n### Story b-2\n**Acceptance criteria**\n",
+    "# Plan {id}\n{notes}\n### Story 1\nIt should probably work, TBD.\n#### 1.1\nno subtask\n##### 1.1\n",
+    "no plan\n{notes}",
+]
 
 
-def plans(files: DataFrame) -> DataFrame:
+def plans(files: DataFrame, texts: list[str] = PLANS) -> DataFrame:
     """plan_id, text."""
     pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (F.col("file_id") % len(items)).cast("int") + 1)
-    text = F.concat(pick(FRONTS), pick(PLANS))
+    text = F.concat(pick(FRONTS), pick(texts))
     for what, by in (("{path}", F.col("path")), ("{id}", F.col("file_id").cast("string")), ("{notes}", F.col("code"))):
         text = F.replace(text, F.lit(what), by)
     return files.select(F.col("file_id").alias("plan_id"), text.alias("text"))
 
 
-#: The same table for DuckDB, over `files`.
-PLANS_SQL = (
-    "plans AS (SELECT file_id AS plan_id, replace(replace(replace(["
-    + ", ".join(map(quoted, FRONTS)) + f"][file_id % {len(FRONTS)} + 1] || [" + ", ".join(map(quoted, PLANS))
-    + f"][file_id % {len(PLANS)} + 1], '{{path}}', path), '{{id}}', file_id::VARCHAR), '{{notes}}', code) AS text FROM files)"
-)
+def plans_sql(texts: list[str] = PLANS) -> str:
+    """The same table for DuckDB, over `files`."""
+    pick = lambda items: f"[{', '.join(map(quoted, items))}][file_id % {len(items)} + 1]"
+    return f"plans AS (SELECT file_id AS plan_id, replace(replace(replace({pick(FRONTS)} || {pick(texts)}, '{{path}}', path), '{{id}}', file_id::VARCHAR), '{{notes}}', code) AS text FROM files)"
+
+
+PLANS_SQL = plans_sql()

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators import scan
 
@@ -69,3 +70,23 @@ def session_totals(validations: DataFrame, minutes: int = 30, late: str = "1 day
     out = validations.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", f"{minutes} minutes").alias("w"))
     totals = out.agg(F.count("*").alias("validations"), F.sum("score").alias("score"), F.max_by("errors", F.struct("ts", "event_id")).alias("errors"), F.approx_count_distinct("file_path").alias("files"))
     return totals.select("session_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "validations", "score", "errors", "files")
+
+
+class LateRows(StreamingQueryListener):
+    """Counts what came after the watermark and was dropped, by the query's name or id: add it to spark.streams before the query starts. What an
+    aggregate combines before it reaches the state (rows of one key in one task) counts once."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(event.name or str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        name = progress.name or str(progress.id)
+        self.dropped[name] = self.dropped.get(name, 0) + sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...

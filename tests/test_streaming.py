@@ -34,3 +34,27 @@ def test_latest_scores(spark, tmp_path):
     last = max((p for p in (tmp_path / "t").iterdir()), key=lambda p: int(p.name[2:]))
     got = {(r["session_id"], r["file_path"]): r["score"] for r in spark.read.parquet(str(last)).collect()}
     assert got == {(r["session_id"], r["file_path"]): r["score"] for r in batch.latest_score(table).collect()}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    import time
+
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
+    try:
+        like = spark.createDataFrame([], "project string, ts timestamp_ntz, errors int")
+        for n, days in enumerate([(10, 10), (20,), (1, 2, 2, 19)]):  # the third file is two days late, three times and once in time
+            rows = spark.createDataFrame([("p", d) for d in days], "project string, d int").selectExpr("project", "cast(make_date(2024, 1, d) as timestamp_ntz) as ts", "1 as errors")
+            rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            time.sleep(1.1)  # files are read in the order of their times
+        out = jobs.daily(jobs.stream(spark, f"{tmp_path}/in", like))
+        query = out.writeStream.queryName("days").format("memory").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        for _ in range(100):
+            if late.dropped.get("days"):
+                break
+            time.sleep(0.2)
+        assert late.dropped["days"] == 2  # two keys, one of them with two rows
+        assert {r["day"] for r in spark.table("days").collect()} == {"2024-01-10"}
+    finally:
+        spark.streams.removeListener(late)
