@@ -80,7 +80,32 @@ QUERIES = {
     "op10_kk_packing": op10_kk_packing,
 }
 
+def folded(bit: int) -> int:
+    """What a set bit of the lowest byte leaves in a crc32 after eight steps."""
+    c = 1 << bit
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+#: size and crc32 of the text of each document: bytes are folded into the checksum bit by bit, as each bit's share is known.
+_FOLD = "c >> 8"
+for _bit in range(8):
+    _FOLD = f"xor({_FOLD}, (xor(c, x) >> {_bit} & 1) * {folded(_bit)})"
+CRC = f"""
+    spelt AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    bytes AS (SELECT *, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM spelt),
+    rows_ AS (SELECT doc_id, source, length(h) // 2 + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: {_FOLD}), 4294967295) AS text_crc32 FROM bytes)
+"""
+
 ORACLE = {
+    "op6_stratified_shards": f"""
+        WITH {CRC}, drawn AS (SELECT *, md5(concat_ws(':', 17, doc_id, text_crc32, size)) AS draw FROM rows_),
+        ranked AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS share FROM drawn),
+        placed AS (SELECT *, row_number() OVER (ORDER BY share, draw, doc_id, text_crc32, size, source) - 1 AS place, count(*) OVER () AS n FROM ranked),
+        dealt AS (SELECT *, (place * 8 // n)::INT AS shard FROM placed)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard, source AS stratum FROM dealt
+    """,
     "op9_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS terms FROM embeddings

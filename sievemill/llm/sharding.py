@@ -11,12 +11,12 @@ from .shared import position
 def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, key: str = "doc_id", text: str = "text", stratum: str = "source") -> DataFrame:
     """Put each row into one of `shards` shards whose row counts differ by one at most and whose mixtures of strata match.
 
-    Rows are shuffled by a seeded hash and ranked within their stratum; (rank + 1/2) / (rows of the stratum) spreads each
+    Rows are shuffled by a seeded hash (md5 of seed, key, checksum and size, so that any engine gives the same shards) and ranked within their stratum; (rank + 1/2) / (rows of the stratum) spreads each
     stratum evenly over the unit interval. The order of these fractions is cut into equal runs of rows, so every shard
     holds its share of each stratum to within one row.
 
     Returns key, size (UTF-8 bytes of the text plus 1), text_crc32, stratum, shard, slot (gapless from 0 in the shard).
-    Null text: size 1, crc 0. Null stratum: a stratum of its own. Null keys and repeated rows are rows like others.
+    Ties: by key, checksum, size and stratum; rows equal in all of these are alike. Null text: size 1, crc 0. Null stratum: a stratum of its own. Null keys and repeated rows are rows like others.
     Empty table: no rows. Other columns play no part.
     """
     spark = docs.sparkSession
@@ -26,12 +26,12 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 17, key: str
         (F.octet_length(binary) + 1).cast("long").alias("size"),
         F.crc32(binary).alias("text_crc32"),
         F.when(F.col(stratum).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(stratum).cast("string"))).alias("_stratum"),
-    ).withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    ).withColumn("_draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), "text_crc32", "size")))
     order = ["_draw", "doc_id", "text_crc32", "size"]
     ranked = position(rows, ["_stratum", *order], "_rank", group="_stratum")
     sizes = ranked.groupBy("_stratum").agg(F.count("*").alias("_of"))
     spread = ranked.join(sizes, "_stratum").withColumn("_share", (F.col("_rank") + 0.5) / F.col("_of"))
-    placed = position(spread, ["_share", *order], "_place")
+    placed = position(spread, ["_share", *order, "_stratum"], "_place")
     total = placed.agg(F.count("*").alias("_all"))
     return (
         placed.join(F.broadcast(total))  # one row

@@ -396,6 +396,21 @@ def test_model_is_a_distribution(spark):
 # -- shards -----------------------------------------------------------------------------------------------
 
 
+def test_shards_are_those_of_the_law(spark, odd_docs):
+    rows = [(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["source"]) for r in odd_docs.collect()]
+    draw = {r: hashlib.md5(":".join(str(v) for v in (17, r[0], r[2], r[1]) if v is not None).encode()).hexdigest() for r in rows}
+    strata = {}
+    for r in sorted(rows, key=lambda r: (draw[r], r[0] is not None, r[0] or 0)):
+        strata.setdefault(r[3], []).append(r)
+    shares = sorted(((k + 0.5) / len(held), draw[r], r[0] is not None, r[0] or 0, s is None, s or "", k, r) for s, held in strata.items() for k, r in enumerate(held))
+    shards, want = Counter(), Counter()
+    for place, (*_, r) in enumerate(shares):
+        shard = place * 3 // len(shares)
+        want[(*r, shard, shards[shard])] += 1
+        shards[shard] += 1
+    assert Counter(tuple(r[c] for c in ("doc_id", "size", "text_crc32", "stratum", "shard", "slot")) for r in sharding.stratified_shards(odd_docs, shards=3).collect()) == want
+
+
 def test_shards(spark, odd_docs):
     many = odd_docs.union(spark.range(500).selectExpr("id + 1000", "cast(id as string)", "'en'", "if(id % 3 = 0, 'hot', 's' || id % 7)", "0L"))
     out = sharding.stratified_shards(clashing(many)).collect()
