@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, html, language, lempelziv, neardup, packing, sentencepiece, sharding, suffixes, topk
+from . import brown, html, language, lempelziv, neardup, packing, sentencepiece, sharding, spelling, suffixes, tokencounts, topk, whitening
 from .shared import crc_mod
 
 
@@ -67,6 +67,18 @@ def op10_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least=5, shortest=6, one_in=199)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
 QUERIES = {
     "op1_brown_scores": op1_brown_scores,
     "op2_language_id": op2_language_id,
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_exact_topk": op9_exact_topk,
     "op10_kk_packing": op10_kk_packing,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 def folded(bit: int) -> int:
@@ -98,6 +113,19 @@ CRC = f"""
     rows_ AS (SELECT doc_id, source, length(h) // 2 + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: {_FOLD}), 4294967295) AS text_crc32 FROM bytes)
 """
 
+#: Each run of at least six letters of a document, lower-cased, with its checksum as above; then without the letter that it loses. Letters beyond ASCII
+#: stand for one byte each where edits are counted.
+SPELT = f"""
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS raw FROM documents),
+    low AS (SELECT id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(raw) >= 6 GROUP BY 1, 2),
+    hexed AS (SELECT *, hex(encode(id || ':' || run)) AS h FROM low),
+    bytes AS (SELECT *, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM hexed),
+    hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: {_FOLD}), 4294967295) AS h FROM bytes),
+    typed AS (SELECT CASE WHEN h % 199 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+    narrow AS (SELECT word, n, length(word) AS size, translate(word, '{"".join(chr(0xC0 + i) for i in range(64))}', '{"".join(chr(0x21 + i) for i in range(64)).replace("'", "''")}') AS spelt FROM words)
+"""
+
 ORACLE = {
     "op6_stratified_shards": f"""
         WITH {CRC}, drawn AS (SELECT *, md5(concat_ws(':', 17, doc_id, text_crc32, size)) AS draw FROM rows_),
@@ -115,4 +143,14 @@ ORACLE = {
         WINDOW best AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.terms, v.terms) DESC, v.vec_id)
         QUALIFY row_number() OVER best <= 5
     """,
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {SPELT},
+        near AS (SELECT a.word, a.n, b.word AS other, b.n AS n_other FROM narrow AS a JOIN narrow AS b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word AND levenshtein(a.spelt, b.spelt) = 1),
+        best AS (SELECT word, count(*) AS n_near, max(n_other) AS most FROM near GROUP BY word),
+        formed AS (SELECT near.word, min(other) AS form, any_value(most) AS form_n FROM near JOIN best USING (word) WHERE n_other = most AND most >= 5 * n GROUP BY near.word),
+        led AS (SELECT word, form AS root, 1 AS step FROM formed UNION ALL SELECT led.word, formed.form, step + 1 FROM led JOIN formed ON led.root = formed.word),
+        last AS (SELECT word, arg_max(root, step) AS root FROM led GROUP BY word)
+        SELECT w.word, form, coalesce(last.root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+        FROM words AS w LEFT JOIN best USING (word) LEFT JOIN formed USING (word) LEFT JOIN last USING (word)
+    """,
 }
