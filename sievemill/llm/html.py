@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,6 +36,7 @@ FILL_WORDS = frozenset(
 #: What the smoothed ratios of lines count for: in marked asides, under doubtful names, in marked main parts.
 ASIDE_WEIGHT, DOUBTFUL_WEIGHT, MAIN_WEIGHT = 0.02, 0.1, 1.5
 CONTAINERS = MAIN | frozenset("body div section td".split())
+_TAG = re.compile(r"<[A-Za-z/!?]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -52,16 +55,42 @@ def named_weight(names: str) -> float:
 class Lines(HTMLParser):
     """Turns parser events into lines, one for each run of text between borders of blocks: (text, characters outside links,
     tags, region). Regions are numbered as they open; 0 is what elements, roles or attributes say is no content. Events are taken
-    as they come; only the lines and the open elements are kept."""
+    as they come; only the lines and the open elements are kept. Time is linear in the page: what is never closed (a tag, a quoted value,
+    a comment) reaches to the page's end, as HTML has it, and isn't looked for again; unknown sections are comments up to the next >."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.names: Counter[str] = Counter()  # of open elements
+        self.endless = False  # a tag or comment has no end
         self.lines: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, bool, int]] = []  # name, content, region
         self.outer, self.weight, self.main = [0, 0], [0.0, 1.0], [False, False]  # by region
         self.text: list[str] = []
         self.loose = self.tags = self.links = 0
 
+    def read(self, html: str) -> None:
+        """The whole page. A tag that begins behind the last > has no end, so it and what follows are left out."""
+        last = html.rfind(">") + 1
+        self.feed(html[:last])
+        self.close()
+        if not self.endless:
+            begun = _TAG.search(html, last)
+            self.handle_data(unescape(html[last : begun.start() if begun else len(html)]))
+        self.end_line()
+
+    def to_the_end(self, end: int) -> int:
+        self.endless = self.endless or end < 0
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        return self.to_the_end(super().parse_starttag(i))
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self.to_the_end(super().parse_comment(i, report))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
     def state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (True, 1)
 
@@ -92,7 +121,7 @@ class Lines(HTMLParser):
                 or "hidden" in given or given.get("aria-hidden") == "true"
                 or "display:none" in (given.get("style") or "").replace(" ", "").lower()
             )
-            if tag == "article" and any(n == "article" for n, *_ in self.open):
+            if tag == "article" and self.names["article"]:
                 content = False  # an article in an article is a reader's comment, as HTML has it
         elif not content and tag in HEADINGS and self.open[-1][0] == "header" and within:
             content = True
@@ -106,15 +135,19 @@ class Lines(HTMLParser):
                 region = len(self.outer) - 1
         self.links += tag == "a"
         self.open.append((tag, content, region))
+        self.names[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.end_line()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.links -= sum(name == "a" for name, *_ in self.open[at:])
-                del self.open[at:]
+        if not self.names[tag]:
+            return
+        while True:  # what was opened since closes as well
+            name, *_ = self.open.pop()
+            self.names[name] -= 1
+            self.links -= name == "a"
+            if name == tag:
                 return
 
     def handle_data(self, data: str) -> None:
@@ -122,10 +155,6 @@ class Lines(HTMLParser):
         if not self.links:
             self.loose += len(data)
 
-    def close(self) -> None:
-        super().close()
-        self.end_line()
-
 
 def smoothed(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     reach = 3
@@ -172,8 +201,7 @@ def main_text(html: str) -> str:
     menus, forms and scripts are no content, while names of classes and marks of articles only weight the ratios, so that a page
     whose whole text bears such a name still has its text. Ties: lines of equal score are both content or both not."""
     page = Lines()
-    page.feed(html)
-    page.close()
+    page.read(html)
     score = scores(page) if page.lines else np.zeros(0)
     if not (score > 0).any():
         return ""
@@ -183,7 +211,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page (see main_text). Null or empty html: empty text, 0. Null keys and repeated rows
-    are rows like others. Empty table: no rows. Other columns play no part."""
+    are rows like others. Malformed and very long pages are read whole, in linear time. Empty table: no rows. Other columns play no part."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

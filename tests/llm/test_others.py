@@ -151,4 +151,21 @@ def test_queries_equal_sql(spark, name):
 def test_random_pages_never_crash():
     rng = random.Random(1)
     for _ in range(200):
-        html.main_text("".join(rng.choice(["<p>", "</p>", "<div class=ad>", "</div>", "text ", "<", ">", "&amp", "<!--", "-->", "<a href='", "<br/>", "<article>", "</body>"]) for _ in range(40)))
+        html.main_text("".join(rng.choice(["<p>", "</p>", "<div class=ad>", "</div>", "text ", "<", ">", "&amp", "<!--", "-->", "<a href='", "<![", "<![CDATA[", "<!x", "<?", "</", "]]>", "=\"", "<script>", "<br/>", "<article>", "</body>"]) for _ in range(40)))
+
+
+def test_malformed_pages_are_read_in_linear_time():
+    import time
+
+    for page, text in (
+        ("a<![foo[x]]>b", "ab"), ("a<![>b", "ab"), ("a<![ x", "a"), ("a<![CDATA[ x > y ]]>", "a y ]]>"), ("<p>a<!-- never closed > b", "a"), ("<p>one</p> 1 < 2 <a href='x", "one 1 < 2"),
+        ("<p>a <b x=\"never closed>b</b>", "a"), ("</p></i>a</zz>", "a"), ("<p>a &amp; b &lt", "a & b <"), ("<p>a</p><", "a <"),
+    ):
+        assert html.main_text(page) == text
+    began = time.time()
+    for unit in ("<a ", "<a b='>' ", "<!-- > ", "<![", "</x ", "</x>", "<b></i>", "<article>", "<a x=\"", "<", "&", "<p>", "<script></y ", "<?", "<!x"):
+        html.main_text(unit * (400_000 // len(unit)))
+        html.main_text("<div>" * 20_000 + unit * (200_000 // len(unit)) + ">")
+    assert time.time() - began < 60
+    began = time.time()
+    assert html.main_text("<a " * 350_000) == "" and time.time() - began < 1
