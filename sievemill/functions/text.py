@@ -26,43 +26,96 @@ def lexer(lang: Column, apply) -> Column:
     return F.when(lang.isin(*HASH), apply(LEXERS["hash"])).when(lang.isin(*TEMPLATE), apply(LEXERS["template"])).otherwise(apply(LEXERS["block"]))
 
 
-def spans_of(parts: Column, found: Column) -> Column:
-    """(start, end) from 0 of each match, by the lengths of what is between and of the matches, in one pass."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+#: Matches of a text whose places are summed in one go; a text's matches are summed by blocks, so that time stays in proportion to them.
+BLOCK = 256
+_PLACE = "struct<at:int,line:int,col:int>"
+_PLACED = "array<struct<start:int,end:int,line:int,col:int,match:string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("part"), m.alias("match")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def _extent(part: Column) -> Column:
+    """Characters, line ends, and characters behind the last line end of a piece of text."""
+    tail = F.when(part.contains("\n"), F.length(F.substring_index(part, "\n", -1))).otherwise(F.length(part))
+    return F.struct(F.length(part).alias("n"), newlines(part).alias("k"), tail.alias("t"))
+
+
+def _behind(place: Column, extent: Column) -> Column:
+    """The place (at, line, col; from 0) behind a piece of text that begins at `place`."""
+    col = F.when(extent["k"] > 0, extent["t"]).otherwise(place["col"] + extent["t"])
+    return F.struct((place["at"] + extent["n"]).alias("at"), (place["line"] + extent["k"]).alias("line"), col.alias("col"))
+
+
+def placed(parts: Column, found: Column) -> Column:
+    """start, end (code points from 0), line and col (from 1) and text of each match, by the extents of the matches and of what is between: array of structs.
+
+    Running sums within blocks of BLOCK matches begin at the blocks' own sums, so no array grows with a text's matches by more than a block."""
+    zero = F.lit(0)
+    origin = F.struct(zero.alias("at"), zero.alias("line"), zero.alias("col")).cast(_PLACE)
+    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(_extent(p).alias("p"), _extent(m).alias("m"), m.alias("match")))
+
+    def by_block(pairs: Column) -> Column:  # by number, as a slice would go through all pairs each time
+        each = lambda b: F.transform(F.sequence(b, F.least(b + BLOCK, F.size(pairs)) - 1), lambda i: F.get(pairs, i))
+        return F.transform(F.sequence(zero, F.size(pairs) - 1, F.lit(BLOCK)), each)
+
+    def whole(block: Column) -> Column:
+        return F.aggregate(block, origin, lambda acc, x: _behind(_behind(acc, x["p"]), x["m"]))
+
+    def begin(acc: Column, total: Column) -> Column:
+        extent = F.struct(total["at"].alias("n"), total["line"].alias("k"), total["col"].alias("t"))
+        return F.struct(_behind(acc["place"], extent).alias("place"), F.concat(acc["out"], F.array(acc["place"])).alias("out"))
+
+    def inside(acc: Column, x: Column) -> Column:
+        start = _behind(acc["place"], x["p"])
+        match = F.struct(start["at"].alias("start"), (start["at"] + x["m"]["n"]).alias("end"), (start["line"] + 1).alias("line"), (start["col"] + 1).alias("col"), x["match"].alias("match"))
+        return F.struct(_behind(start, x["m"]).alias("place"), F.concat(acc["out"], F.array(match)).alias("out"))
+
+    def summed(block: Column) -> Column:
+        return F.struct(block.alias("block"), whole(block).alias("total"))
+
+    def starts(blocks: Column) -> Column:
+        none = F.struct(origin.alias("place"), F.array().cast(f"array<{_PLACE}>").alias("out"))
+        return F.zip_with(blocks, F.aggregate(F.transform(blocks, lambda b: b["total"]), none, begin, lambda acc: acc["out"]), lambda b, s: F.struct(b["block"].alias("block"), s.alias("place")))
+
+    def run(b: Column) -> Column:
+        return F.aggregate(b["block"], F.struct(b["place"].alias("place"), F.array().cast(_PLACED).alias("out")), inside, lambda acc: acc["out"])
+
+    # each step binds what it is given once, since Spark would work out a value anew wherever an expression names it
+    once = lambda value, then: F.get(F.transform(F.array(value), then), zero)
+    out = once(pairs, lambda p: once(F.transform(by_block(p), summed), lambda blocks: F.flatten(F.transform(starts(blocks), run))))
+    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(_PLACED))
+
+
+def matches(text: Column, pattern: Column) -> Column:
+    """All matches of a pattern (a column), left to right, with their places. Patterns must not match the empty text."""
+    return F.when(F.rlike(text, pattern), placed(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)))).otherwise(F.array().cast(_PLACED))
+
+
+def _borders(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def find_all(text: Column, pattern: str) -> Column:
     """All matches, left to right: array of (start, end), code points from 0. Patterns must not match the empty text."""
-    spans = spans_of(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return _borders(matches(text, F.lit(pattern)))
 
 
 def skip_spans(code: Column, lang: Column) -> Column:
-    """(start, end) of the string literals and comments of the code."""
+    """(start, end) of the string literals and comments of the code, in order."""
     found = lexer(lang, lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(0)))
-    return spans_of(lexer(lang, lambda p: F.split(code, p, -1)), found)
+    return _borders(placed(lexer(lang, lambda p: F.split(code, p, -1)), found))
 
 
-def in_skip(at: Column, spans: Column) -> Column:
-    """Whether a place lies in a literal or comment, after the first character of it."""
-    return F.exists(spans, lambda s: (at > s["start"]) & (at < s["end"]))
-
-
-def line_of(text: Column, at: Column) -> Column:
-    head = F.substring(text, F.lit(1), at)
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+def masked(code: Column, lang: Column) -> Column:
+    """The code with each character of its string literals and comments made a space, but line ends kept: places and lines stay."""
+    found = lexer(lang, lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(0)))
+    parts = lexer(lang, lambda p: F.split(code, p, -1))
+    return F.concat_ws("", F.zip_with(parts, found, lambda p, m: F.concat(p, F.regexp_replace(F.coalesce(m, F.lit("")), "[^\\n]", " "))))
 
 
-def column_of(text: Column, at: Column) -> Column:
-    return F.length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)) + 1
+def in_skip(at: Column, spans: Column) -> Column:
+    """Whether a place lies in a literal or comment, after the first character of it: by a binary search among the spans, which are in order and apart."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(23, -1, -1)]), lambda p: p <= F.size(spans))
+    before = F.aggregate(steps, F.lit(0), lambda n, p: F.when(F.get(spans, n + p - 1)["start"] < at, n + p).otherwise(n))
+    return F.coalesce(F.get(spans, before - 1)["end"] > at, F.lit(False))
 
 
 #: Letters and the like beyond ASCII.

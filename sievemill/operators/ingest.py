@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_package
+from .scan import RULE_ROWS
 
 #: Package ecosystems by the manifest's name, and frameworks by package.
 ECOSYSTEMS = {
@@ -158,7 +159,8 @@ def write_rules(rules: DataFrame, folder: str) -> None:
 
 
 def read_rules(spark, folder: str) -> DataFrame:
-    return spark.read.schema("id string, pattern string, severity string").json(folder)
+    """Rules as scan.known_rules takes them."""
+    return spark.read.schema(RULE_ROWS).json(folder)
 
 
 def append_overrides(overrides: DataFrame, folder: str) -> None:

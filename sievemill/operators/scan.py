@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -58,30 +58,74 @@ def _found(rule: Rule):
     return F.when(applies, F.struct(F.lit(rule.id).alias("rule_id"), found.alias("found"), F.split(code, rule.regex, -1).alias("parts")))
 
 
+def _lexed(files: DataFrame, *more) -> DataFrame:
+    """Files that aren't blank, with what every match of them needs: the spans of literals and comments, and the lines."""
+    lines, spans = F.split("code", "\n").alias("lines"), text.skip_spans(F.col("code"), F.col("lang")).alias("spans")
+    return files.where(F.trim("code") != "").select("file_id", lines, spans, *more)
+
+
+def _outside(found):
+    """Of placed matches, those that start in no literal or comment: line, col, text, and the line they start in."""
+    real = F.filter(found, lambda m: ~text.in_skip(m["start"], F.col("spans")))
+    return F.transform(real, lambda m: F.struct(m["line"].alias("line"), m["col"].alias("col"), m["match"].alias("match"), F.trim(F.get("lines", m["line"] - 1)).alias("snippet")))
+
+
 def rule_scan(files: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """Every match of every rule of the file's language (or of all languages) that doesn't start inside a literal or comment.
 
     One narrow stage: all rules are expressions of one array, so a file is read and lexed once and nothing is shuffled. Places are
-    worked out for the rules that match only. Empty and blank files have no violations.
+    worked out for the rules that match only, in time in proportion to matches and lexemes, and only places leave a file. Empty and blank
+    files have no violations.
     """
     rules = list(rules)
     spark = files.sparkSession
     known = spark.createDataFrame([(r.id, r.slug, r.severity, r.category) for r in rules], "rule_id string, rule string, severity string, category string")
-    lexed = files.where(F.trim("code") != "").select("file_id", "lang", "code", text.skip_spans(F.col("code"), F.col("lang")).alias("spans"))
-    hits = lexed.select("file_id", "code", "spans", F.explode(F.array_compact(F.array(*map(_found, rules)))).alias("h"))
-    placed = F.zip_with(text.spans_of(F.col("h.parts"), F.col("h.found")), F.col("h.found"), lambda s, m: F.struct(s["start"].alias("start"), m.alias("match")))
-    each = hits.select("file_id", "code", "spans", "h.rule_id", F.explode(placed).alias("m"))
-    at, real = F.col("m.start"), F.lit(True)
+    hits = _lexed(files, F.array_compact(F.array(*map(_found, rules))).alias("hits")).select("file_id", "lines", "spans", F.explode("hits").alias("h"))
+    each = hits.select("file_id", "h.rule_id", F.explode(_outside(text.placed(F.col("h.parts"), F.col("h.found")))).alias("m"))
+    real = F.lit(True)
     for rule in rules:
         if rule.unless:
             real = real & ~((F.col("rule_id") == rule.id) & F.col("m.match").rlike(rule.unless))
-    return (
-        each.where(real & ~text.in_skip(at, F.col("spans")))
-        .select("file_id", "rule_id", "code", text.line_of(F.col("code"), at).alias("line"), text.column_of(F.col("code"), at).alias("col"))
-        .withColumn("snippet", F.trim(F.split_part("code", F.lit("\n"), F.col("line"))))
-        .join(F.broadcast(known), "rule_id")
-        .select("file_id", "rule_id", "rule", "severity", "category", "line", "col", "snippet")
-    )
+    return each.where(real).join(F.broadcast(known), "rule_id").select("file_id", "rule_id", "rule", "severity", "category", "m.line", "m.col", "m.snippet")
+
+
+#: Rules of a table that is sent to all tasks, at most.
+MOST_RULES = 1000
+RULE_ROWS = "id string, rule string, pattern string, severity string, category string, language string, message string, suggestion string"
+
+
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM, which runs the scan, takes a pattern."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001  the JVM's exceptions have no common Python type but this
+        return False
+    return True
+
+
+def known_rules(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """A table of user rules (RULE_ROWS) as scan_by_rules takes it: without rows that have no pattern or one that the JVM doesn't take. More than `most` rows are an error."""
+    spark = rules.sparkSession
+    rows = rules.select(*[c.split()[0] for c in RULE_ROWS.split(", ")]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rules; give them by project")
+    return spark.createDataFrame([tuple(r) for r in rows if r["pattern"] and compiles(spark, r["pattern"])], RULE_ROWS)
+
+
+def scan_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Violations as rule_scan gives them, and message, of rules that are known only at run time: rows (RULE_ROWS) with a pattern, of which a file meets those of its language
+    (`_custom`: all). Case doesn't count. A user's table goes through known_rules and is sent to all tasks; rules with a `project` meet that project's files by a join
+    on it, however many there are."""
+    own = "project" in rules.columns
+    told = rules.where("pattern <> ''").select(F.col("id").alias("rule_id"), "rule", F.concat(F.lit("(?i)"), "pattern").alias("pattern"), "severity", "category", "language", "message", *["project"] * own)
+    speaks = (F.col("language") == F.col("lang")) | (F.col("language") == "_custom")
+    wanted = (files.where(F.trim("code") != "").join(told, "project") if own else files.where(F.trim("code") != "").join(F.broadcast(told))).where(speaks & F.rlike("code", F.col("pattern")))
+    parts, found = F.split("code", F.col("pattern"), -1), F.regexp_extract_all("code", F.col("pattern"), F.lit(0))
+    lines, spans = F.split("code", "\n").alias("lines"), text.skip_spans(F.col("code"), F.col("lang")).alias("spans")
+    # an array of one, so that what is exploded is worked out once
+    hits = wanted.select("file_id", "rule_id", "rule", "severity", "category", "message", lines, spans, F.explode(F.array(F.struct(parts.alias("parts"), found.alias("found")))).alias("h"))
+    each = hits.select("file_id", "rule_id", "rule", "severity", "category", "message", F.explode(_outside(text.placed(F.col("h.parts"), F.col("h.found")))).alias("m"))
+    return each.select("file_id", "rule_id", "rule", "severity", "category", "m.line", "m.col", "m.snippet", "message")
 
 
 def security_scan(files: DataFrame) -> DataFrame:
@@ -94,19 +138,15 @@ def quick_scan(files: DataFrame, scope: str = "security") -> DataFrame:
 
 
 def custom_rules(rules: Iterable[Rule], base: Iterable[Rule] = RULES) -> list[Rule]:
-    """base with the user's rules: a known id only changes the severity; a pattern that isn't a regex is left out. User rules ignore case."""
-    import re
-
+    """base with the user's rules: a known id only changes the severity; a pattern that the JVM doesn't take is left out. User rules ignore case."""
+    spark = SparkSession.active()
     out = {r.id: r for r in base}
     for rule in rules:
         if rule.id in out:
             out[rule.id] = out[rule.id]._replace(severity=rule.severity)
             continue
-        try:
-            re.compile(rule.pattern)
-        except re.error:
-            continue
-        out[rule.id] = rule._replace(ignore_case=True)
+        if compiles(spark, rule.pattern):
+            out[rule.id] = rule._replace(ignore_case=True)
     return list(out.values())
 
 

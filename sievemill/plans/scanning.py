@@ -97,7 +97,7 @@ ORACLE["s02_scan_table"] = f"WITH {FILES_SQL} SELECT file_id, project, path, lan
 
 NUMBER = "[0-9]+"
 on_files(
-    "p06_find_all", lambda f: f.select("file_id", "code", F.explode(text.find_all(F.col("code"), NUMBER)).alias("m")).select("file_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), text.line_of(F.col("code"), F.col("m.start")).alias("line")),
+    "p06_find_all", lambda f: f.select("file_id", "code", F.explode(text.matches(F.col("code"), F.lit(NUMBER))).alias("m")).select("file_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "m.line"),
     f""", m AS (SELECT file_id, code, unnest({spans_sql('code', quoted(NUMBER))}) AS m FROM files) SELECT file_id, m.start AS start, m."end" AS "end", (1 + length(substr(code, 1, m.start)) - length(replace(substr(code, 1, m.start), chr(10), '')))::INT AS line FROM m""",
 )
 on_files(
@@ -126,8 +126,8 @@ on_files("p14_tokens", quality.tokens, " SELECT project, sum(greatest(1, length(
 on_violations("r01_rule_scan", lambda v: v, f" SELECT {COLUMNS} FROM violations")
 on_files("r02_security_scan", scan.security_scan, f", {violations_sql([r for r in RULES if not r.lang])} SELECT {COLUMNS} FROM violations")
 OWN = [Rule("OWN1", "", "leaked-token", r'token\s*=\s*"[0-9a-f]{40}"', "error"), Rule("OWN2", "", "open-bracket", r"\(\s*a\b", "info"), Rule("PY001", "", "", "", "info"), Rule("OWN3", "", "broken", "(", "error")]
-CUSTOM = [r for r in scan.custom_rules(OWN) if r.id in ("OWN1", "OWN2", "PY001")]
-on_files("r03_custom_rules", lambda f: scan.rule_scan(f, CUSTOM), f", {violations_sql(CUSTOM)} SELECT {COLUMNS} FROM violations")
+CUSTOM = [r._replace(ignore_case=True) for r in OWN[:2]] + [r._replace(severity="info") for r in RULES if r.id == "PY001"]
+on_files("r03_custom_rules", lambda f: scan.rule_scan(f, [r for r in scan.custom_rules(OWN) if r.id in ("OWN1", "OWN2", "OWN3", "PY001")]), f", {violations_sql(CUSTOM)} SELECT {COLUMNS} FROM violations")
 on_files("r04_quick_scan", lambda f: scan.quick_scan(f, "essential"), f", {violations_sql([r for r in RULES if not r.lang or r.severity == 'error'])} SELECT {COLUMNS} FROM violations")
 on_violations("p08_filter_severity", lambda v: scan.at_least(v, "warning").groupBy("severity").agg(F.count("*").alias("n")), " SELECT severity, count(*) AS n FROM violations WHERE severity IN ('error', 'warning') GROUP BY 1")
 on_files(

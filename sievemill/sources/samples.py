@@ -16,3 +16,12 @@ SAMPLES = [
     ("go", "core", "package core\nfunc All() {\n\tdb.Query(\"SELECT * FROM t\")\n\tdb.Query(\"SELECT * FROM t LIMIT 5\")\n\tfor i := range xs {\n\t\tdb.QueryRow(\"x\")\n\t\tos.Getenv(\"A\")\n\t}\n\tfor {\n\t\tout = append(out, 1)\n\t\tq.Add(2)\n\t}\n}\n"),
     ("csharp", "app", "class A {\n  async Task Run() {\n    var x = db.Items.ToListAsync();\n    var y = db.Items.ToList().Take(3);\n    Thread.Sleep(5);\n    return t.Result;\n  }\n}\n"),
 ]
+
+#: Scripts for the checks on brackets: braces in literals and comments, in types, unclosed blocks, hooks in and out of place.
+SCRIPTS = [
+    ("typescript", "ui", "import { useState } from 'react';\nexport function Box(props: { on: boolean }): { a: number } {\n  const s = \"}{\";  // }\n  if (props.on) {\n    const [a, b] = useState<string>(0);\n    for (const x of y) { while (z) { run(`${\"}\"} }`); } }\n  }\n  else { useOther(1); }\n  useFine(2);\n  const inner = async (q) => {\n    useInner(3);\n  };\n  if (x) useBare(4);\n  return items.map(i => <li>{i}</li>);\n}\n"),
+    ("typescript", "api", "export async function load<T>(\n  id: number,\n  done: (x: T) => void\n): Promise<T> {\n  if (id) {\n    switch (id) {\n      case 1: { return go(id); }\n    }\n  }\n}\nfunction _own(a) { return a }\nfunction plain(a) {\n  /* } */\n  return { b: { c: a } };\n}\n"),
+    ("javascript", "web", "const one = x => {\n  return x;\n};\nexport const two = async (a, b) => {\n  try {\n    await one(a);\n  } catch (e) {\n    log(e);\n  }\n};\nconst three = (a) => a + 1;\nfunction open() {\n  while (a) {\n    b('(');\n"),
+    ("javascript", "ui", "const React = require('react');\nfunction Page() {\n  React.useEffect(() => { useDeep(); });\n  function Part() { return useMemo(f); }\n  while (a) { if (b) { c(); } useLoop(); }\n  return useLast();\n}\n}\nfunction After() { return useTop(); }\n"),
+    ("python", "core", "def f():\n    return {'a': 1}\n"),
+]

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievemill.functions import text
-from sievemill.functions.catalogue import RULES
+from sievemill.functions.catalogue import RULES, Rule
 from sievemill.operators import quality, scan
 
 SCHEMA = "file_id long, project string, path string, lang string, code string"
@@ -99,3 +99,60 @@ def test_folders(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x = 1\ny = 2\n")
     assert sorted((r["path"].rsplit("/", 1)[1], r["lang"], r["code"]) for r in scan_files(spark, str(tmp_path)).collect()) == [("a.py", "python", "x = 1\ny = 2\n"), ("b.go", "go", "x = 1\ny = 2\n")]
+
+
+def test_places_of_many_matches(spark):
+    code = "".join(("ab\n" if i % 7 == 0 else "a b " if i % 3 else "x" * (i % 5) + "'s\\n'") for i in range(2000)) + "ab"
+    rows = spark.createDataFrame([(1, "go", code), (2, "go", ""), (3, "go", None), (4, "go", "none"), (5, "go", "ab" * 256), (6, "go", "ab" * 257)], "i int, lang string, code string")
+    got = {r["i"]: r for r in rows.select("i", "code", text.matches(F.col("code"), F.lit("ab|b")).alias("m"), text.skip_spans(F.col("code"), F.col("lang")).alias("s")).collect()}
+    for i, r in got.items():
+        c = r["code"] or ""
+        want = [(m.start(), m.end(), c.count("\n", 0, m.start()) + 1, m.start() - (c.rfind("\n", 0, m.start()) + 1) + 1, m.group()) for m in re.finditer("ab|b", c)]
+        assert [tuple(m) for m in r["m"]] == want and (i == 3 or [tuple(s) for s in r["s"]] == loop_spans(c, "go"))
+
+
+def test_in_skip_equals_a_loop(spark):
+    from sievemill.sources.corpus import SNIPPETS
+
+    for spans in ([], [(0, 3)], [(2, 3), (3, 9), (12, 20)], [(3 * i, 3 * i + 2) for i in range(300)]):
+        rows = spark.createDataFrame([(at, spans) for at in range(0, 25 if len(spans) < 9 else 905)], "at int, s array<struct<start:int,end:int>>")
+        assert all(r["x"] == any(a < r["at"] < b for a, b in spans) for r in rows.select("at", text.in_skip(F.col("at"), F.col("s")).alias("x")).collect())
+    code = SNIPPETS[0][2]
+    assert spark.createDataFrame([("python", code)], "lang string, code string").select(F.length(text.masked(F.col("code"), F.col("lang")))).first()[0] == len(code)
+
+
+def test_a_long_file_is_scanned_in_time_in_proportion(spark):
+    import time
+
+    line = "eval(x)  # 'a' \"b\"\ny = 'c'\n"
+    took = []
+    for n in (4_000, 40_000):
+        rows = spark.createDataFrame([(1, "p", "a.py", "python", line * n)], SCHEMA)
+        began = time.time()
+        assert scan.rule_scan(rows, [r for r in RULES if r.id == "PY001"]).agg(F.count("*"), F.max("line")).first() == (n, 2 * n - 1)
+        took.append(time.time() - began)
+    assert took[1] < 20 * took[0] + 5
+
+
+RULE_ROWS = [
+    ("N1", "camel", r"def\s+[a-z]+[A-Z]\w*\s*\(", "warning", "style", "python", "no camels", ""), ("N2", "any", "TODO", "info", "style", "_custom", "to do", ""), ("N3", "named", "(?P<n>abc)", "error", "style", "_custom", "python only", ""),
+    ("N4", "broken", "(", "error", "style", "_custom", "", ""), ("N5", "none", "", "error", "style", "_custom", "", ""), ("N6", None, None, None, None, None, None, None),
+]
+
+
+def test_rules_as_rows(spark, tmp_path):
+    from sievemill.operators import ingest
+
+    files = spark.createDataFrame([(1, "p", "a.py", "python", "def getIt(a):\n    return 'def itIs(b)'  # TODO\n\ndef get_it(): pass\n"), (2, "q", "b.go", "go", "todo()\n\n  x todo\n"), (3, "p", "c", "go", " "), (4, "p", "c", "go", None)], SCHEMA)
+    rules = spark.createDataFrame(RULE_ROWS, scan.RULE_ROWS)
+    ingest.write_rules(rules, f"{tmp_path}/rules")
+    back = scan.known_rules(ingest.read_rules(spark, f"{tmp_path}/rules"))
+    assert {r["id"] for r in back.collect()} == {"N1", "N2"}
+    want = {(1, "N1", 1, 1, "def getIt(a):"), (2, "N2", 1, 1, "todo()"), (2, "N2", 3, 5, "x todo")}
+    got = scan.scan_by_rules(files, back)
+    assert {(r["file_id"], r["rule_id"], r["line"], r["col"], r["snippet"]) for r in got.collect()} == want
+    own = scan.scan_by_rules(files, back.withColumn("project", F.lit("q")))
+    assert {r["file_id"] for r in own.collect()} == {2}
+    with pytest.raises(ValueError):
+        scan.known_rules(rules.crossJoin(spark.range(200).toDF("k")), most=1000)
+    assert [r.id for r in scan.custom_rules([Rule(*RULE_ROWS[2][:1], "", "x", "(?P<n>abc)", "error"), Rule("X9", "", "x", "abc", "error")], [])] == ["X9"]
