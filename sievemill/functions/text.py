@@ -50,7 +50,9 @@ def placed(parts: Column, found: Column) -> Column:
     Running sums within blocks of BLOCK matches begin at the blocks' own sums, so no array grows with a text's matches by more than a block."""
     zero = F.lit(0)
     origin = F.struct(zero.alias("at"), zero.alias("line"), zero.alias("col")).cast(_PLACE)
-    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(_extent(p).alias("p"), _extent(m).alias("m"), m.alias("match")))
+
+    def pairs(both: Column) -> Column:  # one part more than matches
+        return F.zip_with(F.slice(both["parts"], 1, F.size(both["found"])), both["found"], lambda p, m: F.struct(_extent(p).alias("p"), _extent(m).alias("m"), m.alias("match")))
 
     def by_block(pairs: Column) -> Column:  # by number, as a slice would go through all pairs each time
         each = lambda b: F.transform(F.sequence(b, F.least(b + BLOCK, F.size(pairs)) - 1), lambda i: F.get(pairs, i))
@@ -78,10 +80,13 @@ def placed(parts: Column, found: Column) -> Column:
     def run(b: Column) -> Column:
         return F.aggregate(b["block"], F.struct(b["place"].alias("place"), F.array().cast(_PLACED).alias("out")), inside, lambda acc: acc["out"])
 
+    def all_runs(blocks: Column) -> Column:
+        return F.flatten(F.transform(starts(blocks), run))
+
     # each step binds what it is given once, since Spark would work out a value anew wherever an expression names it
     once = lambda value, then: F.get(F.transform(F.array(value), then), zero)
-    out = once(pairs, lambda p: once(F.transform(by_block(p), summed), lambda blocks: F.flatten(F.transform(starts(blocks), run))))
-    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(_PLACED))
+    whole_text = lambda both: F.when(F.size(both["found"]) > 0, once(pairs(both), lambda p: once(F.transform(by_block(p), summed), all_runs)))
+    return F.coalesce(once(F.struct(parts.alias("parts"), found.alias("found")), whole_text), F.array().cast(_PLACED))
 
 
 def matches(text: Column, pattern: Column) -> Column:

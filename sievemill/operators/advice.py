@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import plain
 from .architecture import _checked, layer_of
 from .checks import DEF
-from .prompts import LANGUAGES, entities, frameworks, scores
+from .entities import entities
+from .prompts import LANGUAGES, frameworks, scores
 from .quality import ITEMS
 
 #: Bodies that do nothing, after a docstring or without one.
@@ -65,8 +66,9 @@ def explain(violations: DataFrame, rules: DataFrame, texts: DataFrame, overridde
 
 def layer_context(prompts: DataFrame, layers: DataFrame, rules: DataFrame) -> DataFrame:
     """prompt_id, path, layer, forbidden: the layers of the files that a prompt names, each once with the first such file, and what they must not
-    import. Layers that may import all are left out."""
-    named = entities(prompts).where("kind = 'file'").select("prompt_id", "start", F.col("named").alias("path"), layer_of(F.col("named"), layers).alias("layer"))
+    import. Layers that may import all are left out. A leading ./ is no part of a path."""
+    path = F.regexp_replace("named", r"^\./", "")
+    named = entities(prompts).where("kind = 'file_path'").select("prompt_id", "start", path.alias("path"), layer_of(path, layers).alias("layer"))
     first = named.where("layer is not null").groupBy("prompt_id", "layer").agg(F.min_by("path", "start").alias("path"))
     forbidden = _checked(rules).where("kind = 'forbid'").groupBy("layer").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("forbidden"))
     return first.join(F.broadcast(forbidden), "layer").select("prompt_id", "path", "layer", "forbidden")

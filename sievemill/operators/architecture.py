@@ -58,14 +58,18 @@ def knowledge(scores: DataFrame, violations: DataFrame) -> DataFrame:
     return often.unionByName(secure).unionByName(clean).groupBy("key", "kind").agg(F.count_distinct("file_id").alias("files"), F.min("file_id").alias("first_id"))
 
 
-def workspace_patterns(entries: DataFrame, least: int = 2) -> DataFrame:
-    """tag, projects, content, confidence of entries (project, tags, content): tags of `least` projects or more, the content most often said (of
-    equals the first), and min(1, projects / entries + 0.3)."""
+def workspace_patterns(entries: DataFrame, least: int = 2, most: int = 1000) -> DataFrame:
+    """tag, projects, content, confidence, names of entries (project, tags, content): tags of `least` projects or more, the content most often said (of
+    equals the first), min(1, projects / all entries + 0.3), and the first `most` projects by name."""
+    all_ = entries.agg(F.count("*").alias("all_entries"))
     each = entries.select("project", F.explode("tags").alias("tag"), "content")
-    of = each.groupBy("tag").agg(F.count_distinct("project").alias("projects"), F.count("*").alias("entries")).where(F.col("projects") >= least)
+    of = each.groupBy("tag", "project").agg(F.lit(1).alias("_one"))
+    of = of.withColumn("place", F.row_number().over(Window.partitionBy("tag").orderBy("project")))
+    of = of.groupBy("tag").agg(F.count("*").alias("projects"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("project")))), ",").alias("names")).where(F.col("projects") >= least)
     said = each.groupBy("tag", "content").agg(F.count("*").alias("n"))
     best = said.groupBy("tag").agg(F.min_by("content", F.struct(-F.col("n"), F.col("content"))).alias("content"))
-    return of.join(best, "tag").select("tag", "projects", "content", F.least(F.lit(1.0), F.col("projects") / F.col("entries") + 0.3).alias("confidence"))
+    confidence = F.least(F.lit(1.0), F.col("projects") / F.col("all_entries") + 0.3)
+    return of.join(best, "tag").crossJoin(F.broadcast(all_)).select("tag", "projects", "content", confidence.alias("confidence"), "names")
 
 
 def missing_conventions(project: DataFrame, workspace: DataFrame) -> DataFrame:

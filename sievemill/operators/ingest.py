@@ -105,9 +105,14 @@ def lock_versions(locks: DataFrame) -> DataFrame:
 
 
 def frameworks(found: DataFrame) -> DataFrame:
-    """project, framework, version of the dependencies that are one: a small table, which is sent to all."""
+    """project, framework, version (of several the newest) of the dependencies that are one: a small table, which is sent to all."""
     known = found.sparkSession.createDataFrame(list(FRAMEWORKS.items()), "package string, framework string")
-    return found.join(F.broadcast(known), "package").groupBy("project", "framework").agg(F.max("version").alias("version"))
+    return found.join(F.broadcast(known), "package").groupBy("project", "framework").agg(F.max_by("version", F.struct(version_order(F.col("version")), "version")).alias("version"))
+
+
+def version_order(version: Column) -> Column:
+    """What versions are in order by: their numbers."""
+    return F.transform(F.regexp_extract_all(version, F.lit("([0-9]+)"), F.lit(1)), lambda n: n.try_cast("decimal(38,0)"))
 
 
 def fixed_version(advisory: Column) -> Column:

@@ -50,27 +50,28 @@ def dangling(steps: DataFrame) -> DataFrame:
     return each.join(steps.select("plan_id", F.col("step").alias("need")), ["plan_id", "need"], "left_anti").select("plan_id", "step", "need")
 
 
-def cycles(steps: DataFrame) -> DataFrame:
-    """Steps on a cycle of dependencies, of any length: paths are doubled until no path is new. Each doubling is an equi join within
-    plans and cuts the lineage; there are as many as the longest path has binary digits."""
+def reach(steps: DataFrame) -> DataFrame:
+    """plan_id, a, b: which steps lead to which by dependencies (plan_id, step, needs), over any number of steps: paths are doubled until no path is new. Each doubling is an
+    equi join within plans and cuts the lineage; there are as many as the longest path has binary digits."""
     paths = cut(steps.select("plan_id", F.col("step").alias("a"), F.explode("needs").alias("b")).distinct())
     known = -1
     while known != (n := paths.count()):
         known = n
         left, right = paths.withColumnRenamed("b", "m"), paths.withColumnRenamed("a", "m")
         paths = cut(paths.union(left.join(right, ["plan_id", "m"]).select("plan_id", "a", "b")).distinct())
-    return paths.where("a = b").select("plan_id", F.col("a").alias("step"))
+    return paths
 
 
-#: Words that make a request vague.
-VAGUE = ["something", "stuff", "thing", "somehow", "maybe", "whatever"]
+def cycles(steps: DataFrame) -> DataFrame:
+    """Steps on a cycle of dependencies, of any length."""
+    return reach(steps).where("a = b").select("plan_id", F.col("a").alias("step"))
 
 
-def ambiguity(text: Column, known_task: Column, known_language: Column) -> Column:
-    """0 to 1: under five words 0.3, no known task 0.3, no language 0.2, each vague word 0.1."""
-    low = F.lower(text)
-    vague = sum((F.when(low.rlike(rf"(?:^|[^a-z]){w}(?:[^a-z]|$)"), 0.1).otherwise(0.0) for w in VAGUE), F.lit(0.0))
-    return F.least(F.lit(1.0), F.when(F.size(F.split(F.trim(text), r"\s+")) < 5, 0.3).otherwise(0.0) + F.when(known_task, 0.0).otherwise(0.3) + F.when(known_language, 0.0).otherwise(0.2) + vague)
+def cycle_groups(steps: DataFrame) -> DataFrame:
+    """plan_id, step, first: steps on a cycle, with the first of those that lead to each other."""
+    paths = reach(steps)
+    back = paths.select("plan_id", F.col("b").alias("a"), F.col("a").alias("b"))
+    return paths.join(back, ["plan_id", "a", "b"]).groupBy("plan_id", F.col("a").alias("step")).agg(F.min("b").alias("first"))
 
 
 def guidance(prompts: DataFrame, triggers: DataFrame, most: int = 2) -> DataFrame:

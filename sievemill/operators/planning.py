@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count
+from .joins import cycle_groups
 
 #: How plans are written.
 STEP = r"(?i)###?\s*Step\s+(\d+)[:\s]"
@@ -101,6 +102,20 @@ def dangling_references(steps: DataFrame) -> DataFrame:
     return references(steps).join(known, ["plan_id", "need"], "left_anti").select("plan_id", "pos", "step", "need")
 
 
+def plan_cycles(steps: DataFrame) -> DataFrame:
+    """plan_id, step, first: steps of plans that depend on themselves by way of others, with the first step (as text) of each group that leads to each other. Of steps with one number
+    the last counts; references to steps that a plan doesn't have lead nowhere."""
+    last = steps.groupBy("plan_id", "step").agg(F.max("pos").alias("pos"))
+    edges = references(steps).join(last, ["plan_id", "step", "pos"], "left_semi").select("plan_id", "step", F.array("need").alias("needs"))
+    return cycle_groups(edges)
+
+
+def dependency_errors(steps: DataFrame) -> DataFrame:
+    """plan_id, step, need: references to steps that aren't there, and `(cycle)` once for each group of steps that depend on each other."""
+    circles = plan_cycles(steps).select("plan_id", F.col("first").alias("step"), F.lit("(cycle)").alias("need")).distinct()
+    return dangling_references(steps).select("plan_id", "step", "need").unionByName(circles)
+
+
 def vague_references(steps: DataFrame) -> DataFrame:
     """plan_id, pos, step, phrase: references that say nothing outside their context, each once a step."""
     found = F.array_compact(F.array(*[F.when(F.col("body").rlike(p), name) for name, p in CROSS_REFERENCES.items()]))
@@ -204,7 +219,7 @@ def verify(plans: DataFrame, files: DataFrame) -> DataFrame:
     below 2 are held to the first four kinds alone."""
     steps = plan_steps(plans)
     found = {
-        "phantom": phantom_files(steps, files), "dependency": dangling_references(steps), "grounding": missing_fields(steps).where("field = 'Grounding'"), "vague": vague_references(steps),
+        "phantom": phantom_files(steps, files), "dependency": dependency_errors(steps), "grounding": missing_fields(steps).where("field = 'Grounding'"), "vague": vague_references(steps),
         "anchors": edit_anchors(steps), "uniqueness": anchor_uniqueness(steps, files), "unresolved": unresolved_decisions(plans, steps), "atomicity": atomicity(steps),
     }
     kinds = None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import find_all, plain
+from ..functions.text import plain
+from .entities import found
 
 #: Signs of tasks, languages and topics, with weights.
 TASKS = {
@@ -83,28 +84,39 @@ def frameworks(low: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.rlike("(?i)" + "|".join(signs)), name) for name, signs in FRAMEWORKS.items()]))
 
 
-def classify(prompts: DataFrame, security: str, ask_from: float = 0.6) -> DataFrame:
-    """prompt_id, task, others (scores of 4 and more, best first), language, frameworks, three flags, ambiguity, questions, ceremony."""
+def ambiguity(low: Column, words: Column, unknown: Column, no_language: Column) -> Column:
+    """0 to 1: under five words 0.3, no known task 0.3, no language 0.2, each vague word 0.1."""
+    part = lambda c, x: F.when(c, x).otherwise(0)
+    tenths = part(words < 5, 3) + part(unknown, 3) + part(no_language, 2) + sum((part(low.rlike(rf"\b{w}\b"), 1) for w in VAGUE), F.lit(0))
+    return F.least(tenths, F.lit(10)) / 10.0
+
+
+def classify(prompts: DataFrame, security: str, ask_from: float = 0.6, least: str = "micro", unresolved: str | None = None) -> DataFrame:
+    """prompt_id, task, others (scores of 4 and more, best first), language, frameworks, three flags, ambiguity, questions, ceremony.
+
+    Ceremony: the task's score, one each for other tasks, for what the prompt names, for 200 and for 500 characters, and one for each of at most two frameworks; raised by the flags,
+    by ambiguity and by plans, by one level where the column `unresolved` (errors that a session has left) is above 0; `least` at least."""
     low = plain(F.lower("text"))
-    rows = prompts.select("prompt_id", low.alias("low"), F.length("text").alias("n"), F.size(F.array_remove(F.split(F.trim("text"), r"\s+"), "")).alias("words"), scores(low, TASKS).alias("tasks"), F.get(scores(low, LANGUAGES), F.lit(0))["name"].alias("language"))
+    errors = F.lit(0) if unresolved is None else F.coalesce(F.col(unresolved), F.lit(0))
+    rows = prompts.select("prompt_id", low.alias("low"), F.length("text").alias("n"), (F.size(found(F.col("text"))) > 0).alias("names"), errors.alias("errors"), F.size(F.array_remove(F.split(F.trim("text"), r"\s+"), "")).alias("words"), scores(low, TASKS).alias("tasks"), F.get(scores(low, LANGUAGES), F.lit(0))["name"].alias("language"))
     rows = rows.select(
-        "prompt_id", "low", "n", "words", "language", F.coalesce(F.get("tasks", F.lit(0))["name"], F.lit("unknown")).alias("task"),
+        "prompt_id", "low", "n", "names", "errors", "words", "language", F.coalesce(F.get("tasks", F.lit(0))["name"], F.lit("unknown")).alias("task"),
         F.transform(F.filter(F.slice("tasks", 2, len(TASKS)), lambda t: t["score"] >= 4), lambda t: t["name"]).alias("others"),
-        F.array_join(frameworks(F.col("low")), ",").alias("frameworks"), F.col("low").rlike(security).alias("security"), F.col("low").rlike(f"{RAG}|{RAG_FRAMEWORKS}").alias("rag"), F.col("low").rlike(f"{GRAPH}|{GRAPH_FRAMEWORKS}").alias("graph"),
+        frameworks(F.col("low")).alias("frameworks"), F.col("low").rlike(security).alias("security"), F.col("low").rlike(f"{RAG}|{RAG_FRAMEWORKS}").alias("rag"), F.col("low").rlike(f"{GRAPH}|{GRAPH_FRAMEWORKS}").alias("graph"),
     )
     short, unknown, no_language = F.col("words") < 5, F.col("task") == "unknown", F.col("language").isNull()
     part = lambda c, x: F.when(c, x).otherwise(0)
-    tenths = part(short, 3) + part(unknown, 3) + part(no_language, 2) + sum((part(F.col("low").rlike(rf"\b{w}\b"), 1) for w in VAGUE), F.lit(0))
     asked = F.array(F.when(unknown, "task"), F.when(short, "details"), *[F.when(F.col("low").rlike(rf"\b{w}\b"), w) for w in ASKED], F.when(no_language, "language"))
-    rows = rows.withColumn("ambiguity", F.least(tenths, F.lit(10)) / 10.0)
+    rows = rows.withColumn("ambiguity", ambiguity(F.col("low"), F.col("words"), unknown, no_language))
     rows = rows.withColumn("questions", F.when(F.col("ambiguity") >= ask_from, F.slice(F.array_compact(asked), 1, 4)).otherwise(F.array().cast("array<string>")))
     weight = F.lit(1)
     for task, score in TASK_SCORE.items():
         weight = F.when(F.col("task") == task, score).otherwise(weight)
-    score = weight + part(F.size("others") > 0, 1) + part(F.col("n") >= 200, 1) + part(F.col("n") >= 500, 1)
+    score = weight + part(F.size("others") > 0, 1) + F.least(F.size("frameworks"), F.lit(2)) + part(F.col("n") >= 200, 1) + part(F.col("n") >= 500, 1) + part(F.col("names"), 1)
     level = F.when(score <= 1, 0).when(score == 2, 1).when(score <= 5, 2).otherwise(3)
     level = F.greatest(level, part(F.col("security") | F.col("rag") | F.col("graph") | (F.col("ambiguity") >= ask_from), 2), part(F.col("task") == "planning", 3))
-    return rows.select("prompt_id", "task", F.array_join("others", ",").alias("others"), "language", "frameworks", "security", "rag", "graph", "ambiguity", F.array_join("questions", ",").alias("questions"), F.element_at(F.array(*map(F.lit, CEREMONY)), level + 1).alias("ceremony"))
+    level = F.greatest(F.least(level + part(F.col("errors") > 0, 1), F.lit(3)), F.lit(CEREMONY.index(least)))
+    return rows.select("prompt_id", "task", F.array_join("others", ",").alias("others"), "language", F.array_join("frameworks", ",").alias("frameworks"), "security", "rag", "graph", "ambiguity", F.array_join("questions", ",").alias("questions"), F.element_at(F.array(*map(F.lit, CEREMONY)), level + 1).alias("ceremony"))
 
 
 #: Concerns of a line, and what makes a review of security or of depth.
@@ -142,24 +154,3 @@ def analysis_protocol(checks: DataFrame) -> DataFrame:
     """file_id, kind, areas: how a file with concerns of security or depth should be analysed, and how many places count."""
     held = checks.where(F.col("concern").isin(*SECURE, *DEEP)).groupBy("file_id").agg(F.max(F.col("concern").isin(*SECURE)).alias("s"), F.max(F.col("concern").isin(*DEEP)).alias("d"), F.count("*").alias("areas"))
     return held.select("file_id", F.when(F.col("s") & F.col("d"), "comprehensive_analysis").when(F.col("d"), "deep_analysis").otherwise("security_flow_analysis").alias("kind"), "areas")
-
-
-#: What names a file, a call, a dotted name, in this order.
-ENTITIES = {
-    "file": r"[A-Za-z0-9_./-]*[A-Za-z0-9_]\.(?:py|tsx?|jsx?|rs|go|java|cs)", "call": r"[A-Za-z_][A-Za-z0-9_.]*\(\)", "name": r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+",
-}
-
-
-def entities(prompts: DataFrame) -> DataFrame:
-    """prompt_id, kind, start, stop, named: what prompts name, without what lies inside something longer; of equal places, the first kind. A
-    prompt's own row holds its spans, so nothing is joined."""
-
-    def found(at: int, kind: str, pattern: str) -> Column:
-        named = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("stop"), F.lit(at).alias("at"), F.lit(kind).alias("kind"))
-        return F.transform(find_all(F.col("text"), pattern), named)
-
-    each = F.flatten(F.array(*[found(at, kind, pattern) for at, (kind, pattern) in enumerate(ENTITIES.items())]))
-    longer = lambda o, s: (o["start"] <= s["start"]) & (o["stop"] >= s["stop"]) & ((o["stop"] - o["start"] > s["stop"] - s["start"]) | (o["at"] < s["at"]))
-    held = prompts.select("prompt_id", "text", each.alias("spans"))
-    kept = held.select("prompt_id", "text", F.explode(F.filter("spans", lambda s: ~F.exists("spans", lambda o: longer(o, s)))).alias("s"))
-    return kept.select("prompt_id", "s.kind", "s.start", "s.stop", F.substring("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("named"))

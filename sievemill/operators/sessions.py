@@ -86,7 +86,7 @@ def fresh(found: DataFrame, asof: str, hours: int) -> DataFrame:
     return last.select("name", "value", (F.col("ts") >= F.lit(asof).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")).alias("fresh"))
 
 
-def sessions_by_gap(validations: DataFrame, minutes: int = 1800) -> DataFrame:
+def sessions_by_gap(validations: DataFrame, minutes: int = 30) -> DataFrame:
     """Runs of a user's validations without a gap of `minutes` minutes: start, end and count, and the last run's errors."""
     out = validations.groupBy("user_id", F.session_window("ts", f"{minutes} minutes").alias("w")).agg(
         F.count("*").alias("validations"), F.sum("score").alias("score_sum"), F.max_by("errors", F.struct("ts", "event_id")).alias("last_errors"), F.count_distinct("file_path").alias("files")
@@ -94,17 +94,29 @@ def sessions_by_gap(validations: DataFrame, minutes: int = 1800) -> DataFrame:
     return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "validations", "score_sum", "last_errors", "files")
 
 
+#: The tier of claims that are still open, or live longer than 2 to the power of this in hours.
+OPEN_TIER = 24
+
+
 def claim_conflicts(claims: DataFrame) -> DataFrame:
     """Claims on a file (event_id, session_id, file_path, kind, ts, released) that meet another session's live claim: a write
-    meets a write (warning) or a read (info), a read meets a write (warning).
+    meets a write (warning) or a read (info), a read meets a write (warning). A claim without `released` is still open.
 
-    The other claim is a row for each hour of its life, and a claim looks in the hour of its start, so that only claims near in time
-    meet, and each pair once."""
+    A claim's life falls into at most two stretches of time of its own tier, the least power of two hours that it fits into; open claims share one stretch. A claim looks for others in the
+    stretch of its start at each tier there is, so that only claims near in time meet, and each pair once, however long claims live."""
     hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000)
-    other = claims.select(*[F.col(c).alias(f"o_{c}") for c in claims.columns]).where("o_released > o_ts")
-    other = other.withColumn("_o_hour", F.explode(F.sequence(hour("o_ts"), hour("o_released"))))
-    live = (F.col("o_ts") <= F.col("ts")) & (F.col("o_released") > F.col("ts")) & (F.col("o_session_id") != F.col("session_id"))
-    met = claims.withColumn("_hour", hour("ts")).join(other, (F.col("file_path") == F.col("o_file_path")) & (F.col("_hour") == F.col("_o_hour")) & live)
+    other = claims.select(*[F.col(c).alias(f"o_{c}") for c in claims.columns]).where("o_ts is not null and (o_released is null or o_released > o_ts)")
+    life = hour("o_released") - hour("o_ts") + 1
+    tier = F.coalesce(F.least(F.ceil(F.log2(life.cast("double"))), F.lit(OPEN_TIER)), F.lit(OPEN_TIER)).cast("int")
+    stretch = lambda at, t: F.when(t >= OPEN_TIER, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", at, t))
+    other = other.withColumn("_o_tier", tier)
+    first, last = stretch(hour("o_ts"), F.col("_o_tier")), stretch(F.coalesce(hour("o_released"), hour("o_ts")), F.col("_o_tier"))
+    other = other.withColumn("_o_stretch", F.explode(F.sequence(first, last)))
+    tiers = sorted(r["_o_tier"] for r in other.select("_o_tier").distinct().collect())  # OPEN_TIER + 1 at most
+    live = (F.col("o_ts") <= F.col("ts")) & (F.col("o_released").isNull() | (F.col("o_released") > F.col("ts"))) & (F.col("o_session_id") != F.col("session_id"))
+    asked = claims.withColumn("_tier", F.explode(F.array(*map(F.lit, tiers)) if tiers else F.array().cast("array<int>")))
+    asked = asked.withColumn("_stretch", stretch(hour("ts"), F.col("_tier")))
+    met = asked.join(other, (F.col("file_path") == F.col("o_file_path")) & (F.col("_tier") == F.col("_o_tier")) & (F.col("_stretch") == F.col("_o_stretch")) & live)
     severity = F.when(F.col("o_kind") == "write", "warning").when(F.col("kind") == "write", "info")
     return met.select("event_id", F.col("o_event_id").alias("other_id"), severity.alias("severity")).where("severity is not null")
 

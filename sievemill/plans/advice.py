@@ -82,7 +82,7 @@ add(
 
 # -- prompts ----------------------------------------------------------------------------------------------------
 
-MENTIONS = [" in src/api/a.py and src/web/b.py, then src/db/models.py", " see src/core/x.py or src/tests/t.py", " for FastAPI and SQLAlchemy with python", " using React with next.js and typescript", ""]
+MENTIONS = [" in ./src/api/a.py and ./src/web/b.py, then ./src/db/models.py", " see ./src/core/x.py or ./src/tests/t.py", " for FastAPI and SQLAlchemy with python", " using React with next.js and typescript", ""]
 FORBIDDEN = [("web", "forbid", "data"), ("web", "forbid", "base"), ("data", "forbid", "web"), ("base", "allow", "base")]
 _MENTION = f"[{', '.join(map(quoted, MENTIONS))}][prompt_id % {len(MENTIONS)} + 1]"
 MENTIONED = prompts.PROMPTS + f", m AS (SELECT prompt_id, text || {_MENTION} AS text FROM prompts)"
@@ -96,8 +96,7 @@ def _mentioning(spark, sf_dir):
 _FORBIDS = ", ".join(f"('{layer}', '{','.join(sorted(t for n, kind, t in FORBIDDEN if n == layer and kind == 'forbid'))}')" for layer in ("web", "data"))
 add(
     "j08_layer_context", lambda s, d: a.layer_context(_mentioning(s, d), prompts._layers(s), s.createDataFrame(FORBIDDEN, "layer string, kind string, target string")),
-    MENTIONED + f""", a AS (SELECT prompt_id, text, unnest({prompts._SPANS}) AS s FROM m),
-        e AS (SELECT prompt_id, s.start AS start, substring(text, s.start + 1, s.stop - s.start) AS path FROM a WHERE s.kind = 'file' AND NOT EXISTS (FROM a b WHERE b.prompt_id = a.prompt_id AND b.s.start <= a.s.start AND b.s.stop >= a.s.stop AND (b.s.stop - b.s.start > a.s.stop - a.s.start OR b.s.at < a.s.at))),
+    MENTIONED + f""", {prompts.entities_sql('m')}, e AS (SELECT prompt_id, start, regexp_replace(named, '^\\./', '') AS path FROM named_spans WHERE kind = 'file_path'),
         l AS (SELECT *, {prompts.LAYER.format('path')} AS layer FROM e), f(layer, forbidden) AS (VALUES {_FORBIDS})
         SELECT prompt_id, arg_min(path, start) AS path, layer, forbidden FROM l JOIN f USING (layer) GROUP BY prompt_id, layer, forbidden""",
 )
@@ -120,7 +119,7 @@ def _standards(spark, sf_dir):
 
 add(
     "j11_standards", _standards,
-    f"WITH prompts AS (SELECT * FROM ({prompts.ORACLE['x01_classify_prompts'].replace('FROM prompts),', 'FROM (SELECT prompt_id, text || ' + _MENTION + ' AS text FROM prompts)),', 1)}))" + f""",
+    f"WITH prompts AS (SELECT * FROM ({prompts.ORACLE['x01_classify_prompts'].replace('FROM prompts),', 'FROM (SELECT prompt_id, text || ' + _MENTION + ' AS text FROM prompts)),', 2)}))" + f""",
         standards(topic, ord, text) AS (VALUES {', '.join(map(str, STANDARDS))}),
         t AS (SELECT prompt_id, 'language:' || language AS topic, {ITEMS['moderate']} AS cap FROM prompts WHERE language IS NOT NULL
             UNION ALL SELECT prompt_id, 'framework:' || f, {ITEMS['moderate']} FROM (SELECT prompt_id, unnest(string_split(frameworks, ',')) AS f FROM prompts) WHERE f <> ''

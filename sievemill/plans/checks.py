@@ -51,7 +51,8 @@ by_pattern("l07_injection", k.INJECTION)
 by_pattern("l11_unbounded_query", k.UNBOUNDED)
 CALLS = [r for r in RULES if r.id in ("PY001", "PY002", "PY003", "PY004")]
 add("l14_call_checks", lambda f: scan.rule_scan(f, CALLS).select("file_id", "rule_id", "line", "col"), f"WITH {FILES}, {violations_sql(CALLS)} SELECT file_id, rule_id, line, col FROM violations")
-on_lines("l08_orm_query_in_loop", lambda t: k.ahead(t, k.LOOP, k.ORM, 20), ahead(k.LOOP, k.ORM, 20))
+_FIRST = ", ".join(f"min(CASE WHEN {rlike('c', h)} THEN line END) {OVER} ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)" for h in k.ORM)
+on_lines("l08_orm_query_in_loop", lambda t: k.first_listed(t, k.LOOP, k.ORM, 20), f", w AS (SELECT *, coalesce({_FIRST}) AS hit FROM t) SELECT file_id, line, hit FROM w WHERE {rlike('c', k.LOOP)} AND hit IS NOT NULL")
 on_lines("l10_blocking_calls", lambda t: k.ahead(t, k.ASYNC, k.BLOCKING, 50), ahead(k.ASYNC, k.BLOCKING, 50))
 on_lines("l12_costly_in_loop", lambda t: k.ahead(t, k.COSTLY_LOOP, k.COSTLY, 20), ahead(k.COSTLY_LOOP, k.COSTLY, 20))
 on_lines(

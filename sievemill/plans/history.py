@@ -122,15 +122,15 @@ on_validations(
 )
 on_validations(
     "m02_sessions_by_gap", sessions.sessions_by_gap,
-    """, g AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1800 MINUTE, true) AS new FROM validations),
+    """, g AS (SELECT *, coalesce(ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE, true) AS new FROM validations),
         r AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS validations,
         round(sum(score), 9) AS score_sum, max_by(errors, (ts, event_id))::BIGINT AS last_errors, count(DISTINCT file_path) AS files FROM r GROUP BY user_id, run""",
 )
 on_validations(
-    "j14_claim_conflicts", lambda v: sessions.claim_conflicts(v.selectExpr("event_id", "session_id", "file_path || (event_id % 40) AS file_path", "if(event_id % 2 = 0, 'write', 'read') AS kind", "ts", "ts + INTERVAL 10 HOURS AS released")),
-    """, c AS (SELECT event_id, session_id, file_path || (event_id % 40) AS file_path, CASE WHEN event_id % 2 = 0 THEN 'write' ELSE 'read' END AS kind, ts, ts + INTERVAL 10 HOUR AS released FROM validations)
+    "j14_claim_conflicts", lambda v: sessions.claim_conflicts(v.selectExpr("event_id", "session_id", "file_path || (event_id % 40) AS file_path", "if(event_id % 2 = 0, 'write', 'read') AS kind", "ts", "if(passed, ts + INTERVAL 10 HOURS, if(errors > 1, null, ts + INTERVAL 3 DAYS)) AS released")),
+    """, c AS (SELECT event_id, session_id, file_path || (event_id % 40) AS file_path, CASE WHEN event_id % 2 = 0 THEN 'write' ELSE 'read' END AS kind, ts, CASE WHEN passed THEN ts + INTERVAL 10 HOUR WHEN errors > 1 THEN NULL ELSE ts + INTERVAL 3 DAY END AS released FROM validations)
         SELECT a.event_id, b.event_id AS other_id, CASE WHEN b.kind = 'write' THEN 'warning' ELSE 'info' END AS severity FROM c a JOIN c b
-        ON a.file_path = b.file_path AND a.session_id <> b.session_id AND b.ts <= a.ts AND b.released > a.ts AND (a.kind = 'write' OR b.kind = 'write')""",
+        ON a.file_path = b.file_path AND a.session_id <> b.session_id AND b.ts <= a.ts AND coalesce(b.released > a.ts, true) AND (a.kind = 'write' OR b.kind = 'write')""",
 )
 on_validations(
     "a18_override_counts", lambda v: sessions.override_counts(v.where("not passed").select(F.explode("rules").alias("rule_id"), "file_path").withColumn("severity", F.when(F.col("rule_id").startswith("SEC"), "error").otherwise("warning"))),

@@ -92,7 +92,7 @@ def _dependencies(spark, sf_dir):
 
 
 add("s09_manifest_dependencies", _dependencies, DEPENDENCIES + "SELECT * FROM deps")
-add("j15_frameworks", lambda s, d: ingest.frameworks(_dependencies(s, d)), DEPENDENCIES + "SELECT project, CASE package WHEN 'next' THEN 'next.js' ELSE package END AS framework, max(version) AS version FROM deps WHERE package IN ('flask', 'django', 'react', 'next') GROUP BY ALL")
+add("j15_frameworks", lambda s, d: ingest.frameworks(_dependencies(s, d)), DEPENDENCIES + "SELECT project, CASE package WHEN 'next' THEN 'next.js' ELSE package END AS framework, arg_max(version, {'n': list_transform(regexp_extract_all(version, '([0-9]+)', 1), lambda x: x::BIGINT), 'v': version}) AS version FROM deps WHERE package IN ('flask', 'django', 'react', 'next') GROUP BY ALL")
 add("s10_lock_versions", lambda s, d: ingest.lock_versions(made.locks(docs(s, d))), "SELECT source AS project, 'react' AS package, (doc_id % 4) || '.9.9' AS locked FROM documents")
 
 

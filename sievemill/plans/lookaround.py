@@ -139,11 +139,6 @@ def _prompts(spark, sf_dir):
 
 
 PROMPTS = f"WITH prompts AS (SELECT conv_id * 1000 + turn AS prompt_id, {REQUESTS}[conv_id % {len(REQUESTS)} + 1] || CASE WHEN turn = 0 THEN '' ELSE ' ' || coalesce(text, '') END AS text FROM conversations WHERE role = 'user')"
-add(
-    "p21_ambiguity", lambda spark, sf_dir: _prompts(spark, sf_dir).select("prompt_id", joins.ambiguity(F.col("text"), F.lower("text").rlike("fix|add|refactor|review"), F.lower("text").rlike("python| go")).alias("ambiguity")),
-    PROMPTS + " SELECT prompt_id, round(least(1.0::DOUBLE, CASE WHEN len(string_split_regex(trim(text, ' '), '\\s+')) < 5 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'fix|add|refactor|review') THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN regexp_matches(lower(text), 'python| go') THEN 0 ELSE 0.2::DOUBLE END"
-    + "".join(f" + CASE WHEN regexp_matches(lower(text), '(?:^|[^a-z]){w}(?:[^a-z]|$)') THEN 0.1::DOUBLE ELSE 0 END" for w in joins.VAGUE) + "), 9) AS ambiguity FROM prompts",
-)
 add(
     "j12_decision_guidance", lambda spark, sf_dir: joins.guidance(_prompts(spark, sf_dir), spark.createDataFrame(TRIGGERS, "domain string, ord int, trigger string")),
     PROMPTS + f", t(domain, ord, trigger) AS (VALUES {', '.join(map(str, TRIGGERS))}), n AS (SELECT prompt_id, domain, count(*) AS hits, min(ord) AS ord FROM prompts JOIN t ON contains(lower(text), trigger) GROUP BY ALL) SELECT prompt_id, domain, hits, (row_number() OVER w)::INT AS rank FROM n WINDOW w AS (PARTITION BY prompt_id ORDER BY hits DESC, ord) QUALIFY row_number() OVER w <= 2",

@@ -44,7 +44,7 @@ def rest(column: str, pattern: str) -> str:
 PATH = mask(mask(mask(extract("body", p.FILE, 2), "^`+|`+$", ""), "^[\"']+|[\"']+$", ""), "[.,;:]+$", "")
 NEW = f"{extract('body', p.FILE)} <> ''"
 DETAILS = f"{split(extract('body', p.DETAILS), p.AFTER_DETAILS)}[1]"
-SQL = f"""WITH {FILES_SQL}, {PLANS_SQL},
+SQL = f"""WITH RECURSIVE {FILES_SQL}, {PLANS_SQL},
     cuts AS (SELECT plan_id, {all_of('text', p.STEP)} AS numbers, {split('text', p.STEP)} AS parts FROM plans),
     steps AS (SELECT plan_id, i::INT AS pos, numbers[i] AS step, parts[i + 1] AS body FROM (SELECT *, unnest(range(1, len(numbers) + 1)) AS i FROM cuts)),
     named AS (SELECT plan_id, pos, step, {PATH} AS path, {NEW} AS new FROM steps WHERE {rlike('body', p.FILE)}),
@@ -53,6 +53,10 @@ SQL = f"""WITH {FILES_SQL}, {PLANS_SQL},
         UNION ALL SELECT plan_id, pos, step, path FROM named WHERE new AND contains(path, '/') AND regexp_replace(path, '/[^/]*$', '') NOT IN (SELECT folder FROM folders)),
     needs AS (SELECT plan_id, pos, step, unnest({all_of(f"trim({extract('body', p.DEPENDS)}, ' ')", '([0-9]+)')}) AS need FROM steps WHERE lower(trim({extract('body', p.DEPENDS)}, ' ')) NOT IN ({', '.join(map(quoted, p.NO_DEPENDS))})),
     dependency AS (SELECT * FROM needs n WHERE NOT EXISTS (FROM steps s WHERE s.plan_id = n.plan_id AND s.step = n.need)),
+    held AS (SELECT n.plan_id, n.step, n.need FROM needs n JOIN (SELECT plan_id, step, max(pos) AS pos FROM steps GROUP BY ALL) USING (plan_id, step, pos)),
+    reach AS (SELECT plan_id, step AS a, need AS b FROM held UNION SELECT r.plan_id, r.a, h.need FROM reach r JOIN held h ON h.plan_id = r.plan_id AND h.step = r.b),
+    circle AS (SELECT r.plan_id, r.a AS step, min(r.b) AS first FROM reach r JOIN reach o ON o.plan_id = r.plan_id AND o.a = r.b AND o.b = r.a GROUP BY ALL),
+    depends AS (SELECT plan_id, step, need FROM dependency UNION ALL SELECT DISTINCT plan_id, first, '(cycle)' FROM circle),
     vague AS (SELECT plan_id, pos, step, unnest({listed({n: rlike('body', x) for n, x in p.CROSS_REFERENCES.items()})}) AS phrase FROM steps),
     fields AS (SELECT plan_id, pos, step, unnest({listed({f: f"NOT {rlike('body', f'(?i)[*][*]{f}:[*][*]')}" for f in p.FIELDS})}) AS field FROM steps),
     edits AS (SELECT *, {all_of('body', p.ANCHOR)} AS a, {all_of('body', p.REPLACE)} AS r FROM steps WHERE {rlike('body', p.EDIT)} AND NOT {rlike('body', p.CAPABLE)}),
@@ -95,6 +99,7 @@ on_steps("x09_atomicity", p.atomicity, "SELECT * FROM atomicity")
 add("x10_unresolved_decisions", lambda f: p.unresolved_decisions(plans(f), p.plan_steps(plans(f))), "SELECT * FROM unresolved")
 add("j17_phantom_files", lambda f: p.phantom_files(p.plan_steps(plans(f)), f), "SELECT * FROM phantom")
 add("j18_anchor_uniqueness", lambda f: p.anchor_uniqueness(p.plan_steps(plans(f)), f), "SELECT * FROM uniqueness")
+on_steps("x11_cycles_of_plans", p.plan_cycles, "SELECT * FROM circle")
 on_steps("j19_dangling_references", p.dangling_references, "SELECT * FROM dependency")
 _COUNTS = " + ".join(f"len({all_of('text', x, 0)})" for x in p.VAGUE + p.OPEN)
 _SECTIONS = " + ".join(f"(NOT {rlike('text', x)})::INT" for x in p.SECTIONS.values())
@@ -106,7 +111,7 @@ add(
         o AS (SELECT *, clarity * 0.25::DOUBLE + completeness * 0.25::DOUBLE + grounding * 0.3::DOUBLE + atomicity * 0.2::DOUBLE AS overall FROM e)
         SELECT plan_id, round(clarity, 9) AS clarity, round(completeness, 9) AS completeness, round(grounding, 9) AS grounding, round(atomicity, 9) AS atomicity, round(overall, 9) AS overall, v + s + t = 0 AND overall >= 0.95::DOUBLE AS ready FROM o""",
 )
-_KINDS = {k: k if k != "grounding" else "(SELECT * FROM fields WHERE field = 'Grounding')" for k in p.PENALTIES}
+_KINDS = {k: k for k in p.PENALTIES} | {"grounding": "(SELECT * FROM fields WHERE field = 'Grounding')", "dependency": "depends"}
 _LOST = " + ".join(f"CASE WHEN version >= 2 OR {k in p.SOFT} THEN {k} ELSE 0 END * {x}::DOUBLE" for k, x in p.PENALTIES.items())
 _HELD = " + ".join(f"CASE WHEN version >= 2 OR {k in p.SOFT} THEN {k} ELSE 0 END" for k in p.PENALTIES)
 add(

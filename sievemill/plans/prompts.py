@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FOREIGN
 from ..operators import architecture as a
+from ..operators import entities as e
 from ..operators import prompts as p
 from ..operators import quality, scan
 from ..operators.checks import inferred_severity
@@ -51,18 +52,42 @@ FRAMEWORKS = listed({name: rlike(LOW, "(?i)" + "|".join(signs)) for name, signs
 SHORT, UNKNOWN, NO_LANGUAGE = "words < 5", "task = 'unknown'", "language IS NULL"
 _TENTHS = f"CASE WHEN {SHORT} THEN 3 ELSE 0 END + CASE WHEN {UNKNOWN} THEN 3 ELSE 0 END + CASE WHEN {NO_LANGUAGE} THEN 2 ELSE 0 END" + "".join(f" + CASE WHEN {rlike('low', chr(92) + 'b' + w + chr(92) + 'b')} THEN 1 ELSE 0 END" for w in p.VAGUE)
 _ASKED = listed({"task": UNKNOWN, "details": SHORT} | {w: rlike("low", rf"\b{w}\b") for w in p.ASKED} | {"language": NO_LANGUAGE})
+
+
+def entities_sql(source: str) -> str:
+    """named_spans of the texts (prompt_id, text) of a table: what they name, with the numbers of SURVEY spelt out."""
+    parts = " UNION ALL ".join(f"SELECT prompt_id, text, {i} AS sign, '{x.kind}' AS kind, {x.sure} AS base, unnest({spans_sql('low_plain', quoted(x.pattern))}) AS s FROM spelt" for i, x in enumerate(e.SIGNS))
+    clue = "CASE sign " + " ".join(f"WHEN {i} THEN regexp_matches(near, {quoted(x.clues)})" for i, x in enumerate(e.SIGNS)) + " END"
+    return f"""spelt AS (SELECT prompt_id, text, regexp_replace(text, {quoted(FOREIGN)}, '_', 'g') AS low_plain FROM {source}), spans_met AS ({parts}),
+        spans_cut AS (SELECT prompt_id, text, sign, kind, base, s.start + CASE WHEN sign = 2 AND s.text[1] <> '/' THEN 1 ELSE 0 END AS start, s."end" AS stop, regexp_replace(CASE WHEN sign = 2 AND s.text[1] <> '/' THEN s.text[2:] ELSE s.text END, '\\s*\\(\\)?\\z', '') AS named FROM spans_met),
+        spans_near AS (SELECT *, lower(string_split(named, '.')[-1]) AS last, substring(lower(text), greatest(start - 30, 0) + 1, stop + 30 - greatest(start - 30, 0)) AS near, substring(text, greatest(start - 50, 0) + 1, start - greatest(start - 50, 0)) AS head,
+            kind = 'api_reference' AND string_split(named, '.')[1] IN ({', '.join(map(quoted, e.LIBRARIES))}) AS library FROM spans_cut),
+        spans_real AS (SELECT *, least(100, least(100, base + CASE WHEN library THEN 20 ELSE 0 END) + CASE WHEN {clue} THEN 15 ELSE 0 END) AS sure FROM spans_near
+            WHERE CASE kind WHEN 'file_path' THEN NOT regexp_matches(head, '://[^ ]*\\z') AND (NOT contains(named, '.') OR last = '' OR last IN ({', '.join(map(quoted, e.EXTENSIONS))})) WHEN 'function_name' THEN last NOT IN ({', '.join(map(quoted, e.NO_NAMES))}) ELSE true END),
+        named_spans AS (SELECT prompt_id, kind, start::INT AS start, stop::INT AS stop, named, sure, library, trim(substring(text, greatest(start - 40, 0) + 1, stop + 40 - greatest(start - 40, 0)), ' ') AS context FROM spans_real a WHERE NOT EXISTS
+            (FROM spans_real b WHERE b.prompt_id = a.prompt_id AND b.start <= a.start AND b.stop >= a.stop AND (b.stop - b.start > a.stop - a.start OR b.sign < a.sign)))"""
+
+
 _WEIGHT = "CASE task " + " ".join(f"WHEN '{t}' THEN {s}" for t, s in p.TASK_SCORE.items()) + " ELSE 1 END"
 add(
     "x01_classify_prompts", lambda s, d: p.classify(_prompts(s, d), SECURITY),
-    PROMPTS + f""", l AS (SELECT prompt_id, regexp_replace(lower(text), {quoted(FOREIGN)}, '_', 'g') AS low, length(text) AS n, len(list_filter(string_split_regex(trim(text, ' '), '\\s+'), lambda x: x <> '')) AS words FROM prompts),
+    PROMPTS + f""", {entities_sql('prompts')}, l AS (SELECT prompt_id, prompt_id IN (SELECT prompt_id FROM named_spans) AS names, regexp_replace(lower(text), {quoted(FOREIGN)}, '_', 'g') AS low, length(text) AS n, len(list_filter(string_split_regex(trim(text, ' '), '\\s+'), lambda x: x <> '')) AS words FROM prompts),
         c AS (SELECT *, {best_sql(p.TASKS)} AS tasks, {best_sql(p.LANGUAGES)}[1].name AS language FROM l),
         t AS (SELECT *, coalesce(tasks[1].name, 'unknown') AS task, list_transform(list_filter(tasks[2:], lambda x: x.score >= 4), lambda x: x.name) AS others, {rlike('low', SECURITY)} AS security, {rlike('low', p.RAG + '|' + p.RAG_FRAMEWORKS)} AS rag, {rlike('low', p.GRAPH + '|' + p.GRAPH_FRAMEWORKS)} AS graph FROM c),
         u AS (SELECT *, least({_TENTHS}, 10) / 10.0::DOUBLE AS ambiguity FROM t), v AS (SELECT *, CASE WHEN ambiguity >= 0.6::DOUBLE THEN array_to_string({_ASKED}[1:4], ',') ELSE '' END AS questions,
-            {_WEIGHT} + CASE WHEN len(others) > 0 THEN 1 ELSE 0 END + CASE WHEN n >= 200 THEN 1 ELSE 0 END + CASE WHEN n >= 500 THEN 1 ELSE 0 END AS weight FROM u)
+            {_WEIGHT} + CASE WHEN len(others) > 0 THEN 1 ELSE 0 END + least(len({FRAMEWORKS}), 2) + names::INT + CASE WHEN n >= 200 THEN 1 ELSE 0 END + CASE WHEN n >= 500 THEN 1 ELSE 0 END AS weight FROM u)
         SELECT prompt_id, task, array_to_string(others, ',') AS others, language, array_to_string({FRAMEWORKS}, ',') AS frameworks, security, rag, graph, round(ambiguity, 9) AS ambiguity, questions,
             ['micro', 'light', 'standard', 'thorough'][greatest(CASE WHEN weight <= 1 THEN 0 WHEN weight = 2 THEN 1 WHEN weight <= 5 THEN 2 ELSE 3 END, CASE WHEN security OR rag OR graph OR ambiguity >= 0.6::DOUBLE THEN 2 ELSE 0 END, CASE WHEN task = 'planning' THEN 3 ELSE 0 END) + 1] AS ceremony FROM v""",
 )
 
+add(
+    "p21_ambiguity", lambda s, d: p.classify(_prompts(s, d), SECURITY).select("prompt_id", "ambiguity"),
+    PROMPTS + f""", l AS (SELECT prompt_id, regexp_replace(lower(text), {quoted(FOREIGN)}, '_', 'g') AS low, len(list_filter(string_split_regex(trim(text, ' '), '\\s+'), lambda x: x <> '')) AS words FROM prompts),
+        t AS (SELECT *, len({best_sql(p.TASKS)}) = 0 AS unknown, len({best_sql(p.LANGUAGES)}) = 0 AS no_language FROM l)
+        SELECT prompt_id, round(least(10, CASE WHEN words < 5 THEN 3 ELSE 0 END + CASE WHEN unknown THEN 3 ELSE 0 END + CASE WHEN no_language THEN 2 ELSE 0 END
+            + len(list_filter(['something', 'stuff', 'thing', 'it', 'this', 'that', 'some'], lambda w: regexp_matches(low, '\\b' || w || '\\b')))) / 10.0::DOUBLE, 9) AS ambiguity FROM t""",
+)
+
 # -- semantic checks --------------------------------------------------------------------------------------------
 
 FOUND = ", found AS (SELECT file_id, line, unnest(" + listed({name: rlike("text", f"(?i){q}") for name, (q, _) in p.CONCERNS.items()}) + ") AS concern FROM (SELECT file_id, line, regexp_replace(text, " + quoted(FOREIGN) + ", '_', 'g') AS text FROM lines)), checks AS (SELECT *, CASE WHEN concern IN (" + ", ".join(quoted(n) for n, (_, s) in p.CONCERNS.items() if s == "warning") + ") THEN 'warning' ELSE 'info' END AS severity FROM found)"
@@ -135,7 +160,7 @@ def _entries(spark, sf_dir):
 ENTRIES = "WITH x AS (SELECT coalesce(source, 'none') AS project, unnest(list_distinct(['t' || (doc_id % 7), 't' || (doc_id % 11), 'own' || doc_id])) AS tag, 'c' || (doc_id % 3) AS content FROM documents)"
 add(
     "a17_workspace_patterns", lambda s, d: a.workspace_patterns(_entries(s, d)),
-    ENTRIES + ", o AS (SELECT tag, count(DISTINCT project) AS projects, count(*) AS entries FROM x GROUP BY 1 HAVING count(DISTINCT project) >= 2), n AS (SELECT tag, content, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT tag, content FROM n QUALIFY row_number() OVER (PARTITION BY tag ORDER BY n DESC, content) = 1) SELECT tag, projects, content, round(least(1.0, projects / entries + 0.3::DOUBLE), 9) AS confidence FROM o JOIN b USING (tag)",
+    ENTRIES + ", o AS (SELECT tag, count(DISTINCT project) AS projects, array_to_string(list_sort(list(DISTINCT project)), ',') AS names FROM x GROUP BY 1 HAVING count(DISTINCT project) >= 2), n AS (SELECT tag, content, count(*) AS n FROM x GROUP BY ALL), b AS (SELECT tag, content FROM n QUALIFY row_number() OVER (PARTITION BY tag ORDER BY n DESC, content) = 1) SELECT tag, projects, content, round(least(1.0, projects / (SELECT count(*) FROM documents) + 0.3::DOUBLE), 9) AS confidence, names FROM o JOIN b USING (tag)",
 )
 add(
     "j16_missing_conventions", lambda s, d: a.missing_conventions(_entries(s, d), s.createDataFrame([("t3",), ("t10",), ("t99",)], "tag string")),
@@ -149,15 +174,14 @@ add(
 
 
 def _named(spark, sf_dir):
-    more = F.concat(F.lit(" see src/app/f"), "prompt_id", F.lit(".py and run load_all() or os.path.join with db.rows()"))
-    return _prompts(spark, sf_dir).withColumn("text", F.concat("text", more))
+    text = F.concat("text", F.lit(" see ./src/app/f"), F.col("prompt_id").cast("string"), F.lit(".py, /etc/app.conf or ~/a.rs, call load_all() and os.path.join with the class Repo.find, not http://x.org/a/b.py; useState in react"))
+    return _prompts(spark, sf_dir).withColumn("text", text)
 
 
-_SPANS = " || ".join(f"list_transform({spans_sql('text', quoted(q))}, lambda s: {{'start': s.start, 'stop': s.\"end\", 'at': {i}, 'kind': '{n}'}})" for i, (n, q) in enumerate(p.ENTITIES.items()))
 add(
-    "x02_entities", lambda s, d: p.entities(_named(s, d)),
-    PROMPTS + f""", m AS (SELECT prompt_id, text || ' see src/app/f' || prompt_id || '.py and run load_all() or os.path.join with db.rows()' AS text FROM prompts), a AS (SELECT prompt_id, text, unnest({_SPANS}) AS s FROM m)
-        SELECT prompt_id, s.kind AS kind, s.start AS start, s.stop AS stop, substring(text, s.start + 1, s.stop - s.start) AS named FROM a WHERE NOT EXISTS (FROM a b WHERE b.prompt_id = a.prompt_id AND b.s.start <= a.s.start AND b.s.stop >= a.s.stop AND (b.s.stop - b.s.start > a.s.stop - a.s.start OR b.s.at < a.s.at))""",
+    "x02_entities", lambda s, d: e.entities(_named(s, d)),
+    PROMPTS + f""", m AS (SELECT prompt_id, text || ' see ./src/app/f' || prompt_id || '.py, /etc/app.conf or ~/a.rs, call load_all() and os.path.join with the class Repo.find, not http://x.org/a/b.py; useState in react' AS text FROM prompts), {entities_sql('m')}
+        SELECT prompt_id, kind, start, stop, named, round(sure / 100.0::DOUBLE, 9) AS confidence, library, context FROM named_spans""",
 )
 add(
     "p18_inferred_severity", lambda s, d: validations(s, d).select(F.explode("rules").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n")).withColumn("severity", inferred_severity(F.col("rule_id"))),

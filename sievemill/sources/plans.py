@@ -11,7 +11,7 @@ _FULL = "**Verify:** run the tests\n**Grounding:** read {path}\n"
 FRONTS = ["---\ntitle: plan\nformat_version: 2\n---\n", "", "---\nformat_version: two\n---\n", "---\nformat_version: 2\nowner: us\n---\n"]
 PLANS = [
     "# Plan {id}\n## Research Notes\n{notes}\n### Files Verified\n- {path}\n## Design Decisions\nOne table holds all. No TBD is left.\n## Low-Level Design\n- `def load` [NEW] in step 1\n- `Repo.get` [EXISTING] src/core/f1.py:3\n## Steps\n### Step 1: Change\n**File:** `{path}`\n**Action:** Edit\n**Details:** Replace the import.\n```anchor\nimport os\n```\n```replace\nimport sys  # def load\n```\n**Depends on:** none\n" + _FULL + "### Step 2: Write\n**File:** NEW: src/core/new{id}.py\n**Action:** Write\n**Details:** Write the module.\n**Depends on:** Step 1\n" + _FULL,
-    "# Plan {id}\n## Research notes\n{notes}\n## Design Decisions\nEither a cache or a table, TBD.\nNot TODO here. `FIXME` is code, \"TBC\" a quote.\n## Steps\n### Step 1: Change\n**File:** src/none/f{id}.py\n**Action:** Edit and test\n**Details:** You should probably change it as discussed and then check ???\n**Depends on:** Steps 2, 7, 7\n**Verify:** run\n### Step 2: More\n**File:** NEW: other/dir/new.py\n**File:** {path}.\n**Action:** Write\n**Details:** see above; decide at review\n" + _FULL,
+    "# Plan {id}\n## Research notes\n{notes}\n## Design Decisions\nEither a cache or a table, TBD.\nNot TODO here. `FIXME` is code, \"TBC\" a quote.\n## Steps\n### Step 1: Change\n**File:** src/none/f{id}.py\n**Action:** Edit and test\n**Details:** You should probably change it as discussed and then check ???\n**Depends on:** Steps 2, 7, 7\n**Verify:** run\n### Step 2: More\n**File:** NEW: other/dir/new.py\n**File:** {path}.\n**Action:** Write\n**Details:** see above; decide at review\n**Depends on:** Step 1\n" + _FULL,
     "# Plan {id}\n{notes}\n## Low-Level Design\n- `class Loader` [NEW]\n- `Repo.get(id)` [EXISTING] returns a row\n- nothing here\n## Steps\n## Step 3\n**file:** `{path}`\n**Action:** Edit [target: capable]\n**Details:** First read it, then change it. Option A is fine or not.\n**Depends On:** 3\n## Step 3: again\n**Details:** maybe around line 12, I think\n",
     "# Plan {id}\n## Research Notes\n### Files Verified\n### Step 1: Anchors\n**File:** {path}\n**Action:** edit\n**Details:** do it\n```anchor\n\n```\n```replace\nx\n```\n" + _FULL + "### Step 2: Twice\n**File:** {path}\n**Action:** Edit\n**Details:** if x then y else z\n```anchor\nreturn\n```\n```anchor\na\n```\n```replace\nx\n```\n**Depends on:** n/a\n" + _FULL + "### Step 3: Unique\n**File:** {path}\n**Action:** Edit\n**Details:** once\n```anchor\nreturn\n```\n```replace\nx\n```\n**Depends on:** Step 2\n" + _FULL + "{notes}",
     "no plan at all\n{notes}",

@@ -28,7 +28,7 @@ def daily(snapshots: DataFrame, late: str = "1 day") -> DataFrame:
     return out.agg(F.count("*").alias("snapshots"), F.sum("errors").alias("errors")).select("project", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "snapshots", "errors")
 
 
-def sessions(validations: DataFrame, minutes: int = 1800, late: str = "1 day") -> DataFrame:
+def sessions(validations: DataFrame, minutes: int = 30, late: str = "1 day") -> DataFrame:
     """Runs of a user's validations without a gap, given out when no more can come."""
     out = validations.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", f"{minutes} minutes").alias("w"))
     return out.agg(F.count("*").alias("validations"), F.sum("errors").alias("errors")).select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "validations", "errors")
