@@ -32,6 +32,11 @@ _PLACE = "struct<at:int,line:int,col:int>"
 _PLACED = "array<struct<start:int,end:int,line:int,col:int,match:string>>"
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with the value worked out once: Spark works an expression out anew wherever it is named, also for each step of a lambda."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def _extent(part: Column) -> Column:
     """Characters, line ends, and characters behind the last line end of a piece of text."""
     tail = F.when(part.contains("\n"), F.length(F.substring_index(part, "\n", -1))).otherwise(F.length(part))
@@ -83,10 +88,8 @@ def placed(parts: Column, found: Column) -> Column:
     def all_runs(blocks: Column) -> Column:
         return F.flatten(F.transform(starts(blocks), run))
 
-    # each step binds what it is given once, since Spark would work out a value anew wherever an expression names it
-    once = lambda value, then: F.get(F.transform(F.array(value), then), zero)
-    whole_text = lambda both: F.when(F.size(both["found"]) > 0, once(pairs(both), lambda p: once(F.transform(by_block(p), summed), all_runs)))
-    return F.coalesce(once(F.struct(parts.alias("parts"), found.alias("found")), whole_text), F.array().cast(_PLACED))
+    whole_text = lambda both: F.when(F.size(both["found"]) > 0, bound(pairs(both), lambda p: bound(F.transform(by_block(p), summed), all_runs)))
+    return F.coalesce(bound(F.struct(parts.alias("parts"), found.alias("found")), whole_text), F.array().cast(_PLACED))
 
 
 def matches(text: Column, pattern: Column) -> Column:

@@ -16,7 +16,6 @@ LINE_START = r"(?:\A|\n)[ \t]*(?:export\s+)?"
 DECLARED = LINE_START + r"(?:async\s+)?function\s+(\w+)\s*(?:<[^>]*>)?\s*\z"
 ARROW = LINE_START + r"(?:const|let|var)\s+(\w+)\s*(?::[^=\n;]+)?=\s*(?:async\s+)?\z"
 BARE_ARROW = LINE_START + r"(?:const|let|var)\s+(\w+)\s*(?::[^=\n;]+)?=\s*(?:async\s+)?[A-Za-z_]\w*\s*=>\s*\z"
-NAMED = r"\bfunction\s+\w+\s*(?:<[^>]*>)?\s*\z"
 TYPED, TYPE_LITERAL, ARROW_BODY = r"\A\s*:", r"\A\s*:\s*\z", r"=>\s*\z"
 CONDITION, ELSE = r"\b(?:if|for|while|switch)\s*\z", r"\belse\s*\z"
 HOOK = r"\b(use[A-Z]\w*)\s*(?:<[^>]*>)?\s*\z"
@@ -46,53 +45,84 @@ def events(files: DataFrame) -> DataFrame:
 
 
 def paired(found: DataFrame) -> DataFrame:
-    """events with `next` (ch, gap and seq of the event after), for openers `close` (seq, line and next of their closer), for closers `head` (their opener's gap)."""
+    """events with `next` (ch, gap and seq of the event after), for openers `close` (seq, line and next of their closer), for closers `head` and `head_line` (their opener's gap and line)."""
     pair, opens = by_file("kind", "level"), F.col("ch").isin("{", "(")
     ahead = found.withColumn("next", F.lead(F.struct("ch", "gap", "seq")).over(by_file()))
-    return ahead.withColumn("close", F.when(opens, F.lead(F.struct("seq", "line", "next")).over(pair))).withColumn("head", F.when(~opens, F.lag("gap").over(pair)))
-
-
-def named(each: DataFrame) -> DataFrame:
-    """Of paired events: functions declared at the start of a line, and arrow functions with a block that get a name there: file_id, lang, name, declared, line, typed (a return
-    type follows the parameters), seq of the block's opener (null: it has none). Braces in the types of parameters, and a return type that is one literal, are no blocks."""
-    past = F.lead(F.when(F.col("ch") == "{", F.col("close.next"))).over(by_file())  # behind a return type in braces
-    literal = F.col("next.gap").rlike(TYPE_LITERAL)
-    block = F.when(F.col("next.ch") == "{", F.when(~literal, F.struct("next.seq", "next.gap")).when(F.col("past.ch") == "{", F.struct("past.seq", "past.gap")))
-    each = each.withColumn("past", past).withColumn("block", block).withColumn("typed", F.col("next.gap").rlike(TYPED))
-    behind = F.lead(F.struct("typed", F.col("block.seq").alias("seq"), F.coalesce(F.col("block.gap").rlike(ARROW_BODY), F.lit(False)).alias("arrow"))).over(by_file("kind", "level"))
-    each = each.withColumn("behind", F.when(F.col("ch") == "(", behind))
-    declared, arrow, bare = (F.regexp_extract("gap", p, 1) for p in (DECLARED, ARROW, BARE_ARROW))
-    name = F.when((F.col("ch") == "(") & (declared != ""), declared).when((F.col("ch") == "(") & F.col("behind.arrow"), arrow).when(F.col("ch") == "{", bare)
-    tail = F.when(declared != "", F.regexp_extract("gap", DECLARED, 0)).when(F.col("ch") == "(", F.regexp_extract("gap", ARROW, 0)).otherwise(F.regexp_extract("gap", BARE_ARROW, 0))
-    return each.withColumn("name", name).where("name <> ''").select(
-        "file_id", "lang", "name", ((F.col("ch") == "(") & (declared != "")).alias("declared"), (F.col("line") - text.newlines(F.ltrim(tail, F.lit("\n")))).cast("int").alias("line"),
-        F.coalesce("behind.typed", F.lit(False)).alias("typed"), F.when(F.col("ch") == "(", F.col("behind.seq")).otherwise(F.col("seq")).alias("seq"),
-    )
+    return ahead.withColumn("close", F.when(opens, F.lead(F.struct("seq", "line", "next")).over(pair))).withColumn("head", F.when(~opens, F.lag("gap").over(pair))).withColumn("head_line", F.when(~opens, F.lag("line").over(pair)))
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """Named functions of scripts: file_id, lang, name, declared, line, length in lines, nesting (the most braces open at once inside the block), typed. A block that is
-    never closed reaches to the end of the file."""
+def told(files: DataFrame) -> DataFrame:
+    """Paired events of scripts with what stands behind them: `function` (name, declared, line, typed; null if none) at the opener of a named function's block, or at the closer of the
+    parameters of one without a block, and `conditions`, `functions`: how many conditional blocks and functions are open there, `asked`: right behind a condition.
+
+    A block belongs to what its opener follows: the parameters of a declaration or of an arrow function with a name, or a return type that is one literal behind these. Braces in the types
+    of parameters, and such return types, are no blocks."""
     each = paired(events(files))
-    openers = each.where("ch = '{'").select("file_id", "seq", "level", F.col("close.line").alias("closed"))
-    last = each.groupBy("file_id").agg(F.max("line").alias("last"))
-    bodies = named(each).join(openers, ["file_id", "seq"], "left").join(last, "file_id")
-    deepest = nesting(openers.select("file_id", "seq", "level"), bodies.where("level is not null").select("file_id", "seq", "level"))
-    length = F.coalesce("closed", "last") - F.col("line") + 1
-    return bodies.join(deepest, ["file_id", "seq"], "left").select("file_id", "lang", "name", "declared", "line", length.alias("length"), F.coalesce("nesting", F.lit(0)).alias("nesting"), "typed")
-
-
-def nesting(openers: DataFrame, bodies: DataFrame) -> DataFrame:
-    """file_id, seq, nesting of function bodies (file_id, seq, level) among openers of braces (file_id, seq, level): how far the deepest opener inside is below the body's.
-
-    At each level that has function bodies, an opener lies in the last opener of that level before it. So an opener counts once for each such level above its own.
-    """
-    levels = bodies.groupBy("file_id").agg(F.collect_set("level").alias("levels"))
-    marked = openers.join(levels, "file_id")
-    above = marked.select("file_id", "seq", "level", F.explode(F.filter("levels", lambda x: x <= F.col("level"))).alias("at"))
+    each = each.withColumn("before", F.lag(F.struct("ch", "head", "head_line", "gap")).over(by_file()))
+    pair = by_file("kind", "level")
+    # what a closer hands on: the text and line before the brackets of parameters, also past a return type in braces
+    literal = (F.col("ch") == "{") & (F.col("before.ch") == ")") & F.col("gap").rlike(TYPE_LITERAL)
+    passed = F.lag(F.when(literal, F.struct(F.col("before.head").alias("head"), F.col("before.head_line").alias("head_line")))).over(pair)
+    each = each.withColumn("literal", F.coalesce(literal, F.lit(False))).withColumn("passed", F.when(F.col("ch") == "}", passed))
+    each = each.withColumn("params", F.when(F.col("ch") == ")", F.struct("head", "head_line")).otherwise(F.col("passed"))).withColumn("prior", F.lag("params").over(by_file()))
+    head, gap = F.coalesce("prior.head", F.lit("")), F.col("gap")
+    declared, arrow, bare = F.regexp_extract(head, DECLARED, 1), F.when(gap.rlike(ARROW_BODY), F.regexp_extract(head, ARROW, 1)).otherwise(""), F.regexp_extract(gap, BARE_ARROW, 1)
+    opens = (F.col("ch") == "{") & ~F.col("literal")
+    typed = gap.rlike(TYPED) | (F.col("before.ch") == "}")
+
+    def function(name: Column, declared: bool, text_: Column, pattern: str, line: Column, typed: Column) -> Column:
+        at = line - text.newlines(F.ltrim(F.regexp_extract(text_, pattern, 0), F.lit("\n")))
+        return F.struct(name.alias("name"), F.lit(declared).alias("declared"), at.cast("int").alias("line"), F.coalesce(typed, F.lit(False)).alias("typed"))
+
+    own = F.regexp_extract(F.coalesce("params.head", F.lit("")), DECLARED, 1)
+    follows = F.col("next.ch") == "{"
+    past = F.lead(F.when(F.col("literal"), F.col("close.next.ch"))).over(by_file())
+    each = each.withColumn("past", past)
+    without = (F.col("ch") == ")") & (own != "") & ~F.coalesce(follows & (~F.col("next.gap").rlike(TYPE_LITERAL) | (F.col("past") == "{")), F.lit(False))
+    found = (
+        F.when(opens & (declared != ""), function(declared, True, head, DECLARED, F.col("prior.head_line"), typed)).when(opens & (arrow != ""), function(arrow, False, head, ARROW, F.col("prior.head_line"), typed))
+        .when(opens & (bare != ""), function(bare, False, gap, BARE_ARROW, F.col("line"), F.lit(False))).when(without, function(own, True, F.col("params.head"), DECLARED, F.col("params.head_line"), F.col("next.gap").rlike(TYPED)))
+    )
+    blank = F.trim(gap, F.lit(" \t\n\r")) == ""
+    asked = F.coalesce((F.col("before.ch") == ")") & F.col("before.head").rlike(CONDITION), F.lit(False))
+    conditional = (F.col("ch") == "{") & (gap.rlike(ELSE) | blank & asked)
+    each = each.withColumn("function", found).withColumn("asked", asked)
+    each = each.withColumn("opens", F.struct(conditional.cast("int").alias("condition"), ((F.col("ch") == "{") & F.col("function").isNotNull()).cast("int").alias("function")))
+    each = each.withColumn("opener", F.when(F.col("ch") == "}", F.lag("opens").over(pair)))
+    so_far = by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = lambda what: F.sum(F.col(f"opens.{what}") - F.coalesce(F.col(f"opener.{what}"), F.lit(0))).over(so_far)
+    return each.withColumn("conditions", inside("condition")).withColumn("functions", inside("function")).withColumn("last", F.max("line").over(Window.partitionBy("file_id")))
+
+
+def measured(each: DataFrame) -> DataFrame:
+    """told() as rows of two kinds: functions with line, length and nesting, and hooks with their rules. One stream: nothing is joined.
+
+    Nesting: at each level that has functions, an opener lies in the last opener of that level before it, so that it counts once for each such level up to its own."""
+    block = (F.col("ch") == "{") & F.col("function").isNotNull()
+    each = each.withColumn("levels", F.collect_set(F.when(block, F.col("level"))).over(Window.partitionBy("file_id")))
+    rules = F.array_compact(F.array(F.when((F.col("conditions") > 0) | F.col("asked"), "REACT001"), F.when(F.col("functions") > 1, "REACT002")))
+    hook = F.regexp_extract("gap", HOOK, 1)
+    is_hook = (F.col("ch") == "(") & F.col("react") & (hook != "") & (F.size(rules) > 0)
+    alone = (F.col("ch") == ")") & F.col("function").isNotNull()
+    none = F.array().cast("array<int>")
+    at = F.when(F.col("ch") == "{", F.filter("levels", lambda x: x <= F.col("level"))).when(is_hook | alone, F.array(F.lit(None).cast("int"))).otherwise(none)
+    rows = each.select(
+        "file_id", "lang", "seq", "level", "line", "ch", "function", "last", F.col("close.line").alias("closed"), F.when(is_hook, rules).alias("rules"), F.when(is_hook, hook).alias("hook"),
+        F.when(is_hook, F.col("line") - text.newlines(F.regexp_extract("gap", HOOK, 0))).cast("int").alias("hook_line"), F.explode(at).alias("at"),
+    )
+    own = F.col("at").isNull() | (F.col("level") == F.col("at"))
     so_far = Window.partitionBy("file_id", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = above.withColumn("outer", F.last(F.when(F.col("level") == F.col("at"), F.col("seq")), True).over(so_far))
-    return inside.groupBy("file_id", F.col("outer").alias("seq")).agg(F.max(F.col("level") - F.col("at")).alias("nesting"))
+    inside = rows.withColumn("outer", F.last(F.when(own, F.col("seq")), True).over(so_far))
+    said = F.when(own, F.struct("lang", "line", "ch", "function", "last", "closed", "rules", "hook", "hook_line"))
+    return inside.groupBy("file_id", "at", "outer").agg(F.max(F.coalesce(F.col("level") - F.col("at"), F.lit(0))).alias("nesting"), F.max_by(said, said.isNotNull()).alias("s")).select("file_id", "nesting", "s.*")
+
+
+def functions(files: DataFrame) -> DataFrame:
+    """Functions declared at the start of a line, and arrow functions with a block that get a name there: file_id, lang, name, declared, line, length in lines, nesting
+    (the most braces open at once inside the block), typed (a return type follows the parameters). A block that is never closed reaches to the end of the file; a function
+    without a block is as long as its parameters."""
+    end = F.when(F.col("ch") == ")", F.col("line")).otherwise(F.coalesce("closed", "last"))
+    return measured(told(files)).where("function is not null").select("file_id", "lang", "function.name", "function.declared", "function.line", (end - F.col("function.line") + 1).cast("int").alias("length"), "nesting", "function.typed")
 
 
 def long_scripts(files: DataFrame, most: int = 300) -> DataFrame:
@@ -101,35 +131,26 @@ def long_scripts(files: DataFrame, most: int = 300) -> DataFrame:
     return files.where(F.col("lang").isin(*SCRIPTS)).select("file_id", F.size(rows).alias("lines")).where(F.col("lines") > most)
 
 
-def structure(files: DataFrame, longest: int = 30, deepest: int = 4, most_lines: int = 300) -> DataFrame:
+def findings(files: DataFrame, longest: int = 30, deepest: int = 4) -> DataFrame:
     """file_id, rule_id, line, name of scripts' functions of over `longest` lines (TSARCH001), declared functions that nest deeper than `deepest` (003) or, in TypeScript and without
-    an underscore before their name, have no return type (004), and files of over `most_lines` lines (002)."""
-    each = functions(files)
+    an underscore before their name, have no return type (004), and of calls of hooks, in files that import React, that stand in a conditional block or loop or right behind a
+    condition (REACT001) or in a named function within another (002)."""
+    end = F.when(F.col("ch") == ")", F.col("line")).otherwise(F.coalesce("closed", "last"))
+    f = F.col("function")
     rules = F.array_compact(F.array(
-        F.when(F.col("length") > longest, "TSARCH001"), F.when(F.col("declared") & (F.col("nesting") > deepest), "TSARCH003"),
-        F.when(F.col("declared") & (F.col("lang") == "typescript") & ~F.col("typed") & ~F.col("name").startswith("_"), "TSARCH004"),
+        F.when(end - f["line"] + 1 > longest, "TSARCH001"), F.when(f["declared"] & (F.col("nesting") > deepest), "TSARCH003"),
+        F.when(f["declared"] & (F.col("lang") == "typescript") & ~f["typed"] & ~f["name"].startswith("_"), "TSARCH004"),
     ))
-    found = each.select("file_id", F.explode(rules).alias("rule_id"), F.col("line").cast("int").alias("line"), "name")
+    each = measured(told(files)).select("file_id", F.coalesce(f["line"], F.col("hook_line")).alias("line"), F.coalesce(f["name"], F.col("hook")).alias("name"), F.coalesce("rules", F.when(f.isNotNull(), rules)).alias("rules"))
+    return each.select("file_id", F.explode("rules").alias("rule_id"), "line", "name")
+
+
+def structure(files: DataFrame, longest: int = 30, deepest: int = 4, most_lines: int = 300) -> DataFrame:
+    """file_id, rule_id, line, name of functions (see findings), and of files of over `most_lines` lines (TSARCH002)."""
     long = long_scripts(files, most_lines).select("file_id", F.lit("TSARCH002").alias("rule_id"), F.lit(1).alias("line"), F.lit(None).cast("string").alias("name"))
-    return found.unionByName(long)
+    return findings(files, longest, deepest).where("rule_id like 'TSARCH%'").unionByName(long)
 
 
 def misplaced_hooks(files: DataFrame) -> DataFrame:
-    """file_id, rule_id, line, hook: calls of hooks, in files that import React, that stand in a conditional block or loop (REACT001) or in a named function within another (002).
-
-    How many conditional blocks and functions are open is a running sum over a file's brackets. A condition without braces counts for a hook right behind it.
-    """
-    each = paired(events(files).where("react"))
-    bodies = named(each).where("seq is not null").select("file_id", "seq", F.lit(1).alias("function"))
-    each = each.withColumn("before", F.lag(F.struct("ch", "head")).over(by_file())).join(bodies, ["file_id", "seq"], "left")
-    blank = F.trim(F.col("gap"), F.lit(" \t\n\r")) == ""
-    asked = F.coalesce((F.col("before.ch") == ")") & F.col("before.head").rlike(CONDITION), F.lit(False))  # right behind the brackets of a condition
-    conditional = (F.col("ch") == "{") & (F.col("gap").rlike(ELSE) | blank & asked)
-    each = each.withColumn("asked", asked).withColumn("opens", F.struct(conditional.cast("int").alias("condition"), F.coalesce("function", F.lit(0)).alias("function")))
-    each = each.withColumn("opener", F.when(F.col("ch") == "}", F.lag("opens").over(by_file("kind", "level"))))
-    so_far = by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = lambda what: F.sum(F.col(f"opens.{what}") - F.coalesce(F.col(f"opener.{what}"), F.lit(0))).over(so_far)
-    rules = F.array_compact(F.array(F.when((F.col("conditions") > 0) | F.col("asked"), "REACT001"), F.when(F.col("functions") > 1, "REACT002")))
-    hook, whole = F.regexp_extract("gap", HOOK, 1), F.regexp_extract("gap", HOOK, 0)
-    each = each.withColumn("conditions", inside("condition")).withColumn("functions", inside("function"))
-    return each.where((F.col("ch") == "(") & (hook != "")).select("file_id", F.explode(rules).alias("rule_id"), (F.col("line") - text.newlines(whole)).cast("int").alias("line"), hook.alias("hook"))
+    """file_id, rule_id, line, hook (see findings)."""
+    return findings(files).where("rule_id like 'REACT%'").select("file_id", "rule_id", "line", F.col("name").alias("hook"))

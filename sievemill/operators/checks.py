@@ -58,7 +58,6 @@ USE_CLIENT = r"(?m)^['\"]use client['\"];?\s*$"
 ROUTE = r"^[ \t]*@(?:app|router)\.(?:get|post|put|delete|patch|options|head)\s*\("
 EDGE_WORDS = "empty none null zero negative boundary invalid error fail edge corner overflow large missing".split()
 ASSERTION = r"\bassert\b|\.(?:raises|warns|approx)\s*\(|\.assert\w*\s*\("
-NESTING = r"^\s*(?:if|for|while|with|try|except|async for|async with)\b"
 
 
 def marked(files: DataFrame) -> DataFrame:
@@ -145,18 +144,6 @@ def heavy_imports(table: DataFrame) -> DataFrame:
     return out
 
 
-def dead_imports(table: DataFrame) -> DataFrame:
-    """file_id, line, name: names that a Python file imports at its outer level and never uses; re-exports by __all__ count as use."""
-    py = table.where("lang = 'python'")
-    code = F.regexp_replace("c", r"\s#.*$", "")
-    plain, source = r"^import\s+([\w., ]+)$", r"^from\s+[\w.]+\s+import\s+([\w, ]+)$"
-    names = F.when(code.rlike(plain), F.regexp_extract(code, plain, 1)).otherwise(F.regexp_extract(code, source, 1))
-    said = py.where(code.rlike(plain) | code.rlike(source)).where(~code.rlike(r"^from\s+__future__")).select("file_id", "line", F.explode(F.split(names, ",")).alias("n"), code.rlike(plain).alias("plain"))
-    bound = F.when(F.col("n").rlike(r"\sas\s"), F.regexp_extract("n", r"\sas\s+(\w+)", 1)).when(F.col("plain"), F.split_part(F.trim("n"), F.lit("."), F.lit(1))).otherwise(F.trim("n"))
-    used = py.where(~code.rlike(plain) & ~code.rlike(source)).select("file_id", F.explode(F.array_distinct(F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))).alias("name")).distinct()
-    return said.select("file_id", "line", bound.alias("name")).where("name <> ''").join(used, ["file_id", "name"], "left_anti").select("file_id", "line", "name")
-
-
 def unreachable(table: DataFrame) -> DataFrame:
     """file_id, line: the statement after a return, raise, continue or break in the same block. Blank and comment lines lie between."""
     real = table.where((F.col("lang") == "python") & (F.trim("c") != ""))
@@ -171,21 +158,9 @@ def untyped_functions(table: DataFrame) -> DataFrame:
     return real.where(F.col("c").rlike(DEF) & ~name.startswith("_") & ~F.col("c").contains("->") & ~F.col("prior").rlike(r"^\s*@(?:\w+\.)*(?:property|abstractmethod)\b")).select("file_id", "line", name.alias("name"))
 
 
-def deep_functions(files: DataFrame, functions: DataFrame, most: int = 4) -> DataFrame:
-    """file_id, name, start, depth: functions whose blocks nest deeper than `most`. A block's depth is the number of distinct indents of block
-    openers above it that are still open, found in the function's own lines: no shuffle but one join by file."""
-    code = F.split("code", "\n")
-    rows = functions.join(files.select("file_id", code.alias("rows")), "file_id").select("file_id", "name", "start", F.slice("rows", F.col("start") + 1, F.col("stop") - F.col("start")).alias("rows"))
-    opened = F.filter("rows", lambda t: t.rlike(NESTING))
-    indents = F.transform(opened, lambda t: F.length(t) - F.length(F.ltrim(t)))
-    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("most"))
-
-    def step(acc, i):
-        left = F.concat(F.filter(acc["open"], lambda o: o < i), F.array(i))
-        return F.struct(left.alias("open"), F.greatest(acc["most"], F.size(left)).alias("most"))
-
-    depth = F.aggregate(indents, start, step, lambda acc: acc["most"])
-    return rows.select("file_id", "name", "start", depth.alias("depth")).where(F.col("depth") > most)
+def deep_functions(functions: DataFrame, most: int = 4) -> DataFrame:
+    """file_id, name, start, depth: functions whose blocks nest deeper than `most`."""
+    return functions.where(F.col("depth") > most).select("file_id", "name", "start", "depth")
 
 
 def big_classes(table: DataFrame, most: int = 10) -> DataFrame:
@@ -287,27 +262,6 @@ def no_edge_cases(functions: DataFrame, least: int = 3) -> DataFrame:
     return tests.where((F.col("tests") >= least) & ~F.col("edge")).select("file_id", "tests")
 
 
-def full_scan(files: DataFrame, functions: DataFrame) -> DataFrame:
-    """file_id, rule_id, line: the rules of the language and for all, and every check here. Hits of calls inside literals and comments are
-    none; one file's lines are dealt once."""
-    table = marked(files)
-    at = lambda found, rule_id, line="line": found.select("file_id", F.lit(rule_id).alias("rule_id"), F.col(line).cast("int").alias("line"))
-    py = functions
-    parts = [
-        scan.rule_scan(files).select("file_id", "rule_id", "line"),
-        at(placeholders(table), "AI001"), at(over_engineering(table, py), "AI003"), at(mixed_handlers(table), "AI005"), at(heavy_imports(table), "AI006"),
-        at(one_a_line(files, THEATRE), "AI007"), at(one_a_line(files, INJECTION), "AI008"), at(first_listed(table, LOOP, ORM, 20), "PERF001", "hit"), at(unbounded_growth(table), "PERF002", "hit"),
-        at(ahead(table, ASYNC, BLOCKING, 50), "PERF003", "hit"), at(one_a_line(files, UNBOUNDED), "PERF004"), at(ahead(table, COSTLY_LOOP, COSTLY, 20), "PERF005", "hit"),
-        at(dead_imports(table), "PY014"), at(unreachable(table), "PY015"), at(untyped_functions(table), "ARCH003"), at(deep_functions(files, py), "ARCH004", "start"), at(big_classes(table), "ARCH005"),
-        at(maps_without_key(table), "REACT003"), at(missing_use_client(table).withColumn("line", F.lit(1)), "NEXT001"), at(route_handlers(table), "FAPI"), at(swallowed_exceptions(table), "DEEP001"),
-        at(raises_without_cause(table), "DEEP004"), at(many_patches(table), "TEST005"), at(no_edge_cases(py).withColumn("line", F.lit(1)), "TEST007"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def tidy_suggestions(table: DataFrame, functions: DataFrame, long: int = 20, deep: int = 4, large: int = 300, most: int = 3) -> DataFrame:
     """file_id, kind, line, rank of what would make a file tidier, least effort first, `most` a file: nesting of `deep` levels of four spaces
     (small), functions of over `long` lines (medium), files of over `large` lines that aren't blank (large)."""

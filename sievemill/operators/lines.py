@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 #: What opens a loop, asks a database, blocks, and closes off unsafe code.
 LOOP = r"^\s*(?:for|while)\b"
 QUERY = r"\.(?:execute|query|filter|get)\s*\("
@@ -45,18 +47,81 @@ def long_files(table: DataFrame, most: int) -> DataFrame:
     return table.groupBy("file_id").agg(F.count_if(real).alias("lines")).where(F.col("lines") > most)
 
 
+#: What opens functions, in Python and in all languages, and blocks that nest.
+DEF_LINE = r"^\s*(?:async\s+)?def\s+\w+"
+ANY_FUNCTION = r"^\s*(?:def|function|fn|func|pub\s+fn|async\s+def|async\s+function)\s+\w+"
+NESTING = r"^\s*(?:if|for|while|with|try|except|async for|async with)\b"
+
+
+def extents(rows: Column, opener: str) -> Column:
+    """(start, stop) of what an opener's line begins: up to the line before the next one that isn't blank and not further in. rows: a file's lines.
+
+    One pass from the last line up. The lines that can still end something above are kept: one for each smaller indent."""
+    line = F.transform(rows, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.when(t.rlike(r"\S"), F.length(F.regexp_extract(t, r"^[ \t]*", 0))).alias("indent")))
+    none = F.struct(F.array().cast("array<struct<indent:int,line:int>>").alias("ends"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        end = F.array_min(F.transform(F.filter(acc["ends"], lambda e: e["indent"] <= r["indent"]), lambda e: e["line"]))
+        found = F.struct(r["line"].alias("start"), (F.coalesce(end, F.size(rows) + 1) - 1).alias("stop"))
+        ends = F.concat(F.array(F.struct(r["indent"].alias("indent"), r["line"].alias("line"))), F.filter(acc["ends"], lambda e: e["indent"] < r["indent"]))
+        out = F.when(r["text"].rlike(opener), F.concat(F.array(found), acc["out"])).otherwise(acc["out"])
+        return F.when(r["indent"].isNull(), acc).otherwise(F.struct(ends.alias("ends"), out.alias("out")))
+
+    return F.aggregate(F.reverse(line), none, step, lambda acc: acc["out"])
+
+
+def inner_lines(rows: Column, d: Column) -> Column:
+    """The lines behind the first of an extent."""
+    return F.when(d["stop"] > d["start"], F.transform(F.sequence(d["start"], d["stop"] - 1), lambda i: F.get(rows, i))).otherwise(F.array().cast("array<string>"))
+
+
+def block_depth(body: Column) -> Column:
+    """How many blocks are open at once at most: the number of distinct indents of openers above an opener that are still open, with its own."""
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("most"))
+
+    def step(acc: Column, t: Column) -> Column:
+        i = F.length(t) - F.length(F.ltrim(t))
+        left = F.concat(F.filter(acc["open"], lambda o: o < i), F.array(i))
+        return F.struct(left.alias("open"), F.greatest(acc["most"], F.size(left)).alias("most"))
+
+    return F.aggregate(F.filter(body, lambda t: t.rlike(NESTING)), start, step, lambda acc: acc["most"])
+
+
+def function_list(rows: Column) -> Column:
+    """name, start, stop, body (without comments, blanks made one, empty lines left out), depth of the Python functions among a file's lines: an array."""
+
+    def one(d: Column) -> Column:
+        clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "#[^\\n]*", ""), r"[ \t]+", " "))
+        told = lambda inner: F.struct(
+            F.regexp_extract(F.get(rows, d["start"] - 1), r"def\s+(\w+)", 1).alias("name"), d["start"].alias("start"), d["stop"].alias("stop"),
+            F.array_join(F.filter(F.transform(inner, clean), lambda t: t != ""), "\n").alias("body"), block_depth(inner).alias("depth"),
+        )
+        return bound(inner_lines(rows, d), told)
+
+    return F.transform(extents(rows, DEF_LINE), one)
+
+
 def functions(files: DataFrame) -> DataFrame:
-    """Python functions (file_id, name, start, stop, body): a def line and the lines up to the next one that isn't blank and not
-    further in. One pass over each file's lines as an array; nothing is shuffled."""
-    row = F.transform(F.split("code", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.when(F.trim(t) != "", F.length(t) - F.length(F.ltrim(t))).alias("indent")))
-    table = files.where("lang = 'python'").select("file_id", row.alias("rows"))
-    defs = table.select("file_id", "rows", F.explode(F.filter("rows", lambda r: r["text"].rlike(r"^\s*(?:async\s+)?def\s+\w+"))).alias("d"))
-    after = F.filter("rows", lambda r: (r["line"] > F.col("d.line")) & (r["indent"] <= F.col("d.indent")))
-    stop = F.coalesce(F.array_min(F.transform(after, lambda r: r["line"])) - 1, F.size("rows"))
-    out = defs.select("file_id", "rows", F.regexp_extract("d.text", r"def\s+(\w+)", 1).alias("name"), F.col("d.line").alias("start"), stop.alias("stop"))
-    body = F.transform(F.slice("rows", F.col("start") + 1, F.col("stop") - F.col("start")), lambda r: r["text"])
-    text = F.array_join(F.filter(F.transform(body, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "#[^\\n]*", ""), r"[ \t]+", " "))), lambda t: t != ""), "\n")
-    return out.select("file_id", "name", "start", "stop", text.alias("body"))
+    """Python functions (file_id, name, start, stop, body, depth): a def line and the lines up to the next one that isn't blank and not
+    further in. One pass over each file's lines as an array; nothing is shuffled, and no line is copied but into its functions' bodies."""
+    found = files.where("lang = 'python'").select("file_id", F.explode(bound(F.split("code", "\n"), function_list)).alias("f"))
+    return found.select("file_id", "f.*")
+
+
+def repeated_blocks(rows: Column, least: int = 5) -> Column:
+    """The lines of functions of over `least` lines, of any language, whose text, but for comments and white space, an earlier one of the file has. Functions within others are left out."""
+    none = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+    outer = F.aggregate(extents(rows, ANY_FUNCTION), none, lambda acc, d: F.when(d["start"] > acc["last"], F.struct(d["stop"].alias("last"), F.concat(acc["out"], F.array(d)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    clean = lambda t: F.regexp_replace(F.regexp_replace(t, "#.*$", ""), "//.*$", "")
+    plain = lambda d: F.trim(F.regexp_replace(F.array_join(F.transform(inner_lines(rows, d), clean), "\n"), r"\s+", " "))
+    hashed = F.array_sort(F.transform(F.filter(outer, lambda d: d["stop"] - d["start"] > least), lambda d: F.struct(F.md5(plain(d)).alias("hash"), d["start"].alias("line"))))
+    return bound(hashed, repeats)
+
+
+def repeats(hashed: Column) -> Column:
+    """The lines of (hash, line), in order, whose hash the one before has."""
+    same = F.transform(hashed, lambda h, i: F.when((i > 0) & (F.get(hashed, i - 1)["hash"] == h["hash"]), h["line"]))
+    return F.array_compact(same)
 
 
 def long_functions(table: DataFrame, most: int) -> DataFrame:

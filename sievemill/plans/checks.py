@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.catalogue import RULES
+from ..functions.text import bound
 from ..operators import checks as k
 from ..operators import lines, scan
 from ..sources.corpus import FILES_SQL, files, files_sql, quoted
@@ -76,6 +77,14 @@ add(
         UNION ALL SELECT file_id, line, 'type parameters' FROM classes WHERE len(string_split(regexp_extract(bases, '\\[([^\\]]+)\\]', 1), ',')) > 5
         UNION ALL SELECT file_id, start, 'factory' FROM made WHERE len(r) >= 2 AND len(list_distinct(r)) = 1""",
 )
+add(
+    "l03_duplicate_blocks", lambda f: f.select("file_id", F.explode(bound(F.split("code", "\n"), lines.repeated_blocks)).alias("line")),
+    SQL + f""", lines_ AS (SELECT file_id, line, text, length(regexp_extract(text, '^[ \\t]*')) AS indent, NOT regexp_matches(text, '\\S') AS blank FROM lines), o AS (SELECT file_id, line AS start, indent FROM lines_ WHERE {rlike('text', lines.ANY_FUNCTION)}),
+        e AS (SELECT o.file_id, start, coalesce(min(l.line) FILTER (l.line > start AND NOT blank AND l.indent <= o.indent) - 1, max(l.line))::INT AS stop FROM o JOIN lines_ l USING (file_id) GROUP BY o.file_id, start, o.indent),
+        x AS (SELECT * FROM e WHERE NOT EXISTS (FROM e p WHERE p.file_id = e.file_id AND p.start < e.start AND p.stop >= e.start) AND stop - start > 5),
+        b AS (SELECT x.file_id, start, trim(regexp_replace(string_agg(regexp_replace(regexp_replace(text, '#.*$', ''), '//.*$', ''), chr(10) ORDER BY line), '\\s+', ' ', 'g'), ' ') AS body FROM x JOIN lines l ON l.file_id = x.file_id AND line > start AND line <= stop GROUP BY ALL)
+        SELECT file_id, start AS line FROM b QUALIFY row_number() OVER (PARTITION BY file_id, body ORDER BY start) > 1""",
+)
 on_lines("l04_mixed_handlers", k.mixed_handlers, ", w AS (SELECT *, bool_or(regexp_matches(c, '^\\s*except\\s+\\w+')) OVER (PARTITION BY file_id) AS specific FROM py) SELECT file_id, line FROM w WHERE specific AND regexp_matches(c, '^\\s*except\\s*:')")
 on_lines(
     "l05_heavy_imports", k.heavy_imports,
@@ -84,23 +93,14 @@ on_lines(
         for lib, p in k.HEAVY.items()
     ),
 )
-PLAIN, SOURCE = quoted(r"^import\s+([\w., ]+)$"), quoted(r"^from\s+[\w.]+\s+import\s+([\w, ]+)$")
-on_lines(
-    "l15_dead_imports", k.dead_imports,
-    f""", d AS (SELECT file_id, line, regexp_replace(c, '\\s#.*$', '') AS c FROM py), s AS (SELECT file_id, line, regexp_matches(c, {PLAIN}) AS plain, unnest(string_split(CASE WHEN regexp_matches(c, {PLAIN}) THEN regexp_extract(c, {PLAIN}, 1) ELSE regexp_extract(c, {SOURCE}, 1) END, ',')) AS n
-            FROM d WHERE (regexp_matches(c, {PLAIN}) OR regexp_matches(c, {SOURCE})) AND NOT regexp_matches(c, '^from\\s+__future__')),
-        b AS (SELECT file_id, line, CASE WHEN regexp_matches(n, '\\sas\\s') THEN regexp_extract(n, '\\sas\\s+(\\w+)', 1) WHEN plain THEN split_part(trim(n, ' '), '.', 1) ELSE trim(n, ' ') END AS name FROM s),
-        u AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(c, '([A-Za-z_]\\w*)', 1)) AS name FROM d WHERE NOT regexp_matches(c, {PLAIN}) AND NOT regexp_matches(c, {SOURCE}))
-        SELECT * FROM b WHERE name <> '' AND NOT EXISTS (FROM u WHERE u.file_id = b.file_id AND u.name = b.name)""",
-)
 on_lines("l16_unreachable", k.unreachable, f", w AS (SELECT *, lag(c) {OVER}) AS prior, lag(indent) {OVER}) AS depth FROM real) SELECT file_id, line FROM w WHERE {rlike('prior', k.TERMINAL)} AND indent = depth AND NOT {rlike('c', k.CLAUSE)}")
 on_lines(
     "l17_untyped_functions", k.untyped_functions,
     f", w AS (SELECT *, coalesce(lag(c) {OVER}), '') AS prior, {extract('c', k.DEF)} AS name FROM real) SELECT file_id, line, name FROM w WHERE {rlike('c', k.DEF)} AND NOT starts_with(name, '_') AND NOT contains(c, '->') AND NOT regexp_matches(prior, '^\\s*@(?:\\w+\\.)*(?:property|abstractmethod)\\b')",
 )
 add(
-    "l17_deep_functions", lambda f: k.deep_functions(f, lines.functions(f)),
-    SQL + f""", o AS (SELECT b.file_id, b.name, b.start, l.line, l.indent FROM bodies b JOIN lines l ON l.file_id = b.file_id AND l.line > b.start AND l.line <= b.stop WHERE {rlike('l.text', k.NESTING)}),
+    "l17_deep_functions", lambda f: k.deep_functions(lines.functions(f)),
+    SQL + f""", o AS (SELECT b.file_id, b.name, b.start, l.line, l.indent FROM bodies b JOIN lines l ON l.file_id = b.file_id AND l.line > b.start AND l.line <= b.stop WHERE {rlike('l.text', lines.NESTING)}),
         p AS (SELECT x.file_id, x.name, x.start, x.line, count(DISTINCT y.indent) AS depth FROM o x JOIN o y ON y.file_id = x.file_id AND y.start = x.start AND y.line <= x.line AND (y.line = x.line OR y.indent < x.indent)
             WHERE NOT EXISTS (FROM o z WHERE z.file_id = x.file_id AND z.start = x.start AND z.line > y.line AND z.line <= x.line AND z.indent <= y.indent AND y.line <> x.line) GROUP BY ALL)
         SELECT file_id, name, start, max(depth)::INT AS depth FROM p GROUP BY ALL HAVING max(depth) > 4""",
@@ -175,16 +175,3 @@ add(
         n AS (SELECT DISTINCT b.file_id % 40 AS "group", name AS token FROM bodies b JOIN files f USING (file_id) WHERE path NOT LIKE 'src/tests/%' AND NOT starts_with(name, '_'))
         SELECT DISTINCT "group" FROM w WHERE "group" IN (SELECT "group" FROM n) AND "group" NOT IN (SELECT w."group" FROM w JOIN n ON n."group" = w."group" AND n.token = w.token)""",
 )
-
-#: Where the parts of the full scan come from: rule, query, column with the line.
-FULL = [
-    ("AI001", "l01_placeholders", "line"), ("AI003", "l02_over_engineering", "line"), ("AI005", "l04_mixed_handlers", "line"), ("AI006", "l05_heavy_imports", "line"), ("AI007", "l06_security_theatre", "line"),
-    ("AI008", "l07_injection", "line"), ("PERF001", "l08_orm_query_in_loop", "hit"), ("PERF002", "l09_unbounded_growth", "hit"), ("PERF003", "l10_blocking_calls", "hit"), ("PERF004", "l11_unbounded_query", "line"),
-    ("PERF005", "l12_costly_in_loop", "hit"), ("PY014", "l15_dead_imports", "line"), ("PY015", "l16_unreachable", "line"), ("ARCH003", "l17_untyped_functions", "line"), ("ARCH004", "l17_deep_functions", "start"),
-    ("ARCH005", "l17_big_classes", "line"), ("REACT003", "l19_maps_without_key", "line"), ("NEXT001", "l20_missing_use_client", "1"), ("FAPI", "l21_route_handlers", "line"), ("DEEP001", "l23_swallowed_exceptions", "line"),
-    ("DEEP004", "l23_raises_without_cause", "line"), ("TEST005", "l24_many_patches", "line"), ("TEST007", "l27_no_edge_cases", "1"),
-]
-add(
-    "r05_full_scan", lambda f: k.full_scan(f, lines.functions(f)),
-    f"WITH {FILES}, {violations_sql()} SELECT file_id, rule_id, line FROM violations" + "".join(f" UNION ALL SELECT file_id, '{rule}', {column}::INT FROM ({ORACLE[name]})" for rule, name, column in FULL),
-)

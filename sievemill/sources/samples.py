@@ -10,6 +10,7 @@ SAMPLES = [
     ("python", "tests", "def test_empty():\n    assert run([]) == []\n\ndef test_more():\n    self.assertEqual(run(1), 1)\n\ndef test_last():\n    ...\n"),
     ("python", "models", "class Big:\n" + "".join(f"    def m{i}(self):\n        return {i}\n" for i in range(12)) + "\n\ndef deep(a):\n    for x in a:\n        if x:\n            with x:\n                while x:\n                    try:\n                        x = 1\n                    finally:\n                        x = 2\n"),
     ("python", "db", "def rows(session):\n    a = Model.objects.all()\n    b = session.query(User).all()\n    def validate_it(x):\n        return True\n    return eval(a), 'eval(b)'\n\ndef bad(x=[], y={}):\n    exec(x)\n"),
+    ("go", "dup", "package dup\nfunc One(a int) int {\n\tx := a // first\n\ty := x + 1\n\tz := y + 2\n\tif z > 3 { z = 4 }\n\tw := z\n\treturn w\n}\n\nfunc Two(a int) int {\n\tx := a\n\ty := x + 1\n\tz := y + 2\n\tif z > 3 { z = 4 }\n\tw := z\n\treturn w // same\n}\n"),
     ("typescript", "ui", "import { useState } from 'react';\nexport function Box(props: { on: boolean }) {\n  const [a, b] = useState(0);\n  // useEffect(x)\n  return items.map(i => <li onClick={f}>{i}</li>);\n}\n\nfunction small() {\n  return items.map(i => <li key={i}>{i}</li>);\n}\n"),
     ("typescript", "web", "'use client';\nimport Link from 'next/link';\nexport function Page() {\n  useEffect(() => {});\n  if (a) {\n    for (const x of y) {\n      while (z) {\n        if (q) {\n          run();\n        }\n      }\n    }\n  }\n}\nconst all = await db.findMany({});\nconst one = await repo.findMany({ take: 5 });\n"),
     ("javascript", "api", "const run = (req) => {\n  try { a(); } catch (e) {}\n  try { b(); } catch (e) { log(e); }\n  for (const r of rows) {\n    await users.findOne(r);\n  }\n};\n"),
