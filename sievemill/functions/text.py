@@ -37,59 +37,43 @@ def bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
 
 
-def _extent(part: Column) -> Column:
-    """Characters, line ends, and characters behind the last line end of a piece of text."""
-    tail = F.when(part.contains("\n"), F.length(F.substring_index(part, "\n", -1))).otherwise(F.length(part))
-    return F.struct(F.length(part).alias("n"), newlines(part).alias("k"), tail.alias("t"))
+def _extent(part: str) -> str:
+    """SQL: characters, line ends, and characters behind the last line end of a piece of text."""
+    return f"named_struct('n', length({part}), 'k', length({part}) - length(replace({part}, '\\n', '')), 't', length(substring_index({part}, '\\n', -1)))"
 
 
-def _behind(place: Column, extent: Column) -> Column:
-    """The place (at, line, col; from 0) behind a piece of text that begins at `place`."""
-    col = F.when(extent["k"] > 0, extent["t"]).otherwise(place["col"] + extent["t"])
-    return F.struct((place["at"] + extent["n"]).alias("at"), (place["line"] + extent["k"]).alias("line"), col.alias("col"))
+def _behind(place: str, n: str, k: str, t: str) -> str:
+    """SQL: the place (at, line, col; from 0) behind a piece of text of this extent that begins at `place`."""
+    return f"named_struct('at', {place}.at + {n}, 'line', {place}.line + {k}, 'col', if({k} > 0, {t}, {place}.col + {t}))"
 
 
-def placed(parts: Column, found: Column) -> Column:
-    """start, end (code points from 0), line and col (from 1) and text of each match, by the extents of the matches and of what is between: array of structs.
-
-    Running sums within blocks of BLOCK matches begin at the blocks' own sums, so no array grows with a text's matches by more than a block."""
-    zero = F.lit(0)
-    origin = F.struct(zero.alias("at"), zero.alias("line"), zero.alias("col")).cast(_PLACE)
-
-    def pairs(both: Column) -> Column:  # one part more than matches
-        return F.zip_with(F.slice(both["parts"], 1, F.size(both["found"])), both["found"], lambda p, m: F.struct(_extent(p).alias("p"), _extent(m).alias("m"), m.alias("match")))
+def _after(place: str, extent: str) -> str:
+    return _behind(place, f"{extent}.n", f"{extent}.k", f"{extent}.t")
 
-    def by_block(pairs: Column) -> Column:  # by number, as a slice would go through all pairs each time
-        each = lambda b: F.transform(F.sequence(b, F.least(b + BLOCK, F.size(pairs)) - 1), lambda i: F.get(pairs, i))
-        return F.transform(F.sequence(zero, F.size(pairs) - 1, F.lit(BLOCK)), each)
 
-    def whole(block: Column) -> Column:
-        return F.aggregate(block, origin, lambda acc, x: _behind(_behind(acc, x["p"]), x["m"]))
+def _once(value: str, name: str, then: str) -> str:
+    """SQL of bound()."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
 
-    def begin(acc: Column, total: Column) -> Column:
-        extent = F.struct(total["at"].alias("n"), total["line"].alias("k"), total["col"].alias("t"))
-        return F.struct(_behind(acc["place"], extent).alias("place"), F.concat(acc["out"], F.array(acc["place"])).alias("out"))
 
-    def inside(acc: Column, x: Column) -> Column:
-        start = _behind(acc["place"], x["p"])
-        match = F.struct(start["at"].alias("start"), (start["at"] + x["m"]["n"]).alias("end"), (start["line"] + 1).alias("line"), (start["col"] + 1).alias("col"), x["match"].alias("match"))
-        return F.struct(_behind(start, x["m"]).alias("place"), F.concat(acc["out"], F.array(match)).alias("out"))
+_ORIGIN = "named_struct('at', 0, 'line', 0, 'col', 0)"
+_PAIRS = f"zip_with(slice(both.parts, 1, size(both.found)), both.found, (p, m) -> named_struct('p', {_extent('p')}, 'm', {_extent('m')}, 'match', m))"  # one part more than matches
+# by number, as a slice would go through all pairs each time
+_BLOCKS = f"transform(transform(sequence(0, size(pairs) - 1, {BLOCK}), b -> transform(sequence(b, least(b + {BLOCK}, size(pairs)) - 1), i -> get(pairs, i))), block -> named_struct('block', block, 'total', aggregate(block, {_ORIGIN}, (acc, x) -> {_once(_after('acc', 'x.p'), 'start', _after('start', 'x.m'))})))"
+_STARTS = f"aggregate(blocks, named_struct('place', {_ORIGIN}, 'out', cast(array() AS array<{_PLACE}>)), (acc, b) -> named_struct('place', {_behind('acc.place', 'b.total.at', 'b.total.line', 'b.total.col')}, 'out', concat(acc.out, array(acc.place))), acc -> acc.out)"
+_MATCH = "named_struct('start', start.at, 'end', start.at + x.m.n, 'line', start.line + 1, 'col', start.col + 1, 'match', x.match)"
+_INSIDE = _once(_after("acc.place", "x.p"), "start", f"named_struct('place', {_after('start', 'x.m')}, 'out', concat(acc.out, array({_MATCH})))")
+_RUNS = f"flatten(zip_with(blocks, {_STARTS}, (b, s) -> aggregate(b.block, named_struct('place', s, 'out', cast(array() AS {_PLACED})), (acc, x) -> {_INSIDE}, acc -> acc.out)))"
+_WHOLE = f"both -> if(size(both.found) > 0, {_once(_PAIRS, 'pairs', _once(_BLOCKS, 'blocks', _RUNS))}, cast(array() AS {_PLACED}))"
 
-    def summed(block: Column) -> Column:
-        return F.struct(block.alias("block"), whole(block).alias("total"))
 
-    def starts(blocks: Column) -> Column:
-        none = F.struct(origin.alias("place"), F.array().cast(f"array<{_PLACE}>").alias("out"))
-        return F.zip_with(blocks, F.aggregate(F.transform(blocks, lambda b: b["total"]), none, begin, lambda acc: acc["out"]), lambda b, s: F.struct(b["block"].alias("block"), s.alias("place")))
-
-    def run(b: Column) -> Column:
-        return F.aggregate(b["block"], F.struct(b["place"].alias("place"), F.array().cast(_PLACED).alias("out")), inside, lambda acc: acc["out"])
-
-    def all_runs(blocks: Column) -> Column:
-        return F.flatten(F.transform(starts(blocks), run))
+def placed(parts: Column, found: Column) -> Column:
+    """start, end (code points from 0), line and col (from 1) and text of each match, by the extents of the matches and of what is between: array of structs.
 
-    whole_text = lambda both: F.when(F.size(both["found"]) > 0, bound(pairs(both), lambda p: bound(F.transform(by_block(p), summed), all_runs)))
-    return F.coalesce(bound(F.struct(parts.alias("parts"), found.alias("found")), whole_text), F.array().cast(_PLACED))
+    Running sums within blocks of BLOCK matches begin at the blocks' own sums, so no array grows with a text's matches by more than a block. It is told in SQL, which is one
+    expression to put together; each step binds what it is given once, since Spark would work a value out anew wherever an expression names it."""
+    both = F.array(F.struct(parts.alias("parts"), found.alias("found")))
+    return F.coalesce(F.get(F.call_function("transform", both, F.expr(_WHOLE)), F.lit(0)), F.array().cast(_PLACED))
 
 
 def matches(text: Column, pattern: Column) -> Column:

@@ -32,8 +32,9 @@ def events(files: DataFrame) -> DataFrame:
     one kind and level. What follows the last bracket is the gap of an event without one."""
     code = F.concat(text.masked(F.col("code"), F.col("lang")), F.lit("("))
     scripts = files.where(F.col("lang").isin(*SCRIPTS) & F.col("code").isNotNull())
-    cut = scripts.select("file_id", "lang", F.col("code").rlike(REACT).alias("react"), F.regexp_extract_all(code, F.lit(r"[^{}()]*+[{}()]"), F.lit(0)).alias("parts"))
-    each = cut.select("file_id", "lang", "react", F.size("parts").alias("n"), F.posexplode("parts").alias("seq", "part"))
+    cut = lambda f: F.transform(f["parts"], lambda p, i: F.struct(i.alias("seq"), p.alias("part"), F.size(f["parts"]).alias("n"), f["react"].alias("react")))
+    parts = F.struct(F.col("code").rlike(REACT).alias("react"), F.regexp_extract_all(code, F.lit(r"[^{}()]*+[{}()]"), F.lit(0)).alias("parts"))
+    each = scripts.select("file_id", "lang", F.explode(text.bound(parts, cut)).alias("p")).select("file_id", "lang", "p.*")
     ch = F.when(F.col("seq") == F.col("n") - 1, "").otherwise(F.substring("part", F.length("part"), F.lit(1)))
     each = each.select("file_id", "lang", "react", "seq", ch.alias("ch"), F.substring("part", F.lit(1), F.length("part") - 1).alias("gap"))
     kind = F.when(F.col("ch").isin("{", "}"), "{").when(F.col("ch").isin("(", ")"), "(")

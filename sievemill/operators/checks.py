@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import Rule
 from . import scan
+from .lines import flagged_lines
 
 #: Rules that are patterns alone.
 THEATRE = [
@@ -61,9 +62,9 @@ ASSERTION = r"\bassert\b|\.(?:raises|warns|approx)\s*\(|\.assert\w*\s*\("
 
 
 def marked(files: DataFrame) -> DataFrame:
-    each = files.select("file_id", "lang", scan.is_test(F.col("code")).alias("test"), F.posexplode(F.split("code", "\n")).alias("at", "text"))
+    each = flagged_lines(files, test=scan.is_test(F.col("code")))
     indent = F.length("text") - F.length(F.ltrim("text"))
-    return each.select("file_id", "lang", "test", (F.col("at") + 1).alias("line"), "text", indent.alias("indent"), (F.trim("text") == "").alias("blank"), F.when(F.ltrim("text").rlike("^(?:#|//)"), "").otherwise(F.col("text")).alias("c"))
+    return each.select("file_id", "lang", "test", "line", "text", indent.alias("indent"), (F.trim("text") == "").alias("blank"), F.when(F.ltrim("text").rlike("^(?:#|//)"), "").otherwise(F.col("text")).alias("c"))
 
 
 def one_a_line(files: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -167,10 +167,9 @@ def file_findings(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 def line_findings(files: DataFrame) -> DataFrame:
     """file_id, rule_id, line of the checks that look around a line. Lines are dealt by file once; windows within files do the rest."""
     code, c, line = F.col("code"), F.col("c"), F.col("line")
-    flags = files.where(F.trim("code") != "").withColumn("react", code.rlike(brackets.REACT)).withColumn("fastapi", code.rlike("from fastapi|import fastapi"))
-    each = flags.select("file_id", "lang", "react", "fastapi", scan.is_test(code).alias("test"), F.posexplode(F.split("code", "\n")).alias("at", "text"))
+    each = lines.flagged_lines(files.where(F.trim("code") != ""), react=code.rlike(brackets.REACT), fastapi=code.rlike("from fastapi|import fastapi"), test=scan.is_test(code))
     indent = F.length("text") - F.length(F.ltrim("text"))
-    t = each.select("file_id", "lang", "react", "fastapi", "test", (F.col("at") + 1).alias("line"), "text", indent.alias("indent"), (F.trim("text") == "").alias("blank"), F.when(F.ltrim("text").rlike("^(?:#|//)"), "").otherwise(F.col("text")).alias("c"))
+    t = each.select("file_id", "lang", "react", "fastapi", "test", "line", "text", indent.alias("indent"), (F.trim("text") == "").alias("blank"), F.when(F.ltrim("text").rlike("^(?:#|//)"), "").otherwise(F.col("text")).alias("c"))
     t = t.repartition("file_id").withColumn("real", F.trim("c") != "")
     w, whole = k.of_file(), Window.partitionBy("file_id")
     before, since = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -163,9 +163,9 @@ def write_rules(rules: DataFrame, folder: str) -> None:
     rules.write.mode("overwrite").json(folder)
 
 
-def read_rules(spark, folder: str) -> DataFrame:
-    """Rules as scan.known_rules takes them."""
-    return spark.read.schema(RULE_ROWS).json(folder)
+def read_rules(spark, folder: str, by_project: bool = False) -> DataFrame:
+    """Rules as scan.known_rules takes them; with their project, as scan.scan_by_rules does."""
+    return spark.read.schema(RULE_ROWS + ", project string" * by_project).json(folder)
 
 
 def append_overrides(overrides: DataFrame, folder: str) -> None:

@@ -19,6 +19,13 @@ def lines(files: DataFrame) -> DataFrame:
     return out.select("file_id", (F.col("at") + 1).alias("line"), "text", (F.length("text") - F.length(F.ltrim("text"))).alias("indent"), (F.trim("text") == "").alias("blank"))
 
 
+def flagged_lines(files: DataFrame, **flags: Column) -> DataFrame:
+    """file_id, lang, line, text, and what `flags` say of the whole file. They are worked out once a file, within what is exploded: beside it they would be worked out for each line."""
+    each = lambda f: F.transform(F.split("code", "\n"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), *[f[n].alias(n) for n in flags]))
+    held = files.select("file_id", "lang", F.explode(bound(F.struct(*[c.alias(n) for n, c in flags.items()]), each)).alias("l"))
+    return held.select("file_id", "lang", "l.*")
+
+
 def within(table: DataFrame, opener: str, hit: str, reach: int) -> DataFrame:
     """Openers with a hit within the `reach` lines after them, and the first such hit: one window over a file's lines."""
     ahead = Window.partitionBy("file_id").orderBy("line").rowsBetween(1, reach)

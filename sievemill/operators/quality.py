@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import RULE_ROWS
+
 # What a violation costs, by severity.
 WEIGHTS = {"error": 0.25, "warning": 0.08, "info": 0.02}
 OTHER_WEIGHT = 0.05
@@ -112,6 +114,23 @@ def rules_from_conventions(conventions: DataFrame, least: float = 0.8) -> DataFr
     )
 
 
+#: Rules that conventions become. Their case counts, though users' rules are met without regard to it.
+SNAKE_RULE = ("CONV-snake-case-functions", "convention-snake-case-functions", r"(?-i:def\s+[a-z]+[A-Z]\w*\s*\()", "warning", "style", "python", "A function in camelCase where the project has snake_case.", "Rename it in snake_case.")
+DOCSTRING_RULE = ("CONV-docstrings", "convention-docstrings", r"def\s+\w+\s*\([^)]*\)\s*(?:->[^\n:]*)?:[ \t]*\n\s+[^\s\"']", "info", "style", "python", "A function without a docstring where the project has them.", "Add a docstring.")
+
+
+def mined_rules(naming: DataFrame, docstrings: DataFrame, broken: DataFrame, least: float = 0.8) -> DataFrame:
+    """Conventions of at least this confidence as rules (scan.RULE_ROWS and project), which scan.scan_by_rules takes: names in snake_case (see naming_convention), documented functions (see
+    docstring_convention), and rules that are often broken (see violation_conventions), which have no pattern of their own: what they stand for is scanned for already."""
+    names = [c.split()[0] for c in RULE_ROWS.split(", ")]
+    fixed = lambda rule: [F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]
+    snake = naming.where((F.col("style") == "snake_case") & (F.col("confidence") >= least)).select(*fixed(SNAKE_RULE), "project")
+    told = docstrings.where((F.col("convention") == "documented") & (F.col("documented") >= least)).select(*fixed(DOCSTRING_RULE), "project")
+    said = (F.concat(F.lit("CONV-enforce-"), "rule_id"), F.concat(F.lit("convention-enforce-"), F.lower("rule_id")), F.lit(""), F.lit("info"), F.lit("style"), F.lit("_custom"), F.concat(F.lit("Often broken: "), "rule_id"), F.lit("Enforce it."))
+    often = broken.where(F.col("confidence") >= least).select(*[c.alias(n) for n, c in zip(names, said, strict=True)], "project")
+    return snake.unionByName(told).unionByName(often)
+
+
 def common_rules(scores: DataFrame, violations: DataFrame) -> DataFrame:
     """Rules that every project with violations breaks (two projects at least)."""
     met = violations.join(scores.select("file_id", "project"), "file_id").select("project", "rule_id").distinct()

@@ -186,6 +186,21 @@ on_files(
         s AS (SELECT project, count(*) AS functions, avg(regexp_matches(name, '^[a-z][a-z0-9_]*$')::INT) AS snake, avg((regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') AND NOT regexp_matches(name, '^[a-z][a-z0-9_]*$'))::INT) AS camel FROM n WHERE name <> '' GROUP BY 1)
         SELECT project, functions, CASE WHEN snake > 0.8 THEN 'snake_case' ELSE 'camelCase' END AS style, round(least(0.95, greatest(snake, camel)), 9) AS confidence FROM s WHERE functions >= 10 AND (snake > 0.8 OR camel > 0.8)""",
 )
+MINED = [Rule("CONV-snake-case-functions", "python", "convention-snake-case-functions", r"def\s+[a-z]+[A-Z]\w*\s*\(", "warning")]
+
+
+def _mined(files, violations, scores):
+    """From conventions that the files keep to rules, and to violations of these."""
+    broken, files = quality.violation_conventions(by_lang(scores), violations), by_lang(files)
+    return scan.scan_by_rules(files, quality.mined_rules(quality.naming_convention(files), quality.docstring_convention(files), broken)).select("file_id", "rule_id", "line", "col", "snippet")
+
+
+on_scores(
+    "a12_mined_violations", _mined,
+    f""", mined AS (SELECT lang FROM (SELECT lang, regexp_replace(unnest(regexp_extract_all(code, 'def\\s+(\\w+)\\s*\\(', 1)), '^_+', '') AS name FROM files WHERE lang = 'python') WHERE name <> '' GROUP BY 1
+            HAVING count(*) >= 10 AND avg(regexp_matches(name, '^[a-z][a-z0-9_]*$')::INT) > 0.8), {violations_sql(MINED, 'own')}
+        SELECT file_id, rule_id, own.line, col, snippet FROM own JOIN files USING (file_id) WHERE lang IN (SELECT lang FROM mined)""",
+)
 on_files(
     "a08_import_convention", quality.import_convention,
     """, s AS (SELECT project, count(*) AS files, avg(contains(code, 'from __future__ import annotations')::INT) AS future, avg(contains(code, 'TYPE_CHECKING')::INT) AS type_checking FROM files WHERE lang = 'python' GROUP BY 1)

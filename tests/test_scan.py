@@ -135,7 +135,7 @@ def test_a_long_file_is_scanned_in_time_in_proportion(spark):
 
 
 RULE_ROWS = [
-    ("N1", "camel", r"def\s+[a-z]+[A-Z]\w*\s*\(", "warning", "style", "python", "no camels", ""), ("N2", "any", "TODO", "info", "style", "_custom", "to do", ""), ("N3", "named", "(?P<n>abc)", "error", "style", "_custom", "python only", ""),
+    ("N1", "camel", r"(?-i:def\s+[a-z]+[A-Z]\w*\s*\()", "warning", "style", "python", "no camels", ""), ("N2", "any", "TODO", "info", "style", "_custom", "to do", ""), ("N3", "named", "(?P<n>abc)", "error", "style", "_custom", "python only", ""),
     ("N4", "broken", "(", "error", "style", "_custom", "", ""), ("N5", "none", "", "error", "style", "_custom", "", ""), ("N6", None, None, None, None, None, None, None),
 ]
 
@@ -156,3 +156,33 @@ def test_rules_as_rows(spark, tmp_path):
     with pytest.raises(ValueError):
         scan.known_rules(rules.crossJoin(spark.range(200).toDF("k")), most=1000)
     assert [r.id for r in scan.custom_rules([Rule(*RULE_ROWS[2][:1], "", "x", "(?P<n>abc)", "error"), Rule("X9", "", "x", "abc", "error")], [])] == ["X9"]
+
+
+def test_conventions_become_rules(spark, tmp_path):
+    from sievemill.operators import ingest
+
+    snake = "".join(f"def load_{i}(a):\n    \"\"\"Loads.\"\"\"\n    return a\n" for i in range(12))
+    files = spark.createDataFrame([(1, "p", "a.py", "python", snake), (2, "p", "b.py", "python", "def getIt(a):\n    return a\n# def notThis(a)\n"), (3, "q", "c.py", "python", "def getIt(a):\n    return a\n"), (4, "p", "d.go", "go", "def getIt(")], SCHEMA)
+    mined = quality.mined_rules(quality.naming_convention(files), quality.docstring_convention(files), spark.createDataFrame([("p", "PY005", 0.9), ("p", "PY006", 0.7)], "project string, rule_id string, confidence double"))
+    assert {(r["project"], r["id"], r["pattern"] != "") for r in mined.collect()} == {("p", "CONV-snake-case-functions", True), ("p", "CONV-docstrings", True), ("p", "CONV-enforce-PY005", False)}
+    ingest.write_rules(mined, f"{tmp_path}/mined")
+    back = ingest.read_rules(spark, f"{tmp_path}/mined", by_project=True)
+    assert back.columns == mined.columns and back.count() == 3
+    assert {(r["file_id"], r["rule_id"], r["line"]) for r in scan.scan_by_rules(files, back).collect()} == {(2, "CONV-snake-case-functions", 1), (2, "CONV-docstrings", 1)}
+
+
+def test_full_scan_reads_the_files_three_times(spark):
+    from sievemill.operators import full
+    from sievemill.sources.corpus import files
+
+    plan = full.full_scan(files(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 3 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_full_scan_by_example(spark):
+    from sievemill.operators import full
+
+    code = "import json\nimport os\nx = 'json'\nmodel.eval()\n\n\ndef eval(a=foo(), b=[1]):\n    return os.path\n    print(1)\n\n\ndef f(a=(1,)):\n    try:\n        eval(a)\n    except:\n        pass\n"
+    rows = spark.createDataFrame([(1, "p", "a.py", "python", code), (2, "p", "b.py", "python", " "), (3, "p", "c.py", "python", None), (4, "p", "d.py", None, "password = 'hunter22'")], SCHEMA)
+    got = {(r["file_id"], r["rule_id"], r["line"]) for r in full.full_scan(rows, [Rule("OWN", "", "own", "hunter", "error"), Rule("BAD", "", "bad", "(?P<n>a)", "error")]).collect()}
+    assert got == {(1, "PY014", 1), (1, "PY004", 7), (1, "PY015", 9), (1, "PY001", 14), (1, "PY003", 15), (1, "DEEP001", 15), (1, "ARCH003", 7), (1, "ARCH003", 12), (4, "SEC002", 1)}
