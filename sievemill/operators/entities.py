@@ -29,6 +29,7 @@ SIGNS = [
     Sign("function_name", r"\b[A-Z][a-zA-Z0-9]*\.[a-z_][a-zA-Z0-9_]*", 65, "function|method|class"),
     Sign("api_reference", r"\b[a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+\b", 70, "use|call|import|from|with"),
     Sign("api_reference", r"\buse[A-Z][a-zA-Z0-9]*\b", 90, "react|hook"),
+    Sign("file_path", r"(?:[a-zA-Z0-9_-][a-zA-Z0-9_.-]*/)+[a-zA-Z0-9_.-]*[a-zA-Z0-9_-]\.[a-zA-Z0-9]+", 80, FILE_CLUES),  # ours: a project's path as a whole, where only its end would be met
 ]
 LIBRARIES = """os sys re json pathlib datetime typing collections asyncio functools itertools subprocess logging math requests fastapi pydantic sqlalchemy django flask pytest numpy
     pandas torch tensorflow httpx aiohttp celery langchain langgraph langchain_core langchain_openai langchain_anthropic langchain_community langsmith fs path http crypto util stream

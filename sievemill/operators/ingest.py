@@ -163,8 +163,12 @@ def write_rules(rules: DataFrame, folder: str) -> None:
     rules.write.mode("overwrite").json(folder)
 
 
-def read_rules(spark, folder: str, by_project: bool = False) -> DataFrame:
-    """Rules as scan.known_rules takes them; with their project, as scan.scan_by_rules does."""
+def read_rules(spark, folder: str) -> DataFrame:
+    return spark.read.schema("id string, pattern string, severity string").json(folder)
+
+
+def read_rule_rows(spark, folder: str, by_project: bool = False) -> DataFrame:
+    """Whole rules as scan.known_rules takes them; with their project, as scan.scan_by_rules does."""
     return spark.read.schema(RULE_ROWS + ", project string" * by_project).json(folder)
 
 

@@ -28,8 +28,9 @@ def lock_enriched(dependencies: DataFrame, locks: DataFrame) -> DataFrame:
 
 
 def findings(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies that an advisory (package, version, vuln_id, score) is about."""
-    return dependencies.join(advisories, ["package", "version"]).select("project", "package", "version", "vuln_id", cvss_severity(F.col("score")).alias("severity"))
+    """Dependencies that an advisory (package, version, vuln_id, score) is about. Where both name an ecosystem it must be the same, so that packages of one name don't meet."""
+    keys = [k for k in ("ecosystem", "package", "version") if k in dependencies.columns and k in advisories.columns]
+    return dependencies.join(advisories, keys).select("project", "package", "version", "vuln_id", cvss_severity(F.col("score")).alias("severity"))
 
 
 def finding_counts(found: DataFrame) -> DataFrame:

@@ -111,12 +111,12 @@ def claim_conflicts(claims: DataFrame) -> DataFrame:
     stretch = lambda at, t: F.when(t >= OPEN_TIER, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", at, t))
     other = other.withColumn("_o_tier", tier)
     first, last = stretch(hour("o_ts"), F.col("_o_tier")), stretch(F.coalesce(hour("o_released"), hour("o_ts")), F.col("_o_tier"))
-    other = other.withColumn("_o_stretch", F.explode(F.sequence(first, last)))
+    other = other.withColumn("_o_hours", F.explode(F.sequence(first, last)))
     tiers = sorted(r["_o_tier"] for r in other.select("_o_tier").distinct().collect())  # OPEN_TIER + 1 at most
     live = (F.col("o_ts") <= F.col("ts")) & (F.col("o_released").isNull() | (F.col("o_released") > F.col("ts"))) & (F.col("o_session_id") != F.col("session_id"))
     asked = claims.withColumn("_tier", F.explode(F.array(*map(F.lit, tiers)) if tiers else F.array().cast("array<int>")))
-    asked = asked.withColumn("_stretch", stretch(hour("ts"), F.col("_tier")))
-    met = asked.join(other, (F.col("file_path") == F.col("o_file_path")) & (F.col("_tier") == F.col("_o_tier")) & (F.col("_stretch") == F.col("_o_stretch")) & live)
+    asked = asked.withColumn("_hours", stretch(hour("ts"), F.col("_tier")))
+    met = asked.join(other, (F.col("file_path") == F.col("o_file_path")) & (F.col("_tier") == F.col("_o_tier")) & (F.col("_hours") == F.col("_o_hours")) & live)
     severity = F.when(F.col("o_kind") == "write", "warning").when(F.col("kind") == "write", "info")
     return met.select("event_id", F.col("o_event_id").alias("other_id"), severity.alias("severity")).where("severity is not null")
 

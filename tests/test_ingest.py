@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from sievemill.operators import architecture, checks, history, ingest, planning
+from sievemill.operators import architecture, checks, full, history, ingest, planning
 from sievemill.operators.lines import functions
 
 
@@ -39,11 +39,11 @@ def test_checks_on_small_files(spark):
     code = "import os\nimport sys as s\n\n\ndef f(a):\n    try:\n        return s\n        # after\n        a = 1\n    except ValueError:\n        pass\n\n\nclass A:\n    def b(self): return 1\n"
     files = spark.createDataFrame([(1, "python", code), (2, "python", ""), (3, "go", "x")], "file_id int, lang string, code string")
     table = checks.marked(files)
-    assert [tuple(r) for r in checks.dead_imports(table).collect()] == [(1, 1, "os")]
+    assert [tuple(r) for r in full.dead_imports(files).collect()] == [(1, 1, "os")]
     assert [tuple(r) for r in checks.unreachable(table).collect()] == [(1, 9)]
     assert [tuple(r) for r in checks.swallowed_exceptions(table).collect()] == [(1, 10)]
     assert [tuple(r) for r in checks.big_classes(table, 0).collect()] == [(1, 14, 1)]
-    assert checks.deep_functions(files, functions(files), 0).count() == 1
+    assert checks.deep_functions(functions(files), 0).count() == 1
 
 
 def test_too_many_layers_are_an_error(spark):

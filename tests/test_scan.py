@@ -146,7 +146,7 @@ def test_rules_as_rows(spark, tmp_path):
     files = spark.createDataFrame([(1, "p", "a.py", "python", "def getIt(a):\n    return 'def itIs(b)'  # TODO\n\ndef get_it(): pass\n"), (2, "q", "b.go", "go", "todo()\n\n  x todo\n"), (3, "p", "c", "go", " "), (4, "p", "c", "go", None)], SCHEMA)
     rules = spark.createDataFrame(RULE_ROWS, scan.RULE_ROWS)
     ingest.write_rules(rules, f"{tmp_path}/rules")
-    back = scan.known_rules(ingest.read_rules(spark, f"{tmp_path}/rules"))
+    back = scan.known_rules(ingest.read_rule_rows(spark, f"{tmp_path}/rules"))
     assert {r["id"] for r in back.collect()} == {"N1", "N2"}
     want = {(1, "N1", 1, 1, "def getIt(a):"), (2, "N2", 1, 1, "todo()"), (2, "N2", 3, 5, "x todo")}
     got = scan.scan_by_rules(files, back)
@@ -166,7 +166,7 @@ def test_conventions_become_rules(spark, tmp_path):
     mined = quality.mined_rules(quality.naming_convention(files), quality.docstring_convention(files), spark.createDataFrame([("p", "PY005", 0.9), ("p", "PY006", 0.7)], "project string, rule_id string, confidence double"))
     assert {(r["project"], r["id"], r["pattern"] != "") for r in mined.collect()} == {("p", "CONV-snake-case-functions", True), ("p", "CONV-docstrings", True), ("p", "CONV-enforce-PY005", False)}
     ingest.write_rules(mined, f"{tmp_path}/mined")
-    back = ingest.read_rules(spark, f"{tmp_path}/mined", by_project=True)
+    back = ingest.read_rule_rows(spark, f"{tmp_path}/mined", by_project=True)
     assert back.columns == mined.columns and back.count() == 3
     assert {(r["file_id"], r["rule_id"], r["line"]) for r in scan.scan_by_rules(files, back).collect()} == {(2, "CONV-snake-case-functions", 1), (2, "CONV-docstrings", 1)}
 

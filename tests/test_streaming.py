@@ -29,11 +29,46 @@ def test_daily(spark, tmp_path):
 
 def test_latest_scores(spark, tmp_path):
     table = validations(spark, HOME)
-    query = jobs.upsert_latest(fed(spark, table, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c")()
-    assert query.awaitTermination(120)
-    last = max((p for p in (tmp_path / "t").iterdir()), key=lambda p: int(p.name[2:]))
-    got = {(r["session_id"], r["file_path"]): r["score"] for r in spark.read.parquet(str(last)).collect()}
+    query = jobs.upsert_latest(fed(spark, table, f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/c", buckets=8)()
+    assert query.awaitTermination(240)
+    got = {(r["session_id"], r["file_path"]): r["score"] for r in jobs.latest_table(spark, f"{tmp_path}/t").collect()}
     assert got == {(r["session_id"], r["file_path"]): r["score"] for r in batch.latest_score(table).collect()}
+    assert len(list((tmp_path / "t/commits").iterdir())) == 1 and len(list((tmp_path / "t/data").glob("*/bucket=*"))) == 8
+
+
+def test_an_upsert_touches_its_buckets_alone(spark, tmp_path):
+    from datetime import datetime
+
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    row = "session_id string, file_path string, score double, ts timestamp, event_id long"
+    rows = [("s", f"f{i}", i / 10, t(0), i) for i in range(20)]
+
+    def fed_batch(n, *more):
+        spark.createDataFrame(list(more), row).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        return jobs.upsert_latest(jobs.stream(spark, f"{tmp_path}/in", spark.createDataFrame([], row)), f"{tmp_path}/t", f"{tmp_path}/c{n}", buckets=8)()
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "t/data").rglob("*.parquet")}
+
+    assert fed_batch(0, *rows).awaitTermination(120)
+    first = files()
+    assert fed_batch(0, ("s", "f3", 9.0, t(5), 50), ("s", "f3", 1.0, t(4), 49), ("s", "f4", 9.0, datetime(2023, 1, 1), 51)).awaitTermination(120)
+    second = files()
+    kept = set(first) & set(second)
+    assert 0 < len(set(second) - kept) <= 2 and all(first[p] == second[p] for p in kept)
+    scores = {r["file_path"]: r["score"] for r in jobs.latest_table(spark, f"{tmp_path}/t").collect()}
+    assert scores == {f"f{i}": i / 10 for i in range(20)} | {"f3": 9.0}
+    assert fed_batch(1).awaitTermination(120)  # a new checkpoint: batches are told again, and are known
+    assert files() == second
+
+
+def test_stale_advisories_never_match(spark, tmp_path):
+    from datetime import datetime
+
+    deps = spark.createDataFrame([("PyPI", "x", "1", datetime(2024, 1, 2, 0)), ("npm", "x", "1", datetime(2024, 1, 2, 1)), ("PyPI", "y", "1", datetime(2024, 1, 2, 2))], "ecosystem string, package string, version string, ts timestamp")
+    known = spark.createDataFrame([("PyPI", "x", "1", "V1", datetime(2024, 1, 1, 12)), ("npm", "x", "1", "V2", datetime(2023, 1, 1)), ("PyPI", "y", "1", "V3", datetime(2024, 1, 3))], "ecosystem string, package string, version string, vuln_id string, checked_at timestamp")
+    got = drained(jobs.known_advisories(fed(spark, deps, f"{tmp_path}/in"), known), str(tmp_path)).collect()
+    assert [(r["ecosystem"], r["vuln_id"]) for r in got] == [("PyPI", "V1")]
 
 
 def test_late_rows_are_counted(spark, tmp_path):
