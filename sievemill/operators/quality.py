@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scan import RULE_ROWS
@@ -39,7 +39,9 @@ def report(scores: DataFrame) -> DataFrame:
 
 
 def project_report(scores: DataFrame) -> DataFrame:
-    return report(scores).where("total = 0").drop("total")
+    """The report of each project, with the language of most of its files."""
+    spoken = majority_language(scores).withColumnRenamed("project", "_project")
+    return report(scores).where("total = 0").drop("total").join(spoken, F.col("project").eqNullSafe(F.col("_project"))).drop("_project")
 
 
 def majority_language(files: DataFrame) -> DataFrame:
@@ -57,9 +59,14 @@ def worst_files(scores: DataFrame, k: int = 20) -> DataFrame:
     return scores.orderBy(F.round("score", 9), "file_id").limit(k).select("file_id", "score")
 
 
-def convention_scan(files: DataFrame, scores: DataFrame) -> DataFrame:
-    """Files, average score and pass rate of each project, with the language of most files."""
-    return project_report(scores).join(majority_language(files), "project")
+def convention_scan(files: DataFrame, scores: DataFrame, violations: DataFrame, k: int = 10) -> DataFrame:
+    """Files, average score and pass rate of each project, the language of most files, and the `k` rules that it breaks most often (ties by name); files: those whose language counts.
+
+    Violations are counted by project and rule before ranks are taken, so a project's window holds a row for each rule."""
+    n = violations.join(scores.select("file_id", "project"), "file_id").groupBy("project", "rule_id").agg(F.count("*").alias("n"))
+    ranked = n.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("n"), "rule_id"))).where(F.col("rank") <= k)
+    top = ranked.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rule_id"))), lambda r: r["rule_id"]), ",").alias("top_rules"))
+    return project_report(scores).drop("lang").join(majority_language(files), "project").join(top, "project", "left")
 
 
 def violation_conventions(scores: DataFrame, violations: DataFrame, least: int = 3, share: float = 0.3) -> DataFrame:
@@ -144,11 +151,15 @@ def category_breakdown(violations: DataFrame) -> DataFrame:
     return n.groupBy("category").agg(F.sum("n").alias("violations"), F.count("*").alias("rules"), F.min_by("rule_id", F.struct(-F.col("n"), F.col("rule_id"))).alias("top_rule"))
 
 
-def gate(scores: DataFrame) -> DataFrame:
-    """PASS for projects without an error; how many files have some."""
-    return scores.groupBy("project").agg(
-        F.when(F.sum("errors") == 0, "PASS").otherwise("FAIL").alias("gate"), F.count_if(F.col("errors") > 0).alias("files_with_errors")
-    )
+def gate(scores: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """PASS for projects without an error and without a critical or high finding (project, severity) about their dependencies; how many files have errors, and how many such findings there are."""
+    out = scores.groupBy("project").agg(F.sum("errors").alias("errors"), F.count_if(F.col("errors") > 0).alias("files_with_errors"))
+    if findings is None:
+        held = out.withColumn("severe", F.lit(0).cast("long"))
+    else:
+        severe = findings.where(F.col("severity").isin("critical", "high")).groupBy("project").agg(F.count("*").alias("severe"))
+        held = out.join(severe, "project", "left").fillna(0, ["severe"])
+    return held.select("project", F.when((F.col("errors") == 0) & (F.col("severe") == 0), "PASS").otherwise("FAIL").alias("gate"), "files_with_errors", "severe")
 
 
 def confidence(scores: DataFrame) -> DataFrame:

@@ -172,9 +172,14 @@ on_violations(
 on_scores("a01_file_scores", lambda f, v, s: s, " SELECT file_id, project, lang, path, round(score, 9) AS score, passed, errors, warnings, infos, security FROM scores")
 REPORT = "count(*) AS files, round(avg(score), 9) AS avg_score, round(avg(passed::INT), 9) AS pass_rate, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, sum(infos)::BIGINT AS infos"
 on_scores("a03_corpus_report", lambda f, v, s: quality.report(s), f" SELECT project, {REPORT}, (project IS NULL)::INT AS total FROM scores GROUP BY ROLLUP (project)")
-on_scores("a04_project_report", lambda f, v, s: quality.project_report(s), f" SELECT project, {REPORT} FROM scores GROUP BY project")
 MAJORITY = ", n AS (SELECT project, lang, count(*) AS n FROM files GROUP BY ALL), major AS (SELECT project, lang FROM n QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, lang) = 1)"
-on_scores("a05_convention_scan", lambda f, v, s: quality.convention_scan(f, s), MAJORITY + f", r AS (SELECT project, {REPORT} FROM scores GROUP BY project) SELECT r.*, major.lang FROM r JOIN major USING (project)")
+on_scores("a04_project_report", lambda f, v, s: quality.project_report(s), MAJORITY + f", r AS (SELECT project, {REPORT} FROM scores GROUP BY project) SELECT r.*, major.lang FROM r JOIN major USING (project)")
+on_scores(
+    "a05_convention_scan", lambda f, v, s: quality.convention_scan(f, s, v),
+    MAJORITY + f""", r AS (SELECT project, {REPORT} FROM scores GROUP BY project), c AS (SELECT project, rule_id, count(*) AS n FROM violations JOIN (SELECT file_id, project FROM scores) USING (file_id) GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, rule_id) AS rank FROM c), top AS (SELECT project, string_agg(rule_id, ',' ORDER BY rank) AS top_rules FROM k WHERE rank <= 10 GROUP BY 1)
+        SELECT r.*, major.lang, top_rules FROM r JOIN major USING (project) LEFT JOIN top USING (project)""",
+)
 on_files("a11_majority_language", quality.majority_language, MAJORITY + " SELECT project, lang FROM major")
 MET = ", met AS (SELECT project, rule_id, count(DISTINCT file_id) AS files, count(*) AS n FROM violations JOIN (SELECT file_id, lang AS project FROM scores) USING (file_id) GROUP BY ALL), total AS (SELECT lang AS project, count(*) AS total FROM scores GROUP BY 1), conv AS (SELECT project, rule_id, met.files, n, least(0.95, 0.6 + met.files / total * 0.3) AS confidence FROM met JOIN total USING (project) WHERE met.files >= {} AND met.files / total >= {})"
 on_scores("a06_violation_conventions", lambda f, v, s: quality.violation_conventions(by_lang(s), v), MET.format(3, 0.3) + " SELECT project, rule_id, files, n, round(confidence, 9) AS confidence FROM conv")
@@ -217,7 +222,16 @@ on_scores(
     "a19_category_breakdown", lambda f, v, s: quality.category_breakdown(v),
     ", n AS (SELECT category, rule_id, count(*) AS n FROM violations GROUP BY ALL) SELECT category, sum(n)::BIGINT AS violations, count(*) AS rules, first(rule_id ORDER BY n DESC, rule_id) AS top_rule FROM n GROUP BY category",
 )
-on_scores("a20_gate", lambda f, v, s: quality.gate(s.withColumn("project", F.concat("project", F.lit("/"), "lang"))), " SELECT project || '/' || lang AS project, CASE WHEN sum(errors) = 0 THEN 'PASS' ELSE 'FAIL' END AS gate, count(*) FILTER (errors > 0) AS files_with_errors FROM scores GROUP BY 1")
+
+
+def _gated(files, violations, scores):
+    """Projects of one language; those in Go have a finding that is severe, those in Rust one that isn't."""
+    named = scores.withColumn("project", F.concat("project", F.lit("/"), "lang"))
+    found = named.where("lang in ('go', 'rust')").select("project", F.when(F.col("lang") == "go", "high").otherwise("low").alias("severity")).distinct()
+    return quality.gate(named, found)
+
+
+on_scores("a20_gate", _gated, " SELECT project || '/' || lang AS project, CASE WHEN sum(errors) = 0 AND lang <> 'go' THEN 'PASS' ELSE 'FAIL' END AS gate, count(*) FILTER (errors > 0) AS files_with_errors, (lang = 'go')::BIGINT AS severe FROM scores WHERE project IS NOT NULL GROUP BY project, lang")
 on_scores("p25_confidence_level", lambda f, v, s: quality.confidence(s), " SELECT file_id, CASE WHEN errors > 0 OR security > 0 THEN 'low' WHEN warnings > 3 OR NOT contains(path, '/tests/') THEN 'medium' ELSE 'high' END AS confidence FROM scores")
 on_scores("p17_stringency", lambda f, v, s: s.groupBy(quality.stringency(F.round("score", 9)).alias("stringency")).agg(F.count("*").alias("files")), " SELECT CASE WHEN round(score, 9) >= 0.7 THEN 'strict' WHEN round(score, 9) >= 0.3 THEN 'moderate' ELSE 'permissive' END AS stringency, count(*) AS files FROM scores GROUP BY 1")
 on_scores(

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from sievemill.operators import architecture, brackets, entities, ingest, joins, planning, prompts, sessions
+from sievemill.operators import architecture, brackets, entities, ingest, joins, planning, prompts, quality, sessions
 from sievemill.plans.prompts import SECURITY
 from sievemill.sources.samples import SCRIPTS
 
@@ -107,3 +107,14 @@ def test_newest_version_and_shared_patterns(spark):
 def test_cycles_of_any_length(spark):
     steps = spark.createDataFrame([(1, i, [(i + 1) % 12]) for i in range(12)] + [(2, 1, [2]), (2, 2, [3])], "plan_id long, step long, needs array<long>")
     assert {tuple(r) for r in joins.cycle_groups(steps).collect()} == {(1, i, 0) for i in range(12)}
+
+
+def test_gate_and_reports(spark):
+    rows = [(1, "p", "go", "a", 1.0, True, 0), (2, "p", "python", "b", 0.5, False, 2), (3, "q", "go", "c", 1.0, True, 0), (4, "r", "go", "d", 1.0, True, 0), (5, None, "go", "e", 1.0, True, 0)]
+    scores = spark.createDataFrame(rows, "file_id long, project string, lang string, path string, score double, passed boolean, errors long").selectExpr("*", "0L AS warnings", "0L AS infos")
+    found = spark.createDataFrame([("q", "critical"), ("q", "high"), ("r", "low")], "project string, severity string")
+    assert {tuple(r) for r in quality.gate(scores, found).collect()} == {("p", "FAIL", 1, 0), ("q", "FAIL", 0, 2), ("r", "PASS", 0, 0), (None, "PASS", 0, 0)}
+    assert {tuple(r) for r in quality.gate(scores).select("project", "gate").collect()} == {("p", "FAIL"), ("q", "PASS"), ("r", "PASS"), (None, "PASS")}
+    assert {(r["project"], r["files"], r["lang"]) for r in quality.project_report(scores).collect()} == {("p", 2, "go"), ("q", 1, "go"), ("r", 1, "go"), (None, 1, "go")}
+    broken = spark.createDataFrame([(1, "B"), (2, "A"), (2, "B"), (3, "C")], "file_id long, rule_id string")
+    assert {(r["project"], r["top_rules"]) for r in quality.convention_scan(scores, scores, broken, k=1).collect()} >= {("p", "B"), ("q", "C"), ("r", None)}
