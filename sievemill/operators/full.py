@@ -153,8 +153,8 @@ def file_findings(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     hits = [_pattern_hit(r.id, [r]) for r in rules] + [_pattern_hit(i, group) for i, group in ONCE_A_LINE.items()]
     functions = lambda r: F.when(F.col("lang") == "python", lines.function_list(r)).otherwise(F.array().cast("array<struct<name:string,start:int,stop:int,body:string,depth:int>>"))
     own = lambda r: bound(functions(r), lambda f: F.array(*_python_checks(r, f), *_script_checks(r), _at("AI004", lines.repeated_blocks(r))))
-    told = F.filter(F.concat(F.array(*hits), bound(rows, own)), lambda h: (F.size(h["finds"]) > 0) | (F.size(h["at"]) > 0))
-    each = table.select("file_id", text.skip_spans(F.col("code"), F.col("lang")).alias("spans"), told.alias("hits")).select("file_id", "spans", F.explode("hits").alias("h"))
+    told = table.select("file_id", text.skip_spans(F.col("code"), F.col("lang")).alias("spans"), F.concat(F.array(*hits), bound(rows, own)).alias("hits"))
+    each = told.select("file_id", "spans", F.explode(F.filter("hits", lambda h: (F.size(h["finds"]) > 0) | (F.size(h["at"]) > 0))).alias("h"))
     real = lambda f: F.filter(text.placed(f["parts"], f["found"]), lambda m: ~text.in_skip(m["start"], F.col("spans")) & ((f["unless"] == "") | ~F.rlike(m["match"], f["unless"])))
     placed = F.flatten(F.transform("h.finds", lambda f: F.transform(real(f), lambda m: m["line"])))
     once = F.when(F.col("h.rule_id").isin(*ONCE_A_LINE), F.array_distinct(placed)).otherwise(placed)

@@ -80,7 +80,8 @@ def rule_scan(files: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     rules = list(rules)
     spark = files.sparkSession
     known = spark.createDataFrame([(r.id, r.slug, r.severity, r.category) for r in rules], "rule_id string, rule string, severity string, category string")
-    hits = _lexed(files, F.array_compact(F.array(*map(_found, rules))).alias("hits")).select("file_id", "lines", "spans", F.explode("hits").alias("h"))
+    # not a column alone is exploded: of that Spark would first ask whether it is empty, which works it out twice
+    hits = _lexed(files, F.array(*map(_found, rules)).alias("hits")).select("file_id", "lines", "spans", F.explode(F.array_compact("hits")).alias("h"))
     each = hits.select("file_id", "h.rule_id", F.explode(_outside(text.placed(F.col("h.parts"), F.col("h.found")))).alias("m"))
     real = F.lit(True)
     for rule in rules:
