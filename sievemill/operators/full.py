@@ -227,7 +227,7 @@ def line_findings(files: DataFrame) -> DataFrame:
 def full_scan(files: DataFrame, custom: Iterable[Rule] = ()) -> DataFrame:
     """file_id, rule_id, line: the rules of the file's language and for all, custom rules, and every check that needs no other table. PY001 to PY004 are found as a parser would find them, in place
     of their patterns; rules about tests hold in test code alone, rules of a framework in files that import it. Three passes over the files, of which lines and brackets are shuffled once
-    each. Imports that aren't known (AI002, SEC014) and tests of what isn't tested (TEST004) need tables of their own: joins.unknown_imports, ingest.vulnerable_imports, checks.untested_names."""
+    each. Imports that aren't known (AI002, SEC014) and tests of what isn't tested (TEST004) need tables of their own: imports.unknown_imports, ingest.vulnerable_imports, checks.untested_names."""
     rules = replaced_rules(scan.custom_rules(custom) if custom else RULES)
     scripts = brackets.findings(files, LONG_FUNCTION, DEEP).select("file_id", "rule_id", "line")
     return file_findings(files, rules).unionByName(line_findings(files)).unionByName(scripts)

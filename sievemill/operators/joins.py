@@ -38,13 +38,6 @@ def finding_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("project").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")], F.count_distinct("package").alias("packages"))
 
 
-def unknown_imports(imports: DataFrame, known: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Imports (file_id, project, module) that are neither known to all nor a dependency; projects without any dependency are left out."""
-    has = dependencies.select("project").distinct()
-    named = imports.withColumn("package", normalize_package(F.col("module")))
-    return named.join(F.broadcast(known), "module", "left_anti").join(dependencies, ["project", "package"], "left_anti").join(has, "project", "left_semi").select("file_id", "project", "module")
-
-
 def dangling(steps: DataFrame) -> DataFrame:
     """References (plan_id, step, needs) to steps that the plan doesn't have."""
     each = steps.select("plan_id", "step", F.explode("needs").alias("need"))

@@ -172,36 +172,6 @@ def first_seen(violations: DataFrame) -> DataFrame:
     return violations.groupBy("rule_id").agg(F.min(F.struct("file_id", "line", "col")).alias("f"), F.count("*").alias("n")).select("rule_id", "f.file_id", "f.line", "f.col", "n")
 
 
-#: Rules with a fix for a line (what, by what) and how sure it is.
-FIXES = {
-    "PY003": (r"\bexcept\s*:", "except Exception:", 0.9), "PY009": (r"yaml\.load\s*\(", "yaml.safe_load(", 0.9), "SEC007": (r"verify\s*=\s*False", "verify=True", 0.9),
-    "JS001": (r"\bvar\s+", "let ", 0.85), "PY012": (r"import\s+\*", "import name", 0.6), "TS004": (r"\s+as\s+any\b", " as unknown", 0.75),
-}
-
-
-def fix_plan(violations: DataFrame, sure: float = 0.7) -> DataFrame:
-    """Violations that have a fix of at least this confidence: the line as it is and as it would be."""
-    fixed, confidence = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for rule, (what, by, c) in FIXES.items():
-        fixed = F.when(F.col("rule_id") == rule, F.regexp_replace("snippet", what, by)).otherwise(fixed)
-        confidence = F.when(F.col("rule_id") == rule, F.lit(c)).otherwise(confidence)
-    return violations.select("file_id", "rule_id", "line", "col", "snippet", fixed.alias("fixed"), confidence.alias("confidence")).where(F.col("confidence") >= sure)
-
-
-def apply_fixes(files: DataFrame, violations: DataFrame, sure: float = 0.7) -> DataFrame:
-    """file_id, code with the fixes made, changed lines. A line is fixed by its first rule; other files stay out."""
-    plan = violations.join(files.sparkSession.createDataFrame([(k, w, b) for k, (w, b, c) in FIXES.items() if c >= sure], "rule_id string, what string, by string").hint("broadcast"), "rule_id")
-    one = plan.groupBy("file_id", "line").agg(F.min("rule_id").alias("rule_id"))
-    lines = files.join(one.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.posexplode(F.split("code", "\n")).alias("at", "text")).withColumn("line", F.col("at") + 1)
-    fixed = F.col("text")
-    for rule, (what, by, c) in FIXES.items():
-        if c >= sure:
-            fixed = F.when(F.col("rule_id") == rule, F.regexp_replace("text", what, by)).otherwise(fixed)
-    joined = lines.join(one, ["file_id", "line"], "left").select("file_id", "line", fixed.alias("text"), (fixed != F.col("text")).alias("changed"))
-    rebuilt = joined.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"), F.count_if("changed").alias("changed"))
-    return rebuilt.select("file_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("code"), "changed")
-
-
 def related(violations: DataFrame) -> DataFrame:
     """Other rules of the same category that a violation's file breaks."""
     each = violations.select("file_id", "category", "rule_id").distinct()

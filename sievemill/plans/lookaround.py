@@ -98,21 +98,6 @@ add(
 )
 
 
-def _imports(spark, sf_dir):
-    module = F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(r"(?m)^\s*(?:import|from)\s+(\w+)"), F.lit(1))))
-    return files(spark, sf_dir).where("lang = 'python'").select("file_id", "project", module.alias("module"))
-
-
-def _known(spark):
-    return spark.createDataFrame([(m,) for m in ("os", "time", "typing", "subprocess", "hashlib", "pickle", "__future__")], "module string")
-
-
-add(
-    "j01_unknown_imports",
-    lambda spark, sf_dir: joins.unknown_imports(_imports(spark, sf_dir), _known(spark), _dependencies(spark, sf_dir).unionByName(table(spark, sf_dir, "documents").where("doc_id % 3 = 0").selectExpr("source AS project", "'numpy' AS package", "'1' AS version").distinct())),
-    DEPS + f", {FILES_SQL}, i AS (SELECT file_id, project, unnest(list_distinct(regexp_extract_all(code, '(?m)^\\s*(?:import|from)\\s+(\\w+)', 1))) AS module FROM files WHERE lang = 'python') SELECT file_id, project, module FROM i WHERE module NOT IN ('os', 'time', 'typing', 'subprocess', 'hashlib', 'pickle', '__future__') AND NOT (module = 'numpy' AND project IN (SELECT source FROM documents WHERE doc_id % 3 = 0)) AND project IN (SELECT project FROM deps)",
-)
-
 # -- plans: the events of a user in order ---------------------------------------------------------------------
 
 

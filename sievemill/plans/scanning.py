@@ -149,18 +149,6 @@ on_files(
     " SELECT rule_id, count(*) AS n FROM violations WHERE rule_id NOT IN ('PY001', 'PY003', 'JS001') OR line < 9 GROUP BY rule_id", VIOLATIONS,
 )
 on_violations("u05_first_seen", scan.first_seen, " SELECT rule_id, f.file_id, f.line, f.col, n FROM (SELECT rule_id, min({'file_id': file_id, 'line': line, 'col': col}) AS f, count(*) AS n FROM violations GROUP BY rule_id)")
-FIXED = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN regexp_replace(snippet, {quoted(w)}, {quoted(b)}, 'g')" for k, (w, b, _) in scan.FIXES.items()) + " END"
-SURE = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN {c}::DOUBLE" for k, (_, _, c) in scan.FIXES.items()) + " END"
-on_violations("r11_auto_fix_plan", scan.fix_plan, f" SELECT * FROM (SELECT file_id, rule_id, line, col, snippet, {FIXED} AS fixed, {SURE} AS confidence FROM violations) WHERE confidence >= 0.7")
-on_violations("r13_quick_fixes", lambda v: scan.fix_plan(v, 0.8).groupBy("rule_id", "fixed").agg(F.count("*").alias("n")), f" SELECT rule_id, fixed, count(*) AS n FROM (SELECT rule_id, {FIXED} AS fixed, {SURE} AS confidence FROM violations) WHERE confidence >= 0.8 GROUP BY ALL")
-FIX_LINE = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN regexp_replace(t, {quoted(w)}, {quoted(b)}, 'g')" for k, (w, b, c) in scan.FIXES.items() if c >= 0.7) + " ELSE t END"
-on_files(
-    "r12_apply_fixes", lambda f: scan.apply_fixes(f, scan.rule_scan(f)).select("file_id", F.md5("code").alias("md5"), "changed"),
-    f""", one AS (SELECT file_id, line, min(rule_id) AS rule_id FROM violations WHERE rule_id IN ({', '.join(quoted(k) for k, v in scan.FIXES.items() if v[2] >= 0.7)}) GROUP BY ALL),
-        l AS (SELECT file_id, unnest(string_split(code, chr(10))) AS t, generate_subscripts(string_split(code, chr(10)), 1) AS line FROM files WHERE file_id IN (SELECT file_id FROM one)),
-        x AS (SELECT file_id, l.line, {FIX_LINE} AS fixed, t FROM l LEFT JOIN one USING (file_id, line)) SELECT file_id, md5(string_agg(fixed, chr(10) ORDER BY line)) AS md5, count(*) FILTER (fixed <> t) AS changed FROM x GROUP BY file_id""",
-    VIOLATIONS,
-)
 on_violations(
     "j09_related_violations", scan.related,
     """, e AS (SELECT DISTINCT file_id, category, rule_id FROM violations) SELECT a.file_id, a.rule_id, string_agg(b.rule_id, ',' ORDER BY b.rule_id) AS related FROM e a JOIN e b

@@ -26,3 +26,23 @@ SCRIPTS = [
     ("javascript", "ui", "const React = require('react');\nfunction Page() {\n  React.useEffect(() => { useDeep(); });\n  function Part() { return useMemo(f); }\n  while (a) { if (b) { c(); } useLoop(); }\n  return useLast();\n}\n}\nfunction After() { return useTop(); }\n"),
     ("python", "core", "def f():\n    return {'a': 1}\n"),
 ]
+
+#: Imports of each language: built in, declared by a manifest of reports.py, unknown, relative, several on a line, and in comments.
+IMPORT_SAMPLES = [
+    ("python", "core", "import os\nimport flask, numpy\nfrom fast_api.routing import Route\nfrom . import near\nfrom .deep import far\nfrom __future__ import annotations\nimport pkg_7_core\n    import indented\nimport telnetlib\nfrom Flask import upper\nimport six\n'''\nimport quoted\n'''\n"),
+    ("typescript", "ui", "import React, { useState } from 'react';\nimport type { X } from \"@scope/pkg-3/deep/er\";\nimport fs from 'fs';\nimport test from 'node:test';\nimport near from './near';\nimport 'effects';\nimport far from '@other/far';\n// import gone from 'gone';\nimport {\n  a,\n} from 'lines';\nexport const y = 1;\n"),
+    ("javascript", "api", "const a = require('express'), b = require( \"next/link\" );\nconst c = require('../near');\nlet d = require('path'); let e = require('@scope');\n// require('left-pad')\n"),
+    ("go", "core", "package core\nimport \"fmt\"\nimport \"github.com/x/single\"\nimport (\n\t\"net/http\"\n\tnamed \"golang.org/x/net/html\"\n\t\"golang.org/x/network\"\n\n\t// \"github.com/a/pkg5/sub\"\n\t_ \"github.com/a/pkg55\"\n)\nimport (\"local/own\")\n"),
+    ("rust", "core", "use std::io;\nuse serde_json::Value;\n  use tokio::{fs};\nuse crate::own;\nuse left;\npub use outer::x;\n"),
+    ("java", "app", "import java.util.List;\nimport org.unknown.Thing;\n"),
+]
+
+#: Code with fixes: one and several on a line, of rules with a text alone, in comments and strings, and lines whose patch isn't met.
+FIX_SAMPLES = [
+    ("python", "core", "from typing import List, Dict\nfrom typing import Optional as O; x: Optional[int] = Optional[str]\ndef f(a=[]):\n    try:\n        r.get(u, verify=False); s.get(u, verify = False)\n    except:\n        pass\n    # except:\n    print('except:')\nfrom typing import Set; y: Set[int]\n"),
+    ("javascript", "web", "var a = 1; var b = 2;\nif (a == b) { eval(a); }\nif (a != b && eval(b) == 3) { var c = eval(a) != eval(b); }\n// var d = 4;\nlet e = 'var f';\n"),
+    ("python", "jobs", "password = 'hunter2hunter2'\nos.system('rm ' + path)\ncursor.execute('SELECT * FROM t WHERE a = ' + b)\nx = pickle.loads(data)\n"),
+    ("typescript", "ui", "const a = b as any;\nvar q = x as any;\nconst s = `SELECT * FROM t WHERE a = ${b}`;\n"),
+    ("rust", "core", "fn a() { b.unwrap(); panic!(\"x\"); }\nfn c() { todo!(); }\n"),
+    ("go", "core", "package core\n\nfunc a() { x, _ := b() }\n"),
+]
