@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo, chunks, tasks
+from .shared import Memo, chunks, cut, tasks
 
 END_ID = 1
 #: The share of windows that may be added so that pieces fit whole; beyond it, what still doesn't fit is cut.
@@ -278,6 +278,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_bytes: int
     Each document's whole windows stand alone; what is left of it is one piece. Pieces are dealt at random into groups, one for
     each `group_bytes` of text; in each, differencing of whole pieces gives windows of near-equal fill, and only what exceeds a
     window is cut (see windows). A group is of bounded size however many rows there are, and a document's pieces may lie in several.
+    Groups follow row numbers, which are drawn once the pieces are written, so a task that is run again and reads its rows in another
+    order neither loses nor doubles pieces.
     Ties: of equal partitions, the one made first; of equal pieces, the one of the earlier row.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (gapless from 0).
@@ -286,7 +288,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_bytes: int
     """
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
-    dealt = pieces(docs, tokenizer, capacity, key, text).withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    dealt = cut(pieces(docs, tokenizer, capacity, key, text)).withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     parts = tasks(docs.sparkSession, groups, 8)
     kind = docs.schema[key].dataType.simpleString()
     return dealt.repartition(parts, "_group").groupBy("_group").applyInPandas(

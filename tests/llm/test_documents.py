@@ -212,6 +212,15 @@ def test_packing_places_every_id_once(odd_docs, name):
         assert at <= 2048
 
 
+def test_packing_numbers_rows_that_are_written(odd_docs):
+    """Behind a shuffle, rows have no fixed order: the numbers that deal the groups must be those of rows read back, not of rows made anew."""
+    found = packing.pack(odd_docs.repartition(5), BPE, group_bytes=30_000)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" in plan and "MapInArrow" not in plan
+    whole = found.agg(F.sum("length")).first()[0]
+    assert whole == packing.pieces(odd_docs, BPE).agg(F.sum("length")).first()[0]
+
+
 def test_words_of_all_kinds_have_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
