@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_package
+from . import lines, scan
 from .scan import RULE_ROWS
 
 #: Package ecosystems by the manifest's name, and frameworks by package.
@@ -62,6 +63,36 @@ def diff_scan(violations: DataFrame, changed: DataFrame) -> DataFrame:
     return violations.where(~F.col("rule_id").isin("ARCH002", "TSARCH002")).join(changed.select("file_id", "line").distinct(), ["file_id", "line"], "left_semi")
 
 
+#: Languages of files by the ends of their names.
+SUFFIXES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "rs": "rust", "go": "go", "java": "java", "cs": "csharp"}
+
+
+def added_texts(added: DataFrame) -> DataFrame:
+    """file_id, lang, code of what diffs add to each file (diff_id, path, line, added), as a text of its own: file_id holds diff_id, path, and lines, the file's own numbers of the text's
+    lines. The language is told by the name's end, else by the text."""
+    each = added.groupBy("diff_id", "path").agg(F.array_sort(F.collect_list(F.struct("line", "added"))).alias("rows"))
+    code = each.select(F.struct("diff_id", "path", F.transform("rows", lambda r: r["line"]).alias("lines")).alias("file_id"), F.array_join(F.transform("rows", lambda r: r["added"]), "\n").alias("code"))
+    known = F.create_map(*[F.lit(v) for pair in SUFFIXES.items() for v in pair])
+    suffix = F.lower(F.regexp_extract("file_id.path", r"\.(\w+)$", 1))
+    return code.select("file_id", F.coalesce(F.try_element_at(known, suffix), scan.detect_language(F.col("code"))["best"]).alias("lang"), "code")
+
+
+def scan_diff(diff: DataFrame, files: DataFrame, check=scan.rule_scan) -> DataFrame:
+    """diff_id, path, rule_id, rule, severity, category, line, col, snippet of what unified diffs (diff_id, seq, text) add.
+
+    Of a file that is there (file_id, path, lang, code; paths are unique), `check` sees the whole, and what it finds on added lines counts, but for findings about whole files. Of any other
+    file it sees the added lines as one text, and its lines become the file's again; the numbers travel with the text, so no join is needed for that. A file's lines are one row, as its code is."""
+    added = lines.changed_lines(diff).withColumn("path", F.regexp_replace("path", "^b/", ""))
+    there = files.select("file_id", "path")
+    changed = added.select("diff_id", "path", "line").distinct().join(there, "path")
+    met = check(files.join(changed.select("file_id").distinct(), "file_id", "left_semi")).where(~F.col("rule_id").isin("ARCH002", "TSARCH002"))
+    columns = ["rule_id", "rule", "severity", "category", "line", "col", "snippet"]
+    whole = met.join(changed, ["file_id", "line"]).select("diff_id", "path", *columns)
+    found = check(added_texts(added.join(there, "path", "left_anti")))
+    parts = found.withColumn("line", F.get("file_id.lines", F.col("line") - 1)).select("file_id.diff_id", "file_id.path", *columns)
+    return whole.unionByName(parts)
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """project, path, ecosystem, text of the files (project, path, text) that are manifests, told by their names."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -82,9 +113,9 @@ def dependencies(found: DataFrame) -> DataFrame:
         said = rows.select("project", "ecosystem", F.trim(F.split_part("d", F.lit(";"), F.lit(1))).alias("d")).where(F.col("d").rlike("^[A-Za-z0-9]"))
         return out(said, normalize_package(F.regexp_extract("d", r"^([A-Za-z0-9][\w.-]*)", 1)), F.regexp_extract("d", SPECIFIED, 1), no)
 
-    lines = found.where(name == "requirements.txt").select("project", "ecosystem", F.explode(F.split("text", "\n")).alias("d")).select("project", "ecosystem", F.trim(F.split_part("d", F.lit("#"), F.lit(1))).alias("d"))
-    lines = lines.where(F.col("d").rlike(r"^[A-Za-z0-9_][A-Za-z0-9._-]*\s*(?:[><=!~].*)?$"))
-    required = out(lines, normalize_package(F.regexp_extract("d", r"^([A-Za-z0-9_][A-Za-z0-9._-]*)", 1)), F.regexp_extract("d", r"[><=!~][^0-9]*([0-9][0-9.]*)", 1), no)
+    pinned = found.where(name == "requirements.txt").select("project", "ecosystem", F.explode(F.split("text", "\n")).alias("d")).select("project", "ecosystem", F.trim(F.split_part("d", F.lit("#"), F.lit(1))).alias("d"))
+    pinned = pinned.where(F.col("d").rlike(r"^[A-Za-z0-9_][A-Za-z0-9._-]*\s*(?:[><=!~].*)?$"))
+    required = out(pinned, normalize_package(F.regexp_extract("d", r"^([A-Za-z0-9_][A-Za-z0-9._-]*)", 1)), F.regexp_extract("d", r"[><=!~][^0-9]*([0-9][0-9.]*)", 1), no)
     block = F.regexp_extract("text", r"(?ms)^dependencies\s*=\s*\[(.*?)^?\]\s*$", 1)
     project = pep508(found.where(name == "pyproject.toml").select("project", "ecosystem", F.explode(F.transform(F.regexp_extract_all(block, F.lit("\"[^\"\\n]+\"|'[^'\\n]+'"), F.lit(0)), lambda q: F.btrim(q, F.lit("\"'")))).alias("d")))
     requires = F.regexp_extract("text", r"(?m)^install_requires =\n((?:[ \t]+\S.*\n?)*)", 1)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest, quality, scan
 from ..sources import reports as made
-from ..sources.corpus import FILES_SQL, files
+from ..sources.corpus import FILES_SQL, files, files_sql
+from ..sources.samples import FIX_SAMPLES
 from ..sources.tables import table
 from .history import rounded
 from .lookaround import LINES, _diff
-from .scanning import SCORES, VIOLATIONS
+from .scanning import SCORES, VIOLATIONS, violations_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -70,6 +71,25 @@ add(
     VIOLATIONS + " SELECT file_id, rule_id, line, col FROM violations WHERE (line + file_id) % 3 = 0",
 )
 
+
+
+def _whole_diff(f):
+    """A diff of each file that adds two of three lines; every other file has another path in it, and begins ten lines later."""
+    known = F.col("file_id") % 2 == 0
+    head = F.concat(F.lit("--- a/x\n+++ b/"), F.when(known, F.col("path")).otherwise(F.concat(F.lit("new/"), "path")), F.lit("\n@@ -1,3 +"), F.when(known, "1").otherwise("11"), F.lit(",9 @@"))
+    rows = F.transform(F.split("code", "\n"), lambda t, i: F.concat(F.when(i % 3 == 0, F.lit(" ")).otherwise("+"), t))
+    return f.select(F.col("file_id").alias("diff_id"), F.posexplode(F.concat(F.split(head, "\n"), rows)).alias("seq", "text"))
+
+
+add(
+    "r07_scan_diffs", lambda s, d: ingest.scan_diff(_whole_diff(f := files(s, d, FIX_SAMPLES)), f).select("diff_id", "path", "rule_id", "severity", "line", "col", "snippet"),
+    f"""WITH {files_sql(FIX_SAMPLES).replace(" files AS (", " base AS (")}, l AS (SELECT file_id, unnest(string_split(code, chr(10))) AS t, generate_subscripts(string_split(code, chr(10)), 1) AS n FROM base),
+        a AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n) AS k FROM l WHERE n % 3 <> 1), new AS (SELECT file_id, string_agg(t, chr(10) ORDER BY n) AS code FROM a GROUP BY 1),
+        files AS (SELECT file_id, path, lang, CASE WHEN file_id % 2 = 0 THEN b.code ELSE coalesce(n.code, '') END AS code FROM base b LEFT JOIN new n USING (file_id)), {violations_sql()}
+        SELECT a.file_id AS diff_id, CASE WHEN a.file_id % 2 = 0 THEN path ELSE 'new/' || path END AS path, rule_id, severity, (a.n + CASE WHEN a.file_id % 2 = 0 THEN 0 ELSE 10 END)::INT AS line, col, snippet
+        FROM violations v JOIN files f USING (file_id) JOIN a ON a.file_id = v.file_id AND v.line = CASE WHEN a.file_id % 2 = 0 THEN a.n ELSE a.k END""",
+)
+
 # -- manifests ------------------------------------------------------------------------------------------------
 
 ECOSYSTEM = "CASE name " + " ".join(f"WHEN '{n}' THEN '{e}'" for n, e in ingest.ECOSYSTEMS.items()) + " END"
