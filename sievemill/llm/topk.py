@@ -64,21 +64,27 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
     )
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = 8192, block_queries: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = 8192, block_queries: int = 8192) -> DataFrame:
     """The k rows of `vectors` (vec_id, terms) with the greatest inner product with each query row, all other rows being scored.
 
     Queries and rows are dealt by hash into blocks of bounded size, and each pair of blocks is one group: a block of queries
-    is sent to each block of rows. A group returns k rows a query, and these are merged by rank.
+    is sent to each block of rows. So a row is copied once for each `block_queries` queries, and a query once for each `block_rows`
+    rows; equal sides copy least. A group returns k rows a query, and these are merged by rank.
     Returns query_id, rank, vec_id, score; fewer than k if there are fewer rows; ties go to the smaller vec_id.
-    Rows with the query's own id are left out. Repeated rows: each counts as a candidate; a repeated query asks once.
-    Shorter vectors count as filled with zeros. Empty table: no rows.
+    Rows with the query's own id are left out. Repeated rows: each counts as a candidate; a repeated query asks once. Equal rows are
+    counted before they are dealt, and k of them at most go on, as no more can be among the k best: however often a row is repeated,
+    no block grows by it. Null ids, null vectors and those with a null component take no part. Shorter vectors count as filled with zeros; a
+    vector's length has no bound but that a block of them fits a task. Empty table: no rows.
     """
+    vectors = vectors.where(F.col("vec_id").isNotNull() & F.forall("terms", lambda c: c.isNotNull()))
     asked = vectors.where(is_query).dropDuplicates(["vec_id"])
+    copies = F.posexplode(F.array_repeat(F.lit(0), F.least(F.col("_n"), F.lit(k)).cast("int"))).alias("_copy", "_")
+    some = vectors.groupBy("vec_id", "terms").agg(F.count("*").alias("_n")).select("vec_id", "terms", copies).drop("_")
     n, m = vectors.count(), asked.count()
     blocks, sets = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    deal = lambda count: F.pmod(F.xxhash64("vec_id", "terms"), F.lit(count)).cast("int")
-    rows = vectors.withColumn("_block", deal(blocks)).withColumn("_set", every(sets))
+    deal = lambda count, *by: F.pmod(F.xxhash64("vec_id", "terms", *by), F.lit(count)).cast("int")
+    rows = some.withColumn("_block", deal(blocks, "_copy")).withColumn("_set", every(sets)).drop("_copy")
     queries = asked.withColumn("_set", deal(sets)).withColumn("_block", every(blocks))
     found = (
         queries.groupBy("_set", "_block")

@@ -27,6 +27,16 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(topk.quantised(table.where("false")), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_a_vector_repeated_very_often(spark):
+    hot = spark.range(40_000).selectExpr("7L AS vec_id", "array(3L, 4L) AS terms")
+    table = hot.union(spark.createDataFrame([(50, [1, 1]), (50, [1, 1]), (8, [3, 4]), (9, [9, 9]), (1, []), (2, None), (3, [9, None]), (None, [99, 99])], "vec_id long, terms array<long>"))
+    got = topk.top_k(table, F.col("vec_id") % 50 == 0, block_rows=1000)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [(50, 1, 9, 18), *((50, n, 7, 7) for n in range(2, 6))]
+    sizes = table.groupBy("vec_id", "terms").count()
+    assert sizes.count() == 8 and max(r["n"] for r in got.groupBy("query_id", "vec_id").agg(F.count("*").alias("n")).collect()) == 4
+    assert topk.top_k(table, F.col("vec_id") == 7, k=2).count() == 2  # a repeated query asks once
+
+
 def test_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(topk.quantised(table), F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
