@@ -2,6 +2,8 @@
 
 import time
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from test_streaming import HOME, drained, fed
 
@@ -10,6 +12,16 @@ from sievemill.sources.tables import snapshots, validations
 from sievemill.streaming import jobs, stateful
 
 
+@pytest.fixture(autouse=True)
+def store(spark):
+    """The state store that typed state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, stateful.STORE)
+    yield
+    spark.conf.set(name, before)
+
+
 def in_two(spark, table, path, by="ts"):
     """A stream of two batches, the second after the first in time."""
     middle = table.agg(F.percentile_approx(F.unix_micros(F.col(by).cast("timestamp")), 0.5)).first()[0]
@@ -26,7 +38,28 @@ def test_arrivals(spark, tmp_path):
     want = {r["event_id"]: (r["resolved"], r["new"], r["stayed"]) for r in batch.delta(table).collect()}
     assert {r["event_id"]: (r["resolved"], r["new"], r["stayed"]) for r in got} == want
     assert {r["event_id"] for r in got if r["regression"]} == {r["event_id"] for r in batch.security_regression(table).collect()}
-    assert max(r["running"] for r in got) >= 2
+    assert max(n for r in got for n in r["running"].values()) >= 2
+
+
+def test_arrivals_over_restarts(spark, tmp_path):
+    """Each third is a run of its own that goes on from the checkpoint; at the end the kept rules' runs are those of all validations at once."""
+    table = validations(spark, HOME)
+    placed = table.withColumn("third", F.ntile(3).over(Window.orderBy("ts", "event_id")))
+    for third in (1, 2, 3):
+        placed.where(F.col("third") == third).drop("third").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = drained(stateful.arrivals(jobs.stream(spark, f"{tmp_path}/in", table)), str(tmp_path))
+    got = {r["event_id"]: r for r in got.collect()}
+    assert {e: (r["resolved"], r["new"], r["stayed"]) for e, r in got.items()} == {r["event_id"]: (r["resolved"], r["new"], r["stayed"]) for r in batch.delta(table).collect()}
+    last = {(r["session_id"], r["file_path"]): r["event_id"] for r in batch.latest(table).collect()}
+    want = {(e, r["rule"]): r["running"] for r in batch.persistence(table).collect() if r["running"] > 1 for e in [last[r["session_id"], r["file_path"]]]}
+    assert want == {(e, rule): n for e in last.values() if e in got for rule, n in got[e]["running"].items()}
+
+
+def test_forgotten_files_begin_anew(spark, tmp_path):
+    rows = [(1, "s", "f", 0, ["A"], False), (2, "s", "f", 5, ["A"], True), (3, "s", "f", 500, ["A"], True), (4, "s", "f", 505, [], False)]
+    table = spark.createDataFrame(rows, "event_id long, session_id string, file_path string, s int, rules array<string>, has_security boolean").withColumn("ts", F.timestamp_seconds(F.col("s") + 10_000)).drop("s")
+    got = drained(stateful.arrivals(in_two(spark, table, f"{tmp_path}/in"), "0 seconds", 100), str(tmp_path)).collect()
+    assert {(r["event_id"], r["resolved"], tuple(r["running"].items()), r["regression"]) for r in got} == {(2, "", (("A", 2),), True), (4, "A", (), False)}
 
 
 def test_claims(spark, tmp_path):
