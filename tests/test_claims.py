@@ -1,7 +1,10 @@
 """Claims on one path against brute force."""
 
+from collections import Counter
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from sievemill.operators import sessions
 
 START = datetime(2024, 1, 1)
@@ -14,3 +17,20 @@ def test_claims_meet_by_path_and_hour(spark):
             if a[2] == b[2] and a[1] != b[1] and b[4] <= a[4] < b[5] and "write" in (a[3], b[3])]
     assert sorted(tuple(r) for r in found.collect()) == sorted(want) and want
     assert "_hour" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_path_with_open_claims_is_dealt_to_many_tasks(spark):
+    rows = [(i, f"s{i % 7}", "f", ("write", "read", None)[i % 3], START + timedelta(minutes=i), START + timedelta(minutes=i + 50) if i % 4 == 0 else None) for i in range(300)]
+    claims = spark.createDataFrame(rows, "event_id long, session_id string, file_path string, kind string, ts timestamp, released timestamp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shared = sessions.claim_conflicts(claims)
+        found = sessions.claim_conflicts(claims, cell=20, task_pairs=1000).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(a[0], b[0], "warning" if b[3] == "write" else "info") for a in rows for b in rows
+            if a[1] != b[1] and b[4] <= a[4] and (b[5] is None or b[5] > a[4]) and "write" in (a[3], b[3])]
+    assert sorted(tuple(r)[:3] for r in found) == sorted(want) == sorted(tuple(r) for r in shared.collect())
+    tasks = Counter(r["task"] for r in found)
+    assert max(tasks.values()) < len(want) / 8 and len(tasks) > 20
