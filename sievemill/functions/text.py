@@ -100,7 +100,7 @@ def masked(code: Column, lang: Column) -> Column:
     """The code with each character of its string literals and comments made a space, but line ends kept: places and lines stay."""
     found = lexer(lang, lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(0)))
     parts = lexer(lang, lambda p: F.split(code, p, -1))
-    return F.concat_ws("", F.zip_with(parts, found, lambda p, m: F.concat(p, F.regexp_replace(F.coalesce(m, F.lit("")), "[^\\n]", " "))))
+    return F.concat_ws("", F.zip_with(parts, found, lambda p, m: F.concat(p, F.array_join(F.transform(F.split(F.coalesce(m, F.lit("")), "\n"), lambda x: F.repeat(F.lit(" "), F.length(x))), "\n"))))
 
 
 def in_skip(at: Column, spans: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..places import dealt
 
 SCRIPTS = ("typescript", "javascript")
 # What stands before the brackets of functions, conditional blocks and hooks, and after parameters.
@@ -27,29 +28,43 @@ def by_file(*more: str) -> Window:
     return Window.partitionBy("file_id", *more).orderBy("seq")
 
 
+def _said(whole: Column, ch: Column) -> Column:
+    """What the text between two brackets says, so that the text itself need not be dealt, sorted and handed on: names of functions, and how many lines above the bracket each stands, a hook's
+    call, what it ends with, and what it begins with. Behind the last bracket only the beginning matters."""
+    gap = F.when(ch == "", "").otherwise(whole)
+    name = lambda pattern: F.regexp_extract(gap, pattern, 1)
+    above = lambda pattern: text.newlines(F.ltrim(F.regexp_extract(gap, pattern, 0), F.lit("\n")))
+    return F.struct(
+        name(DECLARED).alias("declared"), above(DECLARED).alias("declared_above"), name(ARROW).alias("arrow"), above(ARROW).alias("arrow_above"), name(BARE_ARROW).alias("bare"), above(BARE_ARROW).alias("bare_above"),
+        name(HOOK).alias("hook"), text.newlines(F.regexp_extract(gap, HOOK, 0)).alias("hook_above"), gap.rlike(ARROW_BODY).alias("arrow_body"), gap.rlike(CONDITION).alias("condition"), gap.rlike(ELSE).alias("otherwise"),
+        (F.trim(gap, F.lit(" \t\n\r")) == "").alias("blank"), whole.rlike(TYPED).alias("typed"), whole.rlike(TYPE_LITERAL).alias("type_literal"), text.newlines(whole).alias("breaks"),
+    )
+
+
 def events(files: DataFrame) -> DataFrame:
-    """The brackets of each script: file_id, lang, react, seq, ch, gap (the text between the bracket before and this one), line, kind, level. Brackets of a pair have
-    one kind and level. What follows the last bracket is the gap of an event without one."""
+    """The brackets of each script: file_id, lang, react, seq, ch, gap (what the text between the bracket before and this one says; see _said), line, kind, level. Brackets of a pair have
+    one kind and level. What follows the last bracket is the gap of an event without one. Texts stay in the task that read them."""
     code = F.concat(text.masked(F.col("code"), F.col("lang")), F.lit("("))
     scripts = files.where(F.col("lang").isin(*SCRIPTS) & F.col("code").isNotNull())
     cut = lambda f: F.transform(f["parts"], lambda p, i: F.struct(i.alias("seq"), p.alias("part"), F.size(f["parts"]).alias("n"), f["react"].alias("react")))
     parts = F.struct(F.col("code").rlike(REACT).alias("react"), F.regexp_extract_all(code, F.lit(r"[^{}()]*+[{}()]"), F.lit(0)).alias("parts"))
     each = scripts.select("file_id", "lang", F.explode(text.bound(parts, cut)).alias("p")).select("file_id", "lang", "p.*")
     ch = F.when(F.col("seq") == F.col("n") - 1, "").otherwise(F.substring("part", F.length("part"), F.lit(1)))
-    each = each.select("file_id", "lang", "react", "seq", ch.alias("ch"), F.substring("part", F.lit(1), F.length("part") - 1).alias("gap"))
+    gap = F.substring("part", F.lit(1), F.length("part") - 1)
+    each = dealt(each.select("file_id", "lang", "react", "seq", ch.alias("ch"), text.bound(gap, lambda g: _said(g, ch)).alias("gap")), scripts)
     kind = F.when(F.col("ch").isin("{", "}"), "{").when(F.col("ch").isin("(", ")"), "(")
     step = F.when(F.col("ch").isin("{", "("), 1).when(F.col("ch").isin("}", ")"), -1).otherwise(0)
     so_far = by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumn("kind", kind).withColumn("line", (F.sum(text.newlines(F.col("gap"))).over(so_far) + 1).cast("int"))
+    each = each.withColumn("kind", kind).withColumn("line", (F.sum("gap.breaks").over(so_far) + 1).cast("int"))
     depth = F.when(kind == "{", F.sum(F.when(kind == "{", step).otherwise(0)).over(so_far)).otherwise(F.sum(F.when(kind == "(", step).otherwise(0)).over(so_far))
     return each.withColumn("level", F.when(F.col("kind").isNotNull(), depth + F.when(step < 0, 1).otherwise(0)).cast("int"))
 
 
 def paired(found: DataFrame) -> DataFrame:
-    """events with `next` (ch, gap and seq of the event after), for openers `close` (seq, line and next of their closer), for closers `head` and `head_line` (their opener's gap and line)."""
+    """events with `next` (ch of the event after, and what its gap begins with), for openers `close` (line and next of their closer), for closers `head` and `head_line` (their opener's gap and line)."""
     pair, opens = by_file("kind", "level"), F.col("ch").isin("{", "(")
-    ahead = found.withColumn("next", F.lead(F.struct("ch", "gap", "seq")).over(by_file()))
-    return ahead.withColumn("close", F.when(opens, F.lead(F.struct("seq", "line", "next")).over(pair))).withColumn("head", F.when(~opens, F.lag("gap").over(pair))).withColumn("head_line", F.when(~opens, F.lag("line").over(pair)))
+    ahead = found.withColumn("next", F.lead(F.struct("ch", "gap.typed", "gap.type_literal")).over(by_file()))
+    return ahead.withColumn("close", F.when(opens, F.lead(F.struct("line", "next")).over(pair))).withColumn("head", F.when(~opens, F.lag("gap").over(pair))).withColumn("head_line", F.when(~opens, F.lag("line").over(pair)))
 
 
 def told(files: DataFrame) -> DataFrame:
@@ -59,34 +74,33 @@ def told(files: DataFrame) -> DataFrame:
     A block belongs to what its opener follows: the parameters of a declaration or of an arrow function with a name, or a return type that is one literal behind these. Braces in the types
     of parameters, and such return types, are no blocks."""
     each = paired(events(files))
-    each = each.withColumn("before", F.lag(F.struct("ch", "head", "head_line", "gap")).over(by_file()))
+    each = each.withColumn("before", F.lag(F.struct("ch", "head", "head_line")).over(by_file()))
     pair = by_file("kind", "level")
     # what a closer hands on: the text and line before the brackets of parameters, also past a return type in braces
-    literal = (F.col("ch") == "{") & (F.col("before.ch") == ")") & F.col("gap").rlike(TYPE_LITERAL)
+    literal = (F.col("ch") == "{") & (F.col("before.ch") == ")") & F.col("gap.type_literal")
     passed = F.lag(F.when(literal, F.struct(F.col("before.head").alias("head"), F.col("before.head_line").alias("head_line")))).over(pair)
     each = each.withColumn("literal", F.coalesce(literal, F.lit(False))).withColumn("passed", F.when(F.col("ch") == "}", passed))
     each = each.withColumn("params", F.when(F.col("ch") == ")", F.struct("head", "head_line")).otherwise(F.col("passed"))).withColumn("prior", F.lag("params").over(by_file()))
-    head, gap = F.coalesce("prior.head", F.lit("")), F.col("gap")
-    declared, arrow, bare = F.regexp_extract(head, DECLARED, 1), F.when(gap.rlike(ARROW_BODY), F.regexp_extract(head, ARROW, 1)).otherwise(""), F.regexp_extract(gap, BARE_ARROW, 1)
+    named = lambda head: F.coalesce(F.col(head), F.lit(""))
+    declared, arrow, bare = named("prior.head.declared"), F.when(F.col("gap.arrow_body"), named("prior.head.arrow")).otherwise(""), F.col("gap.bare")
     opens = (F.col("ch") == "{") & ~F.col("literal")
-    typed = gap.rlike(TYPED) | (F.col("before.ch") == "}")
+    typed = F.col("gap.typed") | (F.col("before.ch") == "}")
 
-    def function(name: Column, declared: bool, text_: Column, pattern: str, line: Column, typed: Column) -> Column:
-        at = line - text.newlines(F.ltrim(F.regexp_extract(text_, pattern, 0), F.lit("\n")))
+    def function(name: Column, declared: bool, above: str, line: Column, typed: Column) -> Column:
+        at = line - F.coalesce(F.col(above), F.lit(0))
         return F.struct(name.alias("name"), F.lit(declared).alias("declared"), at.cast("int").alias("line"), F.coalesce(typed, F.lit(False)).alias("typed"))
 
-    own = F.regexp_extract(F.coalesce("params.head", F.lit("")), DECLARED, 1)
+    own = named("params.head.declared")
     follows = F.col("next.ch") == "{"
     past = F.lead(F.when(F.col("literal"), F.col("close.next.ch"))).over(by_file())
     each = each.withColumn("past", past)
-    without = (F.col("ch") == ")") & (own != "") & ~F.coalesce(follows & (~F.col("next.gap").rlike(TYPE_LITERAL) | (F.col("past") == "{")), F.lit(False))
+    without = (F.col("ch") == ")") & (own != "") & ~F.coalesce(follows & (~F.col("next.type_literal") | (F.col("past") == "{")), F.lit(False))
     found = (
-        F.when(opens & (declared != ""), function(declared, True, head, DECLARED, F.col("prior.head_line"), typed)).when(opens & (arrow != ""), function(arrow, False, head, ARROW, F.col("prior.head_line"), typed))
-        .when(opens & (bare != ""), function(bare, False, gap, BARE_ARROW, F.col("line"), F.lit(False))).when(without, function(own, True, F.col("params.head"), DECLARED, F.col("params.head_line"), F.col("next.gap").rlike(TYPED)))
+        F.when(opens & (declared != ""), function(declared, True, "prior.head.declared_above", F.col("prior.head_line"), typed)).when(opens & (arrow != ""), function(arrow, False, "prior.head.arrow_above", F.col("prior.head_line"), typed))
+        .when(opens & (bare != ""), function(bare, False, "gap.bare_above", F.col("line"), F.lit(False))).when(without, function(own, True, "params.head.declared_above", F.col("params.head_line"), F.col("next.typed")))
     )
-    blank = F.trim(gap, F.lit(" \t\n\r")) == ""
-    asked = F.coalesce((F.col("before.ch") == ")") & F.col("before.head").rlike(CONDITION), F.lit(False))
-    conditional = (F.col("ch") == "{") & (gap.rlike(ELSE) | blank & asked)
+    asked = F.coalesce((F.col("before.ch") == ")") & F.col("before.head.condition"), F.lit(False))
+    conditional = (F.col("ch") == "{") & (F.col("gap.otherwise") | F.col("gap.blank") & asked)
     each = each.withColumn("function", found).withColumn("asked", asked)
     each = each.withColumn("opens", F.struct(conditional.cast("int").alias("condition"), ((F.col("ch") == "{") & F.col("function").isNotNull()).cast("int").alias("function")))
     each = each.withColumn("opener", F.when(F.col("ch") == "}", F.lag("opens").over(pair)))
@@ -102,14 +116,14 @@ def measured(each: DataFrame) -> DataFrame:
     block = (F.col("ch") == "{") & F.col("function").isNotNull()
     each = each.withColumn("levels", F.collect_set(F.when(block, F.col("level"))).over(Window.partitionBy("file_id")))
     rules = F.array_compact(F.array(F.when((F.col("conditions") > 0) | F.col("asked"), "REACT001"), F.when(F.col("functions") > 1, "REACT002")))
-    hook = F.regexp_extract("gap", HOOK, 1)
+    hook = F.col("gap.hook")
     is_hook = (F.col("ch") == "(") & F.col("react") & (hook != "") & (F.size(rules) > 0)
     alone = (F.col("ch") == ")") & F.col("function").isNotNull()
     none = F.array().cast("array<int>")
     at = F.when(F.col("ch") == "{", F.filter("levels", lambda x: x <= F.col("level"))).when(is_hook | alone, F.array(F.lit(None).cast("int"))).otherwise(none)
     rows = each.select(
         "file_id", "lang", "seq", "level", "line", "ch", "function", "last", F.col("close.line").alias("closed"), F.when(is_hook, rules).alias("rules"), F.when(is_hook, hook).alias("hook"),
-        F.when(is_hook, F.col("line") - text.newlines(F.regexp_extract("gap", HOOK, 0))).cast("int").alias("hook_line"), F.explode(at).alias("at"),
+        F.when(is_hook, F.col("line") - F.col("gap.hook_above")).cast("int").alias("hook_line"), F.explode(at).alias("at"),
     )
     own = F.col("at").isNull() | (F.col("level") == F.col("at"))
     so_far = Window.partitionBy("file_id", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -54,3 +54,15 @@ def position(df: DataFrame, order: list[str], name: str, group: str | None = Non
     before = Window.partitionBy(*([group] if group else [])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     return ordered.join(counts, keys).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
+#: Characters of text that rows of one task come from, on average.
+TASK_CHARS = 1 << 23
+
+
+def dealt(rows: DataFrame, files: DataFrame, key: str = "file_id", chars: int = TASK_CHARS) -> DataFrame:
+    """Rows made of files (code), dealt by key to as many tasks as the files' characters ask for, so that a task's memory stays as it is however many files there are.
+    Partitions that are asked for by number aren't merged by their size, which is that of compressed rows."""
+    spark = rows.sparkSession
+    n = files.agg(F.sum(F.length("code").cast("long"))).first()[0] or 0
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-n // chars)), key)

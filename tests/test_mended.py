@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievemill.operators import architecture, brackets, entities, ingest, joins, planning, prompts, quality, sessions
 from sievemill.plans.prompts import SECURITY
@@ -118,3 +119,12 @@ def test_gate_and_reports(spark):
     assert {(r["project"], r["files"], r["lang"]) for r in quality.project_report(scores).collect()} == {("p", 2, "go"), ("q", 1, "go"), ("r", 1, "go"), (None, 1, "go")}
     broken = spark.createDataFrame([(1, "B"), (2, "A"), (2, "B"), (3, "C")], "file_id long, rule_id string")
     assert {(r["project"], r["top_rules"]) for r in quality.convention_scan(scores, scores, broken, k=1).collect()} >= {("p", "B"), ("q", "C"), ("r", None)}
+
+
+def test_brackets_deal_no_texts(spark):
+    """A file's text stays where it is read: what is shuffled of a file doesn't grow with its comments."""
+    files = scripts(spark, "// " + "a long comment " * 2000 + "\nfunction f(a) { return g(a); }\n// " + "b\n// " * 2000, "const h = (a) => {\n};")
+    found = brackets.told(files).withColumn("size", F.length(F.to_json(F.struct("*"))))
+    assert found.agg(F.max("size")).first()[0] < 4000
+    assert {(r["name"], r["line"], r["length"]) for r in brackets.functions(files).collect()} == {("f", 2, 1), ("h", 1, 2)}
+    assert "Exchange hashpartitioning(file_id" in (plan := brackets.functions(files)._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
