@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.catalogue import RULES, TEST_FREE, Rule
 from ..functions.text import bound
+from ..places import dealt
 from . import brackets, lines, scan
 from . import checks as k
 
@@ -38,7 +39,7 @@ def replaced_rules(rules: Iterable[Rule] = RULES) -> list[Rule]:
 
 def _find(rule: Rule) -> Column:
     code = F.col("code")
-    applies = code.rlike(rule.regex)
+    applies = text.has(code, rule.regex, F.col("_lower"))
     if rule.lang:
         applies = (F.col("lang") == rule.lang) & applies
     if rule.slug in TEST_FREE:
@@ -149,7 +150,7 @@ def _script_checks(rows: Column) -> list[Column]:
 def file_findings(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """file_id, rule_id, line of the rules, of the checks by pattern, and of what functions, classes and imports of a file tell. Nothing is shuffled."""
     rows = F.split("code", "\n")
-    table = files.where(F.trim("code") != "").select("file_id", "lang", "code", scan.is_test(F.col("code")).alias("test"))
+    table = files.where(F.trim("code") != "").select("file_id", "lang", "code", F.lower("code").alias("_lower"), scan.is_test(F.col("code")).alias("test"))
     hits = [_pattern_hit(r.id, [r]) for r in rules] + [_pattern_hit(i, group) for i, group in ONCE_A_LINE.items()]
     functions = lambda r: F.when(F.col("lang") == "python", lines.function_list(r)).otherwise(F.array().cast("array<struct<name:string,start:int,stop:int,body:string,depth:int>>"))
     own = lambda r: bound(functions(r), lambda f: F.array(*_python_checks(r, f), *_script_checks(r), _at("AI004", lines.repeated_blocks(r))))
@@ -170,7 +171,7 @@ def line_findings(files: DataFrame) -> DataFrame:
     each = lines.flagged_lines(files.where(F.trim("code") != ""), react=code.rlike(brackets.REACT), fastapi=code.rlike("from fastapi|import fastapi"), test=scan.is_test(code))
     indent = F.length("text") - F.length(F.ltrim("text"))
     t = each.select("file_id", "lang", "react", "fastapi", "test", "line", "text", indent.alias("indent"), (F.trim("text") == "").alias("blank"), F.when(F.ltrim("text").rlike("^(?:#|//)"), "").otherwise(F.col("text")).alias("c"))
-    t = t.repartition("file_id").withColumn("real", F.trim("c") != "")
+    t = dealt(t, files.where(F.trim("code") != "")).withColumn("real", F.trim("c") != "")
     w, whole = k.of_file(), Window.partitionBy("file_id")
     before, since = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = Window.partitionBy("file_id", "real").orderBy("line")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest, quality, scan
+from ..places import cut
 from ..sources import reports as made
 from ..sources.corpus import FILES_SQL, files, files_sql
 from ..sources.samples import FIX_SAMPLES
@@ -165,7 +166,7 @@ add(
 
 def _json(spark, sf_dir):
     f = files(spark, sf_dir)
-    v = scan.rule_scan(f)
+    v = cut(scan.rule_scan(f))
     read = F.from_json("json", "struct<path:string,score:double,passed:boolean,violations:array<struct<line:int,rule_id:string>>>")
     out = ingest.json_results(quality.file_scores(f, v), v).select("file_id", read.alias("j"))
     return out.select("file_id", "j.path", "j.score", "j.passed", F.size("j.violations").alias("n"), F.array_join(F.transform("j.violations", lambda x: F.concat_ws(":", x["line"].cast("string"), x["rule_id"])), ",").alias("violations"))

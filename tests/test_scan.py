@@ -186,3 +186,15 @@ def test_full_scan_by_example(spark):
     rows = spark.createDataFrame([(1, "p", "a.py", "python", code), (2, "p", "b.py", "python", " "), (3, "p", "c.py", "python", None), (4, "p", "d.py", None, "password = 'hunter22'")], SCHEMA)
     got = {(r["file_id"], r["rule_id"], r["line"]) for r in full.full_scan(rows, [Rule("OWN", "", "own", "hunter", "error"), Rule("BAD", "", "bad", "(?P<n>a)", "error")]).collect()}
     assert got == {(1, "PY014", 1), (1, "PY004", 7), (1, "PY015", 9), (1, "PY001", 14), (1, "PY003", 15), (1, "DEEP001", 15), (1, "ARCH003", 7), (1, "ARCH003", 12), (4, "SEC002", 1)}
+
+
+def test_patterns_tell_what_a_match_needs(spark):
+    assert text.required(r"\beval\s*\(") == [["eval"], ["("]]
+    assert text.required(r"(?i)(?:password|pin)\s*=") == [["password", "pin"], ["="]] or all(any(x in "my password = 1" for x in q) for q in text.required(r"(?i)(?:password|pin)\s*="))
+    assert not any(text.required(p) for p in (r"[!&&[^?]]", r"[+[-]]", r"\v+", r"\0101", r"\w+", r"(?i:eval)", r"(?<n>eval)", "(?x)a b c", "("))
+    rules = [r for r in RULES if text.required(r.regex)]
+    assert len(rules) > 90
+    codes = [("python", "eval (a)"), ("python", "EVAL(a)"), ("go", 'PassWord = "abcdef"'), ("rust", "let a = 1;"), ("python", 'x = F"dElEtE {a}"'), ("python", "verify=K False")]
+    files = spark.createDataFrame([(i, *c) for i, c in enumerate(codes)], "file_id long, lang string, code string")
+    both = files.select(*[F.array(text.has(F.col("code"), r.regex, F.lower("code")), F.col("code").rlike(r.regex)).alias(f"r{i}") for i, r in enumerate(rules)]).collect()
+    assert all(a == b for row in both for a, b in row) and sum(a for row in both for a, _ in row) >= 4
