@@ -70,6 +70,15 @@ _INSIDE = _once(_after("acc.place", "x.p"), "start", f"named_struct('place', {_a
 _RUNS = f"flatten(zip_with(blocks, {_STARTS}, (b, s) -> aggregate(b.block, named_struct('place', s, 'out', cast(array() AS {_PLACED})), (acc, x) -> {_INSIDE}, acc -> acc.out)))"
 _WHOLE = f"both -> if(size(both.found) > 0, {_once(_PAIRS, 'pairs', _once(_BLOCKS, 'blocks', _RUNS))}, cast(array() AS {_PLACED}))"
 
+# the same with lengths alone, for what needs neither lines nor texts
+_LENGTHS = "zip_with(slice(both.parts, 1, size(both.found)), both.found, (p, m) -> named_struct('p', length(p), 'm', length(m)))"
+_SUMMED = f"transform(transform(sequence(0, size(pairs) - 1, {BLOCK}), b -> transform(sequence(b, least(b + {BLOCK}, size(pairs)) - 1), i -> get(pairs, i))), block -> named_struct('block', block, 'total', aggregate(block, 0, (acc, x) -> acc + x.p + x.m)))"
+_FROM = "aggregate(blocks, named_struct('at', 0, 'out', cast(array() AS array<int>)), (acc, b) -> named_struct('at', acc.at + b.total, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
+_SPANNED = "array<struct<start:int,end:int>>"
+_SPAN = "named_struct('at', acc.at + x.p + x.m, 'out', concat(acc.out, array(named_struct('start', acc.at + x.p, 'end', acc.at + x.p + x.m))))"
+_SPANS = f"flatten(zip_with(blocks, {_FROM}, (b, s) -> aggregate(b.block, named_struct('at', s, 'out', cast(array() AS {_SPANNED})), (acc, x) -> {_SPAN}, acc -> acc.out)))"
+_BORDERS = f"both -> if(size(both.found) > 0, {_once(_LENGTHS, 'pairs', _once(_SUMMED, 'blocks', _SPANS))}, cast(array() AS {_SPANNED}))"
+
 
 def placed(parts: Column, found: Column) -> Column:
     """start, end (code points from 0), line and col (from 1) and text of each match, by the extents of the matches and of what is between: array of structs.
@@ -95,9 +104,10 @@ def find_all(text: Column, pattern: str) -> Column:
 
 
 def skip_spans(code: Column, lang: Column) -> Column:
-    """(start, end) of the string literals and comments of the code, in order."""
+    """(start, end) of the string literals and comments of the code, in order: by lengths alone, as placed() takes several times as long."""
     found = lexer(lang, lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(0)))
-    return _borders(placed(lexer(lang, lambda p: F.split(code, p, -1)), found))
+    both = F.array(F.struct(lexer(lang, lambda p: F.split(code, p, -1)).alias("parts"), found.alias("found")))
+    return F.coalesce(F.get(F.call_function("transform", both, F.expr(_BORDERS)), F.lit(0)), F.array().cast(_SPANNED))
 
 
 def masked(code: Column, lang: Column) -> Column:
@@ -128,8 +138,8 @@ _OTHERWISE = r"\\[0v]|\\b\{|&&|\(\?[a-z]*x|\[[^\]]*\["
 
 
 def required(pattern: str) -> list[list[str]]:
-    """Lists of literals, of each of which every match of a pattern has one: what is written out, in lower case where case doesn't count. Most telling first; single characters only if they
-    are neither letters nor digits. None where the pattern doesn't tell."""
+    """Lists of literals, of each of which every match of a pattern has one: what is written out, in lower case where case doesn't count. Single characters only if they
+    are neither letters nor digits; the fewest to look for come first, then the longest. None where the pattern doesn't tell."""
     if re.search(_OTHERWISE, pattern):
         return []
     try:
@@ -139,7 +149,7 @@ def required(pattern: str) -> list[list[str]]:
     fold = bool(tree.state.flags & re.IGNORECASE)
     found = [[x.lower() for x in said] if fold else said for said in _required(tree)]
     found = [x for i, x in enumerate(found) if x not in found[:i] and not (fold and any(not y.isascii() for y in x))]
-    return sorted(found, key=lambda x: (-min(map(len, x)), len(x)))
+    return sorted(found, key=lambda x: (len(x), -min(map(len, x))))
 
 
 def _required(tree) -> list[list[str]]:
@@ -163,14 +173,20 @@ def _required(tree) -> list[list[str]]:
     return [x for x in found if x and len(x) <= 12 and all(len(y) > 1 or y and not y.isalnum() and y.isascii() for y in x)]
 
 
+def _needs(text: Column, pattern: str, lower: Column | None = None) -> list[Column]:
+    """For each thing that every match of the pattern needs, whether text has it. Empty where nothing is told, or case doesn't count and the text in lower case isn't given."""
+    fold = pattern.startswith("(?i)")
+    if fold and lower is None:
+        return []
+    one = lambda literals: reduce(lambda a, b: a | b, (F.contains(lower if fold else text, F.lit(x)) for x in literals))
+    return [one(x) for x in required(pattern)]
+
+
 def may_match(text: Column, pattern: str, lower: Column | None = None) -> Column | None:
     """Whether text has what every match of the pattern needs: a search for literals, which takes a small part of the pattern's time. None where nothing is told, or case doesn't count and
     the text in lower case isn't given."""
-    fold = pattern.startswith("(?i)")
-    if fold and lower is None or not (needed := required(pattern)):
-        return None
-    one = lambda literals: reduce(lambda a, b: a | b, (F.contains(lower if fold else text, F.lit(x)) for x in literals))
-    return reduce(lambda a, b: a & b, map(one, needed))
+    needs = _needs(text, pattern, lower)
+    return reduce(lambda a, b: a & b, needs) if needs else None
 
 
 def has(text: Column, pattern: str, lower: Column | None = None) -> Column:
@@ -178,6 +194,17 @@ def has(text: Column, pattern: str, lower: Column | None = None) -> Column:
     return text.rlike(pattern) if (may := may_match(text, pattern, lower)) is None else may & text.rlike(pattern)
 
 
+def when_all(conditions: list[Column], value: Column) -> Column:
+    """value where all conditions hold, else null, asked one after another. What several conditions that are joined by `and` have in common Spark works out for every row; what stands in a
+    branch it works out where the branch is reached."""
+    return reduce(lambda inner, condition: F.when(condition, inner), reversed(conditions), value)
+
+
+def has_steps(text: Column, pattern: str, lower: Column | None = None) -> list[Column]:
+    """The conditions of has(), for when_all()."""
+    return [*_needs(text, pattern, lower), text.rlike(pattern)]
+
+
 def count(text: Column, pattern: str) -> Column:
     n = F.regexp_count(text, F.lit(pattern))
     return n if (may := may_match(text, pattern)) is None else F.when(~may, 0).otherwise(n)

@@ -39,12 +39,7 @@ def replaced_rules(rules: Iterable[Rule] = RULES) -> list[Rule]:
 
 def _find(rule: Rule) -> Column:
     code = F.col("code")
-    applies = text.has(code, rule.regex, F.col("_lower"))
-    if rule.lang:
-        applies = (F.col("lang") == rule.lang) & applies
-    if rule.slug in TEST_FREE:
-        applies = applies & ~F.col("test")
-    return F.when(applies, F.struct(F.regexp_extract_all(code, F.lit(rule.regex), F.lit(0)).alias("found"), F.split(code, rule.regex, -1).alias("parts"), F.lit(rule.unless).alias("unless")))
+    return text.when_all(scan.conditions(rule, F.col("test")), F.struct(F.regexp_extract_all(code, F.lit(rule.regex), F.lit(0)).alias("found"), F.split(code, rule.regex, -1).alias("parts"), F.lit(rule.unless).alias("unless")))
 
 
 def _pattern_hit(rule_id: str, rules: list[Rule]) -> Column:

@@ -8,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievemill.functions import text
-from sievemill.functions.catalogue import RULES, Rule
+from sievemill.functions.catalogue import RULES, TEST_FREE, TEST_SIGNS, Rule
 from sievemill.operators import quality, scan
+from sievemill.sources.corpus import SNIPPETS
 
 SCHEMA = "file_id long, project string, path string, lang string, code string"
 
@@ -198,3 +199,23 @@ def test_patterns_tell_what_a_match_needs(spark):
     files = spark.createDataFrame([(i, *c) for i, c in enumerate(codes)], "file_id long, lang string, code string")
     both = files.select(*[F.array(text.has(F.col("code"), r.regex, F.lower("code")), F.col("code").rlike(r.regex)).alias(f"r{i}") for i, r in enumerate(rules)]).collect()
     assert all(a == b for row in both for a, b in row) and sum(a for row in both for a, _ in row) >= 4
+
+
+def test_only_places_leave_the_scan(spark):
+    files = spark.createDataFrame([(i, lang, code) for i, (lang, _, code) in enumerate(SNIPPETS)] + [(90, None, "eval(1)"), (91, "python", " "), (92, "python", None), (93, "rust", "#[test]\nx.unwrap()")], "file_id long, lang string, code string")
+    found = scan.rule_scan(files)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 1  # before, texts and spans were copied for each rule that matched, and placed in a second one
+    wanted = set()
+    for r in files.where("trim(code) <> ''").collect():
+        for rule in RULES:
+            if rule.lang in ("", r["lang"]) and not (rule.slug in TEST_FREE and re.search("|".join(TEST_SIGNS), r["code"])):
+                wanted |= {(r["file_id"], rule.id, r["code"].count("\n", 0, m.start()) + 1) for m in re.finditer(rule.regex, r["code"]) if not (rule.unless and re.search(rule.unless, m.group()))}
+    got = {(r["file_id"], r["rule_id"], r["line"]) for r in found.collect()}
+    assert got <= wanted and len(got) > 40
+    spans = files.select("file_id", "code", text.skip_spans(F.col("code"), F.col("lang")).alias("s"))
+    inside = {r["file_id"]: (r["code"], r["s"]) for r in spans.collect()}
+    for i, rule_id, line in wanted - got:
+        code, skipped = inside[i]
+        rule = next(r for r in RULES if r.id == rule_id)
+        assert any(s["start"] < m.start() < s["end"] for m in re.finditer(rule.regex, code) for s in skipped), (i, rule_id, line)
