@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.catalogue import RULES, Rule
+
 
 class Patch(NamedTuple):
     """What a rule's fix replaces in its line, by what (with \\1 for the first group), and how sure it is."""
@@ -72,6 +74,12 @@ def quick_fixes(violations: DataFrame) -> DataFrame:
     return fix_plan(violations.where(F.col("rule_id").isin(*QUICK)), QUICK_SURE)
 
 
+def patched_rules(rules: Iterable[Rule] = RULES, sure: float = SURE, patches: Iterable[Patch] = tuple(PATCHES)) -> list[Rule]:
+    """The rules that apply_fixes has a patch for: it takes no notice of violations of others, which need not be looked for."""
+    ids = {p.rule_id for p in patches if p.confidence >= sure}
+    return [r for r in rules if r.id in ids]
+
+
 def apply_fixes(files: DataFrame, violations: DataFrame, sure: float = SURE, patches: Iterable[Patch] = tuple(PATCHES)) -> DataFrame:
     """file_id, code, applied of the files that violations (file_id, rule_id, line, col) have a patch for: each violation, by rule and column, makes the first patch of its rule that its line
     still has, so several may change one line, in turn; applied counts those that changed it. A second run finds nothing to do.

@@ -36,7 +36,7 @@ add(
     PLAN + " SELECT file_id, rule_id, line, col, fixed, confidence FROM plan WHERE confidence >= 0.8 AND regexp_matches(rule_id, '^(?:SEC00[1-8]|AI00[178])$')",
 )
 add(
-    "r12_apply_fixes", lambda f: fixes.apply_fixes(f, scan.rule_scan(f)).select("file_id", F.md5("code").alias("md5"), "applied"),
+    "r12_apply_fixes", lambda f: fixes.apply_fixes(f, scan.rule_scan(f, fixes.patched_rules())).select("file_id", F.md5("code").alias("md5"), "applied"),
     f""", wrong AS (SELECT file_id, line, list(rule_id ORDER BY rule_id, col) AS rules FROM violations WHERE rule_id IN ('PY003', 'PY005', 'JS001', 'JS002', 'SEC006', 'SEC007') GROUP BY ALL),
         l AS (SELECT file_id, unnest(string_split(code, chr(10))) AS t, generate_subscripts(string_split(code, chr(10)), 1) AS line FROM files WHERE file_id IN (SELECT file_id FROM wrong)),
         steps AS (SELECT l.file_id, l.line, t, [list_reduce([t] || rules[1:i], lambda acc, r: {patched_sql('r', 'acc')}) FOR i IN range(1, len(rules) + 1)] AS made FROM l LEFT JOIN wrong USING (file_id, line)),

@@ -2,7 +2,9 @@
 
 import re
 
+from sievemill.functions.catalogue import RULES
 from sievemill.operators import fixes, scan
+from sievemill.plans.fixes import QUERIES
 from sievemill.sources.samples import FIX_SAMPLES
 
 FOUND = "file_id long, rule_id string, line int, col int, snippet string"
@@ -51,3 +53,14 @@ def test_plan_by_text_or_by_patch(spark):
     assert [tuple(r) for r in fixes.quick_fixes(found).select("rule_id", "fixed").collect()] == [("SEC002", "cursor.execute(query, params)")]
     by_patch = {(r["rule_id"], r["fixed"], r["is_template"]) for r in fixes.fix_plan(found, templates={"SEC002": ("t", 1.0)}).collect()}
     assert by_patch == {("PY003", "except Exception:", False), ("SEC002", "t", True), ("JS002", "a === b", False)}
+
+
+def test_fixes_look_for_no_other_rules(spark):
+    rows = [(i, lang, code) for i, (lang, _, code) in enumerate(FIX_SAMPLES)]
+    files = spark.createDataFrame(rows, "file_id long, lang string, code string")
+    own = fixes.patched_rules()
+    assert {r.id for r in own} == {p.rule_id for p in fixes.PATCHES} and {r.id for r in fixes.patched_rules(sure=0.92)} == {p.rule_id for p in fixes.PATCHES if p.confidence >= 0.92}
+    of = lambda rules: sorted(map(tuple, fixes.apply_fixes(files, scan.rule_scan(files, rules)).collect()))
+    assert of(own) == of(RULES) != []
+    plan = QUERIES["r12_apply_fixes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "pickle" not in plan and "verify" in plan  # before, all rules were looked for
