@@ -51,7 +51,7 @@ def events(files: DataFrame) -> DataFrame:
     each = scripts.select("file_id", "lang", F.explode(text.bound(parts, cut)).alias("p")).select("file_id", "lang", "p.*")
     ch = F.when(F.col("seq") == F.col("n") - 1, "").otherwise(F.substring("part", F.length("part"), F.lit(1)))
     gap = F.substring("part", F.lit(1), F.length("part") - 1)
-    each = dealt(each.select("file_id", "lang", "react", "seq", ch.alias("ch"), text.bound(gap, lambda g: _said(g, ch)).alias("gap")), scripts)
+    each = dealt(each.select("file_id", "lang", "react", "seq", ch.alias("ch"), text.bound(gap, lambda g: _said(g, ch)).alias("gap")), scripts, F.regexp_count("code", F.lit("[{}()]")) + 1)
     kind = F.when(F.col("ch").isin("{", "}"), "{").when(F.col("ch").isin("(", ")"), "(")
     step = F.when(F.col("ch").isin("{", "("), 1).when(F.col("ch").isin("}", ")"), -1).otherwise(0)
     so_far = by_file().rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -166,7 +166,7 @@ def line_findings(files: DataFrame) -> DataFrame:
     each = lines.flagged_lines(files.where(F.trim("code") != ""), react=code.rlike(brackets.REACT), fastapi=code.rlike("from fastapi|import fastapi"), test=scan.is_test(code))
     indent = F.length("text") - F.length(F.ltrim("text"))
     t = each.select("file_id", "lang", "react", "fastapi", "test", "line", "text", indent.alias("indent"), (F.trim("text") == "").alias("blank"), F.when(F.ltrim("text").rlike("^(?:#|//)"), "").otherwise(F.col("text")).alias("c"))
-    t = dealt(t, files.where(F.trim("code") != "")).withColumn("real", F.trim("c") != "")
+    t = dealt(t, files.where(F.trim("code") != ""), text.newlines(code) + 1).withColumn("real", F.trim("c") != "")
     w, whole = k.of_file(), Window.partitionBy("file_id")
     before, since = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = Window.partitionBy("file_id", "real").orderBy("line")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -56,13 +56,13 @@ def position(df: DataFrame, order: list[str], name: str, group: str | None = Non
     return ordered.join(counts, keys).withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
-#: Characters of text that rows of one task come from, on average.
-TASK_CHARS = 1 << 23
+#: Characters of text that rows of one task come from, on average, and how many a row counts as besides its text: short rows take memory for their columns.
+TASK_CHARS, ROW_CHARS = 1 << 23, 64
 
 
-def dealt(rows: DataFrame, files: DataFrame, key: str = "file_id", chars: int = TASK_CHARS) -> DataFrame:
-    """Rows made of files (code), dealt by key to as many tasks as the files' characters ask for, so that a task's memory stays as it is however many files there are.
-    Partitions that are asked for by number aren't merged by their size, which is that of compressed rows."""
+def dealt(rows: DataFrame, files: DataFrame, made: Column, key: str = "file_id", chars: int = TASK_CHARS) -> DataFrame:
+    """Rows made of files (code), `made` of each file, dealt by key to as many tasks as the files' characters and rows ask for, so that a task's memory stays as it is however many files there
+    are and however short the rows. Partitions that are asked for by number aren't merged by their size, which is that of compressed rows."""
     spark = rows.sparkSession
-    n = files.agg(F.sum(F.length("code").cast("long"))).first()[0] or 0
+    n = files.agg(F.sum(F.length("code") + made.cast("long") * ROW_CHARS)).first()[0] or 0
     return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-n // chars)), key)

@@ -219,3 +219,15 @@ def test_only_places_leave_the_scan(spark):
         code, skipped = inside[i]
         rule = next(r for r in RULES if r.id == rule_id)
         assert any(s["start"] < m.start() < s["end"] for m in re.finditer(rule.regex, code) for s in skipped), (i, rule_id, line)
+
+
+def test_short_rows_are_dealt_by_their_number(spark):
+    from sievemill.operators import brackets
+    from sievemill.places import dealt
+
+    files = spark.range(40).select(F.col("id").alias("file_id"), F.lit("typescript").alias("lang"), F.repeat(F.lit("{}\n"), F.lit(50_000)).alias("code"))
+    chars, lines, paired = 40 * 150_000, 40 * 50_001, 40 * 100_001
+    tasks = lambda n, rows: -(-(n + 64 * rows) // (1 << 23))
+    assert dealt(files, files, text.newlines(F.col("code")) + 1).rdd.getNumPartitions() == tasks(chars, lines) == 16  # before, 4: one for each 8M characters, but as many as there are cores
+    plan = brackets.events(files)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(file_id#\d+L, {tasks(chars, paired)}\)", plan)
