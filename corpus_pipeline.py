@@ -23,8 +23,9 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     model = language.train(training_rows(docs))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    plain = docs.select(F.col("text"), F.struct(*docs.columns).alias("row"))  # the prediction's columns meet no others
-    return language.identify(plain, model).where("lang_pred <> 'und'").select("row.*")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # the prediction's columns meet no others
+    found = language.identify(plain, model, text=plain.columns[[c.lower() for c in docs.columns].index("text")]).where("lang_pred <> 'und'")
+    return found.select(*plain.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 
 WIDTH = 8192
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 64
 _alphabetic: np.ndarray | None = None
 
 
@@ -85,7 +85,9 @@ def separate(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30,
 def duel(rows: pd.DataFrame) -> pd.DataFrame:
     """The machine of one pair (level, a, b): positive for a."""
     rows = rows.sort_values("draw", kind="stable")
-    x = np.vstack([profiles(rows["text"].iloc[i : i + TEXTS_AT_ONCE].tolist())[0] for i in range(0, len(rows), TEXTS_AT_ONCE)])
+    x = np.empty((len(rows), WIDTH + 1), np.float32)
+    for i in range(0, len(rows), TEXTS_AT_ONCE):
+        x[i : i + TEXTS_AT_ONCE] = profiles(rows["text"].iloc[i : i + TEXTS_AT_ONCE].tolist())[0]
     w = separate(x, np.where(rows["is_a"], 1.0, -1.0))
     return pd.DataFrame({"level": rows["level"].iloc[:1], "a": rows["a"].iloc[:1], "b": rows["b"].iloc[:1], "w": [w.astype(np.float32)]})
 

@@ -25,6 +25,9 @@ END_ID = 1
 SLACK = 0.01
 #: New words that are tokenized as one text, and the word between them.
 AT_ONCE, BORDER = 100, "\0"
+#: Bytes of words and ids that a worker remembers. Beside it, the worker holds the library twice (some 60 MB); it keeps both while it
+#: waits for tasks, when the executor's memory is the JVM's.
+WORD_BYTES = 64_000_000
 #: Letters, digits and marks that NFC leaves alone, whose classes all versions of Unicode agree on, also in lower case.
 SIMPLE = r"[!-~\u00a1-\u012f\u0131-\u024f]+"
 
@@ -104,7 +107,7 @@ class Tokenizer:
             spec = json.load(file)
         self.by_words = splits_at_space(spec)
         self.lower = self.by_words and any(n["type"] == "Lowercase" for n in steps_of(spec, "normalizer", "normalizers"))
-        self.memo = Memo(self.learn)
+        self.memo = Memo(self.learn, WORD_BYTES)
         self.wide = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         border = self.library.encode(BORDER, add_special_tokens=False)
         suffix = spec["model"].get("end_of_word_suffix") or ""

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,17 +93,19 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Pieces of the batches of about CHUNK bytes of text, with the texts as UTF-8 (null: empty)."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str | int = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of the batches of about CHUNK bytes of text, with the texts as UTF-8 (null: empty). Texts become Python's a piece at a
+    time, and what Arrow holds beyond its batches is given back after each, as workers outlive their tasks."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
-        sizes = np.asarray(column.to_numpy(zero_copy_only=False), object)
-        total = np.cumsum([len(t) if t is not None else 0 for t in sizes])
+        column = batch.column(text).cast(pa.large_binary())
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
         start = 0
-        while start < len(sizes):
+        while start < len(total):
             stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + CHUNK, "right")))
-            yield batch.slice(start, stop - start), [t or b"" for t in sizes[start:stop]]
+            yield batch.slice(start, stop - start), [t or b"" for t in column.slice(start, stop - start).to_numpy(zero_copy_only=False)]
             start = stop
+        del batch, column
+        pa.default_memory_pool().release_unused()
 
 
 # -- ids of units -----------------------------------------------------------------------------------------

@@ -157,20 +157,19 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def cut_out(kept_text: int, kept_spans: int):
-    """Rows with the words of their spans taken out of the text."""
+    """Rows with the words of their spans taken out of the text, a piece of about CHUNK bytes at a time."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(kept_text).to_pylist(), batch.column(kept_spans).to_pylist(), strict=True):
+        for batch, whole in chunks(batches, kept_text):
+            texts = batch.column(kept_text).to_pylist()
+            for i, (raw, spans) in enumerate(zip(whole, batch.column(kept_spans).to_pylist(), strict=True)):
                 if spans:
-                    raw, out, at = text.encode(), [], 0
+                    out, at = [], 0
                     begin = [*Words([raw]).start.tolist(), len(raw)]
                     for s in sorted(spans, key=lambda s: s["start"]):
                         out.append(raw[at : begin[s["start"]]])
                         at = begin[min(s["start"] + s["words"], len(begin) - 1)]
-                    text = b"".join([*out, raw[at:]]).decode()
-                texts.append(text)
+                    texts[i] = b"".join([*out, raw[at:]]).decode()
             columns = [pa.array(texts, pa.string()) if i == kept_text else c for i, c in enumerate(batch.columns) if i != kept_spans]
             yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i != kept_spans])
 
