@@ -34,3 +34,21 @@ def test_one_path_with_open_claims_is_dealt_to_many_tasks(spark):
     assert sorted(tuple(r)[:3] for r in found) == sorted(want) == sorted(tuple(r) for r in shared.collect())
     tasks = Counter(r["task"] for r in found)
     assert max(tasks.values()) < len(want) / 8 and len(tasks) > 20
+
+
+def test_what_is_shuffled_and_written_grows_as_the_claims_do(spark, tmp_path):
+    def run(n):
+        rows = spark.range(n).selectExpr(
+            "id AS event_id", "concat('s', id) AS session_id", "'f' AS file_path", "'write' AS kind", f"timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id * {40000 / n}) AS ts", "cast(null AS timestamp) AS released"
+        )
+        written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+        before, out = written(), tmp_path / str(n)
+        sessions.claim_conflicts(rows, cell=20).write.parquet(str(out))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        shuffled = written() - before
+        found = spark.read.parquet(str(out))
+        assert found.count() == found.where("other_id < event_id and severity = 'warning'").distinct().count() == n * (n - 1) // 2
+        return shuffled, sum(f.stat().st_size for f in out.glob("*.parquet")) / (n * (n - 1) // 2)
+
+    (little, _), (much, bytes_a_row) = run(750), run(3000)
+    assert much < 6 * little and bytes_a_row < 0.5, (little, much, bytes_a_row)
